@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, line_dedup, mixing, packing, quality_rules
+from tessera.llm import chat, line_dedup, mixing, near_dedup, packing, quality_rules
 from tessera.llm.common import table
 
 #: html of pages as lines: scripts, styles and comments go, block tags end a line, other tags go.
@@ -22,6 +22,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -109,6 +113,7 @@ SELECT page_id, host, CASE WHEN p.text IS NULL THEN NULL ELSE g.text END AS text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_mixing_sources": op8_mixing_sources,
     "op9_chat_formatting": op9_chat_formatting,
