@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, line_dedup, mixing, near_dedup, packing, quality_rules
+from tessera.llm import chat, embed_dedup, line_dedup, mixing, near_dedup, packing, quality_rules, token_counts
 from tessera.llm.common import table
 
 #: html of pages as lines: scripts, styles and comments go, block tags end a line, other tags go.
@@ -26,6 +26,16 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -114,6 +124,8 @@ SELECT page_id, host, CASE WHEN p.text IS NULL THEN NULL ELSE g.text END AS text
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_token_counts": op4_token_counts,
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_mixing_sources": op8_mixing_sources,
     "op9_chat_formatting": op9_chat_formatting,
