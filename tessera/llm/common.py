@@ -82,3 +82,14 @@ def connected_components(nodes: DataFrame | None, edges: DataFrame, tag: str, ma
     if nodes is not None:
         known = known.union(nodes.select("id", F.col("id").alias("component")))
     return known.groupBy("id").agg(F.min("component").alias("component"))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, learn_from: Column, label_col: str, rows: int) -> DataFrame:
+    """(doc_id, text, y) of the labelled documents of lowest hash, rows of them at most.
+
+    learn_from says of a row of labels whether it may teach. Of several labels of an id the lowest counts, of several texts one.
+    """
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull() & learn_from)
+    known = known.groupBy("doc_id").agg(F.min(F.col(label_col).cast("int")).alias("y"))
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))

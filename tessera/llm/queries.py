@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, embed_dedup, line_dedup, mixing, near_dedup, packing, quality_rules, token_counts
-from tessera.llm.common import table
+from tessera.llm import byte_cnn, chat, embed_dedup, line_dedup, mixing, near_dedup, packing, quality_rules, token_counts, toxicity
+from tessera.llm.common import crc_remainder, labelled_sample, table
 
 #: html of pages as lines: scripts, styles and comments go, block tags end a line, other tags go.
 UNSEEN = "(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->"
@@ -22,6 +22,14 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    sample = labelled_sample(docs, labels, crc_remainder(F.col("doc_id"), 5) != 0, "toxic", toxicity.LABELLED_ROWS)
+    scored = toxicity.classify(docs, sample, 0.5)
+    held_out = F.coalesce(crc_remainder(F.col("doc_id"), 5) == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", "n_clauses")
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -36,6 +44,14 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.link_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    sample = labelled_sample(docs, labels, crc_remainder(F.col("doc_id"), 4) != 2, "quality", byte_cnn.LABELLED_ROWS)
+    scored = byte_cnn.classify(docs, sample, 0.7)
+    held_out = F.coalesce(crc_remainder(F.col("doc_id"), 4) == 2, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -125,9 +141,11 @@ SELECT page_id, host, CASE WHEN p.text IS NULL THEN NULL ELSE g.text END AS text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_toxicity": op2_toxicity,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_mixing_sources": op8_mixing_sources,
     "op9_chat_formatting": op9_chat_formatting,
