@@ -233,17 +233,21 @@ def lexicon(entries: tuple[tuple[str, float], ...]) -> Lexicon:
     return _lexicons[entries]
 
 
-def matched(docs: DataFrame, entries: tuple[tuple[str, float], ...], beta: tuple[float, ...] = (1.0, 0.0, -1.0)) -> DataFrame:
-    """doc_id, total, top, n_clauses, score of each row of docs (doc_id, text)."""
+def logistic(total: np.ndarray, top: np.ndarray, beta: tuple[float, ...]) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(np.log1p(total) * beta[0] + np.log1p(top) * beta[1] + beta[2], -30, 30)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def with_matches(docs: DataFrame, entries: tuple[tuple[str, float], ...], beta: tuple[float, ...] = (1.0, 0.0, -1.0), text_col: str = "text") -> DataFrame:
+    """docs with a struct _tx: total, top, n_clauses and score of the text."""
+
+    @F.pandas_udf("total double, top double, n_clauses long, score double")
+    def match(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         words = lexicon(entries)
-        for batch in batches:
-            f = np.array([words.features(t) for t in batch.text], dtype=float).reshape(-1, 3)
-            z = np.log1p(f[:, 0]) * beta[0] + np.log1p(f[:, 1]) * beta[1] + beta[2]
-            yield pd.DataFrame({"doc_id": batch.doc_id.astype("Int64"), "total": f[:, 0], "top": f[:, 1], "n_clauses": f[:, 2].astype("int64"), "score": 1 / (1 + np.exp(-np.clip(z, -30, 30)))})
+        for texts in parts:
+            f = np.array([words.features(t) for t in texts], dtype=float).reshape(-1, 3)
+            yield pd.DataFrame({"total": f[:, 0], "top": f[:, 1], "n_clauses": f[:, 2].astype("int64"), "score": logistic(f[:, 0], f[:, 1], beta)})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, total double, top double, n_clauses long, score double")
+    return docs.withColumn("_tx", match(F.col(text_col)))
 
 
 def learn(sample: DataFrame) -> tuple[tuple[tuple[str, float], ...], tuple[float, ...]]:
@@ -254,7 +258,7 @@ def learn(sample: DataFrame) -> tuple[tuple[tuple[str, float], ...], tuple[float
     fixed = tuple(sorted(entries.items()))
     if not (n_toxic and n_other):
         return fixed, (1.0, 0.0, -1.0)
-    rows = matched(sample, fixed).join(sample.select("doc_id", "y"), "doc_id").select("total", "top", "y", "doc_id").collect()
+    rows = with_matches(sample, fixed).select("_tx.total", "_tx.top", "y", "doc_id").collect()
     rows.sort(key=lambda r: r.doc_id)
     beta = fit(np.log1p(np.array([[r.total, r.top] for r in rows])), np.array([r.y for r in rows], dtype=float))
     if beta[0] < 0 or beta[1] < 0:  # more matches never lower a score
@@ -266,5 +270,5 @@ def learn(sample: DataFrame) -> tuple[tuple[tuple[str, float], ...], tuple[float
 def classify(docs: DataFrame, sample: DataFrame, threshold: float = 0.5) -> DataFrame:
     """doc_id, score, predicted and n_clauses of each row of docs (doc_id, text)."""
     entries, beta = learn(sample)
-    scored = matched(docs, entries, beta)
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    scored = with_matches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), entries, beta)
+    return scored.select("doc_id", "_tx.score", (F.col("_tx.score") >= threshold).cast("int").alias("predicted"), "_tx.n_clauses")
