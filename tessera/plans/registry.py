@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import ingest, programs, retrieval
+from tessera.plans import documents, eligibility, ingest, programs, retrieval
 
 FLAGSHIP = "hybrid_rrf"
-PARTS = (programs, retrieval, ingest)
+PARTS = (programs, retrieval, ingest, documents, eligibility)
 QUERIES = {name: f for part in PARTS for name, f in part.QUERIES.items()}
 ORACLES = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}
