@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import documents, eligibility, evaluation, ingest, layout, programs, retrieval
+from tessera.plans import activity, documents, eligibility, evaluation, ingest, layout, programs, retrieval
 
 FLAGSHIP = "hybrid_rrf"
-PARTS = (programs, retrieval, ingest, documents, eligibility, evaluation, layout)
+PARTS = (programs, retrieval, ingest, documents, eligibility, evaluation, layout, activity)
 QUERIES = {name: f for part in PARTS for name, f in part.QUERIES.items()}
 ORACLES = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}
