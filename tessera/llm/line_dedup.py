@@ -30,21 +30,17 @@ def line_key(line: Column) -> Column:
 def boilerplate(pages: DataFrame, host: Column, text: Column, max_share: float = MAX_SHARE, min_pages: int = MIN_PAGES) -> DataFrame:
     """(_ld_host, _ld_line, _ld_pages, _ld_total): a row for each line to drop.
 
-    A line of a third of all pages is counted on the map side first, as is the total of a host. Lines travel as
-    64-bit pairs of hashes until a share is known; only the few boilerplate lines then carry text.
+    Lines and host totals are counted on the map side first, so a line that a third of all pages hold, or a host of a third of
+    them, is one row from each task.
     """
     lines = pages.select(
         host.alias("_ld_host"),
         F.explode(F.array_distinct(F.filter(F.transform(F.split(text, "\n"), line_key), lambda x: x != ""))).alias("_ld_line"),
     )
-    totals = pages.groupBy(host.alias("_ld_host")).agg(F.count(F.lit(1)).alias("_ld_total"))
-    counts = lines.groupBy("_ld_host", F.xxhash64("_ld_line").alias("_ld_key"), F.crc32("_ld_line").alias("_ld_key2")).agg(
-        F.count(F.lit(1)).alias("_ld_pages"), F.first("_ld_line").alias("_ld_line")
-    )
-    counts = counts.where(F.col("_ld_pages") >= min_pages)
-    t = totals.withColumnRenamed("_ld_host", "_ld_host_t")
+    totals = pages.groupBy(host.alias("_ld_host_t")).agg(F.count(F.lit(1)).alias("_ld_total"))
+    counts = lines.groupBy("_ld_host", "_ld_line").agg(F.count(F.lit(1)).alias("_ld_pages")).where(F.col("_ld_pages") >= min_pages)
     return (
-        counts.join(t, F.col("_ld_host").eqNullSafe(F.col("_ld_host_t")))
+        counts.join(totals, F.col("_ld_host").eqNullSafe(F.col("_ld_host_t")))
         .where(F.col("_ld_pages") > F.lit(max_share) * F.col("_ld_total"))
         .select("_ld_host", "_ld_line", "_ld_pages", "_ld_total")
     )
