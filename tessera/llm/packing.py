@@ -25,7 +25,7 @@ SEQUENCE_TOKENS = 1024
 OPEN_BINS = 2048
 END_ID = 2
 #: Chunks whose ids a worker keeps; later ones are encoded again each time, so memory is bounded.
-CACHED_CHUNKS = 1_000_000
+CACHED_CHUNKS = 300_000
 PROBE = "It's 12 o'clock,\n\n  he said: naïve 日本 \U0001f600!\t(ok) "
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
