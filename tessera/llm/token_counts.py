@@ -29,7 +29,7 @@ from tessera.llm.common import WORD_RE
 SPACE_MARK = "▁"
 UNKNOWN_BELOW = 10.0
 SLICE_CHARS = 4_000_000
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 500_000
 #: Longer words share little with others and are counted on their own.
 TRIE_CHARS = 48
 
