@@ -81,3 +81,20 @@ def test_streaming_windows(spark, duck, sf_dir):
     known = {(r.user_id, str(r.day)[:10]): r.n for r in want.itertuples()}
     assert have and all(known[k] == n for k, n in have.items())  # the last day stays open behind the watermark
     assert drained(spark, idle_sessions(event_stream(spark, sf_dir), "1 day")).count() > 0
+
+
+def test_embeddings_of_text(spark, sf_dir):
+    rows = registry.QUERIES["embedded_documents"](spark, sf_dir).collect()
+    assert rows == registry.QUERIES["embedded_documents"](spark, sf_dir).collect()
+    assert all(abs(sum(x * x for x in r.dense) - 1) < 1e-5 or not any(r.dense) for r in rows)
+
+
+def test_repeated_criteria(spark, duck, sf_dir):
+    import difflib
+
+    want, seen = set(), defaultdict(list)
+    for conv, turn, text in duck.sql("SELECT conv_id, turn, substr(text, 1, 60) FROM conversations WHERE role = 'user' ORDER BY conv_id, turn").fetchall():
+        if any(difflib.SequenceMatcher(None, s, text, autojunk=False).ratio() >= 0.5 for s in seen[conv]):
+            want.add((conv, turn))
+        seen[conv].append(text)
+    assert {tuple(r) for r in registry.QUERIES["repeated_criteria"](spark, sf_dir).collect()} == want
