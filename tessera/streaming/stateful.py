@@ -98,12 +98,17 @@ def workflows(commands: DataFrame) -> DataFrame:
     )
 
 
+def timed(events: DataFrame, late: str) -> DataFrame:
+    """Event times without a zone are UTC; watermarks need instants."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+
+
 def daily_counts(events: DataFrame, late: str = "1 hour") -> DataFrame:
     """Uses by user and day, in append mode behind a watermark."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", "1 day"), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("window.start").alias("day"), "n")
+    return timed(events, late).groupBy(F.window("ts", "1 day"), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("window.start").alias("day"), "n")
 
 
 def idle_sessions(events: DataFrame, gap: str, late: str = "1 hour") -> DataFrame:
     """Sessions by user that end after gap without an event, once the watermark has passed them."""
     w = F.session_window("ts", gap)
-    return events.withWatermark("ts", late).groupBy(w.alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("first_at"), F.col("w.end").alias("expires_at"), "n")
+    return timed(events, late).groupBy(w.alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("first_at"), F.col("w.end").alias("expires_at"), "n")
