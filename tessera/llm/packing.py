@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SEQUENCE_TOKENS = 1024
-OPEN_BINS = 2048
+OPEN_BINS = 32_768
 END_ID = 2
 #: Chunks whose ids a worker keeps; later ones are encoded again each time, so memory is bounded.
 CACHED_CHUNKS = 300_000
