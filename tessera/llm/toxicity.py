@@ -175,7 +175,7 @@ def candidates(sample: DataFrame) -> tuple[list[tuple[str, int, int]], int, int]
     texts = sample.select("y", words.alias("words")).where(F.size("words") > 0)
     # Near copies mostly share the word of lowest hash among their long words; one of each is enough.
     drawn = F.array_min(F.transform(F.filter("words", lambda w: F.length(w) >= 6), lambda w: F.xxhash64(w)))
-    texts = texts.groupBy("y", F.coalesce(drawn, F.xxhash64("words")).alias("draw")).agg(F.first("words").alias("words"))
+    texts = texts.groupBy("y", F.coalesce(drawn, F.xxhash64("words")).alias("draw")).agg(F.min("words").alias("words"))
     texts = written(texts.select("y", "words"), "toxicity-words")
     shortest, longest = STEM_CHARS
 
