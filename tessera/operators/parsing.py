@@ -111,6 +111,9 @@ def neighbours(cells: DataFrame, table: str) -> DataFrame:
 
 
 def lost_characters(native: DataFrame, base: DataFrame, final: DataFrame) -> DataFrame:
-    """page, lost: characters of native (page, ch) that final lacks and base does not, as multisets."""
-    lost = native.exceptAll(final).exceptAll(native.exceptAll(base))
-    return lost.groupBy("page").agg(F.count(F.lit(1)).alias("lost"))
+    """page, lost: characters of native (page, ch) that final lacks and base does not, as multisets. Characters meet as counts."""
+    counted = lambda rows, name: rows.groupBy("page", "ch").agg(F.count(F.lit(1)).alias(name))
+    rows = counted(native, "n").join(counted(final, "f"), ["page", "ch"], "left").join(counted(base, "b"), ["page", "ch"], "left")
+    missing = lambda name: F.greatest(F.lit(0), F.col("n") - F.coalesce(name, F.lit(0)))
+    lost = F.greatest(F.lit(0), missing("f") - missing("b"))
+    return rows.groupBy("page").agg(F.sum(lost).alias("lost")).where("lost > 0")

@@ -15,7 +15,7 @@ query = registrar(QUERIES, ORACLES)
 FIELDS = ("region", "industry", "employee_count", "annual_revenue", "credit_score")
 FACTS = (("region", "ASIA"), ("industry", None), ("employee_count", "12"), ("annual_revenue", None))
 
-BASE = """WITH c0 AS (SELECT DISTINCT l_orderkey AS program, l_linenumber AS criterion, l_partkey AS evidence_id, (l_suppkey % 5)::INT AS f, l_quantity::INT % 3 AS r FROM lineitem WHERE l_orderkey < 3000),
+BASE = """WITH c0 AS (SELECT DISTINCT l_orderkey AS program, l_linenumber AS criterion, l_partkey AS evidence_id, (l_suppkey % 5)::INT AS f, l_quantity::INT % 3 AS r FROM lineitem),
 crit AS (SELECT program, criterion, evidence_id, ['region', 'industry', 'employee_count', 'annual_revenue', 'credit_score'][f + 1] AS field, ['MET', 'NOT_MET', 'UNKNOWN'][r + 1] AS result FROM c0),
 facts AS (SELECT * FROM (VALUES ('region', 'ASIA'), ('industry', NULL), ('employee_count', '12'), ('annual_revenue', NULL)) v(field, value)),
 ev AS (SELECT p_partkey AS evidence_id, CASE WHEN p_size % 10 = 0 THEN p_partkey + 1 ELSE NULL END AS other FROM part WHERE p_partkey % 9 <> 0),
@@ -30,7 +30,7 @@ st AS (SELECT program, CASE WHEN bool_or(result = 'NOT_MET') THEN 'INELIGIBLE' W
 
 def criteria(spark, sf_dir) -> DataFrame:
     pick = lambda names, k: F.element_at(F.array(*map(F.lit, names)), (k + 1).cast("int"))
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey < 3000")
+    rows = table(spark, sf_dir, "lineitem")
     return rows.select(
         F.col("l_orderkey").alias("program"),
         F.col("l_linenumber").alias("criterion"),
@@ -62,9 +62,9 @@ def criteria_validation(spark, sf_dir):
     return rows.groupBy(F.coalesce("problem", F.lit("none")).alias("problem"), "result", F.coalesce("adjusted", F.lit("none")).alias("adjusted")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(BASE + "SELECT o_orderkey AS program, coalesce(status, 'INSUFFICIENT_EVIDENCE') AS status, criteria, array_to_string(missing, ',') AS missing FROM (SELECT o_orderkey FROM orders WHERE o_orderkey < 3000) LEFT JOIN st ON program = o_orderkey")
+@query(BASE + "SELECT o_orderkey AS program, coalesce(status, 'INSUFFICIENT_EVIDENCE') AS status, criteria, array_to_string(missing, ',') AS missing FROM orders LEFT JOIN st ON program = o_orderkey")
 def verdict_precedence(spark, sf_dir):
-    all_programs = table(spark, sf_dir, "orders").where("o_orderkey < 3000").select(F.col("o_orderkey").alias("program"))
+    all_programs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("program"))
     rows = e.with_status(all_programs, statuses(spark, sf_dir), "program")
     return rows.select("program", "status", "criteria", F.nullif(F.array_join("missing", ","), F.lit("")).alias("missing"))
 
@@ -86,10 +86,10 @@ def final_result(spark, sf_dir):
     return out.select("flow", "category", "n", F.array_join(F.transform("items", lambda x: x["program"].cast("string")), ",").alias("programs"))
 
 
-@query("""WITH cited AS (SELECT DISTINCT l_orderkey % 500 AS answer, l_partkey AS evidence_id, l_orderkey AS program FROM lineitem WHERE l_linenumber = 1), got AS (SELECT DISTINCT l_orderkey % 500 AS answer, l_partkey AS evidence_id FROM lineitem WHERE l_linenumber = 1 AND l_partkey % 17 <> 0)
+@query("""WITH cited AS (SELECT DISTINCT l_orderkey % 500 AS answer, l_partkey AS evidence_id, l_orderkey AS program FROM lineitem), got AS (SELECT DISTINCT l_orderkey % 500 AS answer, l_partkey AS evidence_id FROM lineitem WHERE l_partkey % 17 <> 0)
 SELECT answer, bool_and(g.evidence_id IS NOT NULL) AS grounded, count(DISTINCT program) <= 1 AS one_program FROM cited LEFT JOIN got g USING (answer, evidence_id) GROUP BY answer""")
 def citation_guard(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select((F.col("l_orderkey") % 500).alias("answer"), F.col("l_partkey").alias("evidence_id"), F.col("l_orderkey").alias("program")).distinct()
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 500).alias("answer"), F.col("l_partkey").alias("evidence_id"), F.col("l_orderkey").alias("program")).distinct()
     return e.citations_hold(rows, rows.where("evidence_id % 17 <> 0").select("answer", "evidence_id"), "answer")
 
 

@@ -23,9 +23,9 @@ def chunked_documents(spark, sf_dir):
     return p.chunked(table(spark, sf_dir, "documents"), "doc_id", "text", 100)
 
 
-@query(WORDS_SQL + ", r AS (SELECT DISTINCT l_orderkey AS program, l_partkey AS doc_id FROM lineitem WHERE l_linenumber = 1) SELECT program, count(*) AS chunks, count(DISTINCT sha256(length(t) || ':' || t || ';')) AS contents FROM j JOIN r USING (doc_id) GROUP BY program")
+@query(WORDS_SQL + ", r AS (SELECT DISTINCT l_orderkey AS program, l_partkey AS doc_id FROM lineitem) SELECT program, count(*) AS chunks, count(DISTINCT sha256(length(t) || ':' || t || ';')) AS contents FROM j JOIN r USING (doc_id) GROUP BY program")
 def chunk_relations(spark, sf_dir):
-    relations = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("program"), F.col("l_partkey").alias("doc_id")).distinct()
+    relations = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("program"), F.col("l_partkey").alias("doc_id")).distinct()
     parts = p.chunked(table(spark, sf_dir, "documents"), "doc_id", "text", 100)
     return parts.join(relations, "doc_id").groupBy("program").agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct("content_key").alias("contents"))
 
@@ -93,11 +93,11 @@ def adjacency_f1(spark, sf_dir):
     return s.select("pair", ratio(F.col("hit"), F.col("y")).alias("precision"), ratio(F.col("hit"), F.col("x")).alias("recall"), ratio(2 * F.col("hit"), F.col("x") + F.col("y")).alias("f1"))
 
 
-@query("""WITH d AS (SELECT doc_id AS page, text FROM documents WHERE doc_id < 60), n AS (SELECT page, unnest(string_split(text, '')) AS ch FROM d), f AS (SELECT page, unnest(string_split(replace(text, 'the', ''), '')) AS ch FROM d), b AS (SELECT page, unnest(string_split(replace(text, 'h', ''), '')) AS ch FROM d),
+@query("""WITH d AS (SELECT doc_id AS page, text FROM documents), n AS (SELECT page, unnest(string_split(text, '')) AS ch FROM d), f AS (SELECT page, unnest(string_split(replace(text, 'the', ''), '')) AS ch FROM d), b AS (SELECT page, unnest(string_split(replace(text, 'h', ''), '')) AS ch FROM d),
 nc AS (SELECT page, ch, count(*) AS n FROM n GROUP BY ALL), fc AS (SELECT page, ch, count(*) AS f FROM f GROUP BY ALL), bc AS (SELECT page, ch, count(*) AS b FROM b GROUP BY ALL),
 l AS (SELECT page, greatest(0, greatest(0, n - coalesce(f, 0)) - greatest(0, n - coalesce(b, 0))) AS lost FROM nc LEFT JOIN fc USING (page, ch) LEFT JOIN bc USING (page, ch)) SELECT page, sum(lost)::BIGINT AS lost FROM l GROUP BY page HAVING sum(lost) > 0""")
 def lost_characters(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("doc_id < 60")
+    docs = table(spark, sf_dir, "documents")
     chars = lambda text: docs.select(F.col("doc_id").alias("page"), F.explode(F.filter(F.split(text, ""), lambda c: c != "")).alias("ch"))
     text = F.col("text")
     return p.lost_characters(chars(text), chars(F.replace(text, F.lit("h"), F.lit(""))), chars(F.replace(text, F.lit("the"), F.lit(""))))
@@ -165,8 +165,8 @@ def line_words(spark, sf_dir):
 @query()
 def repeated_criteria(spark, sf_dir):
     """The similarity is the standard library's, so without SQL; the tests compare it with a plain loop."""
-    turns = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.substring("text", 1, 60).alias("text"))
-    return p.similar_to_earlier(turns, "conv_id", "turn", "text", 0.5)
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
+    return p.similar_to_earlier(turns, "conv_id", "turn", "text", 0.3)
 
 
 @query("""SELECT page_id, len(regexp_extract_all(html, '<p>')) AS paragraphs, len(regexp_extract_all(html, '<li>')) AS items, CASE WHEN regexp_matches(html, '<li>') THEN len(regexp_extract_all(string_split(html, '</ul>')[1], '<li>')) END AS first_list FROM pages""")

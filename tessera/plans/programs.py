@@ -182,19 +182,25 @@ def source_timestamps(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(key.alias("id"), dates.source_timestamp(raw).alias("at"))
 
 
-@query("""WITH q AS (SELECT p_partkey AS qid, p_name AS query FROM part WHERE p_partkey % 50 = 0),
-n AS (SELECT p_partkey AS id, p_type || ' ' || p_name AS name, p_size AS size FROM part WHERE p_partkey < 400),
+@query("""WITH q AS (SELECT p_partkey AS qid, p_name AS query FROM part WHERE p_partkey % 20 = 0),
+n AS (SELECT p_partkey AS id, p_type || ' ' || p_name AS name, p_size AS size FROM part),
 s AS (SELECT qid, id, CASE WHEN contains(query, name) THEN 3 WHEN contains(name, query) THEN 1 END AS score, length(query) AS len, size FROM q, n WHERE contains(query, name) OR contains(name, query)),
 r AS (SELECT *, rank() OVER (PARTITION BY qid ORDER BY score DESC, len DESC, size DESC) AS place FROM s)
 SELECT qid, id, count(*) OVER (PARTITION BY qid) AS n_tied FROM r WHERE place = 1""")
 def best_match_ties(spark, sf_dir):
+    """Every twentieth part's name is looked up among all names. Containment is tried on distinct names only; rows follow by equi-joins."""
     part = table(spark, sf_dir, "part")
-    asked = part.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("qid"), F.col("p_name").alias("query"))
-    named = part.where("p_partkey < 400").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_type", "p_name").alias("name"), F.col("p_size").alias("size"))
-    hit = F.col("query").contains(F.col("name")) | F.col("name").contains(F.col("query"))
-    pairs = asked.join(F.broadcast(named), hit)
-    scored = pairs.withColumn("score", F.when(F.col("query").contains(F.col("name")), 3).otherwise(1)).withColumn("len", F.length("query"))
-    return c.best_matches(scored, "qid", [F.desc("score"), F.desc("len"), F.desc("size")]).select("qid", "id", "n_tied")
+    asked = part.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("qid"), F.col("p_name").alias("query"))
+    named = part.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_type", "p_name").alias("name"), F.col("p_size").alias("size"))
+    inside, around = F.col("query").contains(F.col("name")), F.col("name").contains(F.col("query"))
+    hits = asked.select("query").distinct().join(named.select("name").distinct(), inside | around)
+    hits = hits.withColumn("score", F.when(inside, 3).otherwise(1)).withColumn("len", F.length("query"))
+    # Only the largest size of a name can be among the best, so ties are settled by name before rows are met.
+    sizes = named.groupBy("name").agg(F.max("size").alias("size"))
+    best = c.best_matches(hits.join(sizes, "name"), "query", [F.desc("score"), F.desc("len"), F.desc("size")]).drop("n_tied")
+    rows = best.join(named, ["name", "size"])
+    rows = rows.join(rows.groupBy("query").agg(F.count(F.lit(1)).alias("n_tied")), "query")
+    return asked.join(rows, "query").select("qid", "id", "n_tied")
 
 
 @query(P + """, k AS (SELECT id, name, category, target, jurisdiction, regexp_replace(regexp_replace(lower(name), '[0-9]+', '', 'g'), '[^a-z]', '', 'g') AS plain,

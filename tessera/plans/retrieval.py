@@ -123,13 +123,13 @@ def metadata_lookup(spark, sf_dir):
     return rows.join(F.broadcast(top), F.col("id") == F.col("program")).select("program", "name", "category", "target", "jurisdiction")
 
 
-@query(BASE + """, g AS (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id < 60),
+@query(BASE + """, g AS (SELECT doc_id FROM labels WHERE quality = 1),
 top AS (SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM dense QUALIFY rank <= 50),
 j AS (SELECT 'dense' AS mode, rank, chunk_id IN (SELECT doc_id FROM g) AS hit FROM top
   UNION ALL SELECT 'sparse', row_number() OVER (ORDER BY score DESC, chunk_id) AS rank, chunk_id IN (SELECT doc_id FROM g) FROM sparse QUALIFY rank <= 50)
 SELECT mode, min(rank) FILTER (hit) AS first_hit, count_if(hit AND rank <= 1)::BIGINT AS hits_at_1, count_if(hit AND rank <= 5)::BIGINT AS hits_at_5, count_if(hit)::BIGINT AS hits FROM j GROUP BY mode""")
 def hit_at_k(spark, sf_dir):
-    gold = table(spark, sf_dir, "labels").where("quality = 1 and doc_id < 60").select(F.col("doc_id").alias("chunk_id"), F.lit(True).alias("hit")).distinct()
+    gold = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("chunk_id"), F.lit(True).alias("hit")).distinct()
     parts = [r.ranked(r.top_k(s, 50), "chunk_id").select(F.lit(m).alias("mode"), "chunk_id", "rank") for m, s in (("dense", dense(spark, sf_dir)), ("sparse", sparse(spark, sf_dir)))]
     rows = parts[0].union(parts[1]).join(gold, "chunk_id", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
     return rows.groupBy("mode").agg(
