@@ -13,6 +13,9 @@ from tessera.llm import line_dedup, mixing, near_dedup, packing, toxicity
 from tessera.llm.common import crc_remainder, labelled_sample, table, written
 
 TOXIC_FROM = 0.5
+#: A source is far larger than a site, so a line of it repeats at shares that no site's menu has. Prose repeats short lines by chance.
+SOURCE_SHARE = 0.01
+SOURCE_MIN_WORDS = 3
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +26,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without the lines that are boilerplate of their source. Every document stays; n_chars follows the text."""
-    held = line_dedup.drop_boilerplate(docs, F.col("source"))
+    """docs without the lines that more than SOURCE_SHARE of their source's documents hold. Every document stays; n_chars follows the text."""
+    held = line_dedup.drop_boilerplate(docs, F.col("source"), max_share=SOURCE_SHARE, min_words=SOURCE_MIN_WORDS)
     if "n_chars" in docs.columns:
         held = held.withColumn("n_chars", F.when(F.col("_n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return held.select(docs.columns)

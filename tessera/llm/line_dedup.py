@@ -1,8 +1,8 @@
 """Line deduplication by site-relative frequency, in DataFrame functions only.
 
 Group by host; the share of a line is the number of the host's pages that contain it over the number of its pages.
-Lines whose share exceeds max_share, and which at least min_pages pages of the host contain, are boilerplate and go
-from every page of that host. Lines are compared without white space at either end; lines without a word are neither
+Lines whose share exceeds max_share, which at least min_pages pages of the host contain and which have min_words words or more,
+are boilerplate and go from every page of that host. Lines are compared without white space at either end; lines without a word are neither
 counted nor dropped.
 
 Nulls: a null text stays null and counts as a page without lines; a null host is a host of its own. Repeated rows are
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import words_column, written
 
 MAX_SHARE = 0.3
 MIN_PAGES = 5
@@ -27,7 +27,7 @@ def line_key(line: Column) -> Column:
     return F.trim(line, F.lit(BLANKS))
 
 
-def boilerplate(pages: DataFrame, host: Column, text: Column, max_share: float = MAX_SHARE, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(pages: DataFrame, host: Column, text: Column, max_share: float = MAX_SHARE, min_pages: int = MIN_PAGES, min_words: int = 1) -> DataFrame:
     """(_ld_host, _ld_line, _ld_pages, _ld_total): a row for each line to drop.
 
     Lines and host totals are counted on the map side first, so a line that a third of all pages hold, or a host of a third of
@@ -39,6 +39,8 @@ def boilerplate(pages: DataFrame, host: Column, text: Column, max_share: float =
     )
     totals = pages.groupBy(host.alias("_ld_host_t")).agg(F.count(F.lit(1)).alias("_ld_total"))
     counts = lines.groupBy("_ld_host", "_ld_line").agg(F.count(F.lit(1)).alias("_ld_pages")).where(F.col("_ld_pages") >= min_pages)
+    if min_words > 1:
+        counts = counts.where(F.size(words_column(F.col("_ld_line"))) >= min_words)
     return (
         counts.join(totals, F.col("_ld_host").eqNullSafe(F.col("_ld_host_t")))
         .where(F.col("_ld_pages") > F.lit(max_share) * F.col("_ld_total"))
@@ -46,9 +48,9 @@ def boilerplate(pages: DataFrame, host: Column, text: Column, max_share: float =
     )
 
 
-def drop_boilerplate(pages: DataFrame, host: Column, text_col: str = "text", max_share: float = MAX_SHARE, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, host: Column, text_col: str = "text", max_share: float = MAX_SHARE, min_pages: int = MIN_PAGES, min_words: int = 1) -> DataFrame:
     """pages with boilerplate lines out of text_col, and _n_dropped lines dropped beside it."""
-    drop = boilerplate(pages, host, F.col(text_col), max_share, min_pages)
+    drop = boilerplate(pages, host, F.col(text_col), max_share, min_pages, min_words)
     # At most 1 / max_share lines of a page's mean number can exceed the share, so the list of a host stays short.
     lists = written(drop.groupBy("_ld_host").agg(F.collect_set("_ld_line").alias("_ld_lines")), "line-dedup")
     joined = pages.withColumn("_ld_of", host).join(lists, F.col("_ld_of").eqNullSafe(F.col("_ld_host")), "left")

@@ -42,5 +42,18 @@ def test_edges(spark, sf_dir):
     assert p.ORACLE_SQL is None
 
 
+def test_repeated_lines_of_a_source(spark, sf_dir):
+    planted, short, rare = "Subscribe to our weekly letter today", "Read more", "A line that three documents share"
+    rows = []
+    for i in range(400):
+        more = [planted, short] if i % 25 == 0 else [rare] if i in (1, 2, 3) else []
+        rows.append((i, "\n".join([f"clean line {i} of its own", *more, f"last line {i} of its own"]), "en", "a", None))
+    rows += [(1000 + i, f"{planted}\nother {i}", "en", "b", None) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    texts = {r.doc_id: r.text for r in p.dedup_lines(spark, docs, sf_dir).collect()}
+    for i, text, *_ in rows:
+        assert texts[i] == (text.replace(f"{planted}\n", "") if i < 1000 else text)
+
+
 def test_run(spark, sf_dir):
     assert p.run(spark, sf_dir).count() > 0
