@@ -5,8 +5,10 @@ that each is unique in it. A sketch under one permutation is the DEPTHS smallest
 texts that share a sketch are candidates; two are linked if the longest common subsequence of their labelled shingles, inside a
 band, makes up THRESHOLD or more of all their shingles. A class is what links reach; its id is its smallest doc_id.
 
-With PERMUTATIONS sketches of five shingles a pair of similarity 0.8 shares none with probability (1 - 0.8^5)^24 = 7e-5, at 0.85
-about 3e-6, at 0.9 less than 1e-9.
+With PERMUTATIONS sketches of five shingles a pair of long texts of similarity 0.8 shares none with probability (1 - 0.8^5)^24 = 7e-5, at 0.85
+about 3e-6, at 0.9 less than 1e-9. Shorter texts share fewer sketches, as shingles are drawn without putting back (6e-4 for 22 common of 28 shingles), and
+texts of four and five none. So pairs in which a text has SHORT shingles or fewer are found exactly: texts meet by the rarest of their
+shingles, of which similar ones share one (prefix filter).
 
 Equal word sequences are one text from the start. In a bucket (texts with one sketch) each text is aligned with the
 bucket's first; in buckets of SMALL texts and fewer, all pairs are. Larger buckets whose texts are then still in
@@ -38,6 +40,8 @@ THRESHOLD = 0.8
 PERMUTATIONS = 24
 DEPTHS = (5, 12, 24)
 SMALL = 16
+#: Texts of so many shingles and fewer meet all their partners exactly, since sketches miss too many of them.
+SHORT = 24
 #: Texts whose shingles a task keeps while it aligns pairs.
 KEPT_TEXTS = 64
 #: Shingles hashed under all permutations at once.
@@ -200,6 +204,72 @@ def bucket_pairs(active: DataFrame, threshold: float, small: int | None) -> Data
     return stars.union(pairs.select("a", "b")).distinct()
 
 
+def least_shared(n, threshold: float):
+    """Shingles that a text of n shares at least with any text that is similar to it; a Column."""
+    return F.ceil(F.lit(threshold) * n - F.lit(1e-9))
+
+
+def prefix_rows(texts: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """(id, n, label, code, at): the rarest shingles of each text, of which two similar texts of different labels share one.
+
+    texts: id, text. labels: id, label. Shingles of one label alone come first, unlisted; the others by the texts that hold them. at is the
+    place in this order, from 0. A text of n shingles shares least_shared(n) with a similar one, so its first n - least_shared(n) + 1 hold a shared one.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            codes = [shingles(text).view(np.int64) for text in batch.text]
+            yield pd.DataFrame({"id": batch.id, "label": batch.label, "n": [len(c) for c in codes], "codes": codes})
+
+    coded = texts.join(labels, "id").mapInPandas(run, "id long, label long, n long, codes array<long>")
+    rows = written(coded, "near-codes").select("id", "label", "n", F.explode("codes").alias("code"))
+    held = rows.groupBy("code").agg(F.count(F.lit(1)).alias("texts"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("code", "texts")
+    shared = rows.join(held, "code").groupBy("id", "label", "n").agg(F.array_sort(F.collect_list(F.struct("texts", "code"))).alias("shared"))
+    before = F.col("n") - F.size("shared")
+    prefix = F.col("n") - least_shared(F.col("n"), threshold) + 1 - before
+    able = shared.where(prefix > 0).select("id", "label", "n", before.alias("before"), F.posexplode(F.slice("shared", F.lit(1), prefix.cast("int"))).alias("k", "e"))
+    return able.select("id", "n", "label", F.col("e.code").alias("code"), (F.col("before") + F.col("k")).alias("at"))
+
+
+def prefix_pairs(prefixes: DataFrame, threshold: float, small: int, rest: bool) -> DataFrame:
+    """Candidates (a, b), a < b, of different labels that share a prefix shingle and can be similar by size and place.
+
+    All pairs of shingles held by small texts or fewer, and in larger ones each text with the one whose shingles are the most common, such
+    as the original of many copies. With rest all pairs of the larger ones.
+    """
+    able = prefixes.withColumn("left", F.col("n") - F.col("at"))
+
+    def can_be(n: str, m: str, left: str, right: str):
+        return F.least(left, right) >= F.lit(threshold) * (F.col(n) + F.col(m)) / (1 + threshold) - F.lit(1e-9)
+
+    groups = able.groupBy("code").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct((F.col("at") / F.col("n")).alias("rare"), "id", "n", "label", "left")).alias("first"))
+    sized = able.join(groups.where("size > 1"), "code")
+    few = sized.where(F.col("size") > small if rest else F.col("size") <= small)
+    many = sized.where((F.col("size") > small) & (F.col("label") != F.col("first.label")) & can_be("n", "first.n", "left", "first.left"))
+    stars = many.select(F.least("id", "first.id").alias("a"), F.greatest("id", "first.id").alias("b"))
+    x = few.select("code", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"), F.col("left").alias("left_a"))
+    y = few.select("code", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"), F.col("left").alias("left_b"))
+    pairs = x.join(y, "code").where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & can_be("n_a", "n_b", "left_a", "left_b")).select("a", "b")
+    return (pairs if rest else pairs.union(stars)).distinct()
+
+
+def linked_exactly(ids: DataFrame, texts: DataFrame, links: DataFrame, labels: DataFrame, threshold: float, small: int) -> DataFrame:
+    """Labels (id, component) once all similar pairs among ids are linked too; what is in one class already is not compared."""
+
+    def named(of: DataFrame) -> DataFrame:
+        return of.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+
+    known = texts.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi")
+    prefixes = written(prefix_rows(known, named(ids), threshold), "near-prefixes")
+    for rest in (False, True):
+        pairs = written(prefix_pairs(prefixes, threshold, small, rest), "near-pairs")
+        if not pairs.isEmpty():
+            links = written(links.union(aligned(pairs, texts, threshold)), "near-links")
+            labels = written(connected_components(None, links, "near"), "near-classes")
+            prefixes = named(prefixes.drop("label"))
+    return labels
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, small: int = SMALL) -> DataFrame:
     """(doc_id, class_id, kept) for each row of docs; kept: the doc_id is its class's id."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -212,7 +282,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = keyed.where("depth = 0").select("id", "n", F.col("id").alias("label"), "k", "key")
     shared = first.groupBy("k", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     active = written(first.join(shared, ["k", "key"]), "near-buckets")
-    texts = rows.join(active.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    short = drawn.join(reps.withColumnRenamed("rep", "doc_id"), ["digest", "doc_id"], "left_semi").where(F.col("n") * F.lit(threshold) <= SHORT)
+    exact = short.select(F.col("doc_id").alias("id")).distinct()
+    texts = rows.join(active.select(F.col("id").alias("doc_id")).union(exact).distinct(), "doc_id", "left_semi")
     texts = written(texts.groupBy("doc_id").agg(F.min("text").alias("text")), "near-texts")
     links, labels = None, None
     for depth in range(len(DEPTHS)):
@@ -232,6 +304,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         active = written(active.join(sizes, ["k", "key"]), "near-buckets")
         if active.isEmpty():
             break
+    labels = linked_exactly(exact, texts, links, labels, threshold, small)
     classes = reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("class_id"))
     out = drawn.select("doc_id", "digest").join(classes, "digest", "left")
     out = out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))

@@ -175,6 +175,20 @@ def test_near_duplicates(spark):
     assert got == brute_classes(rows)
 
 
+def test_near_duplicates_of_short_texts(spark):
+    rng = random.Random(12)
+    rows = []
+    for n in (5, 6, 8, 9, 12, 13, 17, 28):
+        for _ in range(40):
+            words = [f"s{rng.randrange(10**6)}" for _ in range(n)]
+            end = rng.choice([[*words, "more"], ["more", *words], words[1:], [*words, "and", "more"]])
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(end))]
+    rows += [(5000 + i, " ".join([*"the same eight words in every one here".split(), *[f"e{rng.randrange(60)}"] * (i % 3)])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs, small=8).collect()}
+    assert got == brute_classes(rows)
+
+
 def test_near_duplicate_edges(spark, edges, nothing):
     got = near_dedup.near_duplicates(edges).collect()
     assert len(got) == len(EDGES)
