@@ -14,7 +14,7 @@ Equal word sequences are one text from the start. In a bucket (texts with one sk
 bucket's first; in buckets of SMALL texts and fewer, all pairs are. Larger buckets whose texts are then still in
 several classes are split by deeper sketches of the same permutation and treated alike, and at the last depth all pairs of different
 classes are aligned. So a bucket of n near copies costs n alignments, and one of n texts that only share a passage is
-split first. There is no cap on partners.
+split first. Texts of larger buckets that are then still in several classes meet exactly, as short ones do. There is no cap on partners.
 
 Null, empty and blank texts link with nothing. Repeated rows and rows with one id are rows of one class. Rows with a null id keep a null
 class unless their text has rows with an id. Texts are read whole, of any length. Input columns other than the two named are not
@@ -286,7 +286,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     exact = short.select(F.col("doc_id").alias("id")).distinct()
     texts = rows.join(active.select(F.col("id").alias("doc_id")).union(exact).distinct(), "doc_id", "left_semi")
     texts = written(texts.groupBy("doc_id").agg(F.min("text").alias("text")), "near-texts")
-    links, labels = None, None
+    buckets, links, labels = active, None, None
     for depth in range(len(DEPTHS)):
         last = depth == len(DEPTHS) - 1
         pairs = written(bucket_pairs(active.drop("size"), threshold, None if last else small), "near-pairs")
@@ -304,6 +304,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         active = written(active.join(sizes, ["k", "key"]), "near-buckets")
         if active.isEmpty():
             break
+    split = buckets.where(F.col("size") > small).select("id", "k", "key").join(labels, "id", "left").withColumn("label", F.coalesce("component", "id"))
+    apart = split.groupBy("k", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("k", "key")
+    exact = exact.union(split.join(apart, ["k", "key"], "left_semi").select("id")).distinct()
     labels = linked_exactly(exact, texts, links, labels, threshold, small)
     classes = reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("class_id"))
     out = drawn.select("doc_id", "digest").join(classes, "digest", "left")

@@ -189,6 +189,26 @@ def test_near_duplicates_of_short_texts(spark):
     assert got == brute_classes(rows)
 
 
+def test_near_duplicates_in_large_buckets(spark):
+    """Copies that are like their original but not like each other, and pairs of about 0.8 among texts that share a passage."""
+    rng = random.Random(13)
+    original = [f"h{rng.randrange(10**6)}" for _ in range(120)]
+    rows = []
+    for _ in range(150):
+        words = list(original)
+        for at in rng.sample(range(10, 110, 10), 2):
+            words[at] = f"n{rng.randrange(10**6)}"
+        rows.append((len(rows), " ".join(words)))
+    rows.append((900, " ".join(original)))
+    passage = [f"p{rng.randrange(10**6)}" for _ in range(70)]
+    for i in range(60):
+        words = [*passage, *(f"o{rng.randrange(10**6)}" for _ in range(50))]
+        rows += [(1000 + i, " ".join(words)), (2000 + i, " ".join([*words, *(f"m{rng.randrange(10**6)}" for _ in range(27))]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs, small=8).collect()}
+    assert got == brute_classes(rows)
+
+
 def test_near_duplicate_edges(spark, edges, nothing):
     got = near_dedup.near_duplicates(edges).collect()
     assert len(got) == len(EDGES)
