@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 #: Words are runs of anything but ASCII space and the controls tab to carriage return.
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
 WORD_RE = re.compile("[^\x20\x09-\x0d]+")
-FALLBACK_CHECKPOINT_DIR = "/tmp/checkpoints/tessera"
+LOCAL_CHECKPOINT_DIR = "/tmp/checkpoints/tessera"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,15 +19,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a folder of our own only where it is unset, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_CHECKPOINT_DIR
+    """The shared folder that spark.checkpoint.dir names. Unset, it is a folder of this machine in local mode, and an error on a cluster."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not re.match(r"local(\[[^,]*(,\d+)?\])?$", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return LOCAL_CHECKPOINT_DIR
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends there, and a lost executor costs a re-read at most."""
     path = f"{checkpoint_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    table = df.sparkSession.read.parquet(path)
+    table._tessera_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._tessera_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def let(value: Column, body) -> Column:
@@ -49,10 +64,9 @@ def crc_remainder(doc_id: Column, modulus: int) -> Column:
 def connected_components(nodes: DataFrame | None, edges: DataFrame, tag: str, max_rounds: int = 60) -> DataFrame:
     """(id, component) for every id in edges (a, b), and in nodes (id) if given; component is the smallest id reachable.
 
-    Alternating large-star and small-star steps. Each is one aggregate and one join, so a star of any size is
-    spread by its leaves; rounds grow with the logarithm of the longest path.
+    Alternating large-star and small-star steps. Each is one aggregate, combined on the map side, and one join, in which the edges
+    of a hub have one key; adaptive execution splits such partitions. Rounds grow with the logarithm of the longest path.
     """
-    spark = edges.sparkSession
     now = written(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{tag}-cc"
     )
@@ -69,7 +83,8 @@ def connected_components(nodes: DataFrame | None, edges: DataFrame, tag: str, ma
             .where("a <> b")
             .distinct()
         )
-        now = written(small, f"{tag}-cc")
+        before, now = now, written(small, f"{tag}-cc")
+        discard(before)
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(mark) == seen:
             break

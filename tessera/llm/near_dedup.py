@@ -1,55 +1,59 @@
 """Near-duplicate classes by Order MinHash and banded alignment.
 
 Shingles are five successive words (all words of a shorter text), labelled with how often they occurred before in the text, so
-that each is unique in it. A sketch under one permutation is the DEPTHS smallest labelled shingles in the order of the text. Two
+that each is unique in it. A sketch under one permutation is the few smallest labelled shingles in the order of the text. Two
 texts that share a sketch are candidates; two are linked if the longest common subsequence of their labelled shingles, inside a
 band, makes up THRESHOLD or more of all their shingles. A class is what links reach; its id is its smallest doc_id.
 
-With PERMUTATIONS sketches of five shingles a pair of long texts of similarity 0.8 shares none with probability (1 - 0.8^5)^24 = 7e-5, at 0.85
-about 3e-6, at 0.9 less than 1e-9. Shorter texts share fewer sketches, as shingles are drawn without putting back (6e-4 for 22 common of 28 shingles), and
-texts of four and five none. So pairs in which a text has SHORT shingles or fewer are found exactly: texts meet by the rarest of their
-shingles, of which similar ones share one (prefix filter).
-
-Equal word sequences are one text from the start. In a bucket (texts with one sketch) each text is aligned with the
-bucket's first; in buckets of SMALL texts and fewer, all pairs are. Larger buckets whose texts are then still in
-several classes are split by deeper sketches of the same permutation and treated alike, and at the last depth all pairs of different
-classes are aligned. So a bucket of n near copies costs n alignments, and one of n texts that only share a passage is
-split first. Texts of larger buckets that are then still in several classes meet exactly, as short ones do. There is no cap on partners.
-
-Null, empty and blank texts link with nothing. Repeated rows and rows with one id are rows of one class. Rows with a null id keep a null
-class unless their text has rows with an id. Texts are read whole, of any length. Input columns other than the two named are not
-read. An empty table gives no rows.
+A sketch holds DEPTH shingles. With PERMUTATIONS of them a pair of similarity 0.8 shares none with probability (1 - 0.8^5)^24 = 7e-5, at
+0.85 about 3e-6, at 0.9 less than 1e-9. Shingles are drawn without putting back, so pairs of short texts would share fewer, and one of
+four and one of five shingles none: texts of SHORT shingles or fewer, and those that can be like them, are also sketched at SHORT_DEPTH
+shingles, where a pair of 0.8 shares none with probability 3e-10.
+
+Each text is a row in the bucket of each of its sketches that another text shares, with the codes of its shingles. A bucket is cut into
+parts of PART texts. First the texts of a part are compared with each other and with the bucket's pivot, the text that shares the most
+sketches, so groups of copies become classes at a cost in proportion to their size. Buckets of several parts that then still
+hold several classes are compared part by part, all pairs of texts that can be similar by size and are not in one class; parts of one
+class alone do not meet. So every pair that shares a sketch is compared or in one class already: there is no cap on partners.
+A pair is compared in the first sketch that it shares; the shared shingles of all pairs of two parts are one matrix product, only
+pairs that share enough are aligned, and of those only what is not linked yet. A part returns links that span its classes, never its pairs.
+
+Null, empty and blank texts link with nothing. Repeated rows and rows with one id are rows of one class, whatever their texts. Rows with a
+null id keep a null class unless their text has rows with an id. Texts are read whole, of any length. Input columns other than the two named
+are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pandas.util import hash_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD_RE, connected_components, written
+from tessera.llm.common import WORD_RE, connected_components, discard, written
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 PERMUTATIONS = 24
-DEPTHS = (5, 12, 24)
-SMALL = 16
-#: Texts of so many shingles and fewer meet all their partners exactly, since sketches miss too many of them.
-SHORT = 24
-#: Texts whose shingles a task keeps while it aligns pairs.
-KEPT_TEXTS = 64
+DEPTH, SHORT_DEPTH = 5, 2
+#: Texts of so many shingles and fewer are sketched at SHORT_DEPTH.
+SHORT = 64
+#: Texts of a part of a bucket, and their shingles.
+PART = 128
+PART_SHINGLES = 1 << 19
+#: Shingles that one matrix product takes.
+COLUMNS = 1 << 14
 #: Shingles hashed under all permutations at once.
 BLOCK = 1 << 15
 
 _MIX = np.random.default_rng(20240229).integers(1, 2**63, size=(2, 64), dtype=np.uint64) | np.uint64(1)
 
-_PLACE = np.random.default_rng(20240301).integers(1, 2**63, size=max(DEPTHS), dtype=np.uint64)
+_PLACE = np.random.default_rng(20240301).integers(1, 2**63, size=DEPTH, dtype=np.uint64)
 
 
 def _scramble(x: np.ndarray) -> np.ndarray:
@@ -89,25 +93,25 @@ def smallest(values: np.ndarray, depth: int) -> np.ndarray:
     return np.take_along_axis(low, np.argsort(np.take_along_axis(values, low, 1), axis=1, kind="stable"), 1)
 
 
-def order_sketches(codes: np.ndarray, permutations: int = PERMUTATIONS, depths: Sequence[int] = DEPTHS) -> np.ndarray:
-    """int64 array (depth, permutation): a hash of the depth smallest codes under each permutation, in text order.
+def order_sketches(codes: np.ndarray, threshold: float = THRESHOLD, permutations: int = PERMUTATIONS) -> np.ndarray:
+    """int64 array of the sketches at DEPTH, then those at SHORT_DEPTH: hashes of the smallest codes under each permutation, in text order.
 
-    Codes are well mixed already, so a permutation is one exclusive or and one odd factor.
+    0 where the text has no sketch at a depth for its size. Codes are well mixed already, so a permutation is one exclusive or and one odd factor.
     """
-    deepest = max(depths)
     factor, mask = _MIX[0, :permutations, None], _MIX[1, :permutations, None]
     held = np.empty((permutations, 0), np.int64)
     for at in range(0, len(codes), BLOCK):
         part = np.arange(at, min(len(codes), at + BLOCK))
-        near = np.concatenate([held, part[smallest((codes[None, part] ^ mask) * factor, deepest)]], 1)
-        held = np.take_along_axis(near, smallest((codes[near] ^ mask) * factor, deepest), 1)
-    out = np.empty((len(depths), permutations), np.int64)
-    for d, depth in enumerate(depths):
-        places = np.sort(held[:, :depth], axis=1)
-        # The place in the sketch goes into each code's part of the sum, so the sum depends on the order.
-        mixed = _scramble(codes[places] + _PLACE[: places.shape[1]]).sum(1, dtype=np.uint64)
-        out[d] = _scramble(mixed + np.uint64(depth)).view(np.int64)
-    return out
+        near = np.concatenate([held, part[smallest((codes[None, part] ^ mask) * factor, DEPTH)]], 1)
+        held = np.take_along_axis(near, smallest((codes[near] ^ mask) * factor, DEPTH), 1)
+    out = np.zeros((2, permutations), np.int64)
+    for d, (depth, wanted) in enumerate(((DEPTH, len(codes) > SHORT), (SHORT_DEPTH, len(codes) * threshold <= SHORT))):
+        if wanted:
+            places = np.sort(held[:, :depth], axis=1)
+            # The place in the sketch goes into each code's part of the sum, so the sum depends on the order; so does the permutation's number.
+            mixed = _scramble(codes[places] + _PLACE[: places.shape[1]]).sum(1, dtype=np.uint64)
+            out[d] = _scramble(mixed + np.arange(d * permutations, (d + 1) * permutations, dtype=np.uint64)).view(np.int64)
+    return out.reshape(-1)
 
 
 def aligned_similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float:
@@ -143,172 +147,191 @@ def aligned_similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOL
     return length / (n + m - length)
 
 
-def sketched(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) to doc_id, digest of the words, number of shingles, and sketches[depth][permutation]."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            ids, digests, sizes, keys = batch.doc_id, [], [], []
-            for text in batch.text:
-                codes = shingles(text)
-                digests.append(hashlib.blake2b(codes.tobytes(), digest_size=16).digest() if len(codes) else None)
-                sizes.append(len(codes))
-                keys.append(order_sketches(codes).reshape(-1) if len(codes) else None)
-            yield pd.DataFrame({"doc_id": ids.astype("Int64"), "digest": digests, "n": sizes, "keys": keys})
-
-    return docs.mapInPandas(run, "doc_id long, digest binary, n long, keys array<long>")
+def digest_of(codes: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(codes.tobytes(), digest_size=16).digest() if len(codes) else None
 
 
-def aligned(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of ids whose texts are similar. The text of a comes last, so that a task meets its pairs together."""
-    texts = docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    rows = pairs.select("a", "b").join(texts, "b")
-    rows = rows.join(docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+def sketched(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, text) to doc_id, digest of the words, number of shingles, and sketches."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: dict[int, np.ndarray] = {}
-
-        def codes(i: int, text: str) -> np.ndarray:
-            if i not in kept:
-                if len(kept) >= KEPT_TEXTS:
-                    del kept[next(iter(kept))]
-                kept[i] = shingles(text)
-            return kept[i]
-
         for batch in batches:
-            same = [
-                aligned_similarity(codes(a, x), shingles(y), threshold) >= threshold
-                for a, b, x, y in zip(batch.a, batch.b, batch.text_a, batch.text_b, strict=True)
-            ]
-            yield batch.loc[same, ["a", "b"]]
-
-    return rows.select("a", "text_a", "b", "text_b").mapInPandas(run, "a long, b long")
+            codes = [shingles(text) for text in batch.text]
+            keys = [order_sketches(c, threshold).tobytes() if len(c) else None for c in codes]
+            yield pd.DataFrame({"doc_id": batch.doc_id.astype("Int64"), "digest": [digest_of(c) for c in codes], "n": [len(c) for c in codes], "keys": keys})
 
+    return docs.mapInPandas(run, "doc_id long, digest binary, n long, keys binary")
 
-def bucket_pairs(active: DataFrame, threshold: float, small: int | None) -> DataFrame:
-    """Candidates (a, b), a < b, of one depth: each text with its bucket's first, and all pairs of small buckets (of all for None).
-
-    active: id, n, label, k, key. Texts with one label are in one class already.
-    """
-    groups = active.groupBy("k", "key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("id", "n", "label")).alias("first"))
-    held = active.join(groups.where("size > 1"), ["k", "key"]).where(F.col("id") != F.col("first.id"))
-
-    def similar_size(n: str, m: str):
-        return F.least(n, m) >= F.lit(threshold) * F.greatest(n, m)
 
-    stars = held.where(similar_size("n", "first.n") & (F.col("label") != F.col("first.label"))).select(F.col("first.id").alias("a"), F.col("id").alias("b"))
-    few = held if small is None else held.where(F.col("size") <= small)
-    left = few.select("k", "key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
-    right = few.select("k", "key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
-    pairs = left.join(right, ["k", "key"]).where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & similar_size("n_a", "n_b"))
-    return stars.union(pairs.select("a", "b")).distinct()
+def bucket_rows(texts: DataFrame) -> DataFrame:
+    """(digest, id, n, keys) to digest, id, n and key, a row for each sketch."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keys = [np.frombuffer(k, np.int64) for k in batch["keys"]]
+            keys = [k[k != 0] for k in keys]
+            rows = batch[["digest", "id", "n"]].loc[batch.index.repeat([len(k) for k in keys])]
+            yield rows.assign(key=np.concatenate(keys) if keys else np.empty(0, np.int64))
 
-def least_shared(n, threshold: float):
-    """Shingles that a text of n shares at least with any text that is similar to it; a Column."""
-    return F.ceil(F.lit(threshold) * n - F.lit(1e-9))
-
+    return texts.mapInPandas(run, "digest binary, id long, n long, key long")
 
-def prefix_rows(texts: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """(id, n, label, code, at): the rarest shingles of each text, of which two similar texts of different labels share one.
 
-    texts: id, text. labels: id, label. Shingles of one label alone come first, unlisted; the others by the texts that hold them. at is the
-    place in this order, from 0. A text of n shingles shares least_shared(n) with a similar one, so its first n - least_shared(n) + 1 hold a shared one.
-    """
+def with_codes(active: DataFrame, docs: DataFrame) -> DataFrame:
+    """active (digest, id, keys) with the codes of its texts, which docs has by doc_id."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            codes = [shingles(text).view(np.int64) for text in batch.text]
-            yield pd.DataFrame({"id": batch.id, "label": batch.label, "n": [len(c) for c in codes], "codes": codes})
+            codes = [shingles(text) for text in batch.text]
+            yield pd.DataFrame({"digest": [digest_of(c) for c in codes], "codes": [c.tobytes() for c in codes]})
 
-    coded = texts.join(labels, "id").mapInPandas(run, "id long, label long, n long, codes array<long>")
-    rows = written(coded, "near-codes").select("id", "label", "n", F.explode("codes").alias("code"))
-    held = rows.groupBy("code").agg(F.count(F.lit(1)).alias("texts"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("code", "texts")
-    shared = rows.join(held, "code").groupBy("id", "label", "n").agg(F.array_sort(F.collect_list(F.struct("texts", "code"))).alias("shared"))
-    before = F.col("n") - F.size("shared")
-    prefix = F.col("n") - least_shared(F.col("n"), threshold) + 1 - before
-    able = shared.where(prefix > 0).select("id", "label", "n", before.alias("before"), F.posexplode(F.slice("shared", F.lit(1), prefix.cast("int"))).alias("k", "e"))
-    return able.select("id", "n", "label", F.col("e.code").alias("code"), (F.col("before") + F.col("k")).alias("at"))
+    held = docs.join(active.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    coded = held.mapInPandas(run, "digest binary, codes binary").where("digest is not null").groupBy("digest").agg(F.min("codes").alias("codes"))
+    return active.select("digest", "keys").join(coded, "digest")
 
 
-def prefix_pairs(prefixes: DataFrame, threshold: float, small: int, rest: bool) -> DataFrame:
-    """Candidates (a, b), a < b, of different labels that share a prefix shingle and can be similar by size and place.
+def part_links(part: pd.DataFrame, threshold: float) -> list[tuple[int, int]]:
+    """Links (a, b) of ids that span the classes which the similar texts of a part, or of two parts (side 0 and 1), form.
 
-    All pairs of shingles held by small texts or fewer, and in larger ones each text with the one whose shingles are the most common, such
-    as the original of many copies. With rest all pairs of the larger ones.
+    part: key, side, id, label, n, keys, codes. Pairs of two parts are those of a text of either; side 2 is the pivot, which meets every text. Texts
+    of one label are in one class from the start. Other pairs count in the first sketch that they share.
     """
-    able = prefixes.withColumn("left", F.col("n") - F.col("at"))
-
-    def can_be(n: str, m: str, left: str, right: str):
-        return F.least(left, right) >= F.lit(threshold) * (F.col(n) + F.col(m)) / (1 + threshold) - F.lit(1e-9)
-
-    groups = able.groupBy("code").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct((F.col("at") / F.col("n")).alias("rare"), "id", "n", "label", "left")).alias("first"))
-    sized = able.join(groups.where("size > 1"), "code")
-    few = sized.where(F.col("size") > small if rest else F.col("size") <= small)
-    many = sized.where((F.col("size") > small) & (F.col("label") != F.col("first.label")) & can_be("n", "first.n", "left", "first.left"))
-    stars = many.select(F.least("id", "first.id").alias("a"), F.greatest("id", "first.id").alias("b"))
-    x = few.select("code", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"), F.col("left").alias("left_a"))
-    y = few.select("code", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"), F.col("left").alias("left_b"))
-    pairs = x.join(y, "code").where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & can_be("n_a", "n_b", "left_a", "left_b")).select("a", "b")
-    return (pairs if rest else pairs.union(stars)).distinct()
+    part = part.sort_values("side", kind="stable")
+    key, side, n = part.key.iloc[0], part.side.to_numpy(), part.n.to_numpy()
+    ids, labels = part.id.to_numpy(), part.label.to_numpy()
+    if len(ids) < 2:
+        return []
+    codes = [np.frombuffer(c, np.uint64) for c in part.codes]
+    keys = np.stack([np.frombuffer(k, np.int64) for k in part["keys"]])
+    root = {x: x for x in labels.tolist()}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    need = threshold * (n[:, None] + n[None]) / (1 + threshold) - 1e-9
+    able = (np.minimum(n[:, None], n[None]) >= need) & (labels[:, None] != labels[None])
+    able &= side[:, None] != side[None] if 1 in side else np.arange(len(n))[:, None] < np.arange(len(n))[None]
+    able &= (side[:, None] <= side[None]) & (side[:, None] < 2)
+    if len(n) > 2 and able.any():
+        values, at, held = np.unique(np.concatenate(codes), return_inverse=True, return_counts=True)
+        owner, often = np.repeat(np.arange(len(n)), n), held[at] > 1
+        column = np.cumsum(held > 1)[at[often]] - 1
+        owner, order = owner[often], np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        shared = np.zeros((len(n), len(n)), np.float32)
+        for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+            lo, hi = np.searchsorted(column, (first, first + COLUMNS))
+            holds = np.zeros((len(n), COLUMNS if hi < len(column) else int(column[hi - 1]) - first + 1), np.float32)
+            holds[owner[lo:hi], column[lo:hi] - first] = 1
+            shared += holds @ holds.T
+        able &= shared >= need
+    links = []
+    for i, j in zip(*map(np.ndarray.tolist, np.nonzero(able)), strict=True):
+        x, y = find(labels[i]), find(labels[j])
+        if x == y:
+            continue
+        if side[j] < 2:
+            both = (keys[i] == keys[j]) & (keys[i] != 0)
+            if keys[i, both.argmax()] != key:
+                continue
+        if aligned_similarity(codes[i], codes[j], threshold) >= threshold:
+            root[max(x, y)] = min(x, y)
+            links.append((int(ids[i]), int(ids[j])))
+    return links
+
+
+def linked_in_parts(rows: DataFrame, codes: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) from rows (key, i, j, side, digest, id, label, n): those of one (key, i, j) meet."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        at = None
 
-def linked_exactly(ids: DataFrame, texts: DataFrame, links: DataFrame, labels: DataFrame, threshold: float, small: int) -> DataFrame:
-    """Labels (id, component) once all similar pairs among ids are linked too; what is in one class already is not compared."""
-
-    def named(of: DataFrame) -> DataFrame:
-        return of.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-
-    known = texts.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi")
-    prefixes = written(prefix_rows(known, named(ids), threshold), "near-prefixes")
-    for rest in (False, True):
-        pairs = written(prefix_pairs(prefixes, threshold, small, rest), "near-pairs")
-        if not pairs.isEmpty():
-            links = written(links.union(aligned(pairs, texts, threshold)), "near-links")
-            labels = written(connected_components(None, links, "near"), "near-classes")
-            prefixes = named(prefixes.drop("label"))
-    return labels
-
+        def flush() -> Iterator[pd.DataFrame]:
+            if held and (links := part_links(pd.concat(held) if len(held) > 1 else held[0], threshold)):
+                yield pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+            held.clear()
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, small: int = SMALL) -> DataFrame:
+        for batch in batches:
+            for name, part in batch.groupby(["key", "i", "j"], sort=False):
+                if name != at:
+                    yield from flush()
+                    at = name
+                held.append(part)
+        yield from flush()
+
+    dealt = rows.join(codes, "digest").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.select("key", "i", "j", "side", "id", "label", "n", "keys", "codes").mapInPandas(run, "a long, b long")
+
+
+def parts(texts: Column, shingle_sum: Column) -> Column:
+    return F.greatest(F.ceil(texts / PART), F.ceil(shingle_sum / PART_SHINGLES)).cast("int")
+
+
+def dealt_to(digest: Column, of: Column) -> Column:
+    return F.pmod(F.xxhash64(digest), of).cast("int")
+
+
+def first_links(active: DataFrame, codes: DataFrame, threshold: float) -> DataFrame:
+    """Links within parts of buckets, and with each bucket's pivot. active: digest, id, n, key, texts and total of the bucket."""
+    sized = active.withColumn("of", parts(F.col("texts"), F.col("total")))
+    own = sized.select("key", dealt_to(F.col("digest"), F.col("of")).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "digest", "id", F.col("id").alias("label"), "n")
+    large = sized.where("of > 1")
+    liked = large.groupBy("digest").agg(F.sum("texts").alias("met"))
+    pivots = large.join(liked, "digest").groupBy("key").agg(F.max(F.struct("met", "digest", "id", "n", "of")).alias("p"))
+    spread = pivots.select("key", F.explode(F.sequence(F.lit(0), F.col("p.of") - 1)).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side"), "p.digest", "p.id", F.col("p.id").alias("label"), "p.n")
+    return linked_in_parts(own.union(spread), codes, threshold)
+
+
+def later_links(active: DataFrame, labels: DataFrame, codes: DataFrame, threshold: float) -> DataFrame:
+    """Links between the parts of buckets that hold several classes; labels: id, component. Parts hold texts of like size, of the bucket's largest class or not."""
+    large = active.where(parts(F.col("texts"), F.col("total")) > 1)
+    named = large.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).select("key", "digest", "id", "label", "n")
+    by_class = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("texts"))
+    split = by_class.groupBy("key").agg(F.max_by("label", "texts").alias("main"), F.count(F.lit(1)).alias("classes")).where("classes > 1").select("key", "main")
+    step = -float(np.log(threshold))
+    placed = named.join(split, "key").withColumn("main", F.col("label") == F.col("main")).withColumn("band", F.floor(F.log("n") / step + 1e-9).cast("int"))
+    sizes = placed.groupBy("key", "main", "band").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("total"))
+    placed = placed.join(sizes.select("key", "main", "band", parts(F.col("texts"), F.col("total")).alias("of")), ["key", "main", "band"])
+    placed = written(placed.withColumn("part", dealt_to(F.col("digest"), F.col("of"))), "near-parts")
+    found = placed.groupBy("key", "main", "band", "part").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    name = F.struct("main", "band", "part").alias("name")
+    left = found.select("key", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("at"), name, "lo", "hi")
+    right = found.select("key", F.col("band").alias("at"), name.alias("other"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    # Of two parts of one band either could be first; of neighbouring bands the lower is.
+    meet = left.join(right, ["key", "at"]).where((F.col("name.band") < F.col("other.band")) | (F.col("name") <= F.col("other")))
+    meet = meet.where(F.least("lo", "lo2") < F.greatest("hi", "hi2"))
+    meet = meet.select("key", F.xxhash64("name").alias("i"), F.xxhash64("other").alias("j"), F.posexplode(F.when(F.col("name") == F.col("other"), F.array("name")).otherwise(F.array("name", "other"))).alias("side", "name"))
+    meet = meet.select("key", "i", "j", "side", "name.main", "name.band", "name.part")
+    rows = placed.select("key", "main", "band", "part", "digest", "id", "label", "n").join(meet, ["key", "main", "band", "part"])
+    return linked_in_parts(rows, codes, threshold)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id, kept) for each row of docs; kept: the doc_id is its class's id."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    drawn = written(sketched(rows), "near-sketches")
-    reps = written(drawn.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "near-reps")
-    keyed = drawn.join(reps.withColumnRenamed("rep", "doc_id"), ["digest", "doc_id"]).select(F.col("doc_id").alias("id"), "n", F.posexplode("keys").alias("at", "key"))
-    keyed = keyed.select("id", "n", F.floor(F.col("at") / PERMUTATIONS).cast("int").alias("depth"), (F.col("at") % PERMUTATIONS).cast("int").alias("k"), "key")
-    keyed = written(keyed.distinct(), "near-keys")
-
-    first = keyed.where("depth = 0").select("id", "n", F.col("id").alias("label"), "k", "key")
-    shared = first.groupBy("k", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    active = written(first.join(shared, ["k", "key"]), "near-buckets")
-    short = drawn.join(reps.withColumnRenamed("rep", "doc_id"), ["digest", "doc_id"], "left_semi").where(F.col("n") * F.lit(threshold) <= SHORT)
-    exact = short.select(F.col("doc_id").alias("id")).distinct()
-    texts = rows.join(active.select(F.col("id").alias("doc_id")).union(exact).distinct(), "doc_id", "left_semi")
-    texts = written(texts.groupBy("doc_id").agg(F.min("text").alias("text")), "near-texts")
-    buckets, links, labels = active, None, None
-    for depth in range(len(DEPTHS)):
-        last = depth == len(DEPTHS) - 1
-        pairs = written(bucket_pairs(active.drop("size"), threshold, None if last else small), "near-pairs")
-        found = aligned(pairs, texts, threshold)
-        links = written(found if links is None else links.union(found), "near-links")
-        labels = written(connected_components(None, links, "near"), "near-classes")
-        if last:
-            break
-        named = active.where(F.col("size") > small).drop("label").join(labels, "id", "left").withColumn("label", F.coalesce("component", "id"))
-        apart = named.groupBy("k", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("k", "key")
-        again = named.join(apart, ["k", "key"], "left_semi").select("id", "n", "label", "k")
-        deeper = keyed.where(F.col("depth") == depth + 1).select("id", "k", "key")
-        active = again.join(deeper, ["id", "k"]).select("id", "n", "label", "k", "key")
-        sizes = active.groupBy("k", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        active = written(active.join(sizes, ["k", "key"]), "near-buckets")
-        if active.isEmpty():
-            break
-    split = buckets.where(F.col("size") > small).select("id", "k", "key").join(labels, "id", "left").withColumn("label", F.coalesce("component", "id"))
-    apart = split.groupBy("k", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("k", "key")
-    exact = exact.union(split.join(apart, ["k", "key"], "left_semi").select("id")).distinct()
-    labels = linked_exactly(exact, texts, links, labels, threshold, small)
-    classes = reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("class_id"))
+    drawn = written(sketched(rows, threshold), "near-sketches")
+    good = drawn.where("digest is not null and doc_id is not null")
+    reps = good.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    reps = written(reps, "near-reps")
+    keyed = bucket_rows(reps)
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("total")).where("texts > 1")
+    active = written(keyed.join(shared, "key"), "near-buckets")
+    members = reps.join(active.select("digest").distinct(), "digest", "left_semi")
+    codes = written(with_codes(members, rows), "near-codes")
+
+    # Texts of one id are one class.
+    several = good.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("doc_id")
+    same = good.join(several, "doc_id", "left_semi").select("doc_id", "digest").distinct().join(reps.select("digest", "id"), "digest").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+    links = written(first_links(active, codes, threshold).union(same), "near-links")
+    labels = written(connected_components(None, links, "near"), "near-classes")
+    more = written(later_links(active, labels, codes, threshold), "near-links")
+    if not more.isEmpty():
+        labels = written(connected_components(None, links.union(more), "near"), "near-classes")
+    discard(active, codes)
+    classes = reps.join(labels, "id", "left").select("digest", F.coalesce("component", "id").alias("class_id"))
     out = drawn.select("doc_id", "digest").join(classes, "digest", "left")
     out = out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))

@@ -158,7 +158,8 @@ def brute_classes(rows, threshold=0.8):
     return {i: find(i) for i in sets}
 
 
-def test_near_duplicates(spark):
+def test_near_duplicates(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "PART", 8)
     rng = random.Random(11)
     base = [[f"t{rng.randrange(3000)}" for _ in range(n)] for n in (4, 30, 120, 400, 120)]
     passage = [f"p{rng.randrange(3000)}" for _ in range(60)]
@@ -171,7 +172,7 @@ def test_near_duplicates(spark):
             rows.append((len(rows), " ".join(words)))
     rows += [(1000 + i, " ".join([*passage, *(f"o{rng.randrange(10**6)}" for _ in range(60))])) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs, small=8).collect()}
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()}
     assert got == brute_classes(rows)
 
 
@@ -185,12 +186,13 @@ def test_near_duplicates_of_short_texts(spark):
             rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(end))]
     rows += [(5000 + i, " ".join([*"the same eight words in every one here".split(), *[f"e{rng.randrange(60)}"] * (i % 3)])) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs, small=8).collect()}
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()}
     assert got == brute_classes(rows)
 
 
-def test_near_duplicates_in_large_buckets(spark):
+def test_near_duplicates_in_large_buckets(spark, monkeypatch):
     """Copies that are like their original but not like each other, and pairs of about 0.8 among texts that share a passage."""
+    monkeypatch.setattr(near_dedup, "PART", 8)
     rng = random.Random(13)
     original = [f"h{rng.randrange(10**6)}" for _ in range(120)]
     rows = []
@@ -205,10 +207,34 @@ def test_near_duplicates_in_large_buckets(spark):
         words = [*passage, *(f"o{rng.randrange(10**6)}" for _ in range(50))]
         rows += [(1000 + i, " ".join(words)), (2000 + i, " ".join([*words, *(f"m{rng.randrange(10**6)}" for _ in range(27))]))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs, small=8).collect()}
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()}
     assert got == brute_classes(rows)
 
 
+def test_near_duplicates_recall(spark):
+    """100 pairs of about 0.82 among texts that share a passage and are otherwise unlike, 2,000 words long."""
+    rng = random.Random(14)
+    passage, rows = [f"p{k}" for k in range(1400)], []
+    for i in range(100):
+        own = [f"o{rng.randrange(10**7)}" for _ in range(600)]
+        other = list(own)
+        for at in rng.sample(range(0, 600, 6), 38):
+            other[at] = f"n{rng.randrange(10**7)}"
+        rows += [(i, " ".join([*passage, *own])), (1000 + i, " ".join([*passage, *other]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == brute_classes(rows) and len(set(got.values())) == 100
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    rng = random.Random(15)
+    a, b, c = ([f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(3))
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (9, " ".join([*b, "more"])), (3, " ".join(["more", *a])), (7, " ".join(c)), (8, " ".join(c)), (8, " ".join(c))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.class_id, r.kept) for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == {(5, 3, False), (9, 3, False), (3, 3, True), (7, 7, True), (8, 7, False)}
+
+
 def test_near_duplicate_edges(spark, edges, nothing):
     got = near_dedup.near_duplicates(edges).collect()
     assert len(got) == len(EDGES)
