@@ -1,38 +1,45 @@
 """Near-duplicate embeddings by a subspace pigeonhole join.
 
 Unit vectors of cosine c or more are within squared distance 2 - 2c. Rotated vectors are split into blocks; a pair within that
-distance is, in one block at least, within the block's proportional share of it. Each block is range-joined: the
-block's first coordinate is cut into intervals as wide as the share's root, so that partners lie in one interval or in
-neighbours, and each interval's vectors meet in tiles. A pair that passes in several blocks is taken in the first of them. The
-union of candidates is verified exactly, by the cosine of the vectors as given, in double precision.
-
-Equal vectors of a label are one vector with a multiplicity from the start. Intervals are cut into tiles of TILE vectors, and
-every tile meets every other once, so no task holds more than two tiles whatever the label. A tile returns, for each of its vectors,
-the number of links and one link towards its smallest relative: rows in proportion to the tile, never its pairs.
-
-Vectors that are null, empty, zero or that hold null or non-finite components link with nothing, nor do rows without a label, nor
-vectors of different lengths. Repeated rows are vectors of their own and link with each other. Rows with a null id have a null
-component and are kept. Only the named columns are read. An empty table gives no rows.
+distance is, in one block at least, within the block's proportional share of it. Each block is range-joined under its share, and the union
+of candidates is verified exactly, by the cosine of the vectors as given, in double precision.
+
+Vectors of a label are cut into tiles of about TILE: in the order of cells, which are intervals of each block's first coordinate, so that a
+tile is narrow in these. Two tiles meet once, if the gaps between their intervals leave a pair within the distance; in the task that
+they meet in, all blocks are joined as matrix products in strips. A task holds two tiles whatever the label, and returns for each of
+their vectors the number of links and one link towards its smallest relative: rows in proportion to the tiles, never their pairs. The rotation
+is that of the principal axes of SAMPLE vectors, dealt to the blocks in turn; it only decides how many tiles meet, never which pairs are found.
+
+Equal vectors of a label are one vector with a multiplicity from the start. Vectors that are null, empty, zero or that hold null or
+non-finite components link with nothing, nor do rows without a label, nor vectors of different lengths. Repeated rows are vectors of their
+own and link with each other, as are rows of one id with different vectors. Rows with a null id are vectors like others: they count as
+links, and may join others into a component; its id is the smallest there is, null if there is none, and then the row is kept. Only the named
+columns are read. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
-from tessera.llm.common import connected_components, written
+from tessera.llm.common import connected_components, discard, written
 
 COSINE = 0.93
 BLOCKS = 4
-TILE = 2048
-STRIP = 64
-SLACK = 1e-9
+TILE = 1024
+STRIP = 256
+#: Added to budgets against rounding in single precision; the exact check follows.
+SLACK = 1e-5
+SAMPLE = 4096
 ROTATION_SEED = 7
+Turns = Mapping[int, np.ndarray]
 
 
 def rotation(dim: int) -> np.ndarray:
@@ -47,7 +54,20 @@ def block_edges(dim: int, blocks: int = BLOCKS) -> list[tuple[int, int]]:
 
 def budgets(dim: int, cosine: float, blocks: int = BLOCKS) -> list[float]:
     """Squared distance that each block may use: its share of 2 - 2 cosine by its dimensions."""
-    return [(2 - 2 * cosine) * (b - a) / dim + SLACK for a, b in block_edges(dim, blocks)]
+    return [(2 - 2 * cosine) * (b - a) / dim for a, b in block_edges(dim, blocks)]
+
+
+def principal_turns(sample: list[np.ndarray]) -> dict[int, np.ndarray]:
+    """A rotation for each length of the sample's vectors: principal axes, widest first, dealt to the blocks in turn."""
+    turns = {}
+    for dim in {len(v) for v in sample}:
+        x = np.stack([v / np.linalg.norm(v) for v in sample if len(v) == dim])
+        axes = np.linalg.eigh(np.cov(x.T, bias=True).reshape(dim, dim))[1][:, ::-1].T
+        edges = block_edges(dim)
+        places = sorted(range(dim), key=lambda p: next((p - a, a) for a, b in edges if a <= p < b))
+        turns[dim] = np.empty((dim, dim))
+        turns[dim][places] = axes
+    return turns
 
 
 def keyed(vectors: DataFrame) -> DataFrame:
@@ -65,23 +85,23 @@ def keyed(vectors: DataFrame) -> DataFrame:
                 digests.append(digest)
             yield pd.DataFrame({"vec_id": batch.vec_id.astype("Int64"), "label": batch.label.astype("Int64"), "digest": digests, "embedding": batch.embedding.where(pd.Series(digests, index=batch.index).notna(), None)})
 
-    return vectors.mapInPandas(run, "vec_id long, label long, digest binary, embedding array<double>")
+    return vectors.mapInPandas(run, f"vec_id long, label long, digest binary, embedding {vectors.schema['embedding'].dataType.simpleString()}")
 
 
-def placed(texts: DataFrame, cosine: float) -> DataFrame:
-    """A row for each vector, block and side: build rows stand in their own interval, probe rows in that and in the next."""
+def placed(vectors: DataFrame, turns: Turns, cosine: float) -> DataFrame:
+    """vectors with dim, z (the first coordinate of each block) and cell (the intervals of z, as wide as the distance)."""
+    width = np.sqrt(2 - 2 * cosine + SLACK)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for dim, part in batch.groupby(batch.embedding.map(len)):
                 x = np.stack(part.embedding.to_numpy()).astype(np.float64)
-                z = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ rotation(dim).T
-                for b, ((start, _), budget) in enumerate(zip(block_edges(dim), budgets(dim, cosine), strict=True)):
-                    cell = np.floor(z[:, start] / (np.sqrt(budget) * (1 + SLACK))).astype(np.int64)
-                    for probe, step in ((False, 0), (True, 0), (True, 1)):
-                        yield pd.DataFrame({"label": part.label, "dim": dim, "block": b, "cell": cell + step, "own": step == 0, "probe": probe, "id": part.id, "copies": part.copies, "embedding": part.embedding})
+                turn = turns.get(dim, rotation(dim))[[a for a, _ in block_edges(dim)]]
+                z = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ turn.T
+                yield part.assign(dim=dim, z=list(z), cell=list(np.floor(z / width).astype(np.int32)))
 
-    return texts.mapInPandas(run, "label long, dim int, block int, cell long, own boolean, probe boolean, id long, copies long, embedding array<double>")
+    more = StructType.fromDDL("dim int, z array<double>, cell array<int>")
+    return vectors.mapInPandas(run, StructType([*vectors.schema, *more]))
 
 
 def settle(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -97,78 +117,83 @@ def settle(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         low = new
 
 
-def tile_links(tile: pd.DataFrame, cosine: float) -> pd.DataFrame:
-    """(id, links, peer): links of each vector of the two halves of a tile, and its smallest relative there."""
-    tile = tile.sort_values("id", kind="stable")
-    dim, block = int(tile.dim.iloc[0]), int(tile.block.iloc[0])
-    build, probe = tile[~tile.probe], tile[tile.probe]
-    empty = pd.DataFrame({"id": [], "links": [], "peer": []}, dtype="int64")
-    if build.empty or probe.empty:
-        return empty
-    turn, edges, allowed = rotation(dim), block_edges(dim), budgets(dim, cosine)
-    raw = [np.stack(side.embedding.to_numpy()).astype(np.float64) for side in (build, probe)]
-    norms = [np.linalg.norm(x, axis=1) for x in raw]
-    turned = [(x / n[:, None]) @ turn.T for x, n in zip(raw, norms, strict=True)]
-    (x, y), (u, v) = raw, turned
-    lo, hi = edges[block]
-    ids = [side.id.to_numpy() for side in (build, probe)]
-    own = probe.own.to_numpy()
-    v_block, v_square = v[:, lo:hi], (v[:, lo:hi] ** 2).sum(1)
-
-    def within(i: np.ndarray, j: np.ndarray, k: int) -> np.ndarray:
-        s, e = edges[k]
-        return ((u[i, s:e] - v[j, s:e]) ** 2).sum(1) <= allowed[k]
-
-    found_i, found_j = [], []
-    for at in range(0, len(x), STRIP):
-        rows = u[at : at + STRIP, lo:hi]
-        near = (rows**2).sum(1)[:, None] + v_square[None] - 2 * rows @ v_block.T <= allowed[block] + SLACK
-        # In one interval each pair stands twice; the probe with the smaller id is taken.
-        near &= ~own[None] | (ids[1][None] < ids[0][at : at + STRIP, None])
+def tile_links(pair: pd.DataFrame, turns: Turns, cosine: float) -> pd.DataFrame:
+    """(digest, links, peer) of the vectors of two tiles (side 0 and 1), or of one tile with itself (side 0), that have links there."""
+    pair = pair.sort_values("digest", kind="stable")
+    dim, side = int(pair.dim.iloc[0]), pair.side.to_numpy()
+    x = np.stack(pair.embedding.to_numpy()).astype(np.float64)
+    norms = np.linalg.norm(x, axis=1)
+    turned = ((x / norms[:, None]) @ turns.get(dim, rotation(dim)).T).astype(np.float32)
+    left = np.flatnonzero(side == 0)
+    right = np.flatnonzero(side == 1) if side.any() else left
+    edges, allowed = block_edges(dim), budgets(dim, cosine)
+    squares = [(turned[:, s:e] ** 2).sum(1) for s, e in edges]
+    found_i, found_j = [left[:0]], [left[:0]]
+    for at in range(0, len(left), STRIP):
+        rows = left[at : at + STRIP]
+        near = np.zeros((len(rows), len(right)), dtype=bool)
+        for (s, e), square, most in zip(edges, squares, allowed, strict=True):
+            near |= square[rows][:, None] + square[right][None] - 2 * turned[rows, s:e] @ turned[right, s:e].T <= most + SLACK
+        if right is left:
+            near &= rows[:, None] < left[None]
         i, j = np.nonzero(near)
-        i += at
-        held = within(i, j, block)
-        i, j = i[held], j[held]
-        held = np.einsum("ij,ij->i", x[i], y[j]) / (norms[0][i] * norms[1][j]) >= cosine
-        i, j = i[held], j[held]
-        for k in range(block):  # an earlier block has it
-            held = ~within(i, j, k)
-            i, j = i[held], j[held]
-        found_i.append(i)
-        found_j.append(j)
+        i, j = rows[i], right[j]
+        held = np.einsum("ij,ij->i", x[i], x[j]) / (norms[i] * norms[j]) >= cosine
+        found_i.append(i[held])
+        found_j.append(j[held])
     i, j = np.concatenate(found_i), np.concatenate(found_j)
-    if not len(i):
-        return empty
-    names, places = np.unique(np.concatenate([ids[0][i], ids[1][j]]), return_inverse=True)
-    a, b = places[: len(i)], places[len(i) :]
-    links = np.zeros(len(names), dtype=np.int64)
-    np.add.at(links, a, probe.copies.to_numpy()[j])
-    np.add.at(links, b, build.copies.to_numpy()[i])
-    return pd.DataFrame({"id": names, "links": links, "peer": names[settle(len(names), a, b)]})
+    copies, links = pair.copies.to_numpy(), np.zeros(len(x), dtype=np.int64)
+    np.add.at(links, i, copies[j])
+    np.add.at(links, j, copies[i])
+    digests = pair.digest.to_numpy()
+    linked = links > 0
+    return pd.DataFrame({"digest": digests[linked], "links": links[linked], "peer": digests[settle(len(x), i, j)[linked]]})
+
+
+def tiled(vectors: DataFrame, tile: int) -> DataFrame:
+    """placed() vectors with the number of their tile in label and dim."""
+    key = ["label", "dim"]
+    cells = vectors.groupBy(*key, "cell").agg(F.count(F.lit(1)).alias("held"))
+    before = F.sum("held").over(Window.partitionBy(*key).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
+    starts = cells.withColumn("start", F.coalesce(before, F.lit(0)))
+    at = F.col("start") + F.pmod(F.xxhash64("digest"), F.col("held"))
+    return vectors.join(starts, [*key, "cell"]).withColumn("tile", F.floor(at / tile).cast("long")).drop("held", "start", "cell")
+
+
+def meeting(tiles: DataFrame, cosine: float) -> DataFrame:
+    """(label, dim, i, j, side, tile): the pairs i <= j of tiles that can hold a link, a row for each side."""
+    span = [f(F.get("z", F.lit(b))).alias(f"{n}{b}") for b in range(BLOCKS) for f, n in ((F.min, "lo"), (F.max, "hi"))]
+    spans = written(tiles.groupBy("label", "dim", "tile").agg(*span), "vector-spans")
+    left, right = spans.withColumnRenamed("tile", "i").alias("l"), spans.withColumnRenamed("tile", "j").alias("r")
+    gaps = [F.greatest(F.lit(0.0), F.col(f"l.lo{b}") - F.col(f"r.hi{b}"), F.col(f"r.lo{b}") - F.col(f"l.hi{b}")) for b in range(BLOCKS)]
+    apart = sum((F.coalesce(g * g, F.lit(0.0)) for g in gaps), F.lit(0.0))
+    pairs = left.join(right, (F.col("l.label") == F.col("r.label")) & (F.col("l.dim") == F.col("r.dim")) & (F.col("i") <= F.col("j")) & (apart <= 2 - 2 * cosine + SLACK))
+    sides = F.posexplode(F.when(F.col("i") == F.col("j"), F.array("i")).otherwise(F.array("i", "j"))).alias("side", "tile")
+    return pairs.select("l.label", "l.dim", "i", "j", sides)
 
 
 def link_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", label_col: str = "label", vector_col: str = "embedding", tile: int = TILE) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("embedding"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).alias("embedding"))
     drawn = written(keyed(rows), "vectors")
-    reps = drawn.where("digest is not null and vec_id is not null").groupBy("digest").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"))
-    reps = written(reps, "vector-classes")
-    distinct = drawn.join(reps, (drawn.digest == reps.digest) & (drawn.vec_id == reps.id)).select("id", "copies", "label", "embedding").dropDuplicates(["id", "label"])
-    cells = written(placed(distinct, cosine), "vector-cells")
-    key = ["label", "dim", "block", "cell"]
-    sizes = cells.groupBy(*key).agg(F.count_if(~F.col("probe")).alias("built"), F.count_if("probe").alias("probed"))
-    n_built, n_probed = (F.greatest(F.lit(1), F.ceil(F.col(c) / tile)).cast("int") for c in ("built", "probed"))
-    dealt = cells.join(sizes.where("built > 0 and probed > 0"), key)
-    spread = F.pmod(F.xxhash64("id"), F.when(F.col("probe"), n_probed).otherwise(n_built)).cast("int")
-    across = F.explode(F.sequence(F.lit(0), F.when(F.col("probe"), n_built).otherwise(n_probed) - 1))
-    dealt = dealt.withColumn("s", spread).withColumn("o", across)
-    dealt = dealt.select(*key, "own", "probe", "id", "copies", "embedding", F.when(F.col("probe"), F.col("o")).otherwise(F.col("s")).alias("i"), F.when(F.col("probe"), F.col("s")).otherwise(F.col("o")).alias("j"))
-    parts = dealt.groupBy(*key, "i", "j").applyInPandas(lambda pdf: tile_links(pdf, cosine), "id long, links long, peer long")
+    distinct = drawn.where("digest is not null").groupBy("digest").agg(
+        F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("embedding").alias("embedding")
+    )
+    distinct = written(distinct, "vector-classes")
+    sample = distinct.select("digest", "embedding").orderBy("digest").limit(SAMPLE).collect()
+    turns = principal_turns([np.asarray(r.embedding, np.float64) for r in sample])
+    tiles = written(tiled(placed(distinct.drop("id"), turns, cosine), tile), "vector-tiles")
+    met = tiles.drop("z").join(meeting(tiles, cosine), ["label", "dim", "tile"])
+    parts = met.groupBy("label", "dim", "i", "j").applyInPandas(lambda pdf: tile_links(pdf, turns, cosine), "digest binary, links long, peer binary")
     parts = written(parts, "vector-links")
-    counts = parts.groupBy("id").agg(F.sum("links").alias("links"))
-    comps = connected_components(None, parts.select(F.col("id").alias("a"), F.col("peer").alias("b")), "vector")
-    known = reps.join(counts, "id", "left").join(comps, "id", "left")
-    known = known.select("digest", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "id").alias("c"))
+    discard(tiles)
+    counts = parts.groupBy("digest").agg(F.sum("links").alias("links"))
+    comps = written(connected_components(None, parts.select(F.col("digest").alias("a"), F.col("peer").alias("b")), "vector"), "vector-components")
+    known = distinct.join(counts, "digest", "left").join(comps.withColumnRenamed("id", "digest"), "digest", "left")
+    known = known.select("digest", "id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "digest").alias("component"))
+    smallest = written(known.groupBy("component").agg(F.min("id").alias("component_id")), "vector-ids")
+    known = known.join(smallest, "component").select("digest", "n_links", "component_id")
     out = drawn.select("vec_id", "digest").join(known, "digest", "left")
-    out = out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    component = F.when(F.col("digest").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()))

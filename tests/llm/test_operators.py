@@ -285,33 +285,52 @@ def test_vectors(spark):
         v = centres[i % 12] + rng.normal(size=16) * (0.05 if i % 3 else 0.4)
         rows.append((i, [float(x) for x in v.astype(np.float32)], int(i % 2)))
     rows += [(1000 + k, rows[k % 3][1], rows[k % 3][2]) for k in range(30)]
-    rows += [(2000, None, 1), (2001, [0.0] * 16, 1), (2002, [float("nan")] * 16, 1), (2003, rows[0][1], None), (2004, [1.0], 1), (2004, [1.0], 1), (None, rows[5][1], 1), (2005, [], 1), (2006, [None, 1.0], 0)]
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
-    links, root = Counter(), {r[0]: r[0] for r in rows}
+    rows += [(2000, None, 1), (2001, [0.0] * 16, 1), (2002, [float("nan")] * 16, 1), (2003, rows[0][1], None), (2004, [1.0], 1), (2004, [1.0], 1), (2005, [], 1), (2006, [None, 1.0], 0)]
+    # Repeated ids with other vectors, null ids (one that alone joins two others), a cosine of exactly 0.93 and one just below.
+    rows += [(3005, [1.0, 0.0], 1), (3005, [0.0, 1.0], 1), (3006, [1.0, 0.001], 1), (3007, [0.001, 1.0], 1), (None, rows[5][1], 1), (None, [1.0, 1.0, 1.0], 1), (None, None, 1)]
+    rows += [(3010, [1.0, 0.0, 0.0], 0), (None, [1.0, 0.35, 0.0], 0), (3011, [1.0, 0.7, 0.0], 0), (3020, [0.0] * 4 + [1.0], 0), (3021, [3.6755951898978215, 0.0, 0.0, 0.0, 9.3], 0), (3022, [3.6756, 0.0, 0.0, 0.0, 9.29], 0)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("digest", F.lit(1)).withColumn("cell", F.lit("x"))
+    seen = frame.collect()
+    good = [n for n, r in enumerate(seen) if r.label is not None and r.embedding and None not in r.embedding and np.isfinite(r.embedding).all() and np.any(r.embedding)]
+    links, root = Counter(), list(range(len(seen)))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    good = [(n, r) for n, r in enumerate(rows) if r[2] is not None and r[1] and None not in r[1] and np.isfinite(r[1]).all() and np.any(r[1]) and r[0] is not None]
-    for n, (k, a) in enumerate(good):
-        for m, b in good[n + 1 :]:
-            if a[2] == b[2] and len(a[1]) == len(b[1]):
-                x, y = np.array(a[1], float), np.array(b[1], float)
+    for k, n in enumerate(good):
+        for m in good[k + 1 :]:
+            a, b = seen[n], seen[m]
+            if a.label == b.label and len(a.embedding) == len(b.embedding):
+                x, y = np.array(a.embedding, float), np.array(b.embedding, float)
                 if x @ y / (np.linalg.norm(x) * np.linalg.norm(y)) >= 0.93:
-                    links[k] += 1
+                    links[n] += 1
                     links[m] += 1
-                    p, q = sorted((find(a[0]), find(b[0])))
-                    root[q] = p
-    want = Counter((r[0], links[n], find(r[0])) for n, r in enumerate(rows) if r[0] is not None)
-    for tile in (2048, 16):
-        got = embed_dedup.link_vectors(frame, tile=tile).where("vec_id is not null").collect()
-        assert Counter((r.vec_id, r.n_links, r.component_id) for r in got) == want
-        assert all(r.kept == (r.vec_id == r.component_id) for r in got)
+                    root[find(n)] = find(m)
+    least = {}
+    for n, r in enumerate(seen):
+        if r.vec_id is not None:
+            least[find(n)] = min(r.vec_id, least.get(find(n), r.vec_id))
+    want = Counter((r.vec_id, links[n], least.get(find(n)), least.get(find(n)) in (r.vec_id, None)) for n, r in enumerate(seen))
+    for tile in (1024, 16):
+        assert Counter(map(tuple, embed_dedup.link_vectors(frame, tile=tile).collect())) == want
     assert embed_dedup.link_vectors(frame.limit(0)).count() == 0
 
 
+def test_tiles_that_cannot_link_do_not_meet(spark):
+    rng = np.random.default_rng(6)
+    sides = [(i, [float(x) for x in rng.normal(size=8) * 0.1 + (9 if i % 2 else -9) * np.eye(8)[0]], 1) for i in range(200)]
+    vectors = spark.createDataFrame(sides, "vec_id long, embedding array<double>, label long").select(F.sha2(F.col("vec_id").cast("string"), 256).cast("binary").alias("digest"), F.lit(1).cast("long").alias("copies"), "label", "embedding")
+    turns = embed_dedup.principal_turns([np.array(r[1]) for r in sides])
+    turn = turns[8]
+    assert turn @ turn.T == pytest.approx(np.eye(8), abs=1e-9)
+    tiles = embed_dedup.tiled(embed_dedup.placed(vectors, turns, 0.93), 25)
+    met = embed_dedup.meeting(tiles, 0.93).where("side = 0").count()
+    n = tiles.select("tile").distinct().count()
+    assert n == 8 and met < n * (n + 1) / 2
+
+
 # 6: classifier
 
 
