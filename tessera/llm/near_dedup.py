@@ -290,11 +290,13 @@ def later_links(active: DataFrame, labels: DataFrame, codes: DataFrame, threshol
     large = active.where(parts(F.col("texts"), F.col("total")) > 1)
     named = large.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).select("key", "digest", "id", "label", "n")
     by_class = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("texts"))
-    split = by_class.groupBy("key").agg(F.max_by("label", "texts").alias("main"), F.count(F.lit(1)).alias("classes")).where("classes > 1").select("key", "main")
+    # Written, so that the planner knows how small it is before it would shuffle the texts of large buckets by key.
+    split = written(by_class.groupBy("key").agg(F.max_by("label", "texts").alias("main"), F.count(F.lit(1)).alias("classes")).where("classes > 1").select("key", "main"), "near-split")
     step = -float(np.log(threshold))
     placed = named.join(split, "key").withColumn("main", F.col("label") == F.col("main")).withColumn("band", F.floor(F.log("n") / step + 1e-9).cast("int"))
     sizes = placed.groupBy("key", "main", "band").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("total"))
-    placed = placed.join(sizes.select("key", "main", "band", parts(F.col("texts"), F.col("total")).alias("of")), ["key", "main", "band"])
+    sizes = written(sizes.select("key", "main", "band", parts(F.col("texts"), F.col("total")).alias("of")), "near-sizes")
+    placed = placed.join(sizes, ["key", "main", "band"])
     placed = written(placed.withColumn("part", dealt_to(F.col("digest"), F.col("of"))), "near-parts")
     found = placed.groupBy("key", "main", "band", "part").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
     name = F.struct("main", "band", "part").alias("name")
