@@ -1,9 +1,9 @@
 """Best-fit packing of token sequences.
 
-Method: bounded-space online best-fit. Each task reads its rows once, tokenises them and places every piece in the
-open bin that it fills best; free bins are found in a bitset keyed by free space. The pieces of one Arrow batch, which
-arrive together, are placed longest first. A fixed number of bins is open;
-when one more is needed, the fullest closes. Nothing is shuffled and a task holds the open bins only. Sequence ids are the task's number and the bin's number in it.
+Method: bounded-space online best-fit. Each task reads its rows once, tokenises them and places every piece, as it arrives, in the
+open bin that it fills best; free bins are found in a bitset keyed by free space. OPEN_BINS bins are open at most;
+when one more is needed, the fullest closes. Nothing is shuffled and a task holds the open bins only, so the result does not depend on the size of
+Arrow batches. Sequence ids are the task's number and the bin's number in it.
 
 Texts: null counts as empty; an empty text still is its end token. Repeated rows are packed once each. Input columns
 other than the two named are not read, so their names may clash with anything. An empty table gives no rows.
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SEQUENCE_TOKENS = 1024
-OPEN_BINS = 32_768
+OPEN_BINS = 1024
 END_ID = 2
 #: Chunks whose ids a worker keeps; later ones are encoded again each time, so memory is bounded.
 CACHED_CHUNKS = 300_000
@@ -145,16 +145,12 @@ def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str, id_col: str = "d
         enc, bins = encoder(tokenizer_path, ranks_path), OpenBins(capacity, open_bins)
         first = TaskContext.get().partitionId() << 36
         for batch in batches:
-            cut = []
+            rows = []
             for doc_id, text in zip(batch.doc_id, batch.text, strict=True):
                 ids = enc.encode(text) + end
                 for k, (start, length) in enumerate(pieces_of(len(ids) // 4, capacity)):
-                    cut.append((doc_id, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
-            cut.sort(key=lambda piece: -piece[3])
-            rows = []
-            for piece in cut:
-                number, offset = bins.place(piece[3])
-                rows.append((*piece, first + number, offset))
+                    number, offset = bins.place(length)
+                    rows.append((doc_id, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), first + number, offset))
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
             yield out.astype({"doc_id": "Int64", "piece": "int32"})
 
