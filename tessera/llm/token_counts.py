@@ -30,8 +30,8 @@ SPACE_MARK = "▁"
 UNKNOWN_BELOW = 10.0
 SLICE_CHARS = 4_000_000
 KEPT_WORDS = 500_000
-#: Longer words share little with others and are counted on their own.
-TRIE_CHARS = 48
+#: Words of so many characters and fewer stand in a trie built by levels; the trie of longer ones is walked in depth.
+LEVELS = 48
 
 
 def piece_scores(model_path: str) -> dict[str, float]:
@@ -73,9 +73,19 @@ class UnigramTrie:
         at = np.minimum(np.searchsorted(self.arc_keys, keys), len(self.arc_keys) - 1)
         return np.where(self.arc_keys[at] == keys, self.arc_to[at], -1)
 
-    def alone(self, token: str) -> int:
-        best = [(0.0, 0)]
-        for end in range(1, len(token) + 1):
+    def walked(self, tokens: list[str]) -> list[int]:
+        """Counts for sorted tokens: the trie in depth. The scores of a path stand until the next token leaves it, so each node is scored once."""
+        best, last, out = [(0.0, 0)], "", []
+        for token in tokens:
+            shared = next((k for k, (a, b) in enumerate(zip(token, last, strict=False)) if a != b), min(len(token), len(last)))
+            del best[shared + 1 :]
+            self._down(token, best)
+            out.append(-best[-1][1])
+            last = token
+        return out
+
+    def _down(self, token: str, best: list[tuple[float, int]]) -> None:
+        for end in range(len(best), len(token) + 1):
             options = []
             for k in range(1, min(end, self.longest) + 1):
                 score = self.scores.get(token[end - k : end])
@@ -84,12 +94,13 @@ class UnigramTrie:
             if token[end - 1] not in self.scores:
                 options.append((best[end - 1][0] + self.unknown, best[end - 1][1] - len(token[end - 1].encode("utf-8", "surrogatepass"))))
             best.append(max(options))
-        return -best[-1][1]
 
     def counts(self, tokens: list[str]) -> list[int]:
-        short = sorted(t for t in tokens if 0 < len(t) <= TRIE_CHARS)
-        found = dict(zip(short, self._trie(short), strict=True)) if short else {}
-        return [found[t] if t in found else self.alone(t) for t in tokens]
+        short, long = (sorted(t for t in tokens if (len(t) <= LEVELS) == few and t) for few in (True, False))
+        found = {"": 0, **dict(zip(long, self.walked(long), strict=True))}
+        if short:
+            found |= zip(short, self._trie(short), strict=True)
+        return [found[t] for t in tokens]
 
     def _trie(self, tokens: list[str]) -> list[int]:
         width = max(map(len, tokens))
