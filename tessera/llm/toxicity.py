@@ -6,8 +6,9 @@ classes: reported speech and negation take force from insults and threats in the
 are composed into one table. A clause scores the sum of the weights of what comes out; a text's clauses give it
 two features, their sum and their maximum, and a logistic function of these, fitted on the same labelled rows, is the score.
 
-Stems and weights come from LABELLED_ROWS labelled rows at most, those of lowest hash that may be learned from. Near copies among these
-count once, so that the words of one copied text do not pass for insults. Scoring is one pass of a map over the documents, without a
+Stems and weights come from LABELLED_ROWS labelled rows at most, those of lowest hash that may be learned from; the entries are as many as
+have MIN_SUPPORT toxic texts among these, and MIN_PRECISION. Near copies, which share the DRAWN words of lowest hash among their longer words, count
+once, so that the words of one copied text do not pass for insults. Scoring is one pass of a map over the documents, without a
 shuffle; texts are read whole, and only clauses that hold an insult or a threat are run through the grammar.
 
 Null and empty texts have no clauses and get the score of a text without matches. Labels that are null, or whose id matches no
@@ -30,9 +31,9 @@ from tessera.llm.common import written
 
 LABELLED_ROWS = 12_000
 MIN_SUPPORT = 6
+DRAWN = 4
 MIN_PRECISION = 0.85
 STEM_CHARS = (4, 12)
-MOST_ENTRIES = 2000
 #: A stem gives way to a longer one that keeps this share of its texts.
 SAME_SUPPORT = 0.95
 TOP_WEIGHT = 6.0
@@ -173,9 +174,9 @@ def candidates(sample: DataFrame) -> tuple[list[tuple[str, int, int]], int, int]
     """(stem or word$, toxic texts, other texts) of every entry that is common and precise enough, and the numbers of texts."""
     words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^\\p{L}]+"), lambda w: F.length(w) >= 3))
     texts = sample.select("y", words.alias("words")).where(F.size("words") > 0)
-    # Near copies mostly share the word of lowest hash among their long words; one of each is enough.
-    drawn = F.array_min(F.transform(F.filter("words", lambda w: F.length(w) >= 6), lambda w: F.xxhash64(w)))
-    texts = texts.groupBy("y", F.coalesce(drawn, F.xxhash64("words")).alias("draw")).agg(F.min("words").alias("words"))
+    hashes = F.array_sort(F.transform(F.filter("words", lambda w: F.length(w) >= 6), lambda w: F.xxhash64(w)))
+    drawn = F.when(F.size(hashes) >= DRAWN, F.slice(hashes, 1, DRAWN)).otherwise(F.array(F.xxhash64("words")))
+    texts = texts.groupBy("y", drawn.alias("draw")).agg(F.min("words").alias("words"))
     texts = written(texts.select("y", "words"), "toxicity-words")
     shortest, longest = STEM_CHARS
 
@@ -186,7 +187,7 @@ def candidates(sample: DataFrame) -> tuple[list[tuple[str, int, int]], int, int]
     counts = texts.select("y", F.explode(F.array_distinct(F.flatten(F.transform("words", stems)))).alias("entry"))
     counts = counts.groupBy("entry").agg(F.sum("y").alias("t"), F.count(F.lit(1)).alias("n"))
     counts = counts.where((F.col("t") >= MIN_SUPPORT) & ((F.col("t") + 0.5) / (F.col("n") + 1) >= MIN_PRECISION))
-    rows = counts.orderBy(F.desc("t"), "entry").limit(20 * MOST_ENTRIES).collect()
+    rows = counts.orderBy(F.desc("t"), "entry").collect()
     totals = texts.agg(F.sum("y").alias("t"), F.count(F.lit(1)).alias("n")).first()
     return [(r.entry, r.t, r.n - r.t) for r in rows], totals.t or 0, (totals.n or 0) - (totals.t or 0)
 
@@ -206,7 +207,7 @@ def chosen(found: Iterable[tuple[str, int, int]], n_toxic: int, n_other: int) ->
             at = max(longer, key=lambda e: (by[e][0], e))
         t, n = by[at]
         entries[at] = min(TOP_WEIGHT, math.log((t + 0.5) / (n + 0.5)) + math.log((n_other + 1) / (n_toxic + 1)))
-    return dict(sorted(entries.items(), key=lambda e: -e[1])[:MOST_ENTRIES])
+    return entries
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
