@@ -3,7 +3,8 @@
 A turn is rendered as its header line, its text, and an end mark on a line of its own. Control strings are the start of a header
 and the end mark. A rendered turn is read again by a strict parser, which refuses control strings inside a text and takes
 one backslash off those behind backslashes; where what it recovers is not the source, the text gets one backslash
-before each control string, which the parser then reverses. Escaping once is always enough: see restored().
+before each control string, and is rendered and read again. Escaping once is always enough, see restored(), so a turn that then still differs is an
+error, as is a conversation whose whole rendering does not read back as its turns.
 
 Null texts and null roles are empty; rows without a conversation id are one conversation. Turns are ordered by turn, then role,
 then text, nulls first; repeated rows are turns of their own. A conversation's rows meet in one row of the output, as its
@@ -16,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.llm.common import let
+
 HEADER, END = "### ", "</turn>"
 CONTROL = "(?:### |</turn>)"
 TERMINATOR = f"\n{END}\n"
@@ -69,17 +72,25 @@ def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
         F.coalesce(F.col(role_col), F.lit("")).alias("role"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
-    back = parsed(rendered(F.col("role"), F.col("text")))
-    same = (F.size(back) == 1) & (back[0]["role"] == F.col("role")) & (back[0]["text"] == F.col("text"))
-    rows = rows.withColumn("body", F.when(F.coalesce(same, F.lit(False)), F.col("text")).otherwise(escaped(F.col("text"))))
+
+    def reads_back(body: Column) -> Column:
+        back = parsed(rendered(F.col("role"), body))
+        return F.coalesce((F.size(back) == 1) & (back[0]["role"] == F.col("role")) & (back[0]["text"] == F.col("text")), F.lit(False))
+
+    mended = let(escaped(F.col("text")), lambda body: F.when(reads_back(body), body).otherwise(F.raise_error(F.lit("a turn does not read back"))))
+    rows = rows.withColumn("body", F.when(reads_back(F.col("text")), F.col("text")).otherwise(mended))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = rows.withColumn("out", rendered(F.col("role"), F.col("body"))).withColumn("k", F.row_number().over(order))
     end = F.sum(F.length("out")).over(order.rowsBetween(Window.unboundedPreceding, 0))
     stop = end - F.length(F.lit(TERMINATOR))
     rows = rows.withColumn("span", F.when(F.col("role") == loss_role, F.struct((stop - F.length("body")).alias("start"), stop.alias("end"))))
-    chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("k", "out", "span"))).alias("all"))
+    chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("k", "out", "span", "role", "text"))).alias("all"))
     spans = F.filter(F.transform("all", lambda x: x["span"]), lambda s: s.isNotNull())
-    return chats.select("conv_id", F.array_join(F.transform("all", lambda x: x["out"]), "").alias("formatted"), spans.alias("loss_spans"))
+    chats = chats.select("conv_id", "all", F.array_join(F.transform("all", lambda x: x["out"]), "").alias("formatted"), spans.alias("loss_spans"))
+    source = F.transform("all", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
+    back = F.transform(parsed(F.col("formatted")), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
+    checked = F.when(back == source, F.col("formatted")).otherwise(F.raise_error(F.lit("a conversation does not read back")))
+    return chats.select("conv_id", checked.alias("formatted"), "loss_spans")
 
 
 def read_back(chats: DataFrame, loss_role: str = "assistant") -> DataFrame:
