@@ -17,8 +17,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import words_column, written
 
-MAX_SHARE = 0.3
-MIN_PAGES = 5
+#: A menu is on most pages of a host, a notice or an advertisement on some; prose does not repeat at this share.
+MAX_SHARE = 0.03
+#: One page or two, such as copies of each other, do not make boilerplate however small the host.
+MIN_PAGES = 3
+#: Shorter lines repeat by chance.
+MIN_WORDS = 3
 #: Characters that do not make a word.
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -27,7 +31,7 @@ def line_key(line: Column) -> Column:
     return F.trim(line, F.lit(BLANKS))
 
 
-def boilerplate(pages: DataFrame, host: Column, text: Column, max_share: float = MAX_SHARE, min_pages: int = MIN_PAGES, min_words: int = 1) -> DataFrame:
+def boilerplate(pages: DataFrame, host: Column, text: Column, max_share: float = MAX_SHARE, min_pages: int = MIN_PAGES, min_words: int = MIN_WORDS) -> DataFrame:
     """(_ld_host, _ld_line, _ld_pages, _ld_total): a row for each line to drop.
 
     Lines and host totals are counted on the map side first, so a line that a third of all pages hold, or a host of a third of
@@ -48,10 +52,10 @@ def boilerplate(pages: DataFrame, host: Column, text: Column, max_share: float =
     )
 
 
-def drop_boilerplate(pages: DataFrame, host: Column, text_col: str = "text", max_share: float = MAX_SHARE, min_pages: int = MIN_PAGES, min_words: int = 1) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, host: Column, text_col: str = "text", max_share: float = MAX_SHARE, min_pages: int = MIN_PAGES, min_words: int = MIN_WORDS) -> DataFrame:
     """pages with boilerplate lines out of text_col, and _n_dropped lines dropped beside it."""
     drop = boilerplate(pages, host, F.col(text_col), max_share, min_pages, min_words)
-    # At most 1 / max_share lines of a page's mean number can exceed the share, so the list of a host stays short.
+    # A line in the list is on more than max_share of the host's pages, so the list has 1 / max_share times the lines of a mean page at most.
     lists = written(drop.groupBy("_ld_host").agg(F.collect_set("_ld_line").alias("_ld_lines")), "line-dedup")
     joined = pages.withColumn("_ld_of", host).join(lists, F.col("_ld_of").eqNullSafe(F.col("_ld_host")), "left")
     parts = F.split(F.col(text_col), "\n")

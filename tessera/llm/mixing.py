@@ -5,12 +5,13 @@ source is read in order of the keys until its token budget is used. Budgets of o
 complete epochs of every document; the remainder is selected by the prefix sums of the keys. The last document is in if
 that brings the source nearer to its target.
 
-A source may hold a third of all rows: keys are cut into KEY_RANGES ranges, sizes are summed by (source, range) on the
-map side, and only rows of one range of one source are ever sorted together. Sums by source and by range are one
-row per source, and KEY_RANGES per source.
+A source may hold a third of all rows: keys are cut into ranges, sizes are summed by (source, range) on the
+map side, and only rows of one range of one source are ever sorted together. Ranges are even in the logarithm of the key, RANGES_PER_E to a
+factor of e: at any weight the densest of them holds 0.37 / RANGES_PER_E of the rows. A source has some 10 * RANGES_PER_E of them, and 40 * RANGES_PER_E
+at most, and targets are found in windows over one row per source: this is meant for sources such as crawls and collections, not for hosts.
 
-A null source is a source of its own, ordered last; null texts have size 0; null ids share one key. Repeated rows count as
-documents of their own; ties are ordered by id and size. Weights that are null, not finite or not above 0 count as
+A null source is a source of its own, ordered last; null texts have size 0; a row without an id has the key of its text. Repeated rows count as
+documents of their own; ties are ordered by id and size. Rows of one key, as of a repeated id, are sorted in one task. Weights that are null, not finite or not above 0 count as
 MIN_WEIGHT. Sources of size 0 take nothing. Only the named columns are read. An empty table gives no rows.
 """
 
@@ -27,7 +28,8 @@ from tessera.llm.common import words_column, written
 SOURCE_WEIGHTS = (5.0, 2.0, 1.0)
 SHARE_OF_ALL = 1.5
 MOST_EPOCHS = 2
-KEY_RANGES = 1024
+RANGES_PER_E = 256
+LEAST_KEY = 1e-300
 MIN_WEIGHT = 0.05
 
 
@@ -37,9 +39,9 @@ def text_weight(text: Column) -> Column:
     return F.when(n > 0, F.greatest(F.lit(MIN_WEIGHT), F.length(F.regexp_replace(text, "[#*$%&|<>]", "")) / n)).otherwise(F.lit(MIN_WEIGHT))
 
 
-def unit_hash(doc_id: Column) -> Column:
-    """A number in (0, 1) from the first 48 bits of the id's MD5; the same in every run."""
-    head = F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 12), 16, 10).cast("double")
+def unit_hash(doc_id: Column, text: Column) -> Column:
+    """A number in (0, 1) from the first 48 bits of the MD5 of the id, or without one of the text; the same in every run."""
+    head = F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), text, F.lit("")).cast("binary")), 1, 12), 16, 10).cast("double")
     return (head + 0.5) / F.lit(float(1 << 48))
 
 
@@ -61,7 +63,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = SOURCE_WEIGHTS,
     return rows.withColumn("target", F.least("_mx_c", F.coalesce(first * F.col("_mx_w"), F.col("_mx_c")))).select("source", "source_size", "target")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None, ranges: int = KEY_RANGES) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None) -> DataFrame:
     """doc_id, source, size, weight, source_size, target, epochs (complete), selected (in the fraction), taken."""
     weight = text_weight(F.col(text_col)) if weight is None else weight
     weight = F.when(~F.isnan(weight) & (weight > 0) & (weight < float("inf")), weight.cast("double")).otherwise(F.lit(MIN_WEIGHT))
@@ -70,9 +72,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         F.col(source_col).alias("source"),
         F.size(words_column(F.col(text_col))).cast("long").alias("size"),
         weight.alias("weight"),
+        unit_hash(F.col(id_col), F.col(text_col)).alias("_mx_u"),
     )
-    key = -F.log(unit_hash(F.col("doc_id"))) / F.col("weight")
-    sized = written(sized.withColumn("_mx_key", key).withColumn("_mx_range", F.floor((1 - F.exp(-F.col("_mx_key"))) * ranges)), "mixing")
+    key = F.greatest(-F.log("_mx_u") / F.col("weight"), F.lit(LEAST_KEY))
+    sized = written(sized.withColumn("_mx_key", key).withColumn("_mx_range", F.floor(F.log("_mx_key") * RANGES_PER_E)), "mixing")
     by_range = sized.groupBy("source", "_mx_range").agg(F.sum("size").alias("_mx_sum"))
     by_range = written(by_range, "mixing-ranges")
     targets = source_targets(by_range.groupBy("source").agg(F.sum("_mx_sum").alias("source_size")))

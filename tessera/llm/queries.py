@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import byte_cnn, chat, embed_dedup, line_dedup, mixing, near_dedup, packing, quality_rules, token_counts, toxicity
-from tessera.llm.common import crc_remainder, labelled_sample, table
+from tessera.llm.common import crc_remainder, labelled_sample, table, written
 
 #: html of pages as lines: scripts, styles and comments go, block tags end a line, other tags go.
 UNSEEN = "(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->"
@@ -69,7 +69,7 @@ OP8_SQL = """
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
          CASE WHEN length(text) > 0 THEN greatest(0.05::DOUBLE, length(regexp_replace(text, '[#*$%&|<>]', '', 'g'))::DOUBLE / length(text)::DOUBLE) ELSE 0.05::DOUBLE END AS w,
-         ((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT)::DOUBLE + 0.5) / 281474976710656.0::DOUBLE AS u
+         ((('0x' || substr(md5(coalesce(doc_id::VARCHAR, text, '')), 1, 12))::BIGINT)::DOUBLE + 0.5) / 281474976710656.0::DOUBLE AS u
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 n AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source COLLATE "C") AS k FROM s),
@@ -121,7 +121,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(
         "page_id", F.lower(F.regexp_extract("url", HOST, 1)).alias("host"), page_lines(F.col("html")).alias("text")
     )
-    return line_dedup.drop_boilerplate(pages, F.col("host")).withColumnRenamed("_n_dropped", "n_dropped")
+    return line_dedup.drop_boilerplate(written(pages, "page-lines"), F.col("host")).withColumnRenamed("_n_dropped", "n_dropped")
 
 
 OP10_SQL = rf"""
@@ -132,8 +132,7 @@ WITH p AS (
 q AS (SELECT r, host, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM p),
 l AS (SELECT *, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key FROM q),
 h AS (SELECT host, count(*) AS total FROM p GROUP BY host),
-b AS (SELECT l.host, key FROM l JOIN h ON l.host IS NOT DISTINCT FROM h.host WHERE key <> ''
-      GROUP BY l.host, key HAVING count(DISTINCT r) >= 5 AND count(DISTINCT r) > 0.3::DOUBLE * any_value(total)),
+b AS (SELECT l.host, key FROM l JOIN h ON l.host IS NOT DISTINCT FROM h.host WHERE key <> '' AND len(regexp_extract_all(key, '[^\x20\x09-\x0D]+')) >= 3 GROUP BY l.host, key HAVING count(DISTINCT r) >= 3 AND count(DISTINCT r) > 0.03::DOUBLE * any_value(total)),
 k AS (SELECT l.*, b.key IS NOT NULL AS gone FROM l LEFT JOIN b ON l.host IS NOT DISTINCT FROM b.host AND l.key = b.key),
 g AS (SELECT r, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text, count(*) FILTER (gone) AS n FROM k GROUP BY r)
 SELECT page_id, host, CASE WHEN p.text IS NULL THEN NULL ELSE g.text END AS text, coalesce(g.n, 0)::BIGINT AS n_dropped FROM p LEFT JOIN g USING (r)
