@@ -1,6 +1,7 @@
 """Each corpus operator against brute force, and at its edges: nulls, empty and long texts, ties, repeated rows, empty tables, further columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -89,9 +90,112 @@ def test_rules_learned(spark):
     assert quality_rules.judge(stats, []).where("kept").count() == 600
 
 
+def covering(rows, cuts):
+    """The decision list by plain loops over rows: (measures, low, prune)."""
+    q, rules = quality_rules, []
+
+    def holds(rule, m):
+        return all(m[name] > t if above else m[name] <= t for name, above, t in rule)
+
+    while len(rules) < q.MAX_RULES:
+        rule, left = (), [r for r in rows if not r[2]]
+        while len(rule) < q.MAX_CONDITIONS:
+            low, high = (sum(r[1] == k for r in left) for k in (1, 0))
+            if not low or not high:
+                break
+            best = (1e-9, 0, 0, "")
+            for name, ts in cuts.items():
+                for t in ts:
+                    for above in (False, True):
+                        p, n = (sum(r[1] == k and holds([(name, above, t)], r[0]) for r in left) for k in (1, 0))
+                        if p >= q.MIN_COVERED:
+                            gain = p * (math.log2(p / (p + n)) - math.log2(low / (low + high)))
+                            best = max(best, (gain, p, -n, str(q.Condition(name, above, t)), (name, above, t)), key=lambda x: x[:4])
+            if len(best) < 5:
+                break
+            rule = (*rule, best[4])
+            left = [r for r in left if holds(rule, r[0])]
+        tried = []
+        for k in range(1, len(rule) + 1):
+            p, n = (sum(r[2] and r[1] == y and holds(rule[:k], r[0]) for r in rows) for y in (1, 0))
+            tried.append(((p - n) / max(1, p + n), -k, p, n))
+        if not tried:
+            break
+        _, k, p, n = max(tried)
+        if p + n < q.MIN_COVERED or p / (p + n) < q.MIN_PRECISION:
+            break
+        rules.append(rule[:-k])
+        rows = [r for r in rows if not holds(rule[:-k], r[0])]
+    return rules
+
+
+def test_rules_are_those_of_plain_covering(spark):
+    rng = random.Random(4)
+    rows, labels = [], []
+    for i in range(900):
+        words, lines = rng.randrange(60, 400), rng.randrange(2, 40)
+        chars, symbols = words * rng.randrange(3, 9), int(words * rng.random())
+        twice, again = rng.randrange(lines), int(words * 0.5 * rng.random())
+        upper = int(chars * rng.random())
+        bad = (symbols > 0.6 * words and chars < 5 * words) or (twice > 0.6 * lines and words > 200) or (upper > 0.7 * chars and again > 0.25 * words)
+        rows.append((i, words, chars, symbols, twice, again, lines, upper))
+        labels.append((i, int(not bad) if rng.random() < 0.97 else int(bad)))
+    stats = spark.createDataFrame(rows, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long")
+    known = spark.createDataFrame(labels, "doc_id long, quality int")
+    labelled = quality_rules.measures(stats.join(known, "doc_id")).withColumn("low", (F.col("quality") < 1).cast("int"))
+    cuts = quality_rules.thresholds(labelled)
+    plain = [({m: r[m] for m in quality_rules.MEASURES}, r.low, zlib.crc32(str(r.doc_id).encode()) % quality_rules.PRUNE_FOLDS == 0) for r in labelled.collect()]
+    want = covering(plain, cuts)
+    rules = quality_rules.learn(stats, known)
+    assert [tuple((c.measure, c.above, c.threshold) for c in rule) for rule in rules] == want
+    assert len(want) >= 3 and sum(len(rule) >= 2 for rule in want) >= 3
+    verdict = {r.doc_id: r.rule for r in quality_rules.judge(stats, rules).collect()}
+    for r, (m, *_) in zip(labelled.collect(), plain, strict=True):
+        first = next((k for k, rule in enumerate(want, 1) if all(m[n] > t if above else m[n] <= t for n, above, t in rule)), 0)
+        assert verdict[r.doc_id] == first
+
+
+def test_quality_edges(spark, edges, nothing):
+    labels = spark.createDataFrame([(1, 0), (4, 1), (None, 0), (99, 1), (5, None)], "doc_id long, quality int")
+    got = quality_rules.quality_rules(edges, labels).collect()
+    assert len(got) == len(EDGES)
+    for r in got:
+        words, repeated = r.n_words, r.n_repeat_words
+        assert r.base_failed == (words < 50 or 100 * repeated > 50 * words) and (not r.kept if r.base_failed else r.kept == (r.rule == 0))
+    assert quality_rules.quality_rules(nothing, labels).count() == 0
+
+
 # 2: toxicity
 
 
+def test_composed_table_is_the_chain_of_its_steps():
+    rng = random.Random(7)
+    for _ in range(3000):
+        read = [rng.choice(toxicity.SYMBOLS) for _ in range(rng.randrange(1, 16))]
+        chained = read
+        for step in (toxicity.reported, toxicity.negation, toxicity.aimed):
+            state, out = (), []
+            for symbol in chained:
+                state, symbol = step(state, symbol)
+                out.append(symbol)
+            chained = out
+        at, composed = 0, []
+        for symbol in read:
+            at, symbol = toxicity.GRAMMAR[at, symbol]
+            composed.append(symbol)
+        assert composed == chained
+
+
+def test_near_copies_teach_once(spark):
+    words = [f"{a}{b}lengthy" for a in "abcdefgh" for b in "mnopqrst"]
+    rows = [(i, " ".join([*words, "copied", "x" * (i % 3 + 1)]), 1) for i in range(30)]
+    rows += [(100 + i, " ".join([words[i], words[i + 1], f"{'qwrtz'[i % 5] * 7}more", "plainly"]), 1) for i in range(40)]
+    rows += [(200 + i, f"nothing of interest in {'abcdefghij'[i % 10] * 6} here {'klmnopqrst'[i // 10] * 7} today", 0) for i in range(100)]
+    found, toxic, other = toxicity.candidates(spark.createDataFrame(rows, "doc_id long, text string, y int"))
+    assert toxic <= 41 and other == 100
+    assert not any(e.startswith("copied") for e, *_ in found) and any(e.startswith("plain") for e, *_ in found)
+
+
 def test_grammar():
     lex = toxicity.Lexicon({"idiot$": 2.0, "lowei": 3.0})
     plain, aimed = lex.clause_score("what an idiot"), lex.clause_score("you are an idiot")
@@ -254,6 +358,17 @@ def test_alignment():
 # 4: token counts
 
 
+def plain_count(trie, token):
+    """Tokens of the best segmentation, by dynamic programming over one token."""
+    best = [(0.0, 0)]
+    for end in range(1, len(token) + 1):
+        ways = [(best[at][0] + trie.scores[token[at:end]], best[at][1] - 1) for at in range(max(0, end - trie.longest), end) if token[at:end] in trie.scores]
+        if token[end - 1] not in trie.scores:
+            ways.append((best[end - 1][0] + trie.unknown, best[end - 1][1] - len(token[end - 1].encode("utf-8", "surrogatepass"))))
+        best.append(max(ways))
+    return -best[-1][1]
+
+
 def test_token_counts(spark, edges, nothing):
     from tokenizers import Tokenizer, models
 
@@ -261,16 +376,16 @@ def test_token_counts(spark, edges, nothing):
     scores = token_counts.piece_scores(path)
     trie = token_counts.UnigramTrie(scores)
     rng = random.Random(1)
-    words = {"".join(rng.choice("abcdeéß日x.,1") for _ in range(rng.randrange(1, 14))) for _ in range(2000)} | {"z" * 200}
+    words = {"".join(rng.choice("abcdeéß日x.,1") for _ in range(rng.randrange(1, 14))) for _ in range(2000)} | {"z" * 200, "z" * 300 + "a", "z" * 300 + "b日", "z" * 60 + "q" * 9}
     tokens = ["▁" + w for w in sorted(words)]
-    assert trie.counts(tokens) == [trie.alone(t) for t in tokens]
+    assert trie.counts(tokens) == [plain_count(trie, t) for t in tokens]
     library = Tokenizer(models.Unigram([("<unk>", -99.0), *scores.items()], unk_id=0))
     for token, n in zip(tokens, trie.counts(tokens), strict=True):
         found = library.encode(token, add_special_tokens=False)
         if 0 not in found.ids:
             assert len(found.ids) == n
     got = Counter(map(tuple, token_counts.token_counts(edges, path).collect()))
-    assert got == Counter((i, len(WORD_RE.findall(t or "")), sum(trie.alone("▁" + w) for w in WORD_RE.findall(t or ""))) for i, t, *_ in EDGES)
+    assert got == Counter((i, len(WORD_RE.findall(t or "")), sum(plain_count(trie, "▁" + w) for w in WORD_RE.findall(t or ""))) for i, t, *_ in EDGES)
     assert token_counts.token_counts(nothing, path).count() == 0
 
 
@@ -356,6 +471,27 @@ def test_gradients():
         assert g[name][at] == pytest.approx((loss(up) - loss(down)) / 2e-5, rel=2e-2, abs=1e-5)
 
 
+def test_forward_pass():
+    """The score by loops over bytes, chunks and filters."""
+    w = {k: v.astype(np.float64) for k, v in byte_cnn.start(np.random.default_rng(3)).items()}
+    for text in (None, "é", "some plain text " * 140):
+        raw = [*(text or "").encode()]
+        step = byte_cnn.CHUNK - byte_cnn.OVERLAP
+        rows = []
+        for at in range(0, max(1, len(raw) - byte_cnn.OVERLAP), step):
+            part = raw[at : at + byte_cnn.CHUNK]
+            part += [byte_cnn.PAD] * (byte_cnn.CHUNK - len(part))
+            top = []
+            for f in range(byte_cnn.FILTERS):
+                values = [sum(w["embed"][part[p + k]] @ w["conv"][k * byte_cnn.EMBED : (k + 1) * byte_cnn.EMBED, f] for k in range(byte_cnn.WIDTH)) for p in range(0, byte_cnn.CHUNK - byte_cnn.WIDTH + 1, byte_cnn.STRIDE)]
+                top.append(max(0.0, max(values) + w["conv_b"][f]))
+            rows.append(top)
+        both = np.concatenate([np.mean(rows, 0), np.max(rows, 0)])
+        hidden = np.maximum(both @ w["hidden"] + w["hidden_b"], 0)
+        want = 1 / (1 + np.exp(-(hidden @ w["out"] + w["out_b"][0])))
+        assert byte_cnn.score(text, w) == pytest.approx(want, abs=1e-6)
+
+
 def test_classifier(spark, edges):
     rng = random.Random(9)
     text = lambda bad: " ".join("".join(rng.choice("etaoin") for _ in range(5)) + ("***" if bad and rng.random() < 0.5 else "") for _ in range(60))
@@ -410,13 +546,45 @@ def test_chunked_encoding_is_whole_encoding():
 
 
 def test_open_bins():
-    rng, bins, held = random.Random(2), packing.OpenBins(100, 4), defaultdict(int)
-    for _ in range(500):
+    """Each piece goes where a scan of all open bins finds least room that suffices; one bin more than the limit closes the fullest."""
+    rng, bins = random.Random(2), packing.OpenBins(100, 4)
+    free, closed = {}, 0
+    for _ in range(2000):
         n = rng.randrange(1, 101)
+        fitting = [f for f in free.values() if f >= n]
         number, offset = bins.place(n)
-        assert offset == held[number]
-        held[number] += n
-        assert held[number] <= 100 and bins.n_open <= 4
+        if fitting:
+            assert free[number] == min(fitting)
+        else:
+            if len(free) == 4:
+                least = min(free.values())
+                gone = [k for k, f in free.items() if f == least and k not in [b for x in bins.by_free.values() for b in x]]
+                assert len(gone) == 1
+                del free[gone[0]]
+                closed += 1
+            assert number not in free and offset == 0
+            free[number] = 100
+        assert offset == 100 - free[number]
+        free[number] -= n
+        if not free[number]:
+            del free[number]
+        assert sorted(free) == sorted(b for x in bins.by_free.values() for b in x) and bins.n_open == len(free)
+    assert closed > 50
+
+
+def test_few_sequences(spark):
+    rows = packing.pack(table(spark, "/root/testdata/sf0.01", "documents"), BPE, RANKS).select("sequence_id", "length").collect()
+    assert len({r.sequence_id for r in rows}) <= 1.03 * -(-sum(r.length for r in rows) // packing.SEQUENCE_TOKENS)
+
+
+def test_packing_does_not_depend_on_batches(spark):
+    docs = table(spark, "/root/testdata/sf0.001", "documents").coalesce(1)
+    want = packing.pack(docs, BPE, RANKS).collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert packing.pack(docs, BPE, RANKS).collect() == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 # 8: mixing
@@ -437,6 +605,17 @@ def test_mixing(spark, sf_dir, edges, nothing):
     assert mixing.mix(nothing).count() == 0
 
 
+def test_key_ranges_are_even(spark):
+    """Empty texts, which all have the least weight, and rows without an id do not meet in a few ranges."""
+    rows = [(i, "", "a", None) for i in range(20_000)] + [(None, f"text {i} of a row without an id", "b", None) for i in range(5000)]
+    docs = docs_of(spark, rows)
+    keyed = docs.select("source", (F.log(-F.log(mixing.unit_hash(F.col("doc_id"), F.col("text"))) / F.when(F.col("text") == "", mixing.MIN_WEIGHT).otherwise(1.0)) * mixing.RANGES_PER_E).alias("at"))
+    most = {r.source: r.n for r in keyed.groupBy("source", F.floor("at")).count().groupBy("source").agg(F.max("count").alias("n")).collect()}
+    assert most["a"] < 100 and most["b"] < 50
+    got = mixing.mix(docs).collect()
+    assert len(got) == 25_000 and sum(r.taken for r in got if r.source == "b") > 0 and all(r.taken == 0 for r in got if r.source == "a")
+
+
 def test_targets(spark):
     sizes = spark.createDataFrame([("b", 100), ("a", 10), ("c", 1000), (None, 500), ("d", 0)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.source_targets(sizes).collect()}
@@ -475,14 +654,17 @@ def test_chat_round_trip(spark):
 
 
 def test_lines(spark, nothing):
-    rows = [(i, f"Menu\nown line {i}\n menu \n\nshared\n", "h" if i < 10 else None, "x") for i in range(20)]
-    rows += [(100, None, "h", "x"), (101, "", "h", "x"), (102, "Menu\nalone", "other", "x"), (102, "Menu\nalone", "other", "x")]
+    menu, notice = "Menu of the site", "A notice for all"
+    rows = [(i, f"{menu}\nown line {i}\n {menu} \n\n{notice}\nshort\n", "h" if i < 10 else None, "x") for i in range(20)]
+    rows += [(100, None, "h", "x"), (101, "", "h", "x"), (102, f"{menu}\nalone", "other", "x"), (102, f"{menu}\nalone", "other", "x")]
+    rows += [(200 + i, "a line " * 50_000 + f"\n{notice}" * (i < 3), "long", "x") for i in range(3)]
     docs = docs_of(spark, rows).withColumnRenamed("source", "host")
     got = {(r.doc_id, r.host): r for r in line_dedup.drop_boilerplate(docs, F.col("host")).collect()}
     for i in range(20):
         r = got[i, "h" if i < 10 else None]
-        assert r.text == f"own line {i}\n\n" and r["_n_dropped"] == 3 and r.extra == "x"
-    assert got[100, "h"].text is None and got[101, "h"].text == "" and got[102, "other"].text == "Menu\nalone"
+        assert r.text == f"own line {i}\n\nshort\n" and r["_n_dropped"] == 3 and r.extra == "x"
+    assert got[100, "h"].text is None and got[101, "h"].text == "" and got[102, "other"].text == f"{menu}\nalone"
+    assert all(got[200 + i, "long"].text == "" for i in range(3))
     assert line_dedup.drop_boilerplate(nothing, F.col("source")).count() == 0
 
 
