@@ -1,20 +1,27 @@
-"""Retrieval over chunks: dense and sparse scores, ranks, fusion."""
+"""Retrieval of a set of queries over chunks: dense and sparse scores in tiles, ranks, fusion.
+
+Queries and chunks are dealt to tiles; each tile of queries meets each tile of chunks in one task, where scores are matrix products,
+and leaves its best rows for each query only. What is left is bounded by queries x tiles x limit and is ranked by query in Spark.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from tessera.functions import vectors
-
 RRF_K = 60
 MODE_LIMIT = 50
 TOP_K = 5
 SCORE_DIGITS = 9
+#: Chunks and queries of a tile.
+CHUNK_TILE, QUERY_TILE = 1024, 256
 
 
 def role_condition(excluded: Sequence[str]) -> Column:
@@ -22,68 +29,124 @@ def role_condition(excluded: Sequence[str]) -> Column:
     return F.col("role").isNull() | ~F.col("role").isin(*excluded) if excluded else F.lit(True)
 
 
-def dense_scores(chunks: DataFrame, query: Sequence[float]) -> DataFrame:
-    """chunks with the cosine to query as score. Ranks use the rounded score, so equal neighbours tie."""
-    q = F.lit([float(x) for x in query])
-    return chunks.withColumn("score", F.round(vectors.cosine(F.col("vector"), q), SCORE_DIGITS))
-
-
 def text_tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z]+"), lambda t: F.length(t) >= 3)
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, program, token, weight): a token weighs its share of the chunk's most frequent token."""
-    rows = chunks.select("chunk_id", "program", F.explode(text_tokens(F.col("text"))).alias("token"))
-    counts = rows.groupBy("chunk_id", "program", "token").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.groupBy("chunk_id").agg(F.max("n").alias("top"))
-    return counts.join(top, "chunk_id").select("chunk_id", "program", "token", (F.col("n") / F.col("top")).alias("weight"))
+@F.pandas_udf(StructType([StructField("tokens", ArrayType(StringType())), StructField("counts", ArrayType(DoubleType()))]))
+def token_counts(tokens: pd.Series) -> pd.DataFrame:
+    """The distinct tokens of each text and how often each occurs."""
+    found = [np.unique(np.asarray(t, dtype=object), return_counts=True) if t is not None and len(t) else (np.empty(0, object), np.empty(0)) for t in tokens]
+    return pd.DataFrame({"tokens": [t for t, _ in found], "counts": [c.astype(np.float64) for _, c in found]})
 
 
-def sparse_scores(posted: DataFrame, query: DataFrame) -> DataFrame:
-    """(chunk_id, program, score): dot product over shared tokens with query (token, weight), a bounded list."""
-    hits = posted.join(F.broadcast(query.withColumnRenamed("weight", "asked")), "token")
-    scored = hits.groupBy("chunk_id", "program").agg(F.sum(F.col("weight") * F.col("asked")).alias("score"))
-    return scored.withColumn("score", F.round("score", SCORE_DIGITS))
+def prepared(chunks: DataFrame, mode: str) -> DataFrame:
+    """chunk_id, program and what mode scores by: the dense vector, or the token counts of the text."""
+    rows = chunks.select("chunk_id", "program", "vector") if mode == "dense" else chunks.select("chunk_id", "program", token_counts(text_tokens(F.col("text"))).alias("s"))
+    return rows if mode == "dense" else rows.select("chunk_id", "program", "s.*")
 
 
-def top_k(scored: DataFrame, k: int, tie: str = "chunk_id") -> DataFrame:
-    return scored.orderBy(F.desc("score"), tie).limit(k)
+def postings(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, program, token, weight): a token weighs its share of the chunk's most frequent token. Nothing is shuffled."""
+    rows = prepared(chunks, "sparse").withColumn("top", F.array_max("counts"))
+    rows = rows.select("chunk_id", "program", "top", F.explode(F.arrays_zip("tokens", "counts")).alias("x"))
+    return rows.select("chunk_id", "program", F.col("x.tokens").alias("token"), (F.col("x.counts") / F.col("top")).alias("weight"))
+
+
+def dense_matrix(chunks: pd.DataFrame, queries: pd.DataFrame) -> np.ndarray:
+    """Cosine of each query (row) and chunk (column); nan where a vector is missing or zero, or lengths differ."""
+    out = np.full((len(queries), len(chunks)), np.nan)
+    sizes = [side.vector.map(lambda v: -1 if v is None else len(v)).to_numpy() for side in (queries, chunks)]
+    for dim in set(sizes[0]) & set(sizes[1]) - {-1, 0}:
+        at, to = (np.flatnonzero(x == dim) for x in sizes)
+        q, c = (np.stack(side.vector.to_numpy()[k]).astype(np.float64) for side, k in ((queries, at), (chunks, to)))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            out[np.ix_(at, to)] = (q @ c.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(c, axis=1))
+    return out
+
+
+def sparse_matrix(chunks: pd.DataFrame, queries: pd.DataFrame) -> np.ndarray:
+    """Dot product of each query's token counts and chunk's token weights; nan where they share no token."""
+    places: dict[str, int] = {}
+    for tokens in queries.tokens:
+        for t in tokens:
+            places.setdefault(t, len(places))
+    q, c = np.zeros((len(queries), len(places))), np.zeros((len(chunks), len(places)))
+    for k, (tokens, counts) in enumerate(zip(queries.tokens, queries.counts, strict=True)):
+        q[k, [places[t] for t in tokens]] = counts
+    for k, (tokens, counts) in enumerate(zip(chunks.tokens, chunks.counts, strict=True)):
+        at = [(places[t], n) for t, n in zip(tokens, counts, strict=True) if t in places]
+        if at:
+            c[k, [p for p, _ in at]] = np.array([n for _, n in at]) / max(counts)
+    out = q @ c.T
+    return np.where(out > 0, out, np.nan)
+
+
+def tile_best(chunks: pd.DataFrame, queries: pd.DataFrame, mode: str, limit: int, by_program: bool) -> pd.DataFrame:
+    """The best limit rows of a tile for each query: chunks, or the best chunk of each program. Ties go to the lower id."""
+    chunks = chunks.sort_values("chunk_id")
+    scores = np.round(dense_matrix(chunks, queries) if mode == "dense" else sparse_matrix(chunks, queries), SCORE_DIGITS)
+    ids, programs = chunks.chunk_id.to_numpy(), chunks.program.to_numpy()
+    parts = []
+    for qid, row in zip(queries.qid, scores, strict=True):
+        order = np.argsort(-row, kind="stable")
+        order = order[: np.count_nonzero(~np.isnan(row))]
+        if by_program:
+            order = order[np.sort(np.unique(programs[order], return_index=True)[1])]
+            # Equal scores of programs are settled by the program.
+            order = order[np.lexsort((programs[order], -row[order]))]
+        order = order[:limit]
+        parts.append(pd.DataFrame({"qid": qid, "program": programs[order], "chunk_id": ids[order], "score": row[order]}))
+    return pd.concat(parts)
+
+
+def best_rows(chunks: DataFrame, queries: DataFrame, mode: str, n_chunks: int, n_queries: int, limit: int = MODE_LIMIT, by_program: bool = False) -> DataFrame:
+    """qid, program, chunk_id, score, rank: the best limit chunks, or programs by their best chunk, of each query.
+
+    chunks: prepared(). queries: the same columns with qid in place of chunk_id. n_chunks and n_queries only set the number of tiles.
+    """
+    tiles, asked = -(-max(1, n_chunks) // CHUNK_TILE), -(-max(1, n_queries) // QUERY_TILE)
+    left = chunks.withColumn("i", F.pmod(F.xxhash64("chunk_id"), F.lit(tiles))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(asked - 1).cast("long"))))
+    right = queries.drop("program").withColumn("j", F.pmod(F.xxhash64("qid"), F.lit(asked))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long"))))
 
+    def run(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        return tile_best(c, q, mode, limit, by_program) if len(c) and len(q) else pd.DataFrame({"qid": [], "program": [], "chunk_id": [], "score": []})
 
-def ranked(scored: DataFrame, tie: str) -> DataFrame:
-    """A rank from 1 over rows that a limit has bounded."""
-    return scored.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), tie)))
+    best = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(run, "qid long, program long, chunk_id long, score double")
+    tie = "chunk_id"
+    if by_program:
+        best = best.groupBy("qid", "program").agg(F.min(F.struct((-F.col("score")).alias("s"), "chunk_id")).alias("b")).select("qid", "program", "b.chunk_id", (-F.col("b.s")).alias("score"))
+        tie = "program"
+    return ranked(best, tie, limit)
 
 
-def best_per_program(scored: DataFrame, limit: int = MODE_LIMIT) -> DataFrame:
-    """The best chunk of each program, the best programs first, with their rank."""
-    best = scored.groupBy("program").agg(F.min(F.struct((-F.col("score")).alias("s"), "chunk_id")).alias("best"))
-    rows = best.select("program", F.col("best.chunk_id").alias("chunk_id"), (-F.col("best.s")).alias("score"))
-    return ranked(top_k(rows, limit, "program"), "program")
+def ranked(scored: DataFrame, tie: str, limit: int) -> DataFrame:
+    """The best limit rows of each query with their rank from 1; Spark limits groups before the shuffle."""
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), tie))).where(F.col("rank") <= limit)
 
 
 def fuse(rankings: Sequence[tuple[str, DataFrame, float]], key: str, k: int = RRF_K, limit: int | None = None) -> DataFrame:
-    """Weighted reciprocal rank fusion of (mode, ranking, weight): key, score, best rank, and each mode's rank and chunk.
+    """Weighted reciprocal rank fusion of (mode, ranking, weight) by query: qid, key, score, best rank, and each mode's rank and chunk.
 
     Ordered by score, then best rank, then key.
     """
-    parts = [r.select(key, "rank", "chunk_id", F.lit(w).alias("w"), F.lit(i).alias("mode"), F.lit(m).alias("name")) for i, (m, r, w) in enumerate(rankings)]
+    parts = [r.select("qid", key, "rank", "chunk_id", F.lit(w).alias("w"), F.lit(i).alias("mode"), F.lit(m).alias("name")) for i, (m, r, w) in enumerate(rankings)]
     rows = reduce(DataFrame.unionByName, parts)
-    fused = rows.groupBy(key).agg(
+    fused = rows.groupBy("qid", key).agg(
         F.round(F.sum(F.col("w") / (F.lit(k) + F.col("rank"))), 12).alias("score"),
         F.min("rank").alias("best_rank"),
         F.min_by("chunk_id", F.struct("rank", "mode")).alias("chunk_id"),
         *[F.min(F.when(F.col("name") == m, F.col("rank"))).alias(f"{m}_rank") for m, _, _ in rankings],
     )
-    return fused if limit is None else fused.orderBy(F.desc("score"), "best_rank", key).limit(limit)
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "best_rank", key))
+    return fused if limit is None else fused.withColumn("rank", place).where(F.col("rank") <= limit)
 
 
 def regional_bonus(items: DataFrame, region_match: Column, bonus: float = 0.001, ratio: float = 0.9, keep: int = 3) -> DataFrame:
-    """A small bonus to matching items near the best score; items are few, and the best of them all is one aggregate."""
-    best = items.agg(F.max("score").alias("best"))
-    rows = items.join(F.broadcast(best))
+    """A small bonus to matching items near their query's best score; the best keep of each query, ranked anew."""
+    rows = items.withColumn("best", F.max("score").over(Window.partitionBy("qid")))
     given = F.when(region_match & (F.col("score") > 0) & (F.col("score") >= F.col("best") * ratio), bonus).otherwise(0.0)
     rows = rows.withColumn("bonus", given).withColumn("final", F.round(F.col("score") + F.col("bonus"), 12)).drop("best")
-    rows = rows.withColumnRenamed("rank", "original_rank").orderBy(F.desc("final"), "original_rank").limit(keep)
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("final"), "original_rank")))
+    rows = rows.withColumnRenamed("rank", "original_rank")
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("final"), "original_rank"))
+    return rows.withColumn("rank", place).where(F.col("rank") <= keep)

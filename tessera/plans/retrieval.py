@@ -1,4 +1,4 @@
-"""Queries over chunks: top-k, fusion, personalised ranking, scope."""
+"""Queries over chunks: top-k, fusion, personalised ranking, scope. Every chunk whose id is divisible by 20 is asked, against all chunks."""
 
 from __future__ import annotations
 
@@ -13,126 +13,116 @@ from tessera.sources.tables import AS_OF, CHUNKS_SQL, PROGRAMS_SQL, chunks, prog
 QUERIES, ORACLES = {}, {}
 query = registrar(QUERIES, ORACLES)
 
-QUERY_VECTOR_ID = 7
-QUERY_ITEM_ID = 3
+EVERY = 20
+REGION = ("NATION_1", "NATION_6", "NATION_11", "NATION_16", "NATION_21")
 BASE = f"""WITH {CHUNKS_SQL},
-qv AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = {QUERY_VECTOR_ID}),
-dense AS (SELECT chunk_id, program, role, round(list_dot_product(vector, q) / (sqrt(list_dot_product(vector, vector)) * sqrt(list_dot_product(q, q))), 9) AS score FROM chunks, qv),
+q AS (SELECT chunk_id AS qid, vector AS qv, text AS qt FROM chunks WHERE chunk_id % {EVERY} = 0),
+dense AS (SELECT qid, chunk_id, program, role, round(list_dot_product(vector, qv) / (sqrt(list_dot_product(vector, vector)) * sqrt(list_dot_product(qv, qv))), 9) AS score FROM chunks, q),
 tok AS (SELECT chunk_id, program, t, count(*) AS n FROM (SELECT chunk_id, program, unnest(string_split_regex(lower(text), '[^a-z]+')) AS t FROM chunks) WHERE length(t) >= 3 GROUP BY ALL),
 post AS (SELECT chunk_id, program, t, n::DOUBLE / max(n) OVER (PARTITION BY chunk_id) AS w FROM tok),
-qt AS (SELECT t, count(*)::DOUBLE AS w FROM (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS t FROM benchmark WHERE item_id = {QUERY_ITEM_ID}) WHERE length(t) >= 3 GROUP BY t),
-sparse AS (SELECT chunk_id, program, round(sum(post.w * qt.w), 9) AS score FROM post JOIN qt USING (t) GROUP BY ALL)
+qt AS (SELECT chunk_id AS qid, t, n::DOUBLE AS w FROM tok WHERE chunk_id % {EVERY} = 0),
+sparse AS (SELECT qid, chunk_id, program, round(sum(post.w * qt.w), 9) AS score FROM post JOIN qt USING (t) GROUP BY ALL)
 """
 PROGRAM_RANKS = f"""{BASE}, {PROGRAMS_SQL},
 scope AS (SELECT id FROM programs WHERE active AND NOT (end_date IS NOT NULL AND end_date < DATE '{AS_OF}')),
-dp AS (SELECT program, arg_min(chunk_id, (-score, chunk_id)) AS chunk_id, max(score) AS score FROM dense WHERE program IN (SELECT id FROM scope) GROUP BY program),
-sp AS (SELECT program, arg_min(chunk_id, (-score, chunk_id)) AS chunk_id, max(score) AS score FROM sparse WHERE program IN (SELECT id FROM scope) GROUP BY program),
-dr AS (SELECT program, chunk_id, row_number() OVER (ORDER BY score DESC, program) AS rank FROM dp QUALIFY rank <= 50),
-sr AS (SELECT program, chunk_id, row_number() OVER (ORDER BY score DESC, program) AS rank FROM sp QUALIFY rank <= 50),
-fused AS (SELECT coalesce(d.program, s.program) AS program,
+dp AS (SELECT qid, program, arg_min(chunk_id, (-score, chunk_id)) AS chunk_id, max(score) AS score FROM dense WHERE program IN (SELECT id FROM scope) GROUP BY ALL),
+sp AS (SELECT qid, program, arg_min(chunk_id, (-score, chunk_id)) AS chunk_id, max(score) AS score FROM sparse WHERE program IN (SELECT id FROM scope) GROUP BY ALL),
+dr AS (SELECT qid, program, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, program) AS rank FROM dp QUALIFY rank <= 50),
+sr AS (SELECT qid, program, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, program) AS rank FROM sp QUALIFY rank <= 50),
+fused AS (SELECT coalesce(d.qid, s.qid) AS qid, coalesce(d.program, s.program) AS program,
   round(coalesce(1.0::DOUBLE / (60 + d.rank), 0.0::DOUBLE) + coalesce(1.0::DOUBLE / (60 + s.rank), 0.0::DOUBLE), 12) AS score, least(d.rank, s.rank) AS best_rank,
   CASE WHEN s.rank IS NULL OR d.rank <= s.rank THEN d.chunk_id ELSE s.chunk_id END AS chunk_id, d.rank AS dense_rank, s.rank AS sparse_rank
-  FROM dr d FULL JOIN sr s ON d.program = s.program)
+  FROM dr d FULL JOIN sr s ON d.qid = s.qid AND d.program = s.program)
 """
 
 
-def query_vector(spark, sf_dir) -> list[float]:
-    """One row: the query's own vector."""
-    found = table(spark, sf_dir, "embeddings").where(F.col("vec_id") == QUERY_VECTOR_ID).select("embedding").first()
-    return list(found[0])
-
-
-def query_tokens(spark, sf_dir) -> DataFrame:
-    items = table(spark, sf_dir, "benchmark").where(F.col("item_id") == QUERY_ITEM_ID)
-    rows = items.select(F.explode(r.text_tokens(F.col("text"))).alias("token"))
-    return rows.groupBy("token").agg(F.count(F.lit(1)).cast("double").alias("weight"))
-
-
-def dense(spark, sf_dir) -> DataFrame:
-    return r.dense_scores(chunks(spark, sf_dir), query_vector(spark, sf_dir))
-
-
-def sparse(spark, sf_dir) -> DataFrame:
-    return r.sparse_scores(r.postings(chunks(spark, sf_dir)), query_tokens(spark, sf_dir))
+def best(spark, sf_dir, mode: str, over: DataFrame | None = None, **options) -> DataFrame:
+    """Best rows of each asked chunk by one mode, over chunks or over a part of them."""
+    n = table(spark, sf_dir, "embeddings").count()
+    asked = r.prepared(chunks(spark, sf_dir).where(F.col("chunk_id") % EVERY == 0), mode).withColumnRenamed("chunk_id", "qid")
+    return r.best_rows(r.prepared(chunks(spark, sf_dir) if over is None else over, mode), asked, mode, n, n // EVERY, **options)
 
 
 def program_rankings(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     scope = candidates(programs(spark, sf_dir), CandidateFilter(not_closed_on=AS_OF)).select(F.col("id").alias("program"))
-    return tuple(r.best_per_program(s.join(scope, "program", "left_semi")) for s in (dense(spark, sf_dir), sparse(spark, sf_dir)))
+    within = chunks(spark, sf_dir).join(scope, "program", "left_semi")
+    return tuple(best(spark, sf_dir, mode, within, by_program=True) for mode in ("dense", "sparse"))
 
 
-@query(BASE + "SELECT chunk_id, program, score FROM dense WHERE role IS NULL OR role NOT IN ('FORM') ORDER BY score DESC, chunk_id LIMIT 50")
+def fused(spark, sf_dir, limit: int) -> DataFrame:
+    by_dense, by_sparse = program_rankings(spark, sf_dir)
+    return r.fuse([("dense", by_dense, 1.0), ("sparse", by_sparse, 1.0)], "program", limit=limit)
+
+
+@query(BASE + "SELECT qid, chunk_id, program, score FROM dense WHERE role IS NULL OR role NOT IN ('FORM') QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) <= 50")
 def dense_topk(spark, sf_dir):
-    return r.top_k(dense(spark, sf_dir).where(r.role_condition(["FORM"])), 50).select("chunk_id", "program", "score")
+    return best(spark, sf_dir, "dense", chunks(spark, sf_dir).where(r.role_condition(["FORM"]))).select("qid", "chunk_id", "program", "score")
 
 
-@query(BASE + "SELECT chunk_id, program, score FROM sparse ORDER BY score DESC, chunk_id LIMIT 50")
+@query(BASE + "SELECT qid, chunk_id, program, score FROM sparse QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) <= 50")
 def sparse_topk(spark, sf_dir):
-    return r.top_k(sparse(spark, sf_dir), 50).select("chunk_id", "program", "score")
+    return best(spark, sf_dir, "sparse").select("qid", "chunk_id", "program", "score")
 
 
-@query(BASE + ", b AS (SELECT program, arg_min(chunk_id, (-score, chunk_id)) AS chunk_id, max(score) AS score FROM dense GROUP BY program) SELECT program, chunk_id, score, row_number() OVER (ORDER BY score DESC, program) AS rank FROM b QUALIFY rank <= 50")
+@query(BASE + ", b AS (SELECT qid, program, arg_min(chunk_id, (-score, chunk_id)) AS chunk_id, max(score) AS score FROM dense GROUP BY ALL) SELECT qid, program, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, program) AS rank FROM b QUALIFY rank <= 50")
 def grouped_top1(spark, sf_dir):
-    return r.best_per_program(dense(spark, sf_dir)).select("program", "chunk_id", "score", "rank")
+    return best(spark, sf_dir, "dense", by_program=True).select("qid", "program", "chunk_id", "score", "rank")
 
 
 @query(BASE + "SELECT chunk_id, count(*) AS n_tokens, max(w) AS top, round(sum(w), 6) AS weight FROM post GROUP BY chunk_id")
 def sparse_vectors(spark, sf_dir):
-    posted = r.postings(chunks(spark, sf_dir))
-    return posted.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.max("weight").alias("top"), F.round(F.sum("weight"), 6).alias("weight"))
+    rows = r.prepared(chunks(spark, sf_dir), "sparse").where(F.size("tokens") > 0)
+    total = F.aggregate("counts", F.lit(0.0), lambda s, n: s + n / F.array_max("counts"))
+    return rows.select("chunk_id", F.size("tokens").cast("long").alias("n_tokens"), F.lit(1.0).alias("top"), F.round(total, 6).alias("weight"))
 
 
-@query(PROGRAM_RANKS + "SELECT f.program, f.score, f.dense_rank, f.sparse_rank, f.chunk_id, p.name, p.category FROM (SELECT * FROM fused ORDER BY score DESC, best_rank, program LIMIT 5) f JOIN programs p ON p.id = f.program")
+@query(PROGRAM_RANKS + """, t AS (SELECT * FROM fused QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, best_rank, program) <= 5)
+SELECT f.qid, f.program, f.score, f.dense_rank, f.sparse_rank, f.chunk_id, p.name, p.category FROM t f JOIN programs p ON p.id = f.program WHERE p.active""")
 def hybrid_rrf(spark, sf_dir):
-    by_dense, by_sparse = program_rankings(spark, sf_dir)
-    top = r.fuse([("dense", by_dense, 1.0), ("sparse", by_sparse, 1.0)], "program", limit=r.TOP_K)
-    rows = programs(spark, sf_dir).where("active").join(F.broadcast(top), F.col("id") == F.col("program"))
-    return rows.select("program", "score", "dense_rank", "sparse_rank", "chunk_id", "name", "category")
+    rows = programs(spark, sf_dir).where("active").join(fused(spark, sf_dir, r.TOP_K), F.col("id") == F.col("program"))
+    return rows.select("qid", "program", "score", "dense_rank", "sparse_rank", "chunk_id", "name", "category")
 
 
-@query(PROGRAM_RANKS + """, w AS (SELECT coalesce(d.program, s.program) AS program, d.rank AS question_rank, s.rank AS company_rank,
-  round(coalesce(1.0::DOUBLE / (60 + d.rank), 0.0::DOUBLE) + coalesce(0.3::DOUBLE / (60 + s.rank), 0.0::DOUBLE), 12) AS score FROM dr d FULL JOIN sr s ON d.program = s.program)
-SELECT program, question_rank, company_rank, score FROM w ORDER BY score DESC, coalesce(question_rank, 1000000), program LIMIT 10""")
+@query(PROGRAM_RANKS + """, w AS (SELECT coalesce(d.qid, s.qid) AS qid, coalesce(d.program, s.program) AS program, d.rank AS question_rank, s.rank AS company_rank, least(d.rank, s.rank) AS best_rank,
+  round(coalesce(1.0::DOUBLE / (60 + d.rank), 0.0::DOUBLE) + coalesce(0.3::DOUBLE / (60 + s.rank), 0.0::DOUBLE), 12) AS score FROM dr d FULL JOIN sr s ON d.qid = s.qid AND d.program = s.program)
+SELECT qid, program, question_rank, company_rank, score FROM w QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, best_rank, program) <= 10""")
 def weighted_blend(spark, sf_dir):
     by_question, by_company = program_rankings(spark, sf_dir)
-    rows = r.fuse([("question", by_question, 1.0), ("company", by_company, 0.3)], "program")
-    rows = rows.orderBy(F.desc("score"), F.coalesce("question_rank", F.lit(10**6)), "program").limit(10)
-    return rows.select("program", "question_rank", "company_rank", "score")
+    rows = r.fuse([("question", by_question, 1.0), ("company", by_company, 0.3)], "program", limit=10)
+    return rows.select("qid", "program", "question_rank", "company_rank", "score")
 
 
-@query(PROGRAM_RANKS + """, t AS (SELECT *, row_number() OVER (ORDER BY score DESC, best_rank, program) AS rank FROM fused QUALIFY rank <= 10),
-m AS (SELECT t.*, p.jurisdiction, max(score) OVER () AS best FROM t JOIN programs p ON p.id = t.program),
-b AS (SELECT *, CASE WHEN jurisdiction IN ('NATION_1', 'NATION_6', 'NATION_11', 'NATION_16', 'NATION_21') AND score > 0 AND score >= best * 0.9::DOUBLE THEN 0.001::DOUBLE ELSE 0.0::DOUBLE END AS bonus FROM m)
-SELECT program, rank AS original_rank, bonus, round(score + bonus, 12) AS final, row_number() OVER (ORDER BY round(score + bonus, 12) DESC, rank) AS rank FROM b QUALIFY row_number() OVER (ORDER BY round(score + bonus, 12) DESC, b.rank) <= 3""")
+@query(PROGRAM_RANKS + f""", t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, best_rank, program) AS rank FROM fused QUALIFY rank <= 10),
+m AS (SELECT t.*, p.jurisdiction, max(score) OVER (PARTITION BY qid) AS best FROM t JOIN programs p ON p.id = t.program),
+b AS (SELECT *, CASE WHEN jurisdiction IN {REGION} AND score > 0 AND score >= best * 0.9::DOUBLE THEN 0.001::DOUBLE ELSE 0.0::DOUBLE END AS bonus FROM m),
+f AS (SELECT qid, program, rank AS original_rank, bonus, round(score + bonus, 12) AS final FROM b)
+SELECT *, row_number() OVER (PARTITION BY qid ORDER BY final DESC, original_rank) AS rank FROM f QUALIFY rank <= 3""")
 def regional_bonus(spark, sf_dir):
-    by_dense, by_sparse = program_rankings(spark, sf_dir)
-    top = r.fuse([("dense", by_dense, 1.0), ("sparse", by_sparse, 1.0)], "program", limit=10)
-    top = top.withColumn("rank", F.row_number().over(r.Window.orderBy(F.desc("score"), "best_rank", "program")))
     names = programs(spark, sf_dir).select(F.col("id").alias("program"), "jurisdiction")
-    rows = names.join(F.broadcast(top), "program")
-    match = F.coalesce(F.col("jurisdiction").isin("NATION_1", "NATION_6", "NATION_11", "NATION_16", "NATION_21"), F.lit(False))
-    return r.regional_bonus(rows, match).select("program", "original_rank", "bonus", "final", "rank")
+    rows = names.join(fused(spark, sf_dir, 10), "program")
+    match = F.coalesce(F.col("jurisdiction").isin(*REGION), F.lit(False))
+    return r.regional_bonus(rows, match).select("qid", "program", "original_rank", "bonus", "final", "rank")
 
 
-@query(PROGRAM_RANKS + """, t AS (SELECT program, score, best_rank FROM fused ORDER BY score DESC, best_rank, program LIMIT 50)
-SELECT t.program, p.name, p.category, p.target, p.jurisdiction FROM t JOIN programs p ON p.id = t.program WHERE p.active AND p.budget > 200000""")
+@query(PROGRAM_RANKS + """, t AS (SELECT qid, program FROM fused QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, best_rank, program) <= 50)
+SELECT t.qid, t.program, p.name, p.category, p.target, p.jurisdiction FROM t JOIN programs p ON p.id = t.program WHERE p.active""")
 def metadata_lookup(spark, sf_dir):
-    by_dense, by_sparse = program_rankings(spark, sf_dir)
-    top = r.fuse([("dense", by_dense, 1.0), ("sparse", by_sparse, 1.0)], "program", limit=50).select("program")
-    rows = programs(spark, sf_dir).where(F.col("active") & (F.col("budget") > 200000))
-    return rows.join(F.broadcast(top), F.col("id") == F.col("program")).select("program", "name", "category", "target", "jurisdiction")
+    rows = programs(spark, sf_dir).where("active").join(fused(spark, sf_dir, 50), F.col("id") == F.col("program"))
+    return rows.select("qid", "program", "name", "category", "target", "jurisdiction")
 
 
-@query(BASE + """, g AS (SELECT doc_id FROM labels WHERE quality = 1),
-top AS (SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM dense QUALIFY rank <= 50),
-j AS (SELECT 'dense' AS mode, rank, chunk_id IN (SELECT doc_id FROM g) AS hit FROM top
-  UNION ALL SELECT 'sparse', row_number() OVER (ORDER BY score DESC, chunk_id) AS rank, chunk_id IN (SELECT doc_id FROM g) FROM sparse QUALIFY rank <= 50)
-SELECT mode, min(rank) FILTER (hit) AS first_hit, count_if(hit AND rank <= 1)::BIGINT AS hits_at_1, count_if(hit AND rank <= 5)::BIGINT AS hits_at_5, count_if(hit)::BIGINT AS hits FROM j GROUP BY mode""")
+@query(BASE + """, g AS (SELECT a.chunk_id AS qid, b.chunk_id FROM chunks a JOIN chunks b ON a.label = b.label AND a.chunk_id <> b.chunk_id WHERE a.chunk_id % 20 = 0),
+top AS (SELECT qid, 'dense' AS mode, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM dense QUALIFY rank <= 50
+  UNION ALL SELECT qid, 'sparse', chunk_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM sparse QUALIFY rank <= 50),
+j AS (SELECT qid, mode, rank, EXISTS (SELECT 1 FROM g WHERE g.qid = top.qid AND g.chunk_id = top.chunk_id) AS hit FROM top)
+SELECT qid, mode, min(rank) FILTER (hit) AS first_hit, count_if(hit AND rank <= 1)::BIGINT AS hits_at_1, count_if(hit AND rank <= 5)::BIGINT AS hits_at_5, count_if(hit)::BIGINT AS hits FROM j GROUP BY ALL""")
 def hit_at_k(spark, sf_dir):
-    gold = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("chunk_id"), F.lit(True).alias("hit")).distinct()
-    parts = [r.ranked(r.top_k(s, 50), "chunk_id").select(F.lit(m).alias("mode"), "chunk_id", "rank") for m, s in (("dense", dense(spark, sf_dir)), ("sparse", sparse(spark, sf_dir)))]
-    rows = parts[0].union(parts[1]).join(gold, "chunk_id", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
-    return rows.groupBy("mode").agg(
+    """A hit is another chunk with the label of the asked one."""
+    label = chunks(spark, sf_dir).select("chunk_id", "label")
+    asked = label.where(F.col("chunk_id") % EVERY == 0).select(F.col("chunk_id").alias("qid"), F.col("label").alias("wanted"))
+    rows = best(spark, sf_dir, "dense").withColumn("mode", F.lit("dense")).unionByName(best(spark, sf_dir, "sparse").withColumn("mode", F.lit("sparse")))
+    rows = rows.join(label, "chunk_id").join(asked, "qid").withColumn("hit", F.coalesce((F.col("label") == F.col("wanted")) & (F.col("chunk_id") != F.col("qid")), F.lit(False)))
+    return rows.groupBy("qid", "mode").agg(
         F.min(F.when(F.col("hit"), F.col("rank"))).alias("first_hit"),
         F.count_if(F.col("hit") & (F.col("rank") <= 1)).alias("hits_at_1"),
         F.count_if(F.col("hit") & (F.col("rank") <= 5)).alias("hits_at_5"),
