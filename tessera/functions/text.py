@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 
 @F.pandas_udf(StringType())
@@ -79,25 +79,29 @@ def plain_html(html: Column) -> Column:
     return F.trim(F.regexp_replace(t, "\n{3,}", "\n\n"))
 
 
-# Kinds of critical tokens, most particular first.
+# Kinds of critical tokens, first come first served, with the expressions that must match.
 CRITICAL = (
-    ("date", r"\d{4}[./-]\d{1,2}[./-]\d{1,2}"),
-    ("percent", r"\d+(?:\.\d+)?%"),
-    ("phone", r"\d{2,4}-\d{3,4}-\d{4}"),
-    ("number", r"\d+(?:,\d{3})*(?:\.\d+)?"),
+    ("date", r"\d{4}\s*[.\-/년]\s*\d{1,2}\s*[.\-/월]\s*\d{1,2}\s*일?|\d{1,2}\s*[./]\s*\d{1,2}\s*\.?\s*\([월화수목금토일]\)"),
+    ("period", r"\d+(?:\.\d+)?\s*(?:개월|년간|주간|일간|시간|년|주)"),
+    ("amount", r"\d[\d,]*(?:\.\d+)?\s*(?:조|억|천만|백만|만|천)?\s*원"),
+    ("percent", r"\d+(?:\.\d+)?\s*(?:%|％|퍼센트)"),
+    ("number", r"\d[\d,]*(?:\.\d+)?"),
 )
 
 
-def critical_tokens(text: Column, kinds: Sequence[tuple[str, str]] = CRITICAL) -> Column:
-    """array<struct<kind, token>>: each kind is found in what the kinds before it have left."""
-    found = []
-    left = text
-    for kind, pattern in kinds:
-        hits = F.regexp_extract_all(left, F.lit(f"({pattern})"), 1)
-        found.append(_named(hits, kind))
-        left = F.regexp_replace(left, pattern, "\x00")
-    return F.flatten(F.array(*found))
+def found_tokens(text: str | None) -> list[tuple[str, str]]:
+    """(kind, token without white space) in NFKC text. What overlaps a token of an earlier kind is skipped whole."""
+    plain, taken, out = unicodedata.normalize("NFKC", text or ""), [], []
+    if not any(map(str.isdigit, plain)):
+        return out
+    for kind, pattern in CRITICAL:
+        held = [m for m in re.finditer(pattern, plain) if not any(m.start() < end and start < m.end() for start, end in taken)]
+        taken += [m.span() for m in held]
+        out += [(kind, re.sub(r"\s+", "", m.group())) for m in held]
+    return out
 
 
-def _named(hits: Column, kind: str) -> Column:
-    return F.transform(hits, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("token")))
+@F.pandas_udf(ArrayType(StructType([StructField("kind", StringType()), StructField("token", StringType())])))
+def critical_tokens(texts: pd.Series) -> pd.Series:
+    """array<struct<kind, token>>. Positions decide what is skipped, which regular expression functions do not return."""
+    return texts.map(lambda t: [{"kind": k, "token": x} for k, x in found_tokens(t)])

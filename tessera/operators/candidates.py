@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions import dates
+from tessera.functions import dates, text
 
 
 @dataclass(frozen=True)
@@ -76,10 +76,10 @@ def program_regions(programs: DataFrame, owners: DataFrame, aliases: DataFrame)
     owners: (jurisdiction, region); aliases: (alias, region), several rows for an area. A title with any unknown name has no regions.
     """
     tokens = programs.select("id", F.explode(F.split(leading_tag(F.col("name")), r"\s*[,·/]\s*")).alias("alias")).where("alias <> ''")
-    named = tokens.join(F.broadcast(aliases), "alias", "left").groupBy("id").agg(
+    named = tokens.join(aliases, "alias", "left").groupBy("id").agg(
         F.array_sort(F.collect_set("region")).alias("tagged"), F.bool_or(F.col("region").isNull()).alias("unknown")
     )
-    rows = programs.join(F.broadcast(owners.withColumnRenamed("region", "owner_region")), "jurisdiction", "left").join(named, "id", "left")
+    rows = programs.join(owners.withColumnRenamed("region", "owner_region"), "jurisdiction", "left").join(named, "id", "left")
     none = F.array().cast("array<string>")
     tagged = F.when(F.coalesce("unknown", F.lit(True)), none).otherwise(F.col("tagged"))
     rows = rows.withColumn("tagged", tagged)
@@ -109,3 +109,51 @@ def best_matches(scored: DataFrame, group: str, order: Sequence[Column]) -> Data
     w = Window.partitionBy(group)
     ranked = scored.withColumn("_place", F.rank().over(w.orderBy(*order))).where("_place = 1").drop("_place")
     return ranked.withColumn("n_tied", F.count(F.lit(1)).over(w))
+
+
+#: What of a title names an edition or a notice rather than the business.
+EDITION = r"(?<![0-9])20[0-9]{2}\s*년?|제?\s*[0-9]+\s*차(?=\s|$|[\]\)])"
+NOTICE = r"(?:변경|수정|재|추가)\s*(?:모집)?\s*공고|모집\s*공고|공고"
+LEAST_NAME = 8
+
+
+def business_identity(title: Column, key: Column, *rest: Column) -> Column:
+    """The same business under other years, rounds and notices: its plain name with rest; a short name stands for its own row only."""
+    plain = F.lower(text.nfkc(F.coalesce(title, F.lit(""))))
+    for pattern in (f"(?U){EDITION}", f"(?U){NOTICE}", "[^가-힣a-z0-9]"):
+        plain = F.regexp_replace(plain, pattern, "")
+    own = F.struct(key.cast("string").alias("name"), *[F.lit(None).cast("string").alias(f"r{k}") for k in range(len(rest))])
+    return F.when(F.length(plain) < LEAST_NAME, own).otherwise(F.struct(plain.alias("name"), *[r.cast("string").alias(f"r{k}") for k, r in enumerate(rest)]))
+
+
+def ranked_overall(rows: DataFrame, by: str, tie: str, name: str, ranges: int = 64) -> DataFrame:
+    """rows with their rank from 1 by (by, tie) over the whole table. Rows are ranked within quantile ranges of by, and ranges by their counts."""
+    at = [(k + 1) / ranges for k in range(ranges - 1)]
+    bounds = rows.agg(F.array_sort(F.array_distinct(F.percentile_approx(by, F.array(*map(F.lit, at)), F.lit(10_000)))).alias("_bounds"))
+    held = rows.join(F.broadcast(bounds)).withColumn("_range", F.size(F.filter("_bounds", lambda b: b < F.col(by)))).drop("_bounds")
+    counts = held.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_range", before.alias("_start"))  # one row to a range
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(by, tie))
+    return held.withColumn("_within", within).join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_within")).drop("_range", "_start", "_within")
+
+
+GRAM = 4
+
+
+def containing(needles: DataFrame, needle: str, texts: DataFrame, text_col: str) -> DataFrame:
+    """(needle, text) of the distinct texts that contain a distinct needle; empty needles are in no text.
+
+    A text that contains a needle holds all its runs of GRAM characters (of all, for a shorter needle); they meet by the rarest of these.
+    """
+
+    def grams(value: Column, n: Column | int) -> Column:
+        n = F.lit(n) if isinstance(n, int) else n
+        return F.when(F.length(value) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(value) - n + 1), lambda k: F.substring(value, k, n))))
+
+    held = texts.select(text_col, F.explode(F.flatten(F.filter(F.array(*[grams(F.col(text_col), n) for n in range(1, GRAM + 1)]), lambda g: g.isNotNull()))).alias("_gram"))
+    often = held.groupBy("_gram").agg(F.count(F.lit(1)).alias("_often"))
+    asked = needles.where(F.length(needle) > 0).select(needle, F.explode(grams(F.col(needle), F.least(F.lit(GRAM), F.length(needle)))).alias("_gram"))
+    # A run that no text has rules the needle out.
+    rarest = asked.join(often, "_gram", "left").groupBy(needle).agg(F.min_by("_gram", F.struct(F.coalesce("_often", F.lit(0)), "_gram")).alias("_gram"))
+    return rarest.join(held, "_gram").where(F.col(text_col).contains(F.col(needle))).select(needle, text_col)

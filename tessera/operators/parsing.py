@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import difflib
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType
+from pyspark.sql.types import ArrayType, FloatType, LongType
 from pyspark.sql.window import Window
 
 from tessera.functions import geometry as geo
@@ -87,13 +88,23 @@ def overlap_groups(boxes: DataFrame) -> DataFrame:
 
 
 def similar_to_earlier(rows: DataFrame, group: str, at: str, text: str, least: float) -> DataFrame:
-    """group, at: rows whose text is at least so similar to an earlier one of the group. A group is one evaluation's criteria."""
+    """group, at: rows whose text is at least so similar to an earlier one of the group. A group is one evaluation's criteria, tens of rows.
+
+    Bounds of the similarity by lengths and by characters come first; the full comparison is left for pairs that both let pass.
+    """
 
     def repeated(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(at)
         seen, held = [], []
         for value in pdf[text]:
-            held.append(any(difflib.SequenceMatcher(None, s, value, autojunk=False).ratio() >= least for s in seen))
+            match = difflib.SequenceMatcher(None, "", value, autojunk=False)
+            found = False
+            for earlier in seen:
+                match.set_seq1(earlier)
+                if match.real_quick_ratio() >= least and match.quick_ratio() >= least and match.ratio() >= least:
+                    found = True
+                    break
+            held.append(found)
             seen.append(value)
         return pdf.loc[held, [group, at]]
 
@@ -110,10 +121,20 @@ def neighbours(cells: DataFrame, table: str) -> DataFrame:
     return both.where("x.n is not null").select(table, "text", F.col("x.n").alias("next_text"), F.col("x.d").alias("direction"))
 
 
-def lost_characters(native: DataFrame, base: DataFrame, final: DataFrame) -> DataFrame:
-    """page, lost: characters of native (page, ch) that final lacks and base does not, as multisets. Characters meet as counts."""
-    counted = lambda rows, name: rows.groupBy("page", "ch").agg(F.count(F.lit(1)).alias(name))
-    rows = counted(native, "n").join(counted(final, "f"), ["page", "ch"], "left").join(counted(base, "b"), ["page", "ch"], "left")
-    missing = lambda name: F.greatest(F.lit(0), F.col("n") - F.coalesce(name, F.lit(0)))
-    lost = F.greatest(F.lit(0), missing("f") - missing("b"))
-    return rows.groupBy("page").agg(F.sum(lost).alias("lost")).where("lost > 0")
+@F.pandas_udf(LongType())
+def lost_characters(native: pd.Series, base: pd.Series, final: pd.Series) -> pd.Series:
+    """Characters of native that final lacks and base does not, as multisets, counted within the row."""
+
+    def lost(n: str | None, b: str | None, f: str | None) -> int:
+        own = Counter(n or "")
+        return sum(((own - Counter(f or "")) - (own - Counter(b or ""))).values())
+
+    return pd.Series([lost(*x) for x in zip(native, base, final, strict=True)], dtype="int64")
+
+
+def word_spans(lines: DataFrame, keys: list[str], text: str, width: float) -> DataFrame:
+    """keys, word, x_from, x_to of each word of each line, its place among the characters scaled to width."""
+    rows = lines.select(*keys, F.length(text).alias("_all"), F.posexplode(F.split(text, " ")).alias("word", "_w"))
+    before = F.sum(F.length("_w") + 1).over(Window.partitionBy(*keys).orderBy("word").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_at", F.coalesce(before, F.lit(0)) * F.lit(width)).where("_w <> ''")
+    return rows.select(*keys, "word", F.round(F.col("_at") / F.col("_all"), 6).alias("x_from"), F.round((F.col("_at") + F.length("_w") * F.lit(width)) / F.col("_all"), 6).alias("x_to"))

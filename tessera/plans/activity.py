@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,6 +13,7 @@ from pyspark.sql.window import Window
 from tessera.functions import dates
 from tessera.operators import activity as a
 from tessera.plans.base import registrar
+from tessera.sources.files import shared_folder
 from tessera.sources.tables import SCHEMAS, table
 from tessera.streaming import stateful
 
@@ -37,9 +39,10 @@ def top_n_per_user(spark, sf_dir):
     return a.latest_per_user(table(spark, sf_dir, "events"), "user_id", 20, [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "place")
 
 
-@query("SELECT conv_id, turn, role, length(text) AS n FROM conversations WHERE conv_id = 5 ORDER BY turn")
+@query("SELECT conv_id, turn, role, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations")
 def conversation_messages(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").where("conv_id = 5").orderBy("turn").select("conv_id", "turn", "role", F.length("text").alias("n"))
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.length("text").alias("n"), place.alias("place"))
 
 
 @query("SELECT user_id, ts::DATE::VARCHAR AS day, count(*) AS used, greatest(0, 4 - count(*))::BIGINT AS remaining FROM events GROUP BY ALL")
@@ -58,23 +61,39 @@ def attempts(events: DataFrame) -> DataFrame:
     return events.where("event_type in ('error', 'signup')").select(F.col("user_id").alias("key"), "event_id", at.alias("at"), (F.col("event_type") == "error").alias("failed"))
 
 
-@query()
+THROTTLE_SQL = f"""WITH RECURSIVE e AS (SELECT user_id AS key, event_id, epoch_us(ts) / 1e6::DOUBLE AS at, event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k
+  FROM events WHERE event_type IN ('error', 'signup')),
+s AS (SELECT key, 0::BIGINT AS k, NULL::BIGINT AS event_id, 0 AS failures, 0.0::DOUBLE AS until, '' AS outcome FROM (SELECT DISTINCT key FROM e)
+  UNION ALL SELECT e.key, e.k, e.event_id,
+    CASE WHEN e.at < s.until THEN s.failures WHEN NOT e.failed OR s.failures + 1 >= {RULE.max_failures} THEN 0 ELSE s.failures + 1 END,
+    CASE WHEN e.at < s.until THEN s.until WHEN e.failed AND s.failures + 1 >= {RULE.max_failures} THEN e.at + {RULE.lock_seconds} ELSE 0.0::DOUBLE END,
+    CASE WHEN e.at < s.until THEN 'LOCKED' WHEN NOT e.failed THEN 'SUCCESS' WHEN s.failures + 1 >= {RULE.max_failures} THEN 'LOCKS' ELSE 'FAILURE' END
+  FROM s JOIN e ON e.key = s.key AND e.k = s.k + 1)
+SELECT key, event_id, outcome FROM s WHERE k > 0"""
+
+
+@query(THROTTLE_SQL)
 def throttle_locks(spark, sf_dir):
-    """Order-dependent, so without SQL; the tests compare it with the stream and with a plain loop."""
+    """Spark sorts the attempts of each key; a task folds over them in batches and carries the state of the key it is at."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, out = (0, 0.0), []
-        for row in pdf.sort_values(["at", "event_id"]).itertuples():
-            state, outcome = a.fold_throttle(state, row.at, bool(row.failed), RULE)
-            out.append((row.key, row.event_id, outcome))
-        return pd.DataFrame(out, columns=["key", "event_id", "outcome"])
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state = None, (0, 0.0)
+        for batch in batches:
+            out = []
+            for key, moment, failed in zip(batch.key.tolist(), batch["at"].tolist(), batch.failed.tolist(), strict=True):
+                if key != at:
+                    at, state = key, (0, 0.0)
+                state, outcome = a.fold_throttle(state, moment, failed, RULE)
+                out.append(outcome)
+            yield batch[["key", "event_id"]].assign(outcome=out)
 
-    return attempts(table(spark, sf_dir, "events")).groupBy("key").applyInPandas(fold, "key long, event_id long, outcome string")
+    rows = attempts(table(spark, sf_dir, "events")).where("key is not null").repartition("key").sortWithinPartitions("key", "at", "event_id")
+    return rows.mapInPandas(fold, "key long, event_id long, outcome string")
 
 
 def drained(spark, stream: DataFrame, mode: str = "append") -> DataFrame:
     """The rows of a stream over finished input: written by Spark to the shared folder, read again."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/tessera") + f"/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     job = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     job.awaitTermination()
     return spark.read.parquet(f"{base}/out")

@@ -188,8 +188,12 @@ def run_progress(spark, sf_dir):
     return rel.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "F").alias("done"), left.alias("remaining"), F.round(mean, 6).alias("mean_cost"), F.round(left * mean, 4).alias("eta"), F.round(none, 6).alias("fallback_cost"))
 
 
-@query(R + """, p AS (SELECT program % 100 AS plan, program, content FROM relations) SELECT plan, count(*) AS n, sha256(string_agg(program || ':' || content, ',' ORDER BY program, content)) AS plan_key FROM p GROUP BY plan""")
+@query(R + """, g AS (SELECT program // 100 AS plan, program, count(*) AS n, sha256(string_agg(content::VARCHAR, ',' ORDER BY content)) AS digest FROM relations GROUP BY program)
+SELECT plan, sum(n)::BIGINT AS n, sha256(string_agg(program || ':' || digest, ',' ORDER BY program)) AS plan_key FROM g GROUP BY plan""")
 def plan_hash(spark, sf_dir):
-    rows = relations(spark, sf_dir).groupBy((F.col("program") % 100).alias("plan")).agg(F.array_sort(F.collect_list(F.struct("program", "content"))).alias("all"))
-    text = F.array_join(F.transform("all", lambda x: F.concat_ws(":", x["program"], x["content"])), ",")
-    return rows.select("plan", F.size("all").cast("long").alias("n"), F.sha2(text, 256).alias("plan_key"))
+    """A plan covers a hundred programs in a row. Programs are hashed first, so a plan's row gathers a hundred digests."""
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list("content")), lambda x: x.cast("string")), ",")
+    own = relations(spark, sf_dir).groupBy("program").agg(F.count(F.lit(1)).alias("n"), F.sha2(joined, 256).alias("digest"))
+    rows = own.groupBy(F.floor(F.col("program") / 100).alias("plan")).agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("program", "digest"))).alias("all"))
+    text = F.array_join(F.transform("all", lambda x: F.concat_ws(":", x["program"].cast("string"), x["digest"])), ",")
+    return rows.select("plan", "n", F.sha2(text, 256).alias("plan_key"))

@@ -47,18 +47,18 @@ def latency_summary(spark, sf_dir):
     )
 
 
-@query("""WITH r AS (SELECT l_suppkey % 7 AS engine, l_orderkey, count(*) AS expected, count_if(l_returnflag = 'A') AS found FROM lineitem WHERE l_quantity > 10 GROUP BY ALL)
+@query("""WITH r AS (SELECT l_suppkey % 7 AS engine, l_orderkey, count(*) AS expected, count_if(l_returnflag = 'A') AS found FROM lineitem GROUP BY ALL)
 SELECT engine, round(sum(found) / sum(expected)::DOUBLE, 4) AS micro, round(avg(found / expected::DOUBLE), 4) AS macro, count(*) AS n FROM r GROUP BY engine""")
 def micro_macro_recall(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").where("l_quantity > 10").groupBy((F.col("l_suppkey") % 7).alias("engine"), "l_orderkey")
+    rows = table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 7).alias("engine"), "l_orderkey")
     rows = rows.agg(F.count(F.lit(1)).alias("expected"), F.count_if(F.col("l_returnflag") == "A").alias("found"))
     return v.micro_macro(rows, "engine", "found", "expected")
 
 
-@query("""WITH c AS (SELECT l_returnflag AS flag, count(*) AS n FROM lineitem WHERE l_quantity < 3 GROUP BY 1), g AS (SELECT unnest(['A', 'N', 'R', 'X']) AS flag)
+@query("""WITH c AS (SELECT l_returnflag AS flag, count(*) AS n FROM lineitem GROUP BY 1), g AS (SELECT unnest(['A', 'N', 'R', 'X']) AS flag)
 SELECT flag, coalesce(n, 0)::BIGINT AS n, coalesce(n, 0) / (SELECT sum(n) FROM c)::DOUBLE AS share FROM g LEFT JOIN c USING (flag)""")
 def distribution(spark, sf_dir):
-    counted = table(spark, sf_dir, "lineitem").where("l_quantity < 3").groupBy(F.col("l_returnflag").alias("flag")).agg(F.count(F.lit(1)).alias("n"))
+    counted = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("flag")).agg(F.count(F.lit(1)).alias("n"))
     return v.zero_filled(counted, ["A", "N", "R", "X"], "flag", "n")
 
 
@@ -68,17 +68,26 @@ def fact_groups(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", t.groups_hit(F.col("text"), groups).alias("hit"))
 
 
-CRITICAL_SQL = r"""WITH r AS (SELECT doc_id, text FROM documents), s1 AS (SELECT *, regexp_extract_all(text, '\d{4}[./-]\d{1,2}[./-]\d{1,2}') AS dates, regexp_replace(text, '\d{4}[./-]\d{1,2}[./-]\d{1,2}', chr(1), 'g') AS t1 FROM r),
-s2 AS (SELECT *, regexp_extract_all(t1, '\d+(?:\.\d+)?%') AS percents, regexp_replace(t1, '\d+(?:\.\d+)?%', chr(1), 'g') AS t2 FROM s1),
-s3 AS (SELECT *, regexp_extract_all(t2, '\d{2,4}-\d{3,4}-\d{4}') AS phones, regexp_replace(t2, '\d{2,4}-\d{3,4}-\d{4}', chr(1), 'g') AS t3 FROM s2),
-a AS (SELECT 'date' AS kind, unnest(dates) AS token FROM s3 UNION ALL SELECT 'percent', unnest(percents) FROM s3 UNION ALL SELECT 'phone', unnest(phones) FROM s3
-  UNION ALL SELECT 'number', unnest(regexp_extract_all(t3, '\d+(?:,\d{3})*(?:\.\d+)?')) FROM s3)
-SELECT kind, token, count(*) AS n FROM a GROUP BY ALL"""
+CRITICAL_KINDS = (
+    ("date", r"\d{4}\s*[.\-/년]\s*\d{1,2}\s*[.\-/월]\s*\d{1,2}\s*일?|\d{1,2}\s*[./]\s*\d{1,2}\s*\.?\s*\([월화수목금토일]\)"),
+    ("period", r"\d+(?:\.\d+)?\s*(?:개월|년간|주간|일간|시간|년|주)"),
+    ("amount", r"\d[\d,]*(?:\.\d+)?\s*(?:조|억|천만|백만|만|천)?\s*원"),
+    ("percent", r"\d+(?:\.\d+)?\s*(?:%|％|퍼센트)"),
+    ("number", r"\d[\d,]*(?:\.\d+)?"),
+)
+#: Each kind is masked before the next; this differs from skipping only where a match overlaps a mask in part.
+CRITICAL_SQL = "WITH s0 AS (SELECT doc_id, text || CASE doc_id % 5 WHEN 0 THEN ' 2026년 9월 3일' WHEN 1 THEN ' 5천만원 12개월' WHEN 2 THEN ' 3.5 %' ELSE '' END AS t FROM documents)"
+for k, (_, pattern) in enumerate(CRITICAL_KINDS):
+    CRITICAL_SQL += f", s{k + 1} AS (SELECT doc_id, regexp_replace(t, '{pattern}', chr(1), 'g') AS t, regexp_extract_all(t, '{pattern}') AS x FROM s{k})"
+CRITICAL_SQL += ", a AS (" + " UNION ALL ".join(f"SELECT '{kind}' AS kind, unnest(x) AS token FROM s{k + 1}" for k, (kind, _) in enumerate(CRITICAL_KINDS)) + ")"
+CRITICAL_SQL += " SELECT kind, regexp_replace(token, '\\s+', '', 'g') AS token, count(*) AS n FROM a GROUP BY ALL"
 
 
 @query(CRITICAL_SQL)
 def critical_tokens(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select(F.explode(t.critical_tokens(F.col("text"))).alias("x"))
+    k = F.col("doc_id") % 5
+    more = F.when(k == 0, " 2026년 9월 3일").when(k == 1, " 5천만원 12개월").when(k == 2, " 3.5 %").otherwise("")
+    rows = table(spark, sf_dir, "documents").select(F.explode(t.critical_tokens(F.concat("text", more))).alias("x"))
     return rows.groupBy("x.kind", "x.token").agg(F.count(F.lit(1)).alias("n"))
 
 

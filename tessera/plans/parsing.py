@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.functions import dates
+from tessera.operators import candidates as c
+from tessera.operators import evaluation as v
 from tessera.operators import parsing as p
 from tessera.plans.base import registrar
 from tessera.plans.layout import BOXES_SQL, boxes
-from tessera.sources.tables import AS_OF, PROGRAMS_SQL, programs, table
+from tessera.sources.tables import AS_OF, PROGRAMS_SQL, RELATIONS_SQL, programs, relations, table
 
 QUERIES, ORACLES = {}, {}
 query = registrar(QUERIES, ORACLES)
@@ -97,10 +100,9 @@ def adjacency_f1(spark, sf_dir):
 nc AS (SELECT page, ch, count(*) AS n FROM n GROUP BY ALL), fc AS (SELECT page, ch, count(*) AS f FROM f GROUP BY ALL), bc AS (SELECT page, ch, count(*) AS b FROM b GROUP BY ALL),
 l AS (SELECT page, greatest(0, greatest(0, n - coalesce(f, 0)) - greatest(0, n - coalesce(b, 0))) AS lost FROM nc LEFT JOIN fc USING (page, ch) LEFT JOIN bc USING (page, ch)) SELECT page, sum(lost)::BIGINT AS lost FROM l GROUP BY page HAVING sum(lost) > 0""")
 def lost_characters(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    chars = lambda text: docs.select(F.col("doc_id").alias("page"), F.explode(F.filter(F.split(text, ""), lambda c: c != "")).alias("ch"))
     text = F.col("text")
-    return p.lost_characters(chars(text), chars(F.replace(text, F.lit("h"), F.lit(""))), chars(F.replace(text, F.lit("the"), F.lit(""))))
+    lost = p.lost_characters(text, F.replace(text, F.lit("h"), F.lit("")), F.replace(text, F.lit("the"), F.lit("")))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), lost.alias("lost")).where("lost > 0")
 
 
 @query(f"""WITH {PROGRAMS_SQL} SELECT id, (CASE WHEN id % 4 = 0 AND end_date IS NULL THEN DATE '2000-01-31' WHEN id % 4 = 1 THEN end_date ELSE end_date END)::VARCHAR AS end_date, id % 4 = 0 AND end_date IS NULL AS changed FROM programs""")
@@ -119,21 +121,68 @@ def review_rows(spark, sf_dir):
     return gaps.orderBy(F.desc("gap"), "page").limit(50)
 
 
-@query("""WITH c AS (SELECT conv_id, list(turn ORDER BY turn) AS got, list(turn ORDER BY turn) FILTER (role = 'assistant') AS cited FROM conversations GROUP BY conv_id)
-SELECT conv_id, list_has_any(got, [0, 9]) AS evidence_hit, list_has_all(got, coalesce(cited, [])) AS citations_known, len(list_distinct(got)) = len(got) AS no_duplicates, got = list_sort(got) AS in_order, len(list_filter(got, lambda x: x NOT IN (0, 1, 2, 3, 4, 5))) = 0 AS in_scope FROM c""")
+GOLD_SQL = f"""WITH {PROGRAMS_SQL}, x AS (SELECT owner, l_orderkey AS id, l_linenumber, row_number() OVER (PARTITION BY owner ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS place FROM lineitem JOIN programs ON id = l_orderkey),
+got AS (SELECT owner, list(id ORDER BY place) AS ids FROM x WHERE place <= 5 GROUP BY owner),
+gold AS (SELECT owner, list(id ORDER BY budget DESC, id)[1:2] AS wanted, (owner % 5 + 1)::BIGINT AS most FROM programs GROUP BY owner),
+scope AS (SELECT id FROM programs WHERE active AND NOT (end_date IS NOT NULL AND end_date < DATE '{AS_OF}')),
+odd AS (SELECT owner, count(*) AS n FROM x WHERE place <= 5 AND id NOT IN (SELECT id FROM scope) GROUP BY owner)
+"""
+
+
+def judged_lists(spark, sf_dir):
+    """What a search listed for each owner (its five dearest items, so a program may stand twice), and what the cases expect."""
+    owned = programs(spark, sf_dir)
+    items = table(spark, sf_dir, "lineitem").join(owned.select(F.col("id").alias("l_orderkey"), "owner"), "l_orderkey")
+    place = F.row_number().over(Window.partitionBy("owner").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber"))
+    listed = items.select("owner", F.col("l_orderkey").alias("id"), place.alias("place")).where("place <= 5")
+    best = F.row_number().over(Window.partitionBy("owner").orderBy(F.desc("budget"), "id"))
+    gold = owned.withColumn("place", best).where("place <= 2").groupBy("owner").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]).alias("wanted"))
+    return listed, gold.withColumn("most", F.col("owner") % 5 + 1)
+
+
+@query(GOLD_SQL + """SELECT gold.owner, coalesce(len(ids), 0) > 0 AS answered, list_has_all(coalesce(ids, []), wanted) AS expected_programs, coalesce(ids[1:len(wanted)] = wanted, false) AS in_order, coalesce(len(list_distinct(ids)) = len(ids), true) AS no_duplicates,
+  coalesce(odd.n, 0) = 0 AS in_scope, coalesce(len(ids), 0) BETWEEN 1 AND most AS count_allowed FROM gold LEFT JOIN got USING (owner) LEFT JOIN odd USING (owner)""")
 def case_checks(spark, sf_dir):
-    got = F.array_sort(F.collect_list("turn"))
-    cited = F.array_sort(F.collect_list(F.when(F.col("role") == "assistant", F.col("turn"))))
-    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(got.alias("got"), cited.alias("cited"))
-    scope = F.lit([0, 1, 2, 3, 4, 5]).cast("array<bigint>")
-    return rows.select(
-        "conv_id",
-        F.arrays_overlap("got", F.lit([0, 9]).cast("array<bigint>")).alias("evidence_hit"),
-        F.forall("cited", lambda x: F.array_contains("got", x)).alias("citations_known"),
-        (F.size(F.array_distinct("got")) == F.size("got")).alias("no_duplicates"),
-        (F.col("got") == F.array_sort("got")).alias("in_order"),
-        (F.size(F.array_except("got", scope)) == 0).alias("in_scope"),
+    """Listed programs of each case against its gold list, its limit, and the candidates of its filter."""
+    listed, gold = judged_lists(spark, sf_dir)
+    allowed = c.candidates(programs(spark, sf_dir), c.CandidateFilter(not_closed_on=AS_OF)).select("id", F.lit(True).alias("allowed"))
+    return v.judged_lists(listed.join(allowed, "id", "left"), gold, "owner")
+
+
+DOCUMENT_SQL = f"""WITH {RELATIONS_SQL}, r AS (SELECT program, list(content ORDER BY content) FILTER (status = 'O' OR content % 3 = 0) AS retrieved, coalesce(list(content ORDER BY content) FILTER (format = 'A'), []) AS cited,
+  list(content) FILTER (content % 7 = 0) AS gold, bool_or(container % 11 = 0) AS foreign_one FROM relations GROUP BY program)
+"""
+
+
+@query(DOCUMENT_SQL + """SELECT program, list_has_all(coalesce(retrieved, []), cited) AS citations_known, (len(cited) > 0) = (program % 2 = 0) AS citation_presence, list_has_any(coalesce(retrieved, []), coalesce(gold, [])) AS evidence, NOT foreign_one AS own_program_only FROM r""")
+def document_checks(spark, sf_dir):
+    """Citations of each answer against what was retrieved for it, and retrieved evidence against the gold evidence."""
+    content = F.col("content")
+    rows = relations(spark, sf_dir).groupBy("program").agg(
+        F.collect_list(F.when((F.col("status") == "O") | (content % 3 == 0), content)).alias("retrieved"),
+        F.collect_list(F.when(F.col("format") == "A", content)).alias("cited"),
+        F.collect_list(F.when(content % 7 == 0, content)).alias("gold"),
+        F.bool_or(F.col("container") % 11 == 0).alias("foreign"),
+    )
+    return rows.select("program", *v.citation_checks(F.col("retrieved"), F.col("cited"), F.col("gold"), F.col("program") % 2 == 0), (~F.col("foreign")).alias("own_program_only"))
+
+
+CRITERIA_SQL = """WITH k AS (SELECT o_orderkey AS id, list({'criterion': l_shipmode_like, 'result': r}) AS criteria FROM (SELECT o_orderkey, ['SIZE', 'REGION', 'AGE'][l_linenumber % 3 + 1] AS l_shipmode_like, CASE l_returnflag WHEN 'A' THEN 'MET' WHEN 'N' THEN 'UNMET' ELSE 'UNKNOWN' END AS r FROM orders JOIN lineitem ON o_orderkey = l_orderkey) GROUP BY o_orderkey)
+"""
+
+
+@query(CRITERIA_SQL + """SELECT id, len(criteria) >= id % 4 + 1 AS enough, len(list_filter(criteria, lambda x: x.criterion = 'REGION' AND x.result = 'MET')) > 0 AS criterion_hit, len(list_filter(criteria, lambda x: x.result = 'UNKNOWN')) > 0 AS unknown_found,
+  list_sort(list_distinct([x.criterion FOR x IN criteria IF x.result = 'UNKNOWN'])) = ['AGE', 'SIZE'] AS missing_as_expected,
+  CASE WHEN len(list_filter(criteria, lambda x: x.result = 'UNMET')) > 0 THEN 'INELIGIBLE' WHEN len(list_filter(criteria, lambda x: x.result = 'UNKNOWN')) > 0 THEN 'NEEDS_INFO' ELSE 'ELIGIBLE' END = ['ELIGIBLE', 'INELIGIBLE', 'NEEDS_INFO'][(id % 3)::INT + 1] AS status FROM k""")
+def eligibility_checks(spark, sf_dir):
+    """Judged criteria of each program against the case: their number, one that must be met, unknown ones, the missing fields as a set, the status."""
+    item = F.struct(
+        F.element_at(F.array(*map(F.lit, ("SIZE", "REGION", "AGE"))), F.col("l_linenumber") % 3 + 1).alias("criterion"),
+        F.when(F.col("l_returnflag") == "A", "MET").when(F.col("l_returnflag") == "N", "UNMET").otherwise("UNKNOWN").alias("result"),
     )
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(item).alias("criteria"))
+    wanted = F.element_at(F.array(*map(F.lit, ("ELIGIBLE", "INELIGIBLE", "NEEDS_INFO"))), (F.col("id") % 3 + 1).cast("int"))
+    return rows.select("id", *v.criteria_checks(F.col("criteria"), F.col("id") % 4 + 1, ("REGION", "MET"), ("AGE", "SIZE"), wanted))
 
 
 @query("""WITH e AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN ['industry', 'revenue'] WHEN c_custkey % 3 = 1 THEN ['region'] ELSE [] END AS missing FROM customer)
@@ -146,20 +195,14 @@ def affected_by_answers(spark, sf_dir):
     return rows.select("id", F.arrays_overlap("missing", answered).alias("affected"), F.array_join(F.array_except("missing", answered), ",").alias("left_over"))
 
 
-@query(r"""WITH l AS (SELECT doc_id, string_split(text, chr(10))[1] AS line FROM documents), w AS (SELECT doc_id, line, string_split(line, ' ') AS w FROM l WHERE length(line) > 0)
-SELECT doc_id, len(w) AS n_words, round(100.0::DOUBLE * length(w[1]) / length(line), 6) AS first_to, round(100.0::DOUBLE - 100.0::DOUBLE * length(w[-1]) / length(line), 6) AS last_from FROM w""")
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents),
+w AS (SELECT doc_id, line, length(text) AS width, unnest(string_split(text, ' ')) AS word, unnest(range(len(string_split(text, ' ')))) AS k FROM l),
+s AS (SELECT *, coalesce(sum(length(word) + 1) OVER (PARTITION BY doc_id, line ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM w)
+SELECT doc_id, line, k AS word, round(100.0::DOUBLE * start / width, 6) AS x_from, round(100.0::DOUBLE * (start + length(word)) / width, 6) AS x_to FROM s WHERE word <> ''""")
 def line_words(spark, sf_dir):
-    """Words of a line get shares of its width by their characters."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n")[0].alias("line")).where("line <> ''")
-    words = F.split("line", " ")
-    scale = F.lit(100.0) / F.length("line")
-    spans = F.aggregate(
-        words,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<f:double,t:double>>").alias("out")),
-        lambda s, w: F.struct((s["at"] + F.length(w) + 1).alias("at"), F.array_append(s["out"], F.struct((s["at"] * F.lit(1.0)).alias("f"), ((s["at"] + F.length(w)) * F.lit(1.0)).alias("t"))).alias("out")),
-    )["out"]
-    rows = rows.withColumn("scale", scale).withColumn("spans", spans)
-    return rows.select("doc_id", F.size("spans").cast("long").alias("n_words"), F.round(F.col("spans")[0]["t"] * F.col("scale"), 6).alias("first_to"), F.round(F.element_at("spans", -1)["f"] * F.col("scale"), 6).alias("last_from"))
+    """Every word of every line gets the share of the line's width that its characters have."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    return p.word_spans(lines, ["doc_id", "line"], "t", 100.0)
 
 
 @query()

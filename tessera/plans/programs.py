@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.functions import dates
 from tessera.operators import candidates as c
@@ -104,7 +103,7 @@ def region_rules(spark, sf_dir):
 SELECT coalesce(a.region, 'NONE') AS region, count(*) AS n FROM programs p LEFT JOIN a ON p.jurisdiction = a.alias WHERE active GROUP BY 1""")
 def region_histogram(spark, sf_dir):
     names = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    rows = programs(spark, sf_dir).where("active").join(F.broadcast(names), F.col("jurisdiction") == F.col("n_name"), "left")
+    rows = programs(spark, sf_dir).where("active").join(names, F.col("jurisdiction") == F.col("n_name"), "left")
     return rows.groupBy(F.coalesce("r_name", F.lit("NONE")).alias("region")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -188,13 +187,13 @@ s AS (SELECT qid, id, CASE WHEN contains(query, name) THEN 3 WHEN contains(name,
 r AS (SELECT *, rank() OVER (PARTITION BY qid ORDER BY score DESC, len DESC, size DESC) AS place FROM s)
 SELECT qid, id, count(*) OVER (PARTITION BY qid) AS n_tied FROM r WHERE place = 1""")
 def best_match_ties(spark, sf_dir):
-    """Every twentieth part's name is looked up among all names. Containment is tried on distinct names only; rows follow by equi-joins."""
+    """Every twentieth part's name is looked up among all names. Names meet by their rarest characters in a row; rows follow by equi-joins."""
     part = table(spark, sf_dir, "part")
     asked = part.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("qid"), F.col("p_name").alias("query"))
     named = part.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_type", "p_name").alias("name"), F.col("p_size").alias("size"))
-    inside, around = F.col("query").contains(F.col("name")), F.col("name").contains(F.col("query"))
-    hits = asked.select("query").distinct().join(named.select("name").distinct(), inside | around)
-    hits = hits.withColumn("score", F.when(inside, 3).otherwise(1)).withColumn("len", F.length("query"))
+    texts, names = asked.select("query").distinct(), named.select("name").distinct()
+    hits = c.containing(names, "name", texts, "query").withColumn("score", F.lit(3)).unionByName(c.containing(texts, "query", names, "name").withColumn("score", F.lit(1)))
+    hits = hits.groupBy("query", "name").agg(F.max("score").alias("score")).withColumn("len", F.length("query"))
     # Only the largest size of a name can be among the best, so ties are settled by name before rows are met.
     sizes = named.groupBy("name").agg(F.max("size").alias("size"))
     best = c.best_matches(hits.join(sizes, "name"), "query", [F.desc("score"), F.desc("len"), F.desc("size")]).drop("n_tied")
@@ -203,17 +202,22 @@ def best_match_ties(spark, sf_dir):
     return asked.join(rows, "query").select("qid", "id", "n_tied")
 
 
-@query(P + """, k AS (SELECT id, name, category, target, jurisdiction, regexp_replace(regexp_replace(lower(name), '[0-9]+', '', 'g'), '[^a-z]', '', 'g') AS plain,
+#: Titles with a year, a round or a notice suffix, which an identity leaves out; the SQL takes the plain name instead.
+TITLE_ENDS = (" 2026년 모집공고", " 제2차", " 2025 변경 공고", " 3차 추가모집공고", "")
+
+
+@query(P + """, k AS (SELECT id, category, target, jurisdiction, regexp_replace(lower(CASE WHEN id % 6 = 5 THEN 'no. ' || id % 9 ELSE name END), '[^a-z0-9]', '', 'g') AS plain,
   row_number() OVER (ORDER BY budget DESC, id) AS place FROM programs WHERE active),
 i AS (SELECT *, CASE WHEN length(plain) < 8 THEN id::VARCHAR ELSE concat_ws('|', plain, coalesce(jurisdiction, '-'), category, target) END AS ident FROM k),
 f AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY ident ORDER BY place) = 1)
 SELECT id, place AS original_rank, row_number() OVER (ORDER BY place) AS rank FROM f""")
 def identity_dedup(spark, sf_dir):
-    plain = F.regexp_replace(F.regexp_replace(F.lower("name"), "[0-9]+", ""), "[^a-z]", "")
-    rows = programs(spark, sf_dir).where("active").withColumn("plain", plain)
-    ident = F.when(F.length("plain") < 8, F.col("id").cast("string")).otherwise(F.concat_ws("|", "plain", F.coalesce("jurisdiction", F.lit("-")), "category", "target"))
-    # The best row of each identity is one aggregate; only these few are ranked together.
-    best = rows.withColumn("ident", ident).groupBy("ident").agg(F.min(F.struct((-F.col("budget")).alias("b"), "id")).alias("best"))
-    held = best.select("best.id", "best.b").withColumn("rank", F.row_number().over(Window.orderBy("b", "id")))
-    places = rows.select("id", (-F.col("budget")).alias("b")).withColumn("original_rank", F.row_number().over(Window.orderBy("b", "id")))
-    return held.join(places.select("id", "original_rank"), "id").select("id", "original_rank", "rank")
+    k = F.col("id") % 6
+    end = F.element_at(F.array(*map(F.lit, TITLE_ENDS)), (F.col("id") % len(TITLE_ENDS) + 1).cast("int"))
+    title = F.when(k == 5, F.concat(F.lit("No. "), (F.col("id") % 9).cast("string"))).otherwise(F.concat("name", end))
+    rows = programs(spark, sf_dir).where("active").withColumn("title", title).withColumn("b", -F.col("budget"))
+    rows = c.ranked_overall(rows, "b", "id", "original_rank")
+    ident = c.business_identity(F.col("title"), F.col("id"), F.col("jurisdiction"), F.col("category"), F.col("target"))
+    # The best row of each identity is one aggregate.
+    best = rows.groupBy(ident.alias("ident")).agg(F.min(F.struct("b", "id", "original_rank")).alias("best")).select("best.*")
+    return c.ranked_overall(best, "b", "id", "rank").select("id", "original_rank", "rank")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import re
 import zipfile
 from collections.abc import Iterator, Sequence
 
@@ -17,6 +18,16 @@ PAGE = "number int, asked int, status int, body string"
 MEMBERS = "container string, member_index int, path string, byte_size long, sha256 string, status string, reason string"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; unset, a folder of this machine in local mode, and an error on a cluster."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not re.match(r"local(\[[^,]*(,\d+)?\])?$", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "/tmp/checkpoints/tessera"
+
+
 def paged_items(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(outcomes, items) of raw API pages (number, asked, status, body).
 
