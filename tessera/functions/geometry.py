@@ -47,3 +47,12 @@ def tile_starts(height: Column, tile: int, overlap: int) -> Column:
     step = tile - overlap
     starts = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((height - overlap) / step).cast("int") - 1)), lambda k: F.greatest(F.lit(0), F.least(k * step, height - tile)))
     return F.array_distinct(starts)
+
+
+def flipped(x: Column, height: float) -> Column:
+    """x with the vertical axis turned round on a page of height."""
+    return box(x["l"], F.lit(height) - x["b"], x["r"], F.lit(height) - x["t"])
+
+
+def scaled(x: Column, factor: float) -> Column:
+    return box(x["l"] * factor, x["t"] * factor, x["r"] * factor, x["b"] * factor)

@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 def validated(criteria: DataFrame, evidence: DataFrame, facts: DataFrame) -> DataFrame:
     """criteria (program, criterion, result, evidence_id, field) with problem and the result that stands.
 
-    Evidence must exist and be the program's own; the field must be known; a verdict on a field without a value becomes UNKNOWN.
+    Evidence must exist and be the program's own, or of no program; the field must be known; a verdict on a field without a value becomes UNKNOWN.
     """
-    e = evidence.select("evidence_id", F.col("program").alias("evidence_program"))
+    e = evidence.select("evidence_id", F.col("program").alias("evidence_program"), F.lit(True).alias("there"))
     f = facts.select("field", "value", F.lit(True).alias("known"))
-    rows = criteria.join(e, "evidence_id", "left").join(F.broadcast(f), "field", "left")
-    problem = F.when(F.col("evidence_program").isNull(), "unknown_evidence").when(F.col("evidence_program") != F.col("program"), "foreign_evidence").when(F.col("known").isNull(), "unknown_field")
+    rows = criteria.join(e, "evidence_id", "left").join(f, "field", "left")
+    problem = F.when(F.col("there").isNull(), "unknown_evidence").when(F.col("evidence_program") != F.col("program"), "foreign_evidence").when(F.col("known").isNull(), "unknown_field")
     guessed = (F.col("result") != "UNKNOWN") & F.col("value").isNull()
     rows = rows.withColumn("problem", problem).withColumn("adjusted", F.when(problem.isNull() & guessed, F.col("result")))
     return rows.withColumn("result", F.when(problem.isNull() & guessed, "UNKNOWN").otherwise(F.col("result")))

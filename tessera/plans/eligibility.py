@@ -41,15 +41,11 @@ def criteria(spark, sf_dir) -> DataFrame:
 
 
 def checked(spark, sf_dir) -> DataFrame:
-    c = criteria(spark, sf_dir)
     part = table(spark, sf_dir, "part").where("p_partkey % 9 <> 0")
-    # Evidence is the program's own unless the part says otherwise.
-    own = c.select("program", "evidence_id").distinct().join(part, F.col("evidence_id") == F.col("p_partkey"))
-    evidence = own.select("program", "evidence_id", F.when(F.col("p_size") % 10 == 0, -F.col("p_partkey")).otherwise(F.col("program")).alias("owner"))
+    # Evidence without an owner of its own serves every program.
+    evidence = part.select(F.col("p_partkey").alias("evidence_id"), F.when(F.col("p_size") % 10 == 0, -F.col("p_partkey")).alias("program"))
     facts = spark.createDataFrame(FACTS, "field string, value string")
-    keyed = c.withColumn("evidence_id", F.concat_ws("/", "program", "evidence_id"))
-    evidence = evidence.select(F.concat_ws("/", "program", "evidence_id").alias("evidence_id"), F.col("owner").alias("program"))
-    return e.validated(keyed, evidence, facts)
+    return e.validated(criteria(spark, sf_dir), evidence, facts)
 
 
 def statuses(spark, sf_dir) -> DataFrame:

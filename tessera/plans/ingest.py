@@ -65,11 +65,11 @@ def roundtrip_verify(spark, sf_dir):
     return g.differing_columns(stored, seen, ["category", "cents"]).select("id", "missing", F.array_join("differs", ",").alias("differs"))
 
 
-@query("""SELECT vec_id, label::BIGINT AS label FROM embeddings a WHERE label = 3 AND NOT EXISTS (SELECT 1 FROM embeddings b WHERE b.vec_id = a.vec_id AND b.vec_id % 4 <> 0)""")
+@query("""SELECT vec_id, label::BIGINT AS label FROM embeddings a WHERE NOT EXISTS (SELECT 1 FROM embeddings b WHERE b.vec_id = a.vec_id AND b.vec_id % 4 <> 0)""")
 def stale_delete(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "label")
     current = rows.where("vec_id % 4 <> 0").select("vec_id")
-    return rows.where("label = 3").join(current, "vec_id", "left_anti")
+    return rows.join(current, "vec_id", "left_anti")
 
 
 PAGES_SQL = """WITH i AS (SELECT o_orderkey // 500 + 1 AS number, CASE WHEN o_orderkey % 997 = 0 THEN 'bad id' WHEN o_orderkey % 1499 = 0 THEN 'P0001' ELSE 'P' || lpad(o_orderkey::VARCHAR, 4, '0') END AS id FROM orders),
