@@ -138,3 +138,23 @@ def word_spans(lines: DataFrame, keys: list[str], text: str, width: float) -> Da
     before = F.sum(F.length("_w") + 1).over(Window.partitionBy(*keys).orderBy("word").rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("_at", F.coalesce(before, F.lit(0)) * F.lit(width)).where("_w <> ''")
     return rows.select(*keys, "word", F.round(F.col("_at") / F.col("_all"), 6).alias("x_from"), F.round((F.col("_at") + F.length("_w") * F.lit(width)) / F.col("_all"), 6).alias("x_to"))
+
+
+def provenance(rows: DataFrame, item: str, keys: list[str]) -> DataFrame:
+    """keys and the flat provenance of item (self_ref, label, prov<page, box>, meta<table<verdict>, ocr<confidence>>); what is not there is null."""
+    x = F.col(item)
+    return rows.select(
+        *keys,
+        x["self_ref"].alias("item_ref"),
+        x["label"].alias("label"),
+        x["prov"]["page"].alias("page"),
+        F.transform(x["prov"]["box"], lambda v: F.round(v, 2)).alias("bbox"),
+        x["meta"]["table"]["verdict"].alias("table_verdict"),
+        x["meta"]["ocr"]["confidence"].alias("ocr_confidence"),
+    )
+
+
+def compact_criteria(rows: DataFrame, key: str, criteria: str) -> DataFrame:
+    """key and criteria with the evidence ids of their citations alone."""
+    kept = F.transform(criteria, lambda x: F.struct(x["criterion"].alias("criterion"), x["result"].alias("result"), F.transform(x["citations"], lambda c: c["evidence_id"]).alias("citations")))
+    return rows.select(key, kept.alias(criteria))

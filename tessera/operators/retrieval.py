@@ -86,6 +86,8 @@ def tile_best(chunks: pd.DataFrame, queries: pd.DataFrame, mode: str, limit: int
     """The best limit rows of a tile for each query: chunks, or the best chunk of each program. Ties go to the lower id."""
     chunks = chunks.sort_values("chunk_id")
     scores = np.round(dense_matrix(chunks, queries) if mode == "dense" else sparse_matrix(chunks, queries), SCORE_DIGITS)
+    if "scope" in chunks:
+        scores[queries.scope.to_numpy()[:, None] != chunks.scope.to_numpy()[None]] = np.nan
     ids, programs = chunks.chunk_id.to_numpy(), chunks.program.to_numpy()
     parts = []
     for qid, row in zip(queries.qid, scores, strict=True):
@@ -103,7 +105,7 @@ def tile_best(chunks: pd.DataFrame, queries: pd.DataFrame, mode: str, limit: int
 def best_rows(chunks: DataFrame, queries: DataFrame, mode: str, n_chunks: int, n_queries: int, limit: int = MODE_LIMIT, by_program: bool = False) -> DataFrame:
     """qid, program, chunk_id, score, rank: the best limit chunks, or programs by their best chunk, of each query.
 
-    chunks: prepared(). queries: the same columns with qid in place of chunk_id. n_chunks and n_queries only set the number of tiles.
+    chunks: prepared(). queries: the same columns with qid in place of chunk_id. With a column scope in both, a query meets chunks of its scope. n_chunks and n_queries only set the number of tiles.
     """
     tiles, asked = -(-max(1, n_chunks) // CHUNK_TILE), -(-max(1, n_queries) // QUERY_TILE)
     left = chunks.withColumn("i", F.pmod(F.xxhash64("chunk_id"), F.lit(tiles))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(asked - 1).cast("long"))))

@@ -98,3 +98,27 @@ def test_repeated_criteria(spark, duck, sf_dir):
             want.add((conv, turn))
         seen[conv].append(text)
     assert {tuple(r) for r in registry.QUERIES["repeated_criteria"](spark, sf_dir).collect()} == want
+
+
+def test_reserved_quota(spark, duck, sf_dir):
+    from tessera.operators.flows import LIMITS
+
+    used, want = defaultdict(int), {}
+    sql = "SELECT (ts + INTERVAL 9 HOUR)::DATE, user_id, event_id FROM events WHERE user_id IS NOT NULL ORDER BY ts, event_id"
+    for day, user, event in duck.sql(sql).fetchall():
+        keys = [(kind, limit, (day, kind, {"user": user, "ip": user % 50}.get(kind))) for kind, limit in LIMITS if kind != "pool" or event % 3 == 0]
+        full = next((kind for kind, limit, key in keys if used[key] >= limit), None)
+        want[event] = f"{full}_limit" if full else "ACCEPTED"
+        if not full:
+            for _, _, key in keys:
+                used[key] += 1
+    got = {r.event_id: r.outcome for r in registry.QUERIES["reserved_quota"](spark, sf_dir).collect()}
+    assert got == want
+
+
+def test_reservations_roll_back():
+    from tessera.operators.flows import reserve
+
+    used = {"i1": 1}
+    assert reserve(used, [("user", "u1"), ("ip", "i1")], {"user": 2, "ip": 1}) == "ip_limit" and used == {"i1": 1, "u1": 0}
+    assert reserve(used, [("user", "u1"), ("ip", "i2")], {"user": 2, "ip": 1}) == "ACCEPTED" and used == {"i1": 1, "u1": 1, "i2": 1}
