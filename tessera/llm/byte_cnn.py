@@ -2,8 +2,8 @@
 
 A text's UTF-8 bytes are cut into overlapping chunks that cover all of it. Learned filters over embedded bytes run along each chunk; the
 largest response of each filter in a chunk is kept. Over the chunks, mean and maximum of these go through one hidden layer to one
-probability. All weights are trained here by Adam, on the driver, from LABELLED_ROWS labelled rows at most: those of the
-lowest hash among the rows that may be learned from, with their whole texts.
+probability. All weights are trained here by Adam, on the driver, from LABELLED_ROWS labelled rows and LABELLED_BYTES of text at most: those of
+the lowest hash among the rows that may be learned from, with their whole texts.
 
 Scoring is one pass of a map over the documents. A task holds one group of chunks of GROUP_CHUNKS at a time, however long a text is.
 
@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LABELLED_ROWS = 2400
+#: Of text, UTF-8, that the driver trains on at most.
+LABELLED_BYTES = 64_000_000
 CHUNK, OVERLAP = 1024, 64
 WIDTH, STRIDE, EMBED, FILTERS, HIDDEN = 8, 4, 6, 24, 16
 EPOCHS, BATCH_DOCS, RATE, DECAY = 8, 32, 6e-3, 1e-4

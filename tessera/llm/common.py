@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Words are runs of anything but ASCII space and the controls tab to carriage return.
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
@@ -56,6 +57,11 @@ def words_column(text: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
+def packed(rows: DataFrame, *keep: Column) -> DataFrame:
+    """rows as one struct _row, with what keep names beside it, so that no column of rows can clash with those of an operator."""
+    return rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_row"), *keep)
+
+
 def crc_remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo modulus; null ids give null."""
     return F.crc32(doc_id.cast("string")) % F.lit(modulus)
@@ -99,12 +105,18 @@ def connected_components(nodes: DataFrame | None, edges: DataFrame, tag: str, ma
     return known.groupBy("id").agg(F.min("component").alias("component"))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, learn_from: Column, label_col: str, rows: int) -> DataFrame:
-    """(doc_id, text, y) of the labelled documents of lowest hash, rows of them at most.
+def labelled_sample(docs: DataFrame, labels: DataFrame, learn_from: Column, label_col: str, rows: int, most_bytes: int | None = None) -> DataFrame:
+    """(doc_id, text, y) of the labelled documents of lowest hash, rows of them at most, and most_bytes of text.
 
-    learn_from says of a row of labels whether it may teach. Of several labels of an id the lowest counts, of several texts one.
+    learn_from says of a row of labels whether it may teach. Of several labels of an id the lowest counts, of several texts the least.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull() & learn_from)
     known = known.groupBy("doc_id").agg(F.min(F.col(label_col).cast("int")).alias("y"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    found = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    if most_bytes is None:
+        return found
+    found = written(found, "labelled-sample")
+    upto = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # over rows numbers at most
+    sizes = found.select("doc_id", F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(upto).alias("so_far"))
+    return found.join(F.broadcast(sizes.where(F.col("so_far") <= most_bytes).select("doc_id")), "doc_id")

@@ -6,8 +6,8 @@ are boilerplate and go from every page of that host. Lines are compared without
 counted nor dropped.
 
 Nulls: a null text stays null and counts as a page without lines; a null host is a host of its own. Repeated rows are
-pages of their own. An empty text has one line without a word. Input columns stay as they are; helper columns carry
-the prefix _ld_ and never reach the output. An empty table gives an empty table.
+pages of their own. An empty text has one line without a word. Further input columns stay as they are, whatever their names, but for
+the one that count_col names, which is replaced. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import words_column, written
+from tessera.llm.common import packed, words_column, written
 
 #: A menu is on most pages of a host, a notice or an advertisement on some; prose does not repeat at this share.
 MAX_SHARE = 0.03
@@ -52,20 +52,22 @@ def boilerplate(pages: DataFrame, host: Column, text: Column, max_share: float =
     )
 
 
-def drop_boilerplate(pages: DataFrame, host: Column, text_col: str = "text", max_share: float = MAX_SHARE, min_pages: int = MIN_PAGES, min_words: int = MIN_WORDS) -> DataFrame:
-    """pages with boilerplate lines out of text_col, and _n_dropped lines dropped beside it."""
-    drop = boilerplate(pages, host, F.col(text_col), max_share, min_pages, min_words)
+def drop_boilerplate(pages: DataFrame, host: Column, text_col: str = "text", max_share: float = MAX_SHARE, min_pages: int = MIN_PAGES, min_words: int = MIN_WORDS, count_col: str = "_n_dropped") -> DataFrame:
+    """pages with boilerplate lines out of text_col, and the number of lines dropped in count_col."""
+    columns = [c for c in pages.columns if c != count_col]
+    rows = packed(pages, host.alias("_ld_of"), F.col(f"`{text_col}`").alias("_ld_text"))
+    drop = boilerplate(rows, F.col("_ld_of"), F.col("_ld_text"), max_share, min_pages, min_words)
     # A line in the list is on more than max_share of the host's pages, so the list has 1 / max_share times the lines of a mean page at most.
     lists = written(drop.groupBy("_ld_host").agg(F.collect_set("_ld_line").alias("_ld_lines")), "line-dedup")
-    joined = pages.withColumn("_ld_of", host).join(lists, F.col("_ld_of").eqNullSafe(F.col("_ld_host")), "left")
-    parts = F.split(F.col(text_col), "\n")
+    joined = rows.join(lists, F.col("_ld_of").eqNullSafe(F.col("_ld_host")), "left")
+    parts = F.split("_ld_text", "\n")
     held = F.filter(parts, lambda x: ~F.array_contains(F.col("_ld_lines"), line_key(x)))
-    has = F.col("_ld_lines").isNotNull() & F.col(text_col).isNotNull()
+    has = F.col("_ld_lines").isNotNull() & F.col("_ld_text").isNotNull()
     out = joined.withColumn("_ld_held", F.when(has, held))
     return out.select(
         *[
-            F.when(has, F.array_join("_ld_held", "\n")).otherwise(F.col(text_col)).alias(text_col) if c == text_col else F.col(c)
-            for c in pages.columns
+            (F.when(has, F.array_join("_ld_held", "\n")).otherwise(F.col("_ld_text")) if c == text_col else F.col("_row")[c]).alias(c)
+            for c in columns
         ],
-        F.when(has, F.size(parts) - F.size("_ld_held")).otherwise(0).cast("long").alias("_n_dropped"),
+        F.when(has, F.size(parts) - F.size("_ld_held")).otherwise(0).cast("long").alias(count_col),
     )

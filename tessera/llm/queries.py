@@ -46,7 +46,7 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    sample = labelled_sample(docs, labels, crc_remainder(F.col("doc_id"), 4) != 2, "quality", byte_cnn.LABELLED_ROWS)
+    sample = labelled_sample(docs, labels, crc_remainder(F.col("doc_id"), 4) != 2, "quality", byte_cnn.LABELLED_ROWS, byte_cnn.LABELLED_BYTES)
     scored = byte_cnn.classify(docs, sample, 0.7)
     held_out = F.coalesce(crc_remainder(F.col("doc_id"), 4) == 2, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")

@@ -42,6 +42,29 @@ def test_edges(spark, sf_dir):
     assert p.ORACLE_SQL is None
 
 
+def test_stages_keep_columns_of_any_name(spark, sf_dir):
+    """Names that operators use themselves, very long texts, repeated rows with other columns, ties."""
+    long = "a long text without an end and " * 40_000
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
+    rows = [(1, long, "en", "a", None, 0), (2, text(2), "en", "a", 5, 1), (2, text(2), "en", "a", 5, 2), (3, text(2), "en", None, 5, 3), (None, text(4), None, "b", 5, 4), (5, None, "en", "b", None, 5), (6, "", "en", "b", 0, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, more long")
+    names = ["_tx", "_row", "_n_dropped", "_ld_of", "_ld_lines", "_mx_times", "_times", "_of", "_id", "kept", "class_id", "size", "dotted.name"]
+    docs = docs.withColumns({n: F.col("more") + k for k, n in enumerate(names)})
+    want = {"toxicity": range(7), "line dedup": range(7), "near dedup": None, "mixing": None}
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert all(r[n] == r["more"] + k for r in got for k, n in enumerate(names))
+        if want[name]:
+            assert sorted(r.more for r in got) == list(want[name])
+        if name == "near dedup":
+            assert [r.doc_id for r in sorted(got, key=lambda r: r.more)] in ([1, 2, None, 5, 6],) and sorted(map(tuple, stage(spark, docs.repartition(3), sf_dir).collect()), key=str) == sorted(map(tuple, got), key=str)
+        if name == "mixing":
+            assert {r.more for r in got} >= {4, 5, 6}
+    assert p.STAGES[-1][1](spark, docs, sf_dir).select("doc_id").distinct().count() == 6
+
+
 def test_repeated_lines_of_a_source(spark, sf_dir):
     planted, short, rare = "Subscribe to our weekly letter today", "Read more", "A line that three documents share"
     rows = []
