@@ -2,7 +2,7 @@
 
 A text's UTF-8 bytes are cut into overlapping chunks that cover all of it. Learned filters over embedded bytes run along each chunk; the
 largest response of each filter in a chunk is kept. Over the chunks, mean and maximum of these go through one hidden layer to one
-probability. All weights are trained here by Adam, on the driver, from LABELLED_ROWS labelled rows and LABELLED_BYTES of text at most: those of
+probability. All weights are trained here by Adam, in one task, from LABELLED_ROWS labelled rows and LABELLED_BYTES of text at most: those of
 the lowest hash among the rows that may be learned from, with their whole texts.
 
 Scoring is one pass of a map over the documents. A task holds one group of chunks of GROUP_CHUNKS at a time, however long a text is.
@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LABELLED_ROWS = 2400
-#: Of text, UTF-8, that the driver trains on at most.
+#: Of text, UTF-8, that the task trains on at most.
 LABELLED_BYTES = 64_000_000
 CHUNK, OVERLAP = 1024, 64
-WIDTH, STRIDE, EMBED, FILTERS, HIDDEN = 8, 4, 6, 24, 16
+WIDTH, STRIDE, EMBED, FILTERS, HIDDEN = 8, 4, 6, 24, 16  # WIDTH is two strides
 EPOCHS, BATCH_DOCS, RATE, DECAY = 8, 32, 6e-3, 1e-4
 GROUP_CHUNKS = 64
 PAD = 256
@@ -56,10 +56,11 @@ def start(rng: np.random.Generator) -> Weights:
 
 def pooled(chunks: np.ndarray, w: Weights) -> tuple[np.ndarray, np.ndarray]:
     """Largest response of each filter in each chunk, and the position where it is."""
-    seen = w["embed"][chunks].reshape(len(chunks), CHUNK * EMBED)
-    windows = np.lib.stride_tricks.sliding_window_view(seen, WIDTH * EMBED, axis=1)[:, :: STRIDE * EMBED]
-    response = np.ascontiguousarray(windows).reshape(-1, WIDTH * EMBED) @ w["conv"]
-    response = response.reshape(len(chunks), -1, FILTERS)
+    # Windows are two strides wide, so each is a pair of neighbouring blocks of one stride.
+    block, half = STRIDE * EMBED, WIDTH * EMBED // 2
+    blocks = w["embed"].take(chunks, axis=0).reshape(-1, block)
+    both = (blocks @ np.concatenate([w["conv"][:half], w["conv"][half:]], 1)).reshape(len(chunks), CHUNK // STRIDE, 2 * FILTERS)
+    response = both[:, :-1, :FILTERS] + both[:, 1:, FILTERS:]
     at = response.argmax(1)
     top = np.take_along_axis(response, at[:, None], 1)[:, 0] + w["conv_b"]
     return np.maximum(top, 0), at
@@ -91,14 +92,10 @@ def gradients(docs: list[np.ndarray], y: np.ndarray, w: Weights) -> Weights:
     is_most = top == most[owner]
     d_top = (d_top + d_both[:, FILTERS:][owner] * is_most / np.maximum(1, np.add.reduceat(is_most.astype(np.float32), starts))[owner]) * (top > 0)
     g["conv_b"] = d_top.sum(0)
-    c, f = np.nonzero(d_top)
-    places = at[c, f][:, None] * STRIDE + np.arange(WIDTH)
-    letters = chunks[c[:, None], places]
-    value = d_top[c, f]
-    conv = np.zeros((FILTERS, WIDTH * EMBED), np.float32)
-    np.add.at(conv, f, value[:, None] * w["embed"][letters].reshape(len(c), -1))
-    embed = np.zeros_like(w["embed"])
-    np.add.at(embed, letters, (value[:, None] * w["conv"][:, f].T).reshape(len(c), WIDTH, EMBED))
+    letters = np.take_along_axis(chunks[:, None], at[:, :, None] * STRIDE + np.arange(WIDTH), 2)
+    conv = (d_top[:, :, None] * w["embed"].take(letters, axis=0).reshape(*at.shape, -1)).sum(0)
+    per_letter = (d_top[:, :, None] * w["conv"].T).reshape(-1, EMBED)
+    embed = np.stack([np.bincount(letters.ravel(), column, PAD + 1) for column in per_letter.T], 1)
     return g | {"conv": conv.T, "embed": embed}
 
 
@@ -163,10 +160,22 @@ def scores(texts: list[str | None], w: Weights) -> list[float]:
     return out
 
 
+def fitted(sample: DataFrame) -> Weights:
+    """train() on sample (doc_id, text, y), in one task: the sample is bounded, and workers calculate on one core, as these small products need."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = sorted((r for batch in batches for r in batch.itertuples(index=False)), key=lambda r: r.doc_id)
+        w = train([r.text or "" for r in rows], np.array([r.y for r in rows], dtype=np.float32))
+        yield pd.DataFrame({"name": list(w), "shape": [list(v.shape) for v in w.values()], "data": [v.astype(np.float32).tobytes() for v in w.values()]})
+
+    found = sample.select("doc_id", "text", "y").repartition(1).mapInPandas(run, "name string, shape array<int>, data binary").collect()
+    # Without rows there may be no task.
+    return {r.name: np.frombuffer(r.data, np.float32).reshape(r.shape) for r in found} or train([], np.empty(0, np.float32))
+
+
 def classify(docs: DataFrame, sample: DataFrame, threshold: float) -> DataFrame:
     """doc_id, score and predicted of each row of docs (doc_id, text), learned from sample (doc_id, text, y) of a bounded size."""
-    sample = [(r.text or "", r.y) for r in sorted(sample.collect(), key=lambda r: r.doc_id)]
-    w = train([t for t, _ in sample], np.array([y for _, y in sample], dtype=np.float32))
+    w = fitted(sample)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
