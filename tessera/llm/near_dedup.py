@@ -10,12 +10,12 @@ A sketch holds DEPTH shingles. With PERMUTATIONS of them a pair of similarity 0.
 four and one of five shingles none: texts of SHORT shingles or fewer, and those that can be like them, are also sketched at SHORT_DEPTH
 shingles, where a pair of 0.8 shares none with probability 3e-10.
 
-Each text is a row in the bucket of each of its sketches that another text shares, with the codes of its shingles. A bucket is cut into
-parts of PART texts. First the texts of a part are compared with each other and with the bucket's pivot, the text that shares the most
+Each text is a row in the bucket of each of its sketches that another text shares, with the codes of its shingles; of buckets of the same
+texts, such as those of two copies, one is kept. A bucket is cut into parts of PART texts. First the texts of a part are compared with each other and with the bucket's pivot, the text that shares the most
 sketches, so groups of copies become classes at a cost in proportion to their size. Buckets of several parts that then still
 hold several classes are compared part by part, all pairs of texts that can be similar by size and are not in one class; parts of one
 class alone do not meet. So every pair that shares a sketch is compared or in one class already: there is no cap on partners.
-A pair is compared in the first sketch that it shares; the shared shingles of all pairs of two parts are one matrix product, only
+A pair is compared in the first bucket that it shares; the shared shingles of all pairs of two parts are one matrix product, only
 pairs that share enough are aligned, and of those only what is not linked yet. A part returns links that span its classes, never its pairs.
 
 Null, empty and blank texts link with nothing. Repeated rows and rows with one id are rows of one class, whatever their texts. Rows with a
@@ -176,6 +176,14 @@ def bucket_rows(texts: DataFrame) -> DataFrame:
     return texts.mapInPandas(run, "digest binary, id long, n long, key long")
 
 
+def different_buckets(active: DataFrame) -> DataFrame:
+    """active (digest, key, ...) without buckets that hold the same texts as one of a smaller key. Sets are told apart by 128 bits of hash and their size."""
+    sets = active.groupBy("key").agg(
+        F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("digest")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "digest")).alias("h2")
+    )
+    return active.join(sets.groupBy("size", "h1", "h2").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+
+
 def with_codes(active: DataFrame, docs: DataFrame) -> DataFrame:
     """active (digest, id, keys) with the codes of its texts, which docs has by doc_id."""
 
@@ -193,7 +201,7 @@ def part_links(part: pd.DataFrame, threshold: float) -> list[tuple[int, int]]:
     """Links (a, b) of ids that span the classes which the similar texts of a part, or of two parts (side 0 and 1), form.
 
     part: key, side, id, label, n, keys, codes. Pairs of two parts are those of a text of either; side 2 is the pivot, which meets every text. Texts
-    of one label are in one class from the start. Other pairs count in the first sketch that they share.
+    of one label are in one class from the start. Other pairs count in the first of the buckets (keys) that they share.
     """
     part = part.sort_values("side", kind="stable")
     key, side, n = part.key.iloc[0], part.side.to_numpy(), part.n.to_numpy()
@@ -201,7 +209,7 @@ def part_links(part: pd.DataFrame, threshold: float) -> list[tuple[int, int]]:
     if len(ids) < 2:
         return []
     codes = [np.frombuffer(c, np.uint64) for c in part.codes]
-    keys = np.stack([np.frombuffer(k, np.int64) for k in part["keys"]])
+    keys = [set(k) for k in part["keys"]]
     root = {x: x for x in labels.tolist()}
 
     def find(x: int) -> int:
@@ -232,10 +240,8 @@ def part_links(part: pd.DataFrame, threshold: float) -> list[tuple[int, int]]:
         x, y = find(labels[i]), find(labels[j])
         if x == y:
             continue
-        if side[j] < 2:
-            both = (keys[i] == keys[j]) & (keys[i] != 0)
-            if keys[i, both.argmax()] != key:
-                continue
+        if side[j] < 2 and min(keys[i] & keys[j]) != key:
+            continue
         if aligned_similarity(codes[i], codes[j], threshold) >= threshold:
             root[max(x, y)] = min(x, y)
             links.append((int(ids[i]), int(ids[j])))
@@ -320,9 +326,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = written(reps, "near-reps")
     keyed = bucket_rows(reps)
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("total")).where("texts > 1")
-    active = written(keyed.join(shared, "key"), "near-buckets")
-    members = reps.join(active.select("digest").distinct(), "digest", "left_semi")
-    codes = written(with_codes(members, rows), "near-codes")
+    every = written(keyed.join(shared, "key"), "near-buckets")
+    active = written(different_buckets(every), "near-buckets")
+    discard(every)
+    codes = written(with_codes(active.groupBy("digest", "id").agg(F.collect_list("key").alias("keys")), rows), "near-codes")
 
     # Texts of one id are one class.
     several = good.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("doc_id")
