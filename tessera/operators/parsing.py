@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import difflib
 import hashlib
+import re
 from collections import Counter
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType, LongType
+from pyspark.sql.types import ArrayType, DoubleType, LongType
 from pyspark.sql.window import Window
 
 from tessera.functions import geometry as geo
@@ -28,16 +29,16 @@ def chunked(docs: DataFrame, key: str, text: str, words_per_chunk: int) -> DataF
     return rows.select(key, "chunk_index", "chunk_count", F.size(part).alias("n_words"), content_key(F.array_join(part, " ")).alias("content_key"))
 
 
-@F.pandas_udf(ArrayType(FloatType()))
+@F.pandas_udf(ArrayType(DoubleType()))
 def hash_embedding(texts: pd.Series) -> pd.Series:
     """A deterministic stand-in for a dense embedding model: signed hashed words, length one."""
 
     def one(text: str | None) -> np.ndarray | None:
         if text is None:
             return None
-        v = np.zeros(DENSE_DIM, dtype=np.float32)
-        for word in text.split():
-            h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=4).digest(), "little")
+        v = np.zeros(DENSE_DIM)
+        for word in filter(None, re.split(r"[ \t\n\x0b\f\r]+", text)):
+            h = int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
             v[h % DENSE_DIM] += 1.0 if h >> 16 & 1 else -1.0
         return v / max(float(np.linalg.norm(v)), 1e-12)
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.formats import actual_format
 from tessera.operators import acquisition as a
 from tessera.plans.base import registrar
 from tessera.sources.tables import RELATIONS_SQL, relations, table
@@ -149,3 +153,24 @@ def corpus_groups(spark, sf_dir):
     n = rows.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"))
     held = rows.where("grp is not null").join(n, "prefix")
     return held.groupBy("grp").agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("n") > 1).alias("ambiguous"), F.sum("p_size").alias("pages"))
+
+
+def archive_of(*names: str) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name in names:
+            z.writestr(zipfile.ZipInfo(name), "x")
+    return out.getvalue()
+
+
+#: Bytes of files of each kind, and what they are.
+SAMPLES = (
+    (b"%PDF-1.7", "PDF"), (archive_of("mimetype", "Contents/content.hpf"), "HWPX"), (archive_of("word/document.xml"), "DOCX"), (archive_of("a.pdf", "b.hwp"), "ZIP"), (archive_of("../a.pdf"), "UNKNOWN"),
+    (b"PK broken", "UNKNOWN"), (b"  <!DOCTYPE HTML><html>", "OTHER"), (b"<?xml version='1.0'?><HWPML>", "HWPML"), (b"\x89PNG\r\n\x1a\n", "PNG"), (b"\xff\xd8\xff\xe0", "JPEG"), (bytes.fromhex("d0cf11e0a1b11ae1") + b"..HWP Document File", "HWP"), (b"", "UNKNOWN"),
+)
+
+
+@query(f"SELECT p_partkey AS id, {[kind for _, kind in SAMPLES]}[p_partkey % {len(SAMPLES)} + 1] AS format FROM part")
+def container_formats(spark, sf_dir):
+    raw = F.element_at(F.array(*[F.lit(data) for data, _ in SAMPLES]), (F.col("p_partkey") % len(SAMPLES) + 1).cast("int"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), actual_format(raw).alias("format"))

@@ -103,12 +103,20 @@ def event_stream(spark, sf_dir) -> DataFrame:
     return spark.readStream.schema(SCHEMAS["events"]).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
 
 
-@query()
+@query(THROTTLE_SQL)
 def throttle_stream(spark, sf_dir):
     return drained(spark, stateful.throttle(attempts(event_stream(spark, sf_dir)), RULE))
 
 
-@query()
+QUOTA_SQL = """WITH RECURSIVE e AS (SELECT user_id || '/' || ((ts + INTERVAL 9 HOUR)::DATE)::VARCHAR AS key, event_id, event_type = 'error' AS refund, row_number() OVER (PARTITION BY user_id, (ts + INTERVAL 9 HOUR)::DATE ORDER BY ts, event_id) AS k
+  FROM events WHERE event_type IN ('click', 'purchase', 'error')),
+s AS (SELECT key, 0::BIGINT AS k, NULL::BIGINT AS event_id, 0 AS used, '' AS outcome FROM (SELECT DISTINCT key FROM e)
+  UNION ALL SELECT e.key, e.k, e.event_id, CASE WHEN e.refund THEN greatest(0, used - 1) WHEN used < 2 THEN used + 1 ELSE used END,
+    CASE WHEN e.refund AND used > 0 THEN 'REFUNDED' WHEN e.refund THEN 'NOTHING' WHEN used < 2 THEN 'ACCEPTED' ELSE 'REJECTED' END FROM s JOIN e ON e.key = s.key AND e.k = s.k + 1)
+SELECT key, event_id, outcome FROM s WHERE k > 0"""
+
+
+@query(QUOTA_SQL)
 def quota_stream(spark, sf_dir):
     at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     rows = event_stream(spark, sf_dir).where("event_type in ('click', 'purchase', 'error')")
@@ -116,7 +124,16 @@ def quota_stream(spark, sf_dir):
     return drained(spark, stateful.quota(uses, 2))
 
 
-@query()
+STEP_SQL = """CASE WHEN s.status = 'NEW' AND c = 'start' THEN 'RUNNING' WHEN s.status = 'RUNNING' AND c = 'step' THEN 'RUNNING' WHEN s.status = 'RUNNING' AND c = 'ask' THEN 'WAITING'
+  WHEN s.status = 'WAITING' AND c = 'answer' THEN 'RUNNING' WHEN s.status = 'RUNNING' AND c = 'fail' THEN 'FAILED' END"""
+WORKFLOW_SQL = f"""WITH RECURSIVE e AS (SELECT user_id AS key, event_id, CASE event_type WHEN 'signup' THEN 'start' WHEN 'click' THEN 'step' WHEN 'view' THEN 'ask' WHEN 'purchase' THEN 'answer' WHEN 'error' THEN 'fail' END AS c,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+s AS (SELECT key, 0::BIGINT AS k, NULL::BIGINT AS event_id, 'NEW' AS status, 0::BIGINT AS version, '' AS outcome FROM (SELECT DISTINCT key FROM e)
+  UNION ALL SELECT e.key, e.k, e.event_id, coalesce({STEP_SQL}, s.status), s.version + ({STEP_SQL} IS NOT NULL)::INT, CASE WHEN {STEP_SQL} IS NOT NULL THEN 'APPLIED' ELSE 'REFUSED' END FROM s JOIN e ON e.key = s.key AND e.k = s.k + 1)
+SELECT key, event_id, status, version, outcome FROM s WHERE k > 0"""
+
+
+@query(WORKFLOW_SQL)
 def workflow_stream(spark, sf_dir):
     at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     names = F.create_map(*[F.lit(x) for pair in (("signup", "start"), ("click", "step"), ("view", "ask"), ("purchase", "answer"), ("error", "fail")) for x in pair])

@@ -158,9 +158,9 @@ def canonical_json(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", identity.canonical_json_key(raw).alias("key"))
 
 
-@query()
+@query(f"""WITH h AS (SELECT vec_id, sha1(from_hex('{NAMESPACE.hex}') || encode('chunk:' || vec_id)) AS d FROM embeddings)
+SELECT vec_id, substr(d, 1, 8) || '-' || substr(d, 9, 4) || '-5' || substr(d, 14, 3) || '-' || substr('89ab', (position(substr(d, 17, 1) IN '0123456789abcdef') - 1) % 4 + 1, 1) || substr(d, 18, 3) || '-' || substr(d, 21, 12) AS point_id FROM h""")
 def uuid5_ids(spark, sf_dir):
-    """Compared with the standard library in the tests; SQL of the oracle has no SHA-1 over bytes."""
     rows = table(spark, sf_dir, "embeddings")
     return rows.select("vec_id", identity.uuid5(NAMESPACE, F.concat(F.lit("chunk:"), F.col("vec_id").cast("string"))).alias("point_id"))
 

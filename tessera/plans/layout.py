@@ -88,9 +88,27 @@ def grid_check(spark, sf_dir):
     return y.grid_report(cells, "tab")
 
 
-@query()
+def greedy_sql(pairs: str, least: float) -> str:
+    """Recursive CTEs for one-to-one matches of pairs(page, a, b, iou) by falling iou: the last one is m(page, a, b, iou)."""
+    return f""", o AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY iou DESC, a, b) AS k FROM {pairs} WHERE iou >= {least}),
+s AS (SELECT page, 0::BIGINT AS k, []::BIGINT[] AS ta, []::BIGINT[] AS tb, NULL::BIGINT AS a, NULL::BIGINT AS b, NULL::DOUBLE AS iou, false AS hit FROM (SELECT DISTINCT page FROM o)
+  UNION ALL SELECT o.page, o.k, CASE WHEN list_contains(ta, o.a) OR list_contains(tb, o.b) THEN ta ELSE list_append(ta, o.a) END, CASE WHEN list_contains(ta, o.a) OR list_contains(tb, o.b) THEN tb ELSE list_append(tb, o.b) END,
+    o.a, o.b, o.iou, NOT (list_contains(ta, o.a) OR list_contains(tb, o.b)) FROM s JOIN o ON o.page = s.page AND o.k = s.k + 1),
+m AS (SELECT page, a, b, iou FROM s WHERE hit)
+"""
+
+
+def iou_sql(a: str, b: str) -> str:
+    i = f"(greatest(0.0::DOUBLE, least({a}.r, {b}.r) - greatest({a}.l, {b}.l)) * greatest(0.0::DOUBLE, least({a}.bt, {b}.bt) - greatest({a}.t, {b}.t)))"
+    return f"{i} / (({a}.r - {a}.l) * ({a}.bt - {a}.t) + ({b}.r - {b}.l) * ({b}.bt - {b}.t) - {i})"
+
+
+RECURSIVE_SQL = BOXES_SQL.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(RECURSIVE_SQL + f", pr AS (SELECT x.page, x.cell AS a, z.cell AS b, round({iou_sql('x', 'z')}, 9) AS iou FROM c x JOIN c z ON x.page = z.page AND x.cell % 8 = 0 AND z.cell % 8 = 4)" + greedy_sql("pr", 0.05) + "SELECT * FROM m")
 def greedy_match(spark, sf_dir):
-    """Order-dependent, so without SQL; the tests compare it with a plain loop."""
+    """Cells of even number among the page's are matched with the others."""
     cells = boxes(spark, sf_dir)[1]
     a = cells.where("cell % 8 = 0").select("page", F.col("cell").alias("a"), F.col("cell_box").alias("x"))
     b = cells.where("cell % 8 = 4").select("page", F.col("cell").alias("b"), F.col("cell_box").alias("z"))
@@ -98,9 +116,15 @@ def greedy_match(spark, sf_dir):
     return y.greedy_matches(pairs, "page", 0.05)
 
 
-@query()
+READING_SQL = BOXES_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """, o AS (SELECT page, word, (l + r) / 2 AS cx, (t + bt) / 2 AS cy, bt - t AS h, row_number() OVER (PARTITION BY page ORDER BY (t + bt) / 2, (l + r) / 2, word) AS k FROM w),
+s AS (SELECT page, k, word, cx, 0::BIGINT AS line, cy AS anchor FROM o WHERE k = 1
+  UNION ALL SELECT o.page, o.k, o.word, o.cx, s.line + (o.cy - s.anchor > 0.5 * o.h)::INT, CASE WHEN o.cy - s.anchor > 0.5 * o.h THEN o.cy ELSE s.anchor END FROM s JOIN o ON o.page = s.page AND o.k = s.k + 1)
+SELECT page, line, string_agg(word::VARCHAR, ' ' ORDER BY cx, word) AS text FROM s GROUP BY page, line"""
+
+
+@query(READING_SQL)
 def reading_order(spark, sf_dir):
-    """Lines are anchored at their first word, so without SQL; the tests compare it with a plain loop."""
+    """Lines are anchored at their first word."""
     words = boxes(spark, sf_dir)[0]
     box = F.col("word_box")
     rows = words.select("page", "word", ((box["l"] + box["r"]) / 2).alias("cx"), ((box["t"] + box["b"]) / 2).alias("cy"), (box["b"] - box["t"]).alias("height"))

@@ -84,9 +84,10 @@ def test_streaming_windows(spark, duck, sf_dir):
 
 
 def test_embeddings_of_text(spark, sf_dir):
-    rows = registry.QUERIES["embedded_documents"](spark, sf_dir).collect()
-    assert rows == registry.QUERIES["embedded_documents"](spark, sf_dir).collect()
-    assert all(abs(sum(x * x for x in r.dense) - 1) < 1e-5 or not any(r.dense) for r in rows)
+    length = defaultdict(float)
+    for r in registry.QUERIES["embedded_documents"](spark, sf_dir).collect():
+        length[r.doc_id] += r.value**2
+    assert length and all(abs(x - 1) < 1e-3 for x in length.values())
 
 
 def test_repeated_criteria(spark, duck, sf_dir):
