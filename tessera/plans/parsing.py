@@ -92,12 +92,13 @@ def cell_neighbours(spark, sf_dir):
     return p.neighbours(table_cells(spark, sf_dir), "tab")
 
 
-@query(CELLS_SQL + """, a AS (SELECT tab % 2 AS side, tab // 2 AS pair, text, r AS n FROM n WHERE r IS NOT NULL), k AS (SELECT pair, text, n, count_if(side = 0) AS x, count_if(side = 1) AS y FROM a GROUP BY ALL),
+@query(CELLS_SQL + """, a AS (SELECT tab % 2 AS side, tab // 2 AS pair, text, r AS n, 'right' AS d FROM n WHERE r IS NOT NULL UNION ALL SELECT tab % 2, tab // 2, text, d, 'down' FROM n WHERE d IS NOT NULL),
+k AS (SELECT pair, text, n, d, count_if(side = 0) AS x, count_if(side = 1) AS y FROM a GROUP BY ALL),
 s AS (SELECT pair, sum(least(x, y)) AS hit, sum(x) AS x, sum(y) AS y FROM k GROUP BY pair) SELECT pair, round(hit / nullif(y, 0)::DOUBLE, 6) AS precision, round(hit / nullif(x, 0)::DOUBLE, 6) AS recall, round(2 * hit / nullif(x + y, 0)::DOUBLE, 6) AS f1 FROM s""")
 def adjacency_f1(spark, sf_dir):
-    near = p.neighbours(table_cells(spark, sf_dir), "tab").where("direction = 'right'")
+    """Neighbours to the right and below of a table against those of its reference."""
     side = F.col("tab") % 2
-    counted = near.groupBy(F.floor(F.col("tab") / 2).alias("pair"), "text", "next_text").agg(F.count_if(side == 0).alias("x"), F.count_if(side == 1).alias("y"))
+    counted = p.neighbours(table_cells(spark, sf_dir), "tab").groupBy(F.floor(F.col("tab") / 2).alias("pair"), "text", "next_text", "direction").agg(F.count_if(side == 0).alias("x"), F.count_if(side == 1).alias("y"))
     s = counted.groupBy("pair").agg(F.sum(F.least("x", "y")).alias("hit"), F.sum("x").alias("x"), F.sum("y").alias("y"))
     ratio = lambda a, b: F.round(F.try_divide(a, b), 6)
     return s.select("pair", ratio(F.col("hit"), F.col("y")).alias("precision"), ratio(F.col("hit"), F.col("x")).alias("recall"), ratio(2 * F.col("hit"), F.col("x") + F.col("y")).alias("f1"))
