@@ -108,6 +108,14 @@ def compose(*steps: Step) -> dict[tuple[int, str], tuple[int, str]]:
 
 
 GRAMMAR = compose(reported, negation, aimed)
+#: Weights of what comes out: of the weight of the word that is read, of the insult before it, and a constant.
+OUT_WEIGHTS = {
+    **{out: (force, 0.0, 0.0) for out, force in FORCE.items()},
+    "a": (0.0, FORCE["I"] - FORCE["i"], 0.0),
+    "H": (0.0, 0.0, THREAT_WEIGHT),
+}
+#: The weighted transducer: (state, symbol) to the next state, the three weights, and whether an insult has come out.
+WEIGHTED = {at: (state, *OUT_WEIGHTS.get(out, (0.0, 0.0, 0.0)), out in FORCE) for at, (state, out) in GRAMMAR.items()}
 
 
 class Lexicon:
@@ -138,18 +146,13 @@ class Lexicon:
         return ("q" if not token[0].isalpha() else "o"), 0.0
 
     def clause_score(self, clause: str) -> float:
-        state, total = 0, 0.0
-        last = 0.0
+        state, total, last = 0, 0.0, 0.0
         for token in TOKEN.findall(clause):
             symbol, weight = self.read(token.replace("’", "'"))
-            state, out = GRAMMAR[state, symbol]
-            if out in FORCE:
-                total += FORCE[out] * weight
+            state, of_word, of_last, constant, insult = WEIGHTED[state, symbol]
+            total += of_word * weight + of_last * last + constant
+            if insult:
                 last = weight
-            elif out == "a":
-                total += (FORCE["I"] - 1) * last
-            elif out == "H":
-                total += THREAT_WEIGHT
         return total
 
     def features(self, text: str | None) -> tuple[float, float, int]:
