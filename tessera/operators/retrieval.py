@@ -7,7 +7,6 @@ and leaves its best rows for each query only. What is left is bounded by queries
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -40,15 +39,17 @@ def token_counts(tokens: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"tokens": [t for t, _ in found], "counts": [c.astype(np.float64) for _, c in found]})
 
 
-def prepared(chunks: DataFrame, mode: str) -> DataFrame:
-    """chunk_id, program and what mode scores by: the dense vector, or the token counts of the text."""
-    rows = chunks.select("chunk_id", "program", "vector") if mode == "dense" else chunks.select("chunk_id", "program", token_counts(text_tokens(F.col("text"))).alias("s"))
-    return rows if mode == "dense" else rows.select("chunk_id", "program", "s.*")
+def prepared(chunks: DataFrame, modes: Sequence[str]) -> DataFrame:
+    """chunk_id, program and what the modes score by: the dense vector, and the token counts of the text."""
+    kept = ["chunk_id", "program", *["vector"] * ("dense" in modes)]
+    if "sparse" not in modes:
+        return chunks.select(*kept)
+    return chunks.select(*kept, token_counts(text_tokens(F.col("text"))).alias("s")).select(*kept, "s.*")
 
 
 def postings(chunks: DataFrame) -> DataFrame:
     """(chunk_id, program, token, weight): a token weighs its share of the chunk's most frequent token. Nothing is shuffled."""
-    rows = prepared(chunks, "sparse").withColumn("top", F.array_max("counts"))
+    rows = prepared(chunks, ["sparse"]).withColumn("top", F.array_max("counts"))
     rows = rows.select("chunk_id", "program", "top", F.explode(F.arrays_zip("tokens", "counts")).alias("x"))
     return rows.select("chunk_id", "program", F.col("x.tokens").alias("token"), (F.col("x.counts") / F.col("top")).alias("weight"))
 
@@ -83,7 +84,7 @@ def sparse_matrix(chunks: pd.DataFrame, queries: pd.DataFrame) -> np.ndarray:
 
 
 def tile_best(chunks: pd.DataFrame, queries: pd.DataFrame, mode: str, limit: int, by_program: bool) -> pd.DataFrame:
-    """The best limit rows of a tile for each query: chunks, or the best chunk of each program. Ties go to the lower id."""
+    """The best limit rows of a tile for each query by one mode: chunks, or the best chunk of each program. Ties go to the lower id."""
     chunks = chunks.sort_values("chunk_id")
     scores = np.round(dense_matrix(chunks, queries) if mode == "dense" else sparse_matrix(chunks, queries), SCORE_DIGITS)
     if "scope" in chunks:
@@ -98,12 +99,12 @@ def tile_best(chunks: pd.DataFrame, queries: pd.DataFrame, mode: str, limit: int
             # Equal scores of programs are settled by the program.
             order = order[np.lexsort((programs[order], -row[order]))]
         order = order[:limit]
-        parts.append(pd.DataFrame({"qid": qid, "program": programs[order], "chunk_id": ids[order], "score": row[order]}))
+        parts.append(pd.DataFrame({"qid": qid, "mode": mode, "program": programs[order], "chunk_id": ids[order], "score": row[order]}))
     return pd.concat(parts)
 
 
-def best_rows(chunks: DataFrame, queries: DataFrame, mode: str, n_chunks: int, n_queries: int, limit: int = MODE_LIMIT, by_program: bool = False) -> DataFrame:
-    """qid, program, chunk_id, score, rank: the best limit chunks, or programs by their best chunk, of each query.
+def best_rows(chunks: DataFrame, queries: DataFrame, modes: Sequence[str], n_chunks: int, n_queries: int, limit: int = MODE_LIMIT, by_program: bool = False) -> DataFrame:
+    """qid, mode, program, chunk_id, score, rank: the best limit chunks, or programs by their best chunk, of each query by each mode.
 
     chunks: prepared(). queries: the same columns with qid in place of chunk_id. With a column scope in both, a query meets chunks of its scope. n_chunks and n_queries only set the number of tiles.
     """
@@ -112,33 +113,33 @@ def best_rows(chunks: DataFrame, queries: DataFrame, mode: str, n_chunks: int, n
     right = queries.drop("program").withColumn("j", F.pmod(F.xxhash64("qid"), F.lit(asked))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long"))))
 
     def run(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        return tile_best(c, q, mode, limit, by_program) if len(c) and len(q) else pd.DataFrame({"qid": [], "program": [], "chunk_id": [], "score": []})
+        none = pd.DataFrame({"qid": [], "mode": [], "program": [], "chunk_id": [], "score": []})
+        return pd.concat([tile_best(c, q, mode, limit, by_program) for mode in modes]) if len(c) and len(q) else none
 
-    best = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(run, "qid long, program long, chunk_id long, score double")
+    best = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(run, "qid long, mode string, program long, chunk_id long, score double")
     tie = "chunk_id"
     if by_program:
-        best = best.groupBy("qid", "program").agg(F.min(F.struct((-F.col("score")).alias("s"), "chunk_id")).alias("b")).select("qid", "program", "b.chunk_id", (-F.col("b.s")).alias("score"))
+        best = best.groupBy("qid", "mode", "program").agg(F.min(F.struct((-F.col("score")).alias("s"), "chunk_id")).alias("b")).select("qid", "mode", "program", "b.chunk_id", (-F.col("b.s")).alias("score"))
         tie = "program"
     return ranked(best, tie, limit)
 
 
 def ranked(scored: DataFrame, tie: str, limit: int) -> DataFrame:
-    """The best limit rows of each query with their rank from 1; Spark limits groups before the shuffle."""
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), tie))).where(F.col("rank") <= limit)
+    """The best limit rows of each query and mode with their rank from 1; Spark limits groups before the shuffle."""
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid", "mode").orderBy(F.desc("score"), tie))).where(F.col("rank") <= limit)
 
 
-def fuse(rankings: Sequence[tuple[str, DataFrame, float]], key: str, k: int = RRF_K, limit: int | None = None) -> DataFrame:
-    """Weighted reciprocal rank fusion of (mode, ranking, weight) by query: qid, key, score, best rank, and each mode's rank and chunk.
+def fuse(rankings: DataFrame, weights: dict[str, float], key: str, k: int = RRF_K, limit: int | None = None) -> DataFrame:
+    """Weighted reciprocal rank fusion of best_rows() by query: qid, key, score, best rank, its chunk, and each mode's rank. Of equal ranks the first mode's chunk counts.
 
     Ordered by score, then best rank, then key.
     """
-    parts = [r.select("qid", key, "rank", "chunk_id", F.lit(w).alias("w"), F.lit(i).alias("mode"), F.lit(m).alias("name")) for i, (m, r, w) in enumerate(rankings)]
-    rows = reduce(DataFrame.unionByName, parts)
-    fused = rows.groupBy("qid", key).agg(
-        F.round(F.sum(F.col("w") / (F.lit(k) + F.col("rank"))), 12).alias("score"),
+    of_mode = lambda values: F.coalesce(*[F.when(F.col("mode") == m, v) for m, v in zip(weights, values, strict=True)])
+    fused = rankings.groupBy("qid", key).agg(
+        F.round(F.sum(of_mode(weights.values()) / (F.lit(k) + F.col("rank"))), 12).alias("score"),
         F.min("rank").alias("best_rank"),
-        F.min_by("chunk_id", F.struct("rank", "mode")).alias("chunk_id"),
-        *[F.min(F.when(F.col("name") == m, F.col("rank"))).alias(f"{m}_rank") for m, _, _ in rankings],
+        F.min_by("chunk_id", F.struct("rank", of_mode(range(len(weights))))).alias("chunk_id"),
+        *[F.min(F.when(F.col("mode") == m, F.col("rank"))).alias(f"{m}_rank") for m in weights],
     )
     place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "best_rank", key))
     return fused if limit is None else fused.withColumn("rank", place).where(F.col("rank") <= limit)

@@ -17,7 +17,7 @@ from tessera.plans.eligibility import BASE as CRITERIA_SQL
 from tessera.plans.eligibility import checked
 from tessera.plans.ingest import SNAPSHOTS_SQL, snapshots
 from tessera.plans.parsing import WORDS_SQL
-from tessera.plans.retrieval import BASE, EVERY, REGION
+from tessera.plans.retrieval import BASE, BOTH, EVERY, REGION
 from tessera.sources.tables import AS_OF, PROGRAMS_SQL, RELATIONS_SQL, chunks, programs, relations, table
 
 QUERIES, ORACLES = {}, {}
@@ -174,12 +174,10 @@ def searched(spark, sf_dir) -> DataFrame:
     able = profiles.where("not closed and conflict is null").select("qid", "scope")
     allowed = candidates(programs(spark, sf_dir), CandidateFilter(not_closed_on=AS_OF)).select(F.col("id").alias("program"), F.col("target").alias("scope"), "jurisdiction")
     n = table(spark, sf_dir, "embeddings").count()
-    ranks = []
-    for mode in ("dense", "sparse"):
-        within = r.prepared(chunks(spark, sf_dir), mode).join(allowed.select("program", "scope"), "program")
-        wanted = r.prepared(chunks(spark, sf_dir).where(F.col("chunk_id") % EVERY == 0), mode).withColumnRenamed("chunk_id", "qid").join(able, "qid")
-        ranks.append(r.best_rows(within, wanted, mode, n, n // EVERY, by_program=True))
-    top = r.fuse([("question", ranks[0], 1.0), ("company", ranks[1], 0.3)], "program", limit=10).join(allowed.select("program", "jurisdiction"), "program")
+    within = r.prepared(chunks(spark, sf_dir), BOTH).join(allowed.select("program", "scope"), "program")
+    wanted = r.prepared(chunks(spark, sf_dir).where(F.col("chunk_id") % EVERY == 0), BOTH).withColumnRenamed("chunk_id", "qid").join(able, "qid")
+    ranks = r.best_rows(within, wanted, BOTH, n, n // EVERY, by_program=True)
+    top = r.fuse(ranks, {"dense": 1.0, "sparse": 0.3}, "program", limit=10).join(allowed.select("program", "jurisdiction"), "program")
     listed = r.regional_bonus(top, F.coalesce(F.col("jurisdiction").isin(*REGION), F.lit(False))).select("qid", "program", "rank")
     found = allowed.groupBy("scope").agg(F.count(F.lit(1)).alias("found"))
     rows = profiles.join(found, "scope", "left").join(listed, "qid", "left")

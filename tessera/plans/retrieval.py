@@ -36,42 +36,44 @@ fused AS (SELECT coalesce(d.qid, s.qid) AS qid, coalesce(d.program, s.program) A
 """
 
 
-def best(spark, sf_dir, mode: str, over: DataFrame | None = None, **options) -> DataFrame:
-    """Best rows of each asked chunk by one mode, over chunks or over a part of them."""
+BOTH = ("dense", "sparse")
+
+
+def best(spark, sf_dir, modes: tuple[str, ...], over: DataFrame | None = None, **options) -> DataFrame:
+    """Best rows of each asked chunk by the modes, over chunks or over a part of them."""
     n = table(spark, sf_dir, "embeddings").count()
-    asked = r.prepared(chunks(spark, sf_dir).where(F.col("chunk_id") % EVERY == 0), mode).withColumnRenamed("chunk_id", "qid")
-    return r.best_rows(r.prepared(chunks(spark, sf_dir) if over is None else over, mode), asked, mode, n, n // EVERY, **options)
+    asked = r.prepared(chunks(spark, sf_dir).where(F.col("chunk_id") % EVERY == 0), modes).withColumnRenamed("chunk_id", "qid")
+    return r.best_rows(r.prepared(chunks(spark, sf_dir) if over is None else over, modes), asked, modes, n, n // EVERY, **options)
 
 
-def program_rankings(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+def program_rankings(spark, sf_dir) -> DataFrame:
     scope = candidates(programs(spark, sf_dir), CandidateFilter(not_closed_on=AS_OF)).select(F.col("id").alias("program"))
     within = chunks(spark, sf_dir).join(scope, "program", "left_semi")
-    return tuple(best(spark, sf_dir, mode, within, by_program=True) for mode in ("dense", "sparse"))
+    return best(spark, sf_dir, BOTH, within, by_program=True)
 
 
 def fused(spark, sf_dir, limit: int) -> DataFrame:
-    by_dense, by_sparse = program_rankings(spark, sf_dir)
-    return r.fuse([("dense", by_dense, 1.0), ("sparse", by_sparse, 1.0)], "program", limit=limit)
+    return r.fuse(program_rankings(spark, sf_dir), {"dense": 1.0, "sparse": 1.0}, "program", limit=limit)
 
 
 @query(BASE + "SELECT qid, chunk_id, program, score FROM dense WHERE role IS NULL OR role NOT IN ('FORM') QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) <= 50")
 def dense_topk(spark, sf_dir):
-    return best(spark, sf_dir, "dense", chunks(spark, sf_dir).where(r.role_condition(["FORM"]))).select("qid", "chunk_id", "program", "score")
+    return best(spark, sf_dir, ("dense",), chunks(spark, sf_dir).where(r.role_condition(["FORM"]))).select("qid", "chunk_id", "program", "score")
 
 
 @query(BASE + "SELECT qid, chunk_id, program, score FROM sparse QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) <= 50")
 def sparse_topk(spark, sf_dir):
-    return best(spark, sf_dir, "sparse").select("qid", "chunk_id", "program", "score")
+    return best(spark, sf_dir, ("sparse",)).select("qid", "chunk_id", "program", "score")
 
 
 @query(BASE + ", b AS (SELECT qid, program, arg_min(chunk_id, (-score, chunk_id)) AS chunk_id, max(score) AS score FROM dense GROUP BY ALL) SELECT qid, program, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, program) AS rank FROM b QUALIFY rank <= 50")
 def grouped_top1(spark, sf_dir):
-    return best(spark, sf_dir, "dense", by_program=True).select("qid", "program", "chunk_id", "score", "rank")
+    return best(spark, sf_dir, ("dense",), by_program=True).select("qid", "program", "chunk_id", "score", "rank")
 
 
 @query(BASE + "SELECT chunk_id, count(*) AS n_tokens, max(w) AS top, round(sum(w), 6) AS weight FROM post GROUP BY chunk_id")
 def sparse_vectors(spark, sf_dir):
-    rows = r.prepared(chunks(spark, sf_dir), "sparse").where(F.size("tokens") > 0)
+    rows = r.prepared(chunks(spark, sf_dir), ["sparse"]).where(F.size("tokens") > 0)
     total = F.aggregate("counts", F.lit(0.0), lambda s, n: s + n / F.array_max("counts"))
     return rows.select("chunk_id", F.size("tokens").cast("long").alias("n_tokens"), F.lit(1.0).alias("top"), F.round(total, 6).alias("weight"))
 
@@ -87,9 +89,8 @@ def hybrid_rrf(spark, sf_dir):
   round(coalesce(1.0::DOUBLE / (60 + d.rank), 0.0::DOUBLE) + coalesce(0.3::DOUBLE / (60 + s.rank), 0.0::DOUBLE), 12) AS score FROM dr d FULL JOIN sr s ON d.qid = s.qid AND d.program = s.program)
 SELECT qid, program, question_rank, company_rank, score FROM w QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, best_rank, program) <= 10""")
 def weighted_blend(spark, sf_dir):
-    by_question, by_company = program_rankings(spark, sf_dir)
-    rows = r.fuse([("question", by_question, 1.0), ("company", by_company, 0.3)], "program", limit=10)
-    return rows.select("qid", "program", "question_rank", "company_rank", "score")
+    rows = r.fuse(program_rankings(spark, sf_dir), {"dense": 1.0, "sparse": 0.3}, "program", limit=10)
+    return rows.select("qid", "program", F.col("dense_rank").alias("question_rank"), F.col("sparse_rank").alias("company_rank"), "score")
 
 
 @query(PROGRAM_RANKS + f""", t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, best_rank, program) AS rank FROM fused QUALIFY rank <= 10),
@@ -120,8 +121,7 @@ def hit_at_k(spark, sf_dir):
     """A hit is another chunk with the label of the asked one."""
     label = chunks(spark, sf_dir).select("chunk_id", "label")
     asked = label.where(F.col("chunk_id") % EVERY == 0).select(F.col("chunk_id").alias("qid"), F.col("label").alias("wanted"))
-    rows = best(spark, sf_dir, "dense").withColumn("mode", F.lit("dense")).unionByName(best(spark, sf_dir, "sparse").withColumn("mode", F.lit("sparse")))
-    rows = rows.join(label, "chunk_id").join(asked, "qid").withColumn("hit", F.coalesce((F.col("label") == F.col("wanted")) & (F.col("chunk_id") != F.col("qid")), F.lit(False)))
+    rows = best(spark, sf_dir, BOTH).join(label, "chunk_id").join(asked, "qid").withColumn("hit", F.coalesce((F.col("label") == F.col("wanted")) & (F.col("chunk_id") != F.col("qid")), F.lit(False)))
     return rows.groupBy("qid", "mode").agg(
         F.min(F.when(F.col("hit"), F.col("rank"))).alias("first_hit"),
         F.count_if(F.col("hit") & (F.col("rank") <= 1)).alias("hits_at_1"),
