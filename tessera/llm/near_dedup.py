@@ -192,7 +192,8 @@ def with_codes(active: DataFrame, docs: DataFrame) -> DataFrame:
             codes = [shingles(text) for text in batch.text]
             yield pd.DataFrame({"digest": [digest_of(c) for c in codes], "codes": [c.tobytes() for c in codes]})
 
-    held = docs.join(active.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    # The ids grow with the corpus, so they are never broadcast, however few they are here.
+    held = docs.join(active.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
     coded = held.mapInPandas(run, "digest binary, codes binary").where("digest is not null").groupBy("digest").agg(F.min("codes").alias("codes"))
     return active.select("digest", "keys").join(coded, "digest")
 
