@@ -21,6 +21,8 @@ TOP_K = 5
 SCORE_DIGITS = 9
 #: Chunks and queries of a tile.
 CHUNK_TILE, QUERY_TILE = 1024, 256
+#: Chunks whose token weights stand in a dense matrix at a time.
+CHUNK_STRIP = 128
 
 
 def role_condition(excluded: Sequence[str]) -> Column:
@@ -72,14 +74,18 @@ def sparse_matrix(chunks: pd.DataFrame, queries: pd.DataFrame) -> np.ndarray:
     for tokens in queries.tokens:
         for t in tokens:
             places.setdefault(t, len(places))
-    q, c = np.zeros((len(queries), len(places))), np.zeros((len(chunks), len(places)))
+    q = np.zeros((len(queries), len(places)))
     for k, (tokens, counts) in enumerate(zip(queries.tokens, queries.counts, strict=True)):
         q[k, [places[t] for t in tokens]] = counts
-    for k, (tokens, counts) in enumerate(zip(chunks.tokens, chunks.counts, strict=True)):
-        at = [(places[t], n) for t, n in zip(tokens, counts, strict=True) if t in places]
-        if at:
-            c[k, [p for p, _ in at]] = np.array([n for _, n in at]) / max(counts)
-    out = q @ c.T
+    out = np.zeros((len(queries), len(chunks)))
+    for start in range(0, len(chunks), CHUNK_STRIP):
+        part = chunks.iloc[start : start + CHUNK_STRIP]
+        c = np.zeros((len(part), len(places)))
+        for k, (tokens, counts) in enumerate(zip(part.tokens, part.counts, strict=True)):
+            at = [(places[t], n) for t, n in zip(tokens, counts, strict=True) if t in places]
+            if at:
+                c[k, [p for p, _ in at]] = np.array([n for _, n in at]) / max(counts)
+        out[:, start : start + len(part)] = q @ c.T
     return np.where(out > 0, out, np.nan)
 
 
