@@ -114,7 +114,7 @@ def idle_sessions(events: DataFrame, gap: str, late: str = "1 hour") -> DataFram
     return timed(events, late).groupBy(w.alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("first_at"), F.col("w.end").alias("expires_at"), "n")
 
 
-def stale_claims(claims: DataFrame, minutes: int = 5) -> DataFrame:
+def stale_claims(claims: DataFrame, minutes: float = 5) -> DataFrame:
     """claims (key long, at double, kind string: claim or release) to key and outcome: HELD, RELEASED, and STALE for a claim that nothing followed for minutes of processing time."""
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -125,7 +125,7 @@ def stale_claims(claims: DataFrame, minutes: int = 5) -> DataFrame:
         last = pd.concat(list(parts)).sort_values("at").kind.iloc[-1]
         if last == "claim":
             state.update((1,))
-            state.setTimeoutDuration(minutes * 60_000)
+            state.setTimeoutDuration(int(minutes * 60_000))
         elif state.exists:
             state.remove()
         yield pd.DataFrame({"key": [key[0]], "outcome": ["HELD" if last == "claim" else "RELEASED"]})

@@ -123,3 +123,26 @@ def test_reservations_roll_back():
     used = {"i1": 1}
     assert reserve(used, [("user", "u1"), ("ip", "i1")], {"user": 2, "ip": 1}) == "ip_limit" and used == {"i1": 1, "u1": 0}
     assert reserve(used, [("user", "u1"), ("ip", "i2")], {"user": 2, "ip": 1}) == "ACCEPTED" and used == {"i1": 1, "u1": 1, "i2": 1}
+
+
+def test_stale_claims(spark, tmp_path):
+    """Claims that are followed by nothing become stale once the processing time is up; here a tick of another key lets it be noticed."""
+    import time
+
+    from tessera.streaming.stateful import stale_claims
+
+    schema = "key long, at double, kind string"
+    write = lambda rows, name: spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / name))
+    write([(1, 1.0, "claim"), (2, 1.0, "claim"), (2, 2.0, "release")], "a")
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    query = stale_claims(stream, minutes=0.02).writeStream.format("memory").queryName("claims").outputMode("append").trigger(processingTime="1 second").start()
+    try:
+        outcomes = lambda: {tuple(r) for r in spark.sql("select key, outcome from claims").collect()}
+        until = time.time() + 90
+        while time.time() < until and (1, "STALE") not in outcomes():
+            time.sleep(2)
+            if (1, "HELD") in outcomes() and not (tmp_path / "in" / "b").exists():
+                write([(3, 1.0, "claim")], "b")
+        assert outcomes() >= {(1, "HELD"), (2, "RELEASED"), (1, "STALE")} and (2, "STALE") not in outcomes()
+    finally:
+        query.stop()
