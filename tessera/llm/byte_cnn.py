@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import mapped_with_id
+
 LABELLED_ROWS = 2400
 #: Of text, UTF-8, that the task trains on at most.
 LABELLED_BYTES = 64_000_000
@@ -180,6 +182,6 @@ def classify(docs: DataFrame, sample: DataFrame, threshold: float) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             s = np.array(scores(batch.text.tolist(), w))
-            yield pd.DataFrame({"doc_id": batch.doc_id.astype("Int64"), "score": s, "predicted": (s >= threshold).astype("int32")})
+            yield pd.DataFrame({"doc_id": batch.doc_id, "score": s, "predicted": (s >= threshold).astype("int32")})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, score double, predicted int")
+    return mapped_with_id(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", run, "score double, predicted int")

@@ -62,6 +62,12 @@ def packed(rows: DataFrame, *keep: Column) -> DataFrame:
     return rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_row"), *keep)
 
 
+def mapped_with_id(rows: DataFrame, id_col: str, run, others: str) -> DataFrame:
+    """rows.mapInPandas(run) to a long id_col and others. The id travels as text: pandas would round long ids of a batch that holds a null one."""
+    out = rows.withColumn(id_col, F.col(id_col).cast("string")).mapInPandas(run, f"{id_col} string, {others}")
+    return out.withColumn(id_col, F.col(id_col).cast("long"))
+
+
 def crc_remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo modulus; null ids give null."""
     return F.crc32(doc_id.cast("string")) % F.lit(modulus)

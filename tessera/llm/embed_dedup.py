@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from tessera.llm.common import connected_components, discard, written
+from tessera.llm.common import connected_components, discard, mapped_with_id, written
 
 COSINE = 0.93
 BLOCKS = 4
@@ -78,14 +78,16 @@ def keyed(vectors: DataFrame) -> DataFrame:
             digests = []
             for label, vector in zip(batch.label, batch.embedding, strict=True):
                 digest = None
-                if label is not None and label == label and vector is not None and len(vector):
+                if label is not None and vector is not None and len(vector):
                     v = np.array([np.nan if x is None else x for x in vector] if getattr(vector, "dtype", object) == object else vector, dtype=np.float64)
                     if np.isfinite(v).all() and v.any() and np.isfinite(v @ v) and v @ v > 0:
-                        digest = hashlib.blake2b((v + 0.0).tobytes() + str(int(label)).encode(), digest_size=16).digest()
+                        digest = hashlib.blake2b((v + 0.0).tobytes() + label.encode(), digest_size=16).digest()
                 digests.append(digest)
-            yield pd.DataFrame({"vec_id": batch.vec_id.astype("Int64"), "label": batch.label.astype("Int64"), "digest": digests, "embedding": batch.embedding.where(pd.Series(digests, index=batch.index).notna(), None)})
+            yield pd.DataFrame({"vec_id": batch.vec_id, "label": batch.label, "digest": digests, "embedding": batch.embedding.where(pd.Series(digests, index=batch.index).notna(), None)})
 
-    return vectors.mapInPandas(run, f"vec_id long, label long, digest binary, embedding {vectors.schema['embedding'].dataType.simpleString()}")
+    as_text = vectors.withColumn("label", F.col("label").cast("string"))
+    found = mapped_with_id(as_text, "vec_id", run, f"label string, digest binary, embedding {vectors.schema['embedding'].dataType.simpleString()}")
+    return found.withColumn("label", F.col("label").cast("long"))
 
 
 def placed(vectors: DataFrame, turns: Turns, cosine: float) -> DataFrame:

@@ -35,7 +35,7 @@ from pandas.util import hash_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD_RE, connected_components, discard, written
+from tessera.llm.common import WORD_RE, connected_components, discard, mapped_with_id, written
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -158,9 +158,9 @@ def sketched(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         for batch in batches:
             codes = [shingles(text) for text in batch.text]
             keys = [order_sketches(c, threshold).tobytes() if len(c) else None for c in codes]
-            yield pd.DataFrame({"doc_id": batch.doc_id.astype("Int64"), "digest": [digest_of(c) for c in codes], "n": [len(c) for c in codes], "keys": keys})
+            yield pd.DataFrame({"doc_id": batch.doc_id, "digest": [digest_of(c) for c in codes], "n": [len(c) for c in codes], "keys": keys})
 
-    return docs.mapInPandas(run, "doc_id long, digest binary, n long, keys binary")
+    return mapped_with_id(docs, "doc_id", run, "digest binary, n long, keys binary")
 
 
 def bucket_rows(texts: DataFrame) -> DataFrame:

@@ -21,13 +21,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import mapped_with_id
+
 SEQUENCE_TOKENS = 1024
 OPEN_BINS = 1024
 END_ID = 2
 #: Chunks whose ids a worker keeps; later ones are encoded again each time, so memory is bounded.
 CACHED_CHUNKS = 300_000
 PROBE = "It's 12 o'clock,\n\n  he said: naïve 日本 \U0001f600!\t(ok) "
-SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+SCHEMA = "piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
 class ChunkEncoder:
@@ -151,8 +153,8 @@ def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str, id_col: str = "d
                 for k, (start, length) in enumerate(pieces_of(len(ids) // 4, capacity)):
                     number, offset = bins.place(length)
                     rows.append((doc_id, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), first + number, offset))
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
-            yield out.astype({"doc_id": "Int64", "piece": "int32"})
+            out = pd.DataFrame(rows, columns=["doc_id", *(c.split()[0] for c in SCHEMA.split(", "))])
+            yield out.astype({"piece": "int32"})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInPandas(run, SCHEMA)
+    return mapped_with_id(rows, "doc_id", run, SCHEMA)

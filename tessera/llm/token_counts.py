@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD_RE
+from tessera.llm.common import WORD_RE, mapped_with_id
 
 SPACE_MARK = "▁"
 UNKNOWN_BELOW = 10.0
@@ -189,7 +189,7 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
                         known = {**{w: kept[w] for w in set().union(*words).intersection(kept)}, **fresh}
                 n_words += map(len, words)
                 n_tokens += [sum(map(known.__getitem__, w)) for w in words]
-            yield pd.DataFrame({"doc_id": batch.doc_id.astype("Int64"), "n_words": n_words, "n_tokens": n_tokens})
+            yield pd.DataFrame({"doc_id": batch.doc_id, "n_words": n_words, "n_tokens": n_tokens})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, n_words long, n_tokens long")
+    return mapped_with_id(rows, "doc_id", run, "n_words long, n_tokens long")

@@ -692,3 +692,23 @@ def test_held_out(spark):
     assert auc(toxic) > 0.7
     folds = {r.doc_id: r.x for r in spark.range(50).select(F.col("id").alias("doc_id"), crc_remainder(F.col("id"), 5).alias("x")).collect()}
     assert folds == {i: zlib.crc32(str(i).encode()) % 5 for i in range(50)}
+
+
+# Ids that doubles cannot hold, in one batch with a null id
+
+BIG = 2**53 + 1
+
+
+def test_long_ids_beside_null_ids(spark):
+    docs = spark.createDataFrame([(BIG, "one two three four five six"), (None, "seven eight nine ten")], "doc_id long, text string").coalesce(1)
+    sample = spark.createDataFrame([(1, "good text", 1), (2, "bad text", 0)], "doc_id long, text string, y int")
+    for out in (
+        near_dedup.near_duplicates(docs),
+        token_counts.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model")),
+        byte_cnn.classify(docs, sample, 0.7),
+        packing.pack(docs, BPE, RANKS),
+    ):
+        assert {r.doc_id for r in out.collect()} == {BIG, None}
+    vectors = spark.createDataFrame([(BIG, [1.0, 0.0], BIG), (BIG + 1, [1.0, 0.0], BIG + 1), (None, [0.0, 1.0], None)], "vec_id long, embedding array<double>, label long").coalesce(1)
+    got = {r.vec_id: r.n_links for r in embed_dedup.link_vectors(vectors).collect()}
+    assert got == {BIG: 0, BIG + 1: 0, None: 0}

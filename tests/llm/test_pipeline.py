@@ -80,3 +80,9 @@ def test_repeated_lines_of_a_source(spark, sf_dir):
 
 def test_run(spark, sf_dir):
     assert p.run(spark, sf_dir).count() > 0
+
+
+def test_long_ids_beside_null_ids_stay(spark, sf_dir):
+    rows = [(2**53 + 1, "some text of its own here", "en", "a", 25), (None, "another text of its own here", "en", "a", 28)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    assert {r.doc_id for r in p.one_of_near_copies(spark, docs, sf_dir).collect()} == {2**53 + 1, None}
