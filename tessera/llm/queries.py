@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import byte_cnn, chat, embed_dedup, line_dedup, mixing, near_dedup, packing, quality_rules, token_counts, toxicity
+from tessera.llm import byte_cnn, centroids, chat, collocations, embed_dedup, line_dedup, mixing, near_dedup, packing, quality_rules, token_counts, toxicity
 from tessera.llm.common import crc_remainder, labelled_sample, table, written
 
 #: html of pages as lines: scripts, styles and comments go, block tags end a line, other tags go.
@@ -138,6 +138,72 @@ g AS (SELECT r, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone),
 SELECT page_id, host, CASE WHEN p.text IS NULL THEN NULL ELSE g.text END AS text, coalesce(g.n, 0)::BIGINT AS n_dropped FROM p LEFT JOIN g USING (r)
 """
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))
+
+
+def _lloyd_sql(k: int, rounds: int) -> str:
+    """The rounds written out one after another, every vector against every centroid."""
+    parts = [
+        f"""v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS c, v AS w FROM v QUALIFY c < {k})"""
+    ]
+    for n in range(rounds + 1):
+        parts.append(
+            f"""a{n} AS MATERIALIZED (
+  SELECT r, arg_min(c, d * 64 + c) AS c, min(d) AS d
+  FROM (SELECT r, c, (list_inner_product(v, v) + list_inner_product(w, w) - 2 * list_inner_product(v, w))::BIGINT AS d FROM v, c{n}) GROUP BY r)"""
+        )
+        if n < rounds:
+            parts.append(
+                f"""s{n} AS (SELECT c, i, floor(sum(x) / count(*)) AS m FROM (SELECT a{n}.c, unnest(v) AS x, unnest(range(64)) AS i FROM v JOIN a{n} USING (r)) GROUP BY c, i),
+c{n + 1} AS MATERIALIZED (SELECT c{n}.c, coalesce(any_value(s.w), any_value(c{n}.w)) AS w FROM c{n} LEFT JOIN (SELECT c, list(m ORDER BY i) AS w FROM s{n} GROUP BY c) AS s USING (c) GROUP BY c{n}.c)"""
+            )
+    return (
+        "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia,
+       sha256(array_to_string(list_transform(w, lambda x: x::BIGINT), ',')) AS centroid_sha256
+FROM v JOIN a{rounds} USING (r) JOIN c{rounds} USING (c)"""
+    )
+
+
+OP11_SQL = _lloyd_sql(centroids.K, centroids.ROUNDS)
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT r, lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+q AS (SELECT row_number() OVER () AS p, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
+w AS (SELECT p, lang, unnest(words) AS w, unnest(range(len(words))) AS i FROM q),
+g AS (SELECT lang, w AS w1, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM w WINDOW o AS (PARTITION BY p ORDER BY i)),
+c AS (
+  SELECT lang, w1 AS phrase, 1 AS size, count(*) AS n FROM g GROUP BY ALL
+  UNION ALL SELECT lang, w1 || ' ' || w2, 2, count(*) FROM g WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10
+  UNION ALL SELECT lang, w1 || ' ' || w2 || ' ' || w3, 3, count(*) FROM g WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+t AS (SELECT lang, sum(n)::BIGINT AS n FROM c WHERE size = 1 GROUP BY lang),
+e AS MATERIALIZED (SELECT lang || chr(10) || phrase AS key, n FROM c WHERE n >= 10),
+k AS MATERIALIZED (
+  SELECT lang, phrase, size, n AS a, k, lang || chr(10) || array_to_string(string_split(phrase, ' ')[1:k], ' ') AS lp, lang || chr(10) || array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS rp
+  FROM c, (VALUES (1), (2)) AS v(k) WHERE size > 1 AND k < size),
+h AS MATERIALIZED (SELECT k.*, e.n AS l FROM k JOIN e ON e.key = lp),
+s AS (SELECT lang, phrase, size, a, l, e.n AS r, ((1000000::HUGEINT * a * a) // (l::HUGEINT * e.n))::BIGINT AS score, k FROM h JOIN e ON e.key = rp),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS MATERIALIZED (
+  SELECT lang || chr(10) || sub AS sub, max(a) AS longest FROM (
+    SELECT lang, a, unnest([array_to_string(string_split(phrase, ' ')[1:2], ' '), array_to_string(string_split(phrase, ' ')[2:3], ' ')]) AS sub FROM b WHERE size = 3)
+  GROUP BY ALL),
+f AS (
+  SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score
+  FROM b LEFT JOIN i ON i.sub = b.lang || chr(10) || b.phrase WHERE 100 * coalesce(longest, 0) < 50 * a)
+SELECT f.lang, rank, phrase, a, l, r, t.n, score FROM f JOIN t USING (lang) WHERE rank <= 2000
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_toxicity": op2_toxicity,
@@ -149,5 +215,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing_sources": op8_mixing_sources,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_line_dedup": op10_line_dedup,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_phrase_collocations": op12_phrase_collocations,
 }
-ORACLES = {"op8_mixing_sources": OP8_SQL, "op9_chat_formatting": OP9_SQL, "op10_line_dedup": OP10_SQL}
+ORACLES = {"op8_mixing_sources": OP8_SQL, "op9_chat_formatting": OP9_SQL, "op10_line_dedup": OP10_SQL, "op11_centroid_clustering": OP11_SQL, "op12_phrase_collocations": OP12_SQL}

@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import byte_cnn, chat, embed_dedup, line_dedup, mixing, near_dedup, packing, quality_rules, queries, token_counts, toxicity
+from tessera.llm import byte_cnn, centroids, chat, collocations, embed_dedup, line_dedup, mixing, near_dedup, packing, quality_rules, queries, token_counts, toxicity
 from tessera.llm.common import WORD_RE, connected_components, crc_remainder, table
 from tests.rows import bag
 
@@ -712,3 +712,119 @@ def test_long_ids_beside_null_ids(spark):
     vectors = spark.createDataFrame([(BIG, [1.0, 0.0], BIG), (BIG + 1, [1.0, 0.0], BIG + 1), (None, [0.0, 1.0], None)], "vec_id long, embedding array<double>, label long").coalesce(1)
     got = {r.vec_id: r.n_links for r in embed_dedup.link_vectors(vectors).collect()}
     assert got == {BIG: 0, BIG + 1: 0, None: 0}
+
+
+# 11: centroid clustering
+
+
+def plain_lloyd(vectors, k, rounds, seed):
+    """(vec_id, cluster, distance) by plain loops over integers."""
+    rows = [(i, [max(-(2**27), min(2**27, math.floor(256 * x))) for x in v]) for i, v in vectors if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    name = lambda i: "~" if i is None else hashlib.sha256(f"{seed}:{i}".encode()).hexdigest()
+    c = [v for _, v in sorted(rows, key=lambda r: (name(r[0]), r[1]))[:k]]
+
+    def nearest(v):
+        return min((sum((a - b) ** 2 for a, b in zip(v, w, strict=True)), j) for j, w in enumerate(c))
+
+    for _ in range(rounds):
+        at = [nearest(v)[1] for _, v in rows]
+        for j in range(len(c)):
+            if own := [v for (_, v), a in zip(rows, at, strict=True) if a == j]:
+                c[j] = [sum(x) // len(own) for x in zip(*own, strict=True)]
+    return Counter((i, *reversed(nearest(v))) for i, v in rows)
+
+
+def test_clusters_are_those_of_plain_lloyd(spark):
+    rng = random.Random(11)
+    rows = [(i, [rng.choice([rng.random(), round(rng.random(), 1), -rng.random()]) for _ in range(3)]) for i in range(400)]
+    # Repeated rows and ids, null ids, ties, huge components; the last five are left out.
+    rows += [(7, rows[7][1]), (7, [0.5, 0.5, 0.5]), (None, [0.1, 0.2, 0.3]), (None, [0.1, 0.2, 0.3]), (900, [0.0, -0.0, 0.0]), (901, [1e30, -1e300, 5.0])]
+    rows += [(902, None), (903, []), (904, [1.0]), (905, [1.0, None, 0.0]), (906, [float("nan"), 0.0, float("inf")])]
+    frame = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, cluster string, v int").repartition(5)
+    found, c = centroids.cluster_vectors(frame, k=8, rounds=4, dimensions=3)
+    want = plain_lloyd([r for r in rows if r[1] and len(r[1]) == 3], 8, 4, centroids.SEED)
+    assert Counter(map(tuple, found.collect())) == want
+    out = centroids.clustered(frame, k=8, rounds=4, dimensions=3).collect()
+    assert {r.centroid_sha256 for r in out} <= {centroids.digest_of(x) for x in c}
+    few = centroids.clustered(frame.where("vec_id < 5"), k=8, rounds=4, dimensions=3).collect()
+    assert len(few) == 5 and {r.distance for r in few} == {0}
+    for none in (frame.limit(0), frame.where("vec_id > 901")):
+        assert centroids.clustered(none, k=8, rounds=4, dimensions=3).count() == 0
+
+
+def test_bounds_spare_scans_and_hold():
+    rng = np.random.default_rng(5)
+    centres = rng.integers(-200, 200, (12, 8))
+    v = (centres[rng.integers(0, 12, 3000)] + rng.integers(-15, 16, (3000, 8))).astype(np.int32)
+    c, drift = v[:12].astype(np.int64), None
+    state = (np.full(3000, -1), np.zeros(3000), np.zeros(3000))
+    scans = []
+    for _ in range(6):
+        *state, scanned = centroids.reassigned(v, *state, c, drift)
+        scans.append(scanned)
+        away = centroids.squared(v, c)
+        assert np.array_equal(state[0], away.argmin(1))
+        own = np.sqrt(away[np.arange(3000), state[0]])
+        away[np.arange(3000), state[0]] = 1 << 40
+        assert np.all(state[1] >= own - 1e-6) and np.all(state[2] <= np.sqrt(away.min(1)) + 1e-6)
+        new = np.array([v[state[0] == j].sum(0) // max(1, (state[0] == j).sum()) if (state[0] == j).any() else c[j] for j in range(12)])
+        drift, c = centroids.drifts(c, new), new
+    assert scans[0] == 3000 and scans[-1] < 1000
+    big = np.array([[2**27, -(2**27)], [-(2**27), 2**27]])
+    assert centroids.squared(big, big).tolist() == [[0, 2**57], [2**57, 0]]
+
+
+# 12: phrase collocations
+
+
+def plain_collocations(rows, most, least, top):
+    """{lang: [(phrase, a, l, r, n, score)]} by plain loops."""
+    counts, totals = defaultdict(Counter), Counter()
+    for text, lang in rows:
+        lang, text = lang or "und", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        for piece in re.split("[.,;:!?\x0a-\x0d]", text):
+            words = re.findall("[^\x20\x09]+", piece)
+            totals[lang] += len(words)
+            counts[lang].update(tuple(words[i : i + m]) for m in range(1, most + 1) for i in range(len(words) - m + 1))
+    out = {}
+    for lang, f in counts.items():
+        found = {p: a for p, a in f.items() if len(p) > 1 and a >= least}
+        kept = []
+        for p, a in found.items():
+            if any(len(q) > len(p) and 100 * b >= 50 * a and any(q[i : i + len(p)] == p for i in range(len(q))) for q, b in found.items()):
+                continue
+            score, k = min((10**6 * a * a // (f[p[:k]] * f[p[k:]]), k) for k in range(1, len(p)))
+            kept.append((" ".join(p), a, f[p[:k]], f[p[k:]], totals[lang], score))
+        out[lang] = sorted(kept, key=lambda x: (-x[5], -x[1], x[0].encode()))[:top]
+    return out
+
+
+@pytest.mark.parametrize(("most", "least", "width"), [(3, 3, None), (4, 2, 1 << 16), (3, 3, 64)])
+def test_phrases_are_those_of_plain_counting(spark, most, least, width):
+    """A sketch of 64 cells lets everything through, and the rows stay the same."""
+    rng = random.Random(12)
+    vocabulary = ["new", "York", "CITY", "é", "Éa", "日本", "x<1>", "a\x00b", " ", "Hall"]
+    rows = [("".join(rng.choice(vocabulary) + rng.choice([" ", " ", " ", "\t", "  ", ". ", ",", "\r\n", "\x0b", "?! "]) for _ in range(rng.randrange(40))), rng.choice(["en", "de", None, "und"])) for _ in range(150)]
+    rows += [(None, "en"), ("", None), (" ..\n", "de"), ("New York City Hall " * 3000, "en"), ("w" * 30_000, "fr"), *[("same row again", "fr")] * 5]
+    frame = spark.createDataFrame([(*r, 1, "y") for r in rows], "text string, lang string, phrase int, n string").repartition(4)
+    got = defaultdict(list)
+    for r in collocations.collocations(frame, most_words=most, least=least, top=20, width=width).orderBy("lang", "rank").collect():
+        assert r.rank == len(got[r.lang]) + 1
+        got[r.lang].append((r.phrase, r.a, r.l, r.r, r.n, r.score))
+    assert dict(got) == {k: v for k, v in plain_collocations(rows, most, least, 20).items() if v}
+    assert collocations.collocations(frame.limit(0)).count() == 0
+
+
+def test_sketch_lets_through_what_is_frequent(spark):
+    rows = [("common pair " * 7 + f"rare{i} word{i}", "en") for i in range(2000)]
+    frame = spark.createDataFrame(rows, "text string, lang string").repartition(6)
+    bits = collocations.sketched(frame, 1 << 16, 10, 3)
+    grams = collocations.Grams("en", [r[0] for r in rows])
+    held = [grams.text(s, m) for m, s, _ in collocations.survivors(grams, bits, 1 << 16, 3)]
+    assert {"common", "pair", "common pair", "pair common", "common pair common", "pair common pair"} <= set(held) and len(held) < 300
+
+
+def test_exact_scores_beyond_64_bits(spark):
+    a, l, r = 3_000_000_017, 4_000_000_007, 5_000_000_029
+    counts = spark.createDataFrame([("en", 1, "x", l), ("en", 1, "y", r), ("en", 2, "x y", a)], "lang string, size int, phrase string, n long")
+    assert collocations.scored(counts).first().score == 10**6 * a * a // (l * r)
