@@ -69,16 +69,6 @@ def location(pages: Column, headings: Column) -> Column:
     return F.when(F.size(pages) > 0, F.concat(F.lit("p."), F.array_join(F.transform(pages, lambda p: p.cast("string")), ", "))).otherwise(F.array_join(headings, " > "))
 
 
-def plain_html(html: Column) -> Column:
-    """Text of an HTML fragment: unseen parts go, blocks end a line, entities are read, three and more line ends become two."""
-    t = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", "")
-    t = F.regexp_replace(t, r"(?i)<br\s*/?>|</(?:p|div|li|ul|ol|h[1-6]|tr|table|title|head|nav|article|footer)>", "\n")
-    t = F.regexp_replace(t, r"<[^>]*>", "")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):
-        t = F.replace(t, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(t, "\n{3,}", "\n\n"))
-
-
 # Kinds of critical tokens, first come first served, with the expressions that must match.
 CRITICAL = (
     ("date", r"\d{4}\s*[.\-/년]\s*\d{1,2}\s*[.\-/월]\s*\d{1,2}\s*일?|\d{1,2}\s*[./]\s*\d{1,2}\s*\.?\s*\([월화수목금토일]\)"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions import markup
 from tessera.functions import text as t
 from tessera.operators import documents as d
 from tessera.operators import evaluation as v
@@ -91,10 +92,21 @@ def critical_tokens(spark, sf_dir):
     return rows.groupBy("x.kind", "x.token").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', '', 'g'),
-  '(?i)<br\\s*/?>|</(?:p|div|li|ul|ol|h[1-6]|tr|table|title|head|nav|article|footer)>', chr(10), 'g'), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&'), '\\n{3,}', chr(10) || chr(10), 'g')) AS text FROM pages""")
+#: The references that the pages use; a paragraph without an end tag ends where the next one or its parent does.
+PLAIN_SQL = r"""
+WITH s AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<title\b.*?</title>|<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', '', 'g'), '<[a-zA-Z/][^>]*$', '') AS t FROM pages),
+p AS (SELECT page_id, list_transform(string_split(regexp_replace(t, '(?i)<p(?:\s[^>]*)?>', chr(1), 'g'), chr(1)), lambda x, i: CASE WHEN i = 1 OR regexp_matches(x, '(?i)</p>') THEN x
+  WHEN regexp_matches(x, '(?i)</(?:article|div)>') THEN regexp_replace(x, '(?i)(</(?:article|div)>)', chr(10) || '\1') ELSE x || chr(10) END) AS x FROM s),
+b AS (SELECT page_id, regexp_replace(regexp_replace(array_to_string(x, ''), '(?i)<br\s*/?>|</(?:p|div|li|h[1-6]|tr)>', chr(10), 'g'), '<[^>]*>', '', 'g') AS t FROM p),
+e AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(t, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '&middot;', '·'), '&copy;', '©'), chr(160), ' ') AS t FROM b),
+a AS (SELECT page_id, list_transform(string_split(replace(regexp_replace(t, '&amp;?', '&', 'g'), chr(13), chr(10)), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS lines FROM e)
+SELECT page_id, trim(regexp_replace(array_to_string(lines, chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), chr(10)) AS text FROM a
+"""
+
+
+@query(PLAIN_SQL)
 def html_plain_text(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", t.plain_html(F.col("html")).alias("text"))
+    return table(spark, sf_dir, "pages").select("page_id", markup.plain_html(F.col("html")).alias("text"))
 
 
 @query("""SELECT doc_id, length(regexp_replace(text, '\\s', '', 'g')) AS visible, substr(trim(text), 1, 40) AS title, CASE WHEN regexp_full_match(source, '[A-Za-z0-9_.:/ -]{0,80}') THEN source ELSE '[redacted]' END AS source FROM documents""")
