@@ -67,6 +67,8 @@ def attributes(rest: str) -> dict[str, str]:
 INLINE = frozenset(
     ("a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "nobr", "output", "q", "rb", "rp", "rt", "rtc", "ruby", "s")
     + ("samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr")
+    + ("audio", "button", "canvas", "iframe", "math", "meter", "noscript", "object", "picture", "progress", "script", "select", "slot", "style", "svg", "template", "textarea", "title", "video")
+    + ("area", "base", "br", "embed", "img", "input", "link", "meta", "param", "source", "track")
 )
 #: Elements without content or end tag.
 VOID = frozenset(("area", "base", "basefont", "bgsound", "br", "col", "embed", "frame", "hr", "img", "input", "keygen", "link", "meta", "param", "source", "track", "wbr"))
