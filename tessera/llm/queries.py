@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import byte_cnn, centroids, chat, collocations, embed_dedup, line_dedup, mixing, near_dedup, packing, quality_rules, token_counts, toxicity
+from tessera.llm import byte_cnn, centroids, chat, collocations, embed_dedup, html_extract, line_dedup, mixing, near_dedup, packing, quality_rules, token_counts, toxicity
 from tessera.llm.common import crc_remainder, labelled_sample, table, written
 
 #: html of pages as lines: scripts, styles and comments go, block tags end a line, other tags go.
@@ -204,6 +204,10 @@ f AS (
 SELECT f.lang, rank, phrase, a, l, r, t.n, score FROM f JOIN t USING (lang) WHERE rank <= 2000
 """
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extracted(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_toxicity": op2_toxicity,
@@ -217,5 +221,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
     "op11_centroid_clustering": op11_centroid_clustering,
     "op12_phrase_collocations": op12_phrase_collocations,
+    "op13_html_extraction": op13_html_extraction,
 }
 ORACLES = {"op8_mixing_sources": OP8_SQL, "op9_chat_formatting": OP9_SQL, "op10_line_dedup": OP10_SQL, "op11_centroid_clustering": OP11_SQL, "op12_phrase_collocations": OP12_SQL}

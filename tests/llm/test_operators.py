@@ -1,6 +1,7 @@
 """Each corpus operator against brute force, and at its edges: nulls, empty and long texts, ties, repeated rows, empty tables, further columns."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -12,7 +13,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import byte_cnn, centroids, chat, collocations, embed_dedup, line_dedup, mixing, near_dedup, packing, quality_rules, queries, token_counts, toxicity
+from tessera.llm import byte_cnn, centroids, chat, collocations, embed_dedup, html_extract, labelled_pages, line_dedup, mixing, near_dedup, packing, quality_rules, queries, token_counts, toxicity
 from tessera.llm.common import WORD_RE, connected_components, crc_remainder, table
 from tests.rows import bag
 
@@ -828,3 +829,110 @@ def test_exact_scores_beyond_64_bits(spark):
     a, l, r = 3_000_000_017, 4_000_000_007, 5_000_000_029
     counts = spark.createDataFrame([("en", 1, "x", l), ("en", 1, "y", r), ("en", 2, "x y", a)], "lang string, size int, phrase string, n long")
     assert collocations.scored(counts).first().score == 10**6 * a * a // (l * r)
+
+
+# 13: main text of pages
+
+
+def plain_marginals(parent, unary, pair):
+    """P(state 1) of each node and P(states) of each edge, by all assignments."""
+    n = len(parent)
+    node, edge, total = np.zeros(n), np.zeros((n, 2, 2)), 0.0
+    for states in itertools.product((0, 1), repeat=n):
+        weight = math.exp(sum(unary[i] * x for i, x in enumerate(states)) + sum(pair[i][states[p], states[i]] for i, p in enumerate(parent) if p >= 0))
+        total += weight
+        node += weight * np.array(states)
+        for i, p in enumerate(parent):
+            if p >= 0:
+                edge[i, states[p], states[i]] += weight
+    return node / total, edge / total
+
+
+def test_messages_give_exact_marginals():
+    sources = ["<div class=a>x<p>y<b>z</b></p><ul><li>q<li>r</ul></div>", "", "<p>one<p>two", "<nav><a href=/>home</a></nav>t"]
+    pages = [html_extract.Page(s) for s in sources]
+    names = sorted({f for p in pages for fs in html_extract.features(p) for f in fs})
+    known, kinds = {f: k for k, f in enumerate(names)}, {t: k for k, t in enumerate(["", "p", "#text", "div"])}
+    rng = np.random.default_rng(2)
+    w, edges = rng.normal(size=len(known)), rng.normal(size=(4, 2, 2)) * 2
+    forest = html_extract.Forest(pages, known, kinds)
+    node, edge = forest.marginals(w, edges)
+    at = 0
+    for page in pages:
+        unary = [sum(w[known[f]] for f in fs) for fs in html_extract.features(page)]
+        want, want_edges = plain_marginals(page.parent, unary, [edges[kinds.get(t, 0)] for t in page.tag])
+        n = len(page.parent)
+        assert np.allclose(node[at : at + n, 1], want) and np.allclose(edge[at : at + n], want_edges)
+        at += n
+
+
+def test_trees():
+    page = html_extract.Page("<title>no</title><body>a &amp; <b>b</b>\n c<p class='leadText x' id=one>d<p>e<script>f</script><ul><li>g<a href=/>h</a><li>i</ul><button>j</button><br>k<td hidden>l<p data-main=1>m<div>n")
+    assert [(t, page.tag[page.parent[i]]) for i, t in enumerate(page.text) if t] == [("a & b c", "body"), ("d", "p"), ("e", "p"), ("gh", "li"), ("i", "li"), ("k", "body"), ("l", "td"), ("m", "p"), ("n", "div")]
+    assert page.names[page.tag.index("p")] == ("lead", "one", "text", "x")
+    deep = html_extract.Page("<div>" * 20_000 + "text" + "</div>" * 20_000)
+    assert len(deep.parent) == 20_002
+
+
+@pytest.fixture(scope="module")
+def page_sample(spark, sf_dir):
+    return sorted(r.html for r in table(spark, sf_dir, "pages").select("html").collect())
+
+
+@pytest.fixture(scope="module")
+def page_model(page_sample):
+    return html_extract.learned(page_sample, drawn=500)
+
+
+def test_main_text_held_out(page_model, page_sample):
+    """Layouts and texts that the model has not seen; characters."""
+    rng = random.Random(1)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(500)]
+    prose = [" ".join(" ".join(rng.choices(words, k=rng.randint(4, 18))) + rng.choice(".!?") for _ in range(rng.randint(1, 8))) for _ in range(200)]
+    pages = [html_extract.Page(s) for s in labelled_pages.labelled_pages(prose, ["Home", "About us", "More"], 200, seed=77)]
+    hit = false = missed = 0
+    for page, held in zip(pages, page_model.marginals(pages), strict=True):
+        for text, p, main in zip(page.text, held, page.main, strict=True):
+            n = len(text or "")
+            hit, false, missed = hit + n * (p >= 0.5 and main), false + n * (p >= 0.5 and not main), missed + n * (p < 0.5 and main)
+    assert hit / (hit + false) > 0.97 and hit / (hit + missed) > 0.97
+    for source, text in zip(page_sample, page_model.texts(page_sample), strict=True):
+        article = re.split("</?article>", source)[1]
+        assert text == "\n\n".join(t for t in html_extract.Page(article).text if t)
+
+
+HAND_MADE = [
+    (
+        "<header><h1>Site</h1><nav><a href=/>Home</a> <a href=/b>Blog</a></nav></header><div class=cookie-banner>We use cookies to improve things. <a href=#>Accept</a></div>"
+        "<main><h1>Title of it</h1><p>First paragraph with a number of words, &quot;and&quot; a sentence. Another&nbsp;one\n here for the reader.</p><aside class=related><h3>Related</h3><ul><li><a href=/1>One</a><li><a href=/2>Two</a></ul></aside>"
+        "<p>Second paragraph has more words in it, as prose does, and ends.</p></main><section id=comments><h2>2 Comments</h2><div class=comment><b>Bob</b><p>Great post, I really enjoyed reading it very much. Thanks!</p></div></section>"
+        "<form><label>Mail</label><input><button>Send</button></form><footer>&copy; 2024 Site</footer>",
+        'Title of it\n\nFirst paragraph with a number of words, "and" a sentence. Another one here for the reader.\n\nSecond paragraph has more words in it, as prose does, and ends.',
+    ),
+    (
+        "<div id=wrap><div class=menu><ul><li>Home</li><li>Contact</li></ul></div><div class=post><p>Main text begins here and has a few sentences in it. This is one.</p><div class=ad>Buy this now, it is cheap and good for you.</div>"
+        "<p>It goes on here with another paragraph of text for all.</p><ul><li>an item of a list in the text</li><li>another item of the same list</li></ul></div><div class=comments><p>I do not agree with any of this at all. It is wrong.</p></div></div>",
+        "Main text begins here and has a few sentences in it. This is one.\n\nIt goes on here with another paragraph of text for all.\n\nan item of a list in the text\n\nanother item of the same list",
+    ),
+    ("<nav><a href=/>a</a> <a href=/b>b</a></nav>", ""),
+    ("", ""),
+    (None, ""),
+    (" \n", ""),
+]
+
+
+def test_hand_made_pages(page_model):
+    assert list(page_model.texts([s for s, _ in HAND_MADE])) == [t for _, t in HAND_MADE]
+
+
+def test_extraction_edges(spark, sf_dir, page_model):
+    long = "<article>" + "<p>A paragraph of some words, and a sentence.</p>" * 20_000 + "</article>"
+    rows = [(BIG, "u", long, "x", 1), (None, None, None, None, 2), (None, "u", HAND_MADE[0][0], "x", 3), (5, "u", "<p>", "x", 4), (5, "u", "<p>", "x", 4)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars long").coalesce(1)
+    got = sorted(map(tuple, html_extract.extracted(frame, model=page_model).collect()), key=str)
+    want = [(BIG, "u", "\n\n".join(["A paragraph of some words, and a sentence."] * 20_000)), (None, None, ""), (None, "u", HAND_MADE[0][1]), (5, "u", ""), (5, "u", "")]
+    assert got == sorted([(*r, len(r[2])) for r in want], key=str)
+    assert html_extract.extracted(frame.limit(0)).count() == 0
+    out = queries.op13_html_extraction(spark, sf_dir)
+    assert out.columns == ["page_id", "url", "text", "n_chars"]
+    assert {r.page_id for r in out.where("n_chars > 0").collect()} == {r.page_id for r in table(spark, sf_dir, "pages").collect()}
