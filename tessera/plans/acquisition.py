@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from tessera.functions.formats import actual_format
 from tessera.operators import acquisition as a
+from tessera.plans import containers
 from tessera.plans.base import registrar
 from tessera.sources.tables import RELATIONS_SQL, relations, table
 
@@ -155,22 +155,30 @@ def corpus_groups(spark, sf_dir):
     return held.groupBy("grp").agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("n") > 1).alias("ambiguous"), F.sum("p_size").alias("pages"))
 
 
-def archive_of(*names: str) -> bytes:
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        for name in names:
-            z.writestr(zipfile.ZipInfo(name), "x")
-    return out.getvalue()
+def built(key: int, size: int, name: str) -> bytes:
+    """A file whose parts follow from a row: an archive for even keys, else a compound file, cut short for some sizes."""
+    if key % 2 == 0:
+        parts = {"[Content_Types].xml": size % 2 == 0, "word/document.xml": key % 3 == 0, "xl/workbook.xml": key % 5 == 0, "xl/worksheets/sheet1.xml": key % 5 == 0, "ppt/presentation.xml": key % 7 == 0}
+        parts |= {"content.xml": size % 3 == 0, f"{'../' * (key % 11 == 0)}{name}.hwp": True}
+        marked = {"mimetype": "application/vnd.oasis.opendocument.text"} if size % 5 == 0 else {}
+        return containers.archive_of(marked | {part: name for part, held in parts.items() if held})
+    streams = {"FileHeader": key % 3 == 0, "WordDocument": key % 5 == 0, "Workbook": key % 7 == 0, "EncryptedPackage": key % 11 == 0}
+    header = (b"HWP Document File" if size % 2 == 0 else b"Another file").ljust(256, b"\0")
+    raw = containers.compound_of({part: header if part == "FileHeader" else (name * (size * 9)).encode() for part, held in streams.items() if held} | {name[:30]: b"HWP Document File"})
+    return raw[:600] if size % 13 == 0 else raw
 
 
-#: Bytes of files of each kind, and what they are.
-SAMPLES = (
-    (b"%PDF-1.7", "PDF"), (archive_of("mimetype", "Contents/content.hpf"), "HWPX"), (archive_of("word/document.xml"), "DOCX"), (archive_of("a.pdf", "b.hwp"), "ZIP"), (archive_of("../a.pdf"), "UNKNOWN"),
-    (b"PK broken", "UNKNOWN"), (b"  <!DOCTYPE HTML><html>", "OTHER"), (b"<?xml version='1.0'?><HWPML>", "HWPML"), (b"\x89PNG\r\n\x1a\n", "PNG"), (b"\xff\xd8\xff\xe0", "JPEG"), (bytes.fromhex("d0cf11e0a1b11ae1") + b"..HWP Document File", "HWP"), (b"", "UNKNOWN"),
-)
+@F.pandas_udf(BinaryType())
+def built_files(keys: pd.Series, sizes: pd.Series, names: pd.Series) -> pd.Series:
+    return pd.Series([built(*row) for row in zip(keys, sizes, names, strict=True)])
 
 
-@query(f"SELECT p_partkey AS id, {[kind for _, kind in SAMPLES]}[p_partkey % {len(SAMPLES)} + 1] AS format FROM part")
+@query("""WITH p AS (SELECT p_partkey AS k, p_size AS s FROM part),
+a AS (SELECT k, list_filter([CASE WHEN s % 2 = 0 AND k % 3 = 0 THEN 'DOCX' END, CASE WHEN s % 2 = 0 AND k % 5 = 0 THEN 'XLSX' END, CASE WHEN s % 2 = 0 AND k % 7 = 0 THEN 'PPTX' END, CASE WHEN s % 5 = 0 AND s % 3 = 0 THEN 'ODT' END], lambda x: x IS NOT NULL) AS kinds FROM p)
+SELECT k AS id, CASE
+  WHEN k % 2 = 0 THEN CASE WHEN k % 11 = 0 OR len(kinds) > 1 THEN 'UNKNOWN' WHEN len(kinds) = 1 THEN kinds[1] ELSE 'ZIP' END
+  WHEN s % 13 = 0 THEN 'UNKNOWN' WHEN k % 3 = 0 AND s % 2 = 0 THEN 'HWP' WHEN k % 11 = 0 OR (k % 5 = 0 AND k % 7 = 0) THEN 'UNKNOWN' WHEN k % 5 = 0 THEN 'DOC' WHEN k % 7 = 0 THEN 'XLS' ELSE 'UNKNOWN' END AS format
+FROM p JOIN a USING (k)""")
 def container_formats(spark, sf_dir):
-    raw = F.element_at(F.array(*[F.lit(data) for data, _ in SAMPLES]), (F.col("p_partkey") % len(SAMPLES) + 1).cast("int"))
+    raw = built_files("p_partkey", "p_size", "p_name")
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), actual_format(raw).alias("format"))
