@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
-from tessera.plans.acquisition import archive_of
 from tessera.plans.base import registrar
+from tessera.plans.containers import archive_of
 from tessera.sources import files
 from tessera.sources.tables import table
 
@@ -108,16 +109,22 @@ def schema_check(spark, sf_dir):
     return spark.createDataFrame([(x,) for x in files.schema_differences(wanted, found)], "difference string")
 
 
-ARCHIVES = {"ok": archive_of("a.txt", "d/b.pdf"), "broken": b"PKnope", "outside": archive_of("../x"), "many": archive_of(*map(str, range(6)))}
-X_SHA = hashlib.sha256(b"x").hexdigest()
+@F.pandas_udf(BinaryType())
+def built_archives(keys: pd.Series, names: pd.Series) -> pd.Series:
+    """An archive for each row: as many members as its key says, one of them outside for some keys, cut short for others."""
 
+    def built(key: int, name: str) -> bytes:
+        raw = archive_of({f"{'../' if i == 1 and key % 5 == 0 else ''}{i}/{name}.txt": f"{name} {i}" for i in range(key % 8)})
+        return raw[: len(raw) // 2] if key % 7 == 0 else raw
 
-@query(f"""WITH r AS (SELECT r_regionkey AS k, r_regionkey || ['ok', 'broken', 'outside', 'many'][r_regionkey % 4 + 1] AS container FROM region)
-SELECT container, 0 AS member_index, 'a.txt' AS path, 'STORED' AS status, NULL AS reason, '{X_SHA}' AS sha256 FROM r WHERE k % 4 = 0 UNION ALL SELECT container, 1, 'd/b.pdf', 'STORED', NULL, '{X_SHA}' FROM r WHERE k % 4 = 0
-UNION ALL SELECT container, -1, NULL, 'REJECTED', ['not_an_archive', 'path_escape', 'entries'][k % 4], NULL FROM r WHERE k % 4 > 0""")
+    return pd.Series([built(*row) for row in zip(keys, names, strict=True)])
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_name AS name, CASE WHEN p_partkey % 7 = 0 THEN 'not_an_archive' WHEN p_partkey % 8 > 5 THEN 'entries' WHEN p_partkey % 5 = 0 AND p_partkey % 8 > 1 THEN 'path_escape' END AS reason FROM part),
+m AS (SELECT *, unnest(range(k % 8)) AS i FROM p WHERE reason IS NULL)
+SELECT k::VARCHAR AS container, i AS member_index, i || '/' || name || '.txt' AS path, 'STORED' AS status, reason, sha256(name || ' ' || i) AS sha256 FROM m
+UNION ALL SELECT k::VARCHAR, -1, NULL, 'REJECTED', reason, NULL FROM p WHERE reason IS NOT NULL""")
 def unpacked_archives(spark, sf_dir):
     """Members of archives; one that breaks a safety rule is one row, refused as a whole."""
-    k = F.col("r_regionkey")
-    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (k % 4 + 1).cast("int"))
-    archives = table(spark, sf_dir, "region").select(F.concat(k.cast("string"), pick(ARCHIVES)).alias("path"), pick(ARCHIVES.values()).alias("content"))
+    archives = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), built_archives("p_partkey", "p_name").alias("content"))
     return files.archive_members(archives, most_entries=5).select("container", "member_index", "path", "status", "reason", "sha256")
