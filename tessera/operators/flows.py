@@ -7,9 +7,9 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.operators import ingest as g
+from tessera.operators.segments import RANGE, in_ranges, running, stored
 
 
 def ingested(stored: DataFrame, seen: DataFrame, gate: DataFrame, columns: Sequence[str], key: str = "id") -> DataFrame:
@@ -76,21 +76,20 @@ def index_outcomes(chunks: DataFrame, stored: DataFrame, refused: DataFrame, sou
     )
 
 
-def driven(sources: DataFrame, shard: str, order: str, most: int) -> DataFrame:
+def driven(sources: DataFrame, shard: str, order: str, most: int, ranges: int | None = None) -> DataFrame:
     """sources with state: SKIPPED where done, else INDEXED or FAILED; NOT_STARTED after most unexpected failures in a row of the shard.
 
-    sources: done, unexpected, and failed (which includes unexpected). Sources that are skipped neither count nor break a row of failures.
+    sources: done, unexpected, and failed (which includes unexpected). Sources that are skipped neither count nor break a row of failures. A shard is
+    gone through in ranges, of which there are more the larger it is.
     """
-    w = Window.partitionBy(shard).orderBy(order)
-    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
-    resets = F.sum(F.when(~F.col("done") & ~F.col("unexpected"), 1).otherwise(0)).over(upto)
-    rows = sources.withColumn("_run", resets)
-    streak = F.sum(F.when(~F.col("done") & F.col("unexpected"), 1).otherwise(0)).over(Window.partitionBy(shard, "_run").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("_streak", streak)
-    stopped = F.coalesce(F.max(F.col("_streak") >= most).over(before), F.lit(False))
-    rows = rows.withColumn("_stopped", stopped)
-    state = F.when(F.col("_stopped"), "NOT_STARTED").when(F.col("done"), "SKIPPED").when(F.col("failed"), "FAILED").otherwise("INDEXED")
-    return rows.withColumn("state", state).drop("_run", "_streak", "_stopped")
+    key, by = [shard], [order]
+    bad, good = ~F.col("done") & F.col("unexpected"), ~F.col("done") & ~F.col("unexpected")
+    rows = running(in_ranges(sources, key, by, ranges), key, by, sums={"_bad": bad.cast("int")})
+    rows = running(rows, key, by, maxima={"_cleared": F.when(good, F.col("_bad"))})
+    rows = rows.withColumn("_full", (F.col("_bad") - F.coalesce("_cleared", F.lit(0)) >= most).cast("int"))
+    rows = running(rows, key, by, maxima={"_stopped": F.col("_full")}, before=True)
+    state = F.when(F.coalesce("_stopped", F.lit(0)) == 1, "NOT_STARTED").when(F.col("done"), "SKIPPED").when(F.col("failed"), "FAILED").otherwise("INDEXED")
+    return rows.withColumn("state", state).drop("_bad", "_cleared", "_full", "_stopped", RANGE)
 
 
 def batch_verdict(items: DataFrame, batch: str) -> DataFrame:
@@ -131,26 +130,66 @@ def reserve(used: dict[str, int], keys: Sequence[tuple[str, str]], limits: dict[
     return "ACCEPTED"
 
 
-def reserved(requests: DataFrame, limits: Sequence[tuple[str, int]] = LIMITS) -> DataFrame:
-    """day, event_id, outcome of requests (day, at, event_id, user, ip, trial): several daily limits at once, in order of time.
+def keys_of(user: object, ip: object, trial: bool) -> list[tuple[str, str]]:
+    return [("user", f"u{user}"), ("ip", f"i{ip}"), *([("pool", "pool")] if trial else []), ("service", "service")]
 
-    Limits are by day, so a day is folded in one place: Spark sorts it, and the task carries its counters from batch to batch.
-    """
-    most = dict(limits)
+
+REQUEST = "day date, at long, event_id long, user long, ip long, trial boolean"
+
+
+def taken(requests: DataFrame, limits: dict[str, int]) -> DataFrame:
+    """The requests that are accepted, given those with given set; a day is left once its service limit is reached."""
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         day, used = None, {}
         for batch in batches:
-            out = []
-            for d, user, ip, trial in zip(batch.day, batch.user.tolist(), batch.ip.tolist(), batch.trial.tolist(), strict=True):
+            kept = []
+            for d, user, ip, trial, given in zip(batch.day, batch.user, batch.ip, batch.trial, batch.given, strict=True):
                 if d != day:
                     day, used = d, {}
-                keys = [("user", f"u{user}"), ("ip", f"i{ip}"), *([("pool", "pool")] if trial else []), ("service", "service")]
-                out.append(reserve(used, keys, most))
-            yield batch[["day", "event_id"]].assign(outcome=out)
+                full = used.get("service", 0) >= limits["service"]
+                kept.append(not full and reserve(used, keys_of(user, ip, trial), limits) == "ACCEPTED" and not given)
+            yield batch.loc[kept, [c.split()[0] for c in REQUEST.split(", ")]]
 
-    rows = requests.repartition("day").sortWithinPartitions("day", "at", "event_id")
-    return rows.mapInPandas(fold, "day date, event_id long, outcome string")
+    return requests.repartition("day").sortWithinPartitions("day", "at", "event_id").mapInPandas(fold, REQUEST)
+
+
+def reserved(requests: DataFrame, limits: Sequence[tuple[str, int]] = LIMITS, ranges: int | None = None) -> DataFrame:
+    """day, event_id, outcome of requests (day, at, event_id, user, ip, trial): several daily limits at once, in order of time; rows with nulls are left out.
+
+    A day takes as many requests as its service limit at most, and counters only grow. So days are read range by range until they are full, each time
+    one range of each day that is not, from what was taken before. The outcome of every other request follows from what its day had taken by then.
+    """
+    most = dict(limits)
+    names = [c.split()[0] for c in REQUEST.split(", ")]
+    placed = in_ranges(requests.select(names).dropna(), ["day"], ["at", "event_id"], ranges)
+    spans = placed.groupBy("day").agg(F.min(RANGE).alias("_lo"), F.max(RANGE).alias("_hi"))
+    held, step = None, 0
+    while True:
+        left = spans.where(F.col("_lo") + step <= F.col("_hi")).select("day", (F.col("_lo") + step).alias("_now"))
+        if held is not None:
+            full = held.groupBy("day").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= most["service"]).select("day")
+            left = left.join(full, "day", "left_anti")
+        if left.isEmpty():
+            break
+        # One row to a day: the rows of a range are dealt by range, so a day's join key is no hotter than its ranges.
+        rows = placed.join(left.withColumnRenamed("_now", RANGE), ["day", RANGE], "left_semi").select(*names, F.lit(False).alias("given"))
+        if held is not None:
+            rows = rows.union(held.join(left, "day", "left_semi").select(*names, F.lit(True)))
+        new = taken(rows, most)
+        held, step = stored(new if held is None else held.union(new), "reserved"), step + 1
+    before = F.filter("_taken", lambda t: F.struct(t["at"], t["event_id"]) < F.struct("at", "event_id"))
+    listed = placed.select("day", RANGE).distinct()
+    if held is None:
+        return listed.select("day", F.lit(0).cast("long").alias("event_id"), F.lit("").alias("outcome"))
+    listed = listed.join(held.groupBy("day").agg(F.collect_list(F.struct("at", "event_id", "user", "ip", "trial")).alias("_taken")), "day")
+    rows = placed.join(listed, ["day", RANGE]).withColumn("_before", before)
+    same = {"user": lambda t: t["user"] == F.col("user"), "ip": lambda t: t["ip"] == F.col("ip"), "pool": lambda t: t["trial"], "service": lambda t: F.lit(True)}
+    outcome = F.lit(None).cast("string")
+    for kind, _ in reversed(limits):
+        over = F.size(F.filter("_before", same[kind])) >= most[kind]
+        outcome = F.when(over & F.col("trial") if kind == "pool" else over, f"{kind}_limit").otherwise(outcome)
+    return rows.select("day", "event_id", F.coalesce(outcome, F.lit("ACCEPTED")).alias("outcome"))
 
 
 def observed(rows: DataFrame, name: str, **metrics: Column) -> dict:

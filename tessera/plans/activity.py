@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -74,21 +72,8 @@ SELECT key, event_id, outcome FROM s WHERE k > 0"""
 
 @query(THROTTLE_SQL)
 def throttle_locks(spark, sf_dir):
-    """Spark sorts the attempts of each key; a task folds over them in batches and carries the state of the key it is at."""
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, state = None, (0, 0.0)
-        for batch in batches:
-            out = []
-            for key, moment, failed in zip(batch.key.tolist(), batch["at"].tolist(), batch.failed.tolist(), strict=True):
-                if key != at:
-                    at, state = key, (0, 0.0)
-                state, outcome = a.fold_throttle(state, moment, failed, RULE)
-                out.append(outcome)
-            yield batch[["key", "event_id"]].assign(outcome=out)
-
-    rows = attempts(table(spark, sf_dir, "events")).where("key is not null").repartition("key").sortWithinPartitions("key", "at", "event_id")
-    return rows.mapInPandas(fold, "key long, event_id long, outcome string")
+    """Attempts in ranges of a task's size: a key of any size is folded range by range, from the state that the ranges before leave."""
+    return a.locked(attempts(table(spark, sf_dir, "events")), RULE)
 
 
 def drained(spark, stream: DataFrame, mode: str = "append") -> DataFrame:

@@ -6,9 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.functions import identity
+from tessera.operators import activity
 from tessera.operators import ingest as g
 from tessera.plans.base import registrar
 from tessera.sources.tables import SCHEMAS, table
@@ -213,9 +213,4 @@ def table_counts(spark, sf_dir):
 r AS (SELECT user_id, run, count(*) AS n, min(event_id) AS first_event FROM f WHERE bad GROUP BY ALL)
 SELECT user_id, max(n) AS longest, count_if(n >= 3)::BIGINT AS trips FROM r GROUP BY user_id""")
 def consecutive_failures(spark, sf_dir):
-    by_user = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    bad = F.col("event_type") == "error"
-    rows = table(spark, sf_dir, "events").withColumn("bad", bad)
-    run = F.row_number().over(by_user) - F.row_number().over(Window.partitionBy("user_id", "bad").orderBy("ts", "event_id"))
-    runs = rows.withColumn("run", run).where("bad").groupBy("user_id", "run").agg(F.count(F.lit(1)).alias("n"))
-    return runs.groupBy("user_id").agg(F.max("n").alias("longest"), F.count_if(F.col("n") >= 3).alias("trips"))
+    return activity.failure_runs(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.col("event_type") == "error", 3)
