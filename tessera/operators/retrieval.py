@@ -1,28 +1,22 @@
-"""Retrieval of a set of queries over chunks: dense and sparse scores in tiles, ranks, fusion.
-
-Queries and chunks are dealt to tiles; each tile of queries meets each tile of chunks in one task, where scores are matrix products,
-and leaves its best rows for each query only. What is left is bounded by queries x tiles x limit and is ranked by query in Spark.
-"""
+"""Retrieval of a set of queries over chunks: dense search by cells, sparse search by postings, ranks, fusion."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from functools import partial, reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
+from tessera.operators import postings, vector_index
+from tessera.operators.segments import stored
+
 RRF_K = 60
 MODE_LIMIT = 50
 TOP_K = 5
 SCORE_DIGITS = 9
-#: Chunks and queries of a tile.
-CHUNK_TILE, QUERY_TILE = 1024, 256
-#: Chunks whose token weights stand in a dense matrix at a time.
-CHUNK_STRIP = 128
 
 
 def role_condition(excluded: Sequence[str]) -> Column:
@@ -34,105 +28,62 @@ def text_tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z]+"), lambda t: F.length(t) >= 3)
 
 
-@F.pandas_udf(StructType([StructField("tokens", ArrayType(StringType())), StructField("counts", ArrayType(DoubleType()))]))
-def token_counts(tokens: pd.Series) -> pd.DataFrame:
-    """The distinct tokens of each text and how often each occurs."""
-    found = [np.unique(np.asarray(t, dtype=object), return_counts=True) if t is not None and len(t) else (np.empty(0, object), np.empty(0)) for t in tokens]
-    return pd.DataFrame({"tokens": [t for t, _ in found], "counts": [c.astype(np.float64) for _, c in found]})
-
-
-def prepared(chunks: DataFrame, modes: Sequence[str]) -> DataFrame:
-    """chunk_id, program and what the modes score by: the dense vector, and the token counts of the text."""
-    kept = ["chunk_id", "program", *["vector"] * ("dense" in modes)]
-    if "sparse" not in modes:
-        return chunks.select(*kept)
-    return chunks.select(*kept, token_counts(text_tokens(F.col("text"))).alias("s")).select(*kept, "s.*")
-
-
-def postings(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, program, token, weight): a token weighs its share of the chunk's most frequent token. Nothing is shuffled."""
-    rows = prepared(chunks, ["sparse"]).withColumn("top", F.array_max("counts"))
-    rows = rows.select("chunk_id", "program", "top", F.explode(F.arrays_zip("tokens", "counts")).alias("x"))
-    return rows.select("chunk_id", "program", F.col("x.tokens").alias("token"), (F.col("x.counts") / F.col("top")).alias("weight"))
-
-
-def dense_matrix(chunks: pd.DataFrame, queries: pd.DataFrame) -> np.ndarray:
-    """Cosine of each query (row) and chunk (column); nan where a vector is missing or zero, or lengths differ."""
-    out = np.full((len(queries), len(chunks)), np.nan)
-    sizes = [side.vector.map(lambda v: -1 if v is None else len(v)).to_numpy() for side in (queries, chunks)]
-    for dim in set(sizes[0]) & set(sizes[1]) - {-1, 0}:
-        at, to = (np.flatnonzero(x == dim) for x in sizes)
-        q, c = (np.stack(side.vector.to_numpy()[k]).astype(np.float64) for side, k in ((queries, at), (chunks, to)))
-        with np.errstate(invalid="ignore", divide="ignore"):
-            out[np.ix_(at, to)] = (q @ c.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(c, axis=1))
-    return out
-
-
-def sparse_matrix(chunks: pd.DataFrame, queries: pd.DataFrame) -> np.ndarray:
-    """Dot product of each query's token counts and chunk's token weights; nan where they share no token."""
-    places: dict[str, int] = {}
-    for tokens in queries.tokens:
-        for t in tokens:
-            places.setdefault(t, len(places))
-    q = np.zeros((len(queries), len(places)))
-    for k, (tokens, counts) in enumerate(zip(queries.tokens, queries.counts, strict=True)):
-        q[k, [places[t] for t in tokens]] = counts
-    out = np.zeros((len(queries), len(chunks)))
-    for start in range(0, len(chunks), CHUNK_STRIP):
-        part = chunks.iloc[start : start + CHUNK_STRIP]
-        c = np.zeros((len(part), len(places)))
-        for k, (tokens, counts) in enumerate(zip(part.tokens, part.counts, strict=True)):
-            at = [(places[t], n) for t, n in zip(tokens, counts, strict=True) if t in places]
-            if at:
-                c[k, [p for p, _ in at]] = np.array([n for _, n in at]) / max(counts)
-        out[:, start : start + len(part)] = q @ c.T
-    return np.where(out > 0, out, np.nan)
-
-
-def tile_best(chunks: pd.DataFrame, queries: pd.DataFrame, mode: str, limit: int, by_program: bool) -> pd.DataFrame:
-    """The best limit rows of a tile for each query by one mode: chunks, or the best chunk of each program. Ties go to the lower id."""
-    chunks = chunks.sort_values("chunk_id")
-    scores = np.round(dense_matrix(chunks, queries) if mode == "dense" else sparse_matrix(chunks, queries), SCORE_DIGITS)
-    if "scope" in chunks:
-        scores[queries.scope.to_numpy()[:, None] != chunks.scope.to_numpy()[None]] = np.nan
-    ids, programs = chunks.chunk_id.to_numpy(), chunks.program.to_numpy()
-    parts = []
-    for qid, row in zip(queries.qid, scores, strict=True):
-        order = np.argsort(-row, kind="stable")
-        order = order[: np.count_nonzero(~np.isnan(row))]
-        if by_program:
-            order = order[np.sort(np.unique(programs[order], return_index=True)[1])]
-            # Equal scores of programs are settled by the program.
-            order = order[np.lexsort((programs[order], -row[order]))]
-        order = order[:limit]
-        parts.append(pd.DataFrame({"qid": qid, "mode": mode, "program": programs[order], "chunk_id": ids[order], "score": row[order]}))
-    return pd.concat(parts)
-
-
-def best_rows(chunks: DataFrame, queries: DataFrame, modes: Sequence[str], n_chunks: int, n_queries: int, limit: int = MODE_LIMIT, by_program: bool = False) -> DataFrame:
-    """qid, mode, program, chunk_id, score, rank: the best limit chunks, or programs by their best chunk, of each query by each mode.
+def terms(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, others, token, n): how often each token is in the text of a chunk; counted on the map side."""
+    others = [c for c in ("program", "scope") if c in chunks.columns]
+    return chunks.select("chunk_id", *others, F.explode(text_tokens(F.col("text"))).alias("token")).groupBy("chunk_id", *others, "token").agg(F.count(F.lit(1)).alias("n"))
 
-    chunks: prepared(). queries: the same columns with qid in place of chunk_id. With a column scope in both, a query meets chunks of its scope. n_chunks and n_queries only set the number of tiles.
-    """
-    tiles, asked = -(-max(1, n_chunks) // CHUNK_TILE), -(-max(1, n_queries) // QUERY_TILE)
-    left = chunks.withColumn("i", F.pmod(F.xxhash64("chunk_id"), F.lit(tiles))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(asked - 1).cast("long"))))
-    right = queries.drop("program").withColumn("j", F.pmod(F.xxhash64("qid"), F.lit(asked))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long"))))
 
-    def run(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"qid": [], "mode": [], "program": [], "chunk_id": [], "score": []})
-        return pd.concat([tile_best(c, q, mode, limit, by_program) for mode in modes]) if len(c) and len(q) else none
+def token_weights(counted: DataFrame) -> DataFrame:
+    """terms() with weight: a token weighs its share of the chunk's most frequent token."""
+    most = counted.groupBy("chunk_id").agg(F.max("n").alias("_most"))
+    return counted.join(most, "chunk_id").withColumn("weight", F.col("n") / F.col("_most")).drop("_most", "n")
 
-    best = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(run, "qid long, mode string, program long, chunk_id long, score double")
-    tie = "chunk_id"
-    if by_program:
-        best = best.groupBy("qid", "mode", "program").agg(F.min(F.struct((-F.col("score")).alias("s"), "chunk_id")).alias("b")).select("qid", "mode", "program", "b.chunk_id", (-F.col("b.s")).alias("score"))
-        tie = "program"
-    return ranked(best, tie, limit)
+
+def sparse_vector(ids: Column, weights: Column, special: Sequence[int]) -> Column:
+    """array<struct<id, weight>> in order of ids: the largest weight of each, if it is positive; special ids (padding among them) and nulls go."""
+    rows = F.array_sort(F.transform(F.arrays_zip(ids.alias("id"), weights.alias("weight")), lambda x: F.struct(x["id"].alias("id"), x["weight"].cast("double").alias("weight"))))
+    held = F.filter(rows, lambda x: (x["weight"] > 0) & ~F.isnan(x["weight"]) & x["id"].isNotNull() & ~x["id"].isin(*special))
+    # Sorted by id and weight, the last of an id is its largest; the array is named once, so that it is made once.
+    return F.transform(F.array(held), lambda all_: F.filter(all_, lambda x, k: F.coalesce(F.get(all_, k + 1)["id"] != x["id"], F.lit(True))))[0]
 
 
 def ranked(scored: DataFrame, tie: str, limit: int) -> DataFrame:
-    """The best limit rows of each query and mode with their rank from 1; Spark limits groups before the shuffle."""
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid", "mode").orderBy(F.desc("score"), tie))).where(F.col("rank") <= limit)
+    """The best limit rows of each query with their rank from 1; Spark limits groups before the shuffle."""
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), tie))).where(F.col("rank") <= limit)
+
+
+@dataclass(frozen=True)
+class Index:
+    """Both modes' indexes of some chunks."""
+
+    dense: vector_index.VectorIndex
+    sparse: postings.SparseIndex
+
+
+def indexed(chunks: DataFrame) -> Index:
+    """An index of chunks (chunk_id, program, vector, text, others): tables in the shared folder, to be searched any number of times."""
+    keep = partial(stored, tag="index")
+    held = keep(chunks)
+    return Index(vector_index.build(held.drop("text"), held.count(), keep), postings.build(token_weights(terms(held)), keep))
+
+
+def best_rows(index: Index, queries: DataFrame, modes: Sequence[str], only: Callable[[DataFrame], DataFrame] = lambda rows: rows, limit: int = MODE_LIMIT, by_program: bool = False, exact: bool = True, probes: int = vector_index.PROBES) -> DataFrame:
+    """qid, mode, program, chunk_id, score, rank: the best limit chunks, or programs by their best chunk, of each query by each mode.
+
+    queries: qid, vector, text. only filters rows that have chunk_id and program before they are scored, and may give them a scope; a query with a scope
+    meets rows of its own. Not exact, the dense search stays within the probes cells of highest bound.
+    """
+    keep, rank = partial(stored, tag="search"), partial(ranked, tie="program" if by_program else "chunk_id", limit=limit)
+    scope, found = ["scope"] * ("scope" in queries.columns), []
+    if "dense" in modes:
+        asked = queries.select("qid", "vector", *scope)
+        found.append(vector_index.search(index.dense, asked, limit, keep, rank, only, by_program, exact, probes, SCORE_DIGITS).withColumn("mode", F.lit("dense")))
+    if "sparse" in modes:
+        asked = terms(queries.select(F.col("qid").alias("chunk_id"), "text", *scope)).select(F.col("chunk_id").alias("qid"), "token", F.col("n").alias("count"), *scope)
+        found.append(postings.search(index.sparse, asked, limit, keep, rank, only, by_program, SCORE_DIGITS).withColumn("mode", F.lit("sparse")))
+    rows = reduce(DataFrame.unionByName, found)
+    return rows.select("qid", "mode", "program", "chunk_id", "score", "rank")
 
 
 def fuse(rankings: DataFrame, weights: dict[str, float], key: str, k: int = RRF_K, limit: int | None = None) -> DataFrame:

@@ -17,7 +17,8 @@ from tessera.plans.eligibility import BASE as CRITERIA_SQL
 from tessera.plans.eligibility import checked
 from tessera.plans.ingest import SNAPSHOTS_SQL, snapshots
 from tessera.plans.parsing import WORDS_SQL
-from tessera.plans.retrieval import BASE, BOTH, EVERY, REGION
+from tessera.plans.retrieval import BASE, BOTH, EVERY, REGION, index
+from tessera.plans.retrieval import asked as asked_chunks
 from tessera.sources.tables import AS_OF, PROGRAMS_SQL, RELATIONS_SQL, chunks, programs, relations, table
 
 QUERIES, ORACLES = {}, {}
@@ -173,10 +174,9 @@ def searched(spark, sf_dir) -> DataFrame:
     profiles = asked.join(table(spark, sf_dir, "customer"), F.col("qid") == F.col("c_custkey")).select("qid", target.alias("scope"), (F.col("c_acctbal") < -500).alias("closed"), conflict.alias("conflict"))
     able = profiles.where("not closed and conflict is null").select("qid", "scope")
     allowed = candidates(programs(spark, sf_dir), CandidateFilter(not_closed_on=AS_OF)).select(F.col("id").alias("program"), F.col("target").alias("scope"), "jurisdiction")
-    n = table(spark, sf_dir, "embeddings").count()
-    within = r.prepared(chunks(spark, sf_dir), BOTH).join(allowed.select("program", "scope"), "program")
-    wanted = r.prepared(chunks(spark, sf_dir).where(F.col("chunk_id") % EVERY == 0), BOTH).withColumnRenamed("chunk_id", "qid").join(able, "qid")
-    ranks = r.best_rows(within, wanted, BOTH, n, n // EVERY, by_program=True)
+    scoped = lambda rows: rows.join(allowed.select("program", "scope"), "program")
+    wanted = asked_chunks(spark, sf_dir).join(able, "qid")
+    ranks = r.best_rows(index(spark, sf_dir), wanted, BOTH, scoped, by_program=True)
     top = r.fuse(ranks, {"dense": 1.0, "sparse": 0.3}, "program", limit=10).join(allowed.select("program", "jurisdiction"), "program")
     listed = r.regional_bonus(top, F.coalesce(F.col("jurisdiction").isin(*REGION), F.lit(False))).select("qid", "program", "rank")
     found = allowed.groupBy("scope").agg(F.count(F.lit(1)).alias("found"))

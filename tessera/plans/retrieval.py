@@ -39,17 +39,29 @@ fused AS (SELECT coalesce(d.qid, s.qid) AS qid, coalesce(d.program, s.program) A
 BOTH = ("dense", "sparse")
 
 
-def best(spark, sf_dir, modes: tuple[str, ...], over: DataFrame | None = None, **options) -> DataFrame:
-    """Best rows of each asked chunk by the modes, over chunks or over a part of them."""
-    n = table(spark, sf_dir, "embeddings").count()
-    asked = r.prepared(chunks(spark, sf_dir).where(F.col("chunk_id") % EVERY == 0), modes).withColumnRenamed("chunk_id", "qid")
-    return r.best_rows(r.prepared(chunks(spark, sf_dir) if over is None else over, modes), asked, modes, n, n // EVERY, **options)
+def asked(spark, sf_dir) -> DataFrame:
+    return chunks(spark, sf_dir).where(F.col("chunk_id") % EVERY == 0).select(F.col("chunk_id").alias("qid"), "vector", "text")
+
+
+_INDEXES: dict[tuple[str, str], r.Index] = {}
+
+
+def index(spark, sf_dir) -> r.Index:
+    """The index of all chunks of a folder, built by the first query of an application that asks for it; the folder's tables do not change under one."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key] = r.indexed(chunks(spark, sf_dir))
+    return _INDEXES[key]
+
+
+def best(spark, sf_dir, modes: tuple[str, ...], **options) -> DataFrame:
+    """Best rows of each asked chunk by the modes, over all chunks or those that only leaves."""
+    return r.best_rows(index(spark, sf_dir), asked(spark, sf_dir), modes, **options)
 
 
 def program_rankings(spark, sf_dir) -> DataFrame:
     scope = candidates(programs(spark, sf_dir), CandidateFilter(not_closed_on=AS_OF)).select(F.col("id").alias("program"))
-    within = chunks(spark, sf_dir).join(scope, "program", "left_semi")
-    return best(spark, sf_dir, BOTH, within, by_program=True)
+    return best(spark, sf_dir, BOTH, only=lambda rows: rows.join(scope, "program", "left_semi"), by_program=True)
 
 
 def fused(spark, sf_dir, limit: int) -> DataFrame:
@@ -58,7 +70,7 @@ def fused(spark, sf_dir, limit: int) -> DataFrame:
 
 @query(BASE + "SELECT qid, chunk_id, program, score FROM dense WHERE role IS NULL OR role NOT IN ('FORM') QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) <= 50")
 def dense_topk(spark, sf_dir):
-    return best(spark, sf_dir, ("dense",), chunks(spark, sf_dir).where(r.role_condition(["FORM"]))).select("qid", "chunk_id", "program", "score")
+    return best(spark, sf_dir, ("dense",), only=lambda rows: rows.where(r.role_condition(["FORM"]))).select("qid", "chunk_id", "program", "score")
 
 
 @query(BASE + "SELECT qid, chunk_id, program, score FROM sparse QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) <= 50")
@@ -71,11 +83,22 @@ def grouped_top1(spark, sf_dir):
     return best(spark, sf_dir, ("dense",), by_program=True).select("qid", "program", "chunk_id", "score", "rank")
 
 
-@query(BASE + "SELECT chunk_id, count(*) AS n_tokens, max(w) AS top, round(sum(w), 6) AS weight FROM post GROUP BY chunk_id")
+SPECIAL = (0, 1, 2)
+
+
+@query(f"""WITH {CHUNKS_SQL}, w AS (SELECT chunk_id, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda t: length(t) >= 3) AS words FROM chunks),
+t AS (SELECT chunk_id, unnest(words) AS word, unnest(range(len(words))) AS i FROM w), v AS (SELECT chunk_id, ord(word) * 31 % 64 + length(word) - 3 AS id, ((i * 7 + length(word)) % 11 - 3) / 8.0::DOUBLE AS weight FROM t),
+m AS (SELECT chunk_id, id, max(weight) AS weight FROM v WHERE id NOT IN {SPECIAL} GROUP BY ALL HAVING max(weight) > 0)
+SELECT chunk_id, count(*) AS n_ids, max(weight) AS top, sum(weight) AS total, string_agg(id, ',' ORDER BY id) AS ids FROM m GROUP BY chunk_id""")
 def sparse_vectors(spark, sf_dir):
-    rows = r.prepared(chunks(spark, sf_dir), ["sparse"]).where(F.size("tokens") > 0)
-    total = F.aggregate("counts", F.lit(0.0), lambda s, n: s + n / F.array_max("counts"))
-    return rows.select("chunk_id", F.size("tokens").cast("long").alias("n_tokens"), F.lit(1.0).alias("top"), F.round(total, 6).alias("weight"))
+    """What is stored of a text's token weights: the largest positive one of each id, without special ids."""
+    rows = chunks(spark, sf_dir).select("chunk_id", r.text_tokens(F.col("text")).alias("words"))
+    ids = F.transform("words", lambda w: F.ascii(w) * 31 % 64 + F.length(w) - 3)
+    weights = F.transform("words", lambda w, i: ((i * 7 + F.length(w)) % 11 - 3) / 8.0)
+    rows = rows.select("chunk_id", r.sparse_vector(ids, weights, SPECIAL).alias("v")).where(F.size("v") > 0)
+    of = lambda name: F.col("v")[name]
+    total = F.aggregate(of("weight"), F.lit(0.0), lambda s, x: s + x)
+    return rows.select("chunk_id", F.size("v").cast("long").alias("n_ids"), F.array_max(of("weight")).alias("top"), total.alias("total"), F.array_join(of("id").cast("array<string>"), ",").alias("ids"))
 
 
 @query(PROGRAM_RANKS + """, t AS (SELECT * FROM fused QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, best_rank, program) <= 5)
