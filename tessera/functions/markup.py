@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 #: Possessive throughout, so that no markup makes the search step back.
 _ATTRIBUTE = r"""[\s/]*+[^\s/>=][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+|[\s/]*+="""
@@ -146,3 +146,44 @@ def plain(texts: pd.Series) -> pd.Series:
 def plain_html(text: Column) -> Column:
     """plain_text of a column, in Arrow batches: quotes, raw elements and nesting are beyond expressions."""
     return plain(text)
+
+
+def whole_number(text: str | None) -> int:
+    """A span as authors write it: its leading digits, 1 without any or for none at all."""
+    digits = re.match(r"\s*(\d{1,4})", text or "")
+    return max(1, int(digits[1])) if digits else 1
+
+
+def table_cells(text: str | None) -> list[tuple[int, int, int, int, str]]:
+    """(row, col, rowspan, colspan, text) of the cells of a table, in order. Each takes the first columns of its row that no span from above has left taken."""
+    out, row, below, col, said = [], -1, {}, 0, None
+    for kind, name, rest in marks(text or ""):
+        if kind == "text":
+            if said is not None:
+                said.append(rest)
+        elif name == "tr" and kind == "start":
+            # Columns that a cell above still spans; each row uses one of its rows up.
+            row, col, said = row + 1, 0, None
+            below = {c: n - 1 for c, n in below.items() if n > 1}
+        elif name in ("td", "th"):
+            said = None
+            if kind == "start" and row >= 0:
+                held = attributes(rest)
+                rows, cols = whole_number(held.get("rowspan")), whole_number(held.get("colspan"))
+                while col in below:
+                    col += 1
+                said = []
+                out.append((row, col, rows, cols, said))
+                below |= {c: max(rows, below.get(c, 0)) for c in range(col, col + cols)}
+                col += cols
+    return [(r, c, rs, cs, "".join(x).strip()) for r, c, rs, cs, x in out]
+
+
+CELL = StructType([StructField(n, IntegerType()) for n in ("row", "col", "rowspan", "colspan")] + [StructField("text", StringType())])
+
+
+@F.pandas_udf(ArrayType(CELL))
+def cells_of(texts: pd.Series) -> pd.Series:
+    """array<struct<row, col, rowspan, colspan, text>>: which columns a cell takes depends on all before it."""
+    names = [f.name for f in CELL]
+    return texts.map(lambda t: [dict(zip(names, cell, strict=True)) for cell in table_cells(t)])

@@ -60,13 +60,26 @@ def leaks(raw: Column, secret: str) -> Column:
     return raw.contains(secret) | F.coalesce(F.try_url_decode(raw).contains(secret), F.lit(False))
 
 
+# What a block of context says of its text.
+TITLE, PLACE, HEADING, CONTENT, NOWHERE, IN_SECTIONS = "공고: ", "위치: ", "문단 제목: ", "내용:", "위치 정보 없음", "HWPX "
+
+
 def numbered_context(blocks: Column) -> Column:
-    """E1..En blocks of an ordered array<string>, joined."""
-    return F.array_join(F.transform(blocks, lambda t, k: F.concat(F.lit("[E"), (k + 1).cast("string"), F.lit("] "), t)), "\n")
+    """E1..En blocks of an ordered array of (title, place, headings, text), an empty line between; what is missing is a dash."""
+
+    def block(x: Column, k: Column) -> Column:
+        title = F.when(F.length(x["title"]) > 0, x["title"]).otherwise("-")
+        heading = F.when(F.size(x["headings"]) > 0, F.array_join(x["headings"], " > ")).otherwise("-")
+        return F.concat_ws("\n", F.concat(F.lit("[E"), (k + 1).cast("string"), F.lit("]")), F.concat(F.lit(TITLE), title), F.concat(F.lit(PLACE), x["place"]), F.concat(F.lit(HEADING), heading), F.lit(CONTENT), x["text"])
+
+    return F.array_join(F.transform(blocks, block), "\n\n")
 
 
-def location(pages: Column, headings: Column) -> Column:
-    return F.when(F.size(pages) > 0, F.concat(F.lit("p."), F.array_join(F.transform(pages, lambda p: p.cast("string")), ", "))).otherwise(F.array_join(headings, " > "))
+def location(pages: Column, sections: Column) -> Column:
+    """Where a text stands: its pages, else the sections of its provenance, each once and in order."""
+    named = F.array_join(F.array_sort(F.array_distinct(F.filter(sections, lambda s: F.length(s) > 0))), ", ")
+    listed = F.concat(F.lit("p."), F.array_join(F.transform(pages, lambda p: p.cast("string")), ", "))
+    return F.when(F.size(pages) > 0, listed).when(F.length(named) > 0, F.concat(F.lit(IN_SECTIONS), named)).otherwise(NOWHERE)
 
 
 # Kinds of critical tokens, first come first served, with the expressions that must match.

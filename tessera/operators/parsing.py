@@ -112,14 +112,33 @@ def similar_to_earlier(rows: DataFrame, group: str, at: str, text: str, least: f
     return rows.select(group, at, text).groupBy(group).applyInPandas(repeated, f"{group} long, {at} long")
 
 
+def differences(tables: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """key, reasons, gap in tokens of the tables that engines a and b see differently; cells, merged and tokens of each are given as columns."""
+    col = lambda engine, name: F.col(f"{engine}_{name}")
+    differ = lambda name: F.coalesce(col(a, name) != col(b, name), F.lit(False))
+    told = [F.when(col(a, "cells").isNull() | col(b, "cells").isNull(), "not_detected"), F.when(differ("cells"), "shapes"), F.when(differ("merged"), "merged_cells"), F.when(differ("tokens"), "tokens")]
+    gap = F.abs(F.coalesce(col(a, "tokens"), F.lit(0)) - F.coalesce(col(b, "tokens"), F.lit(0)))
+    return tables.select(key, F.concat_ws(",", *told).alias("reasons"), gap.alias("gap")).where("reasons <> ''")
+
+
 def neighbours(cells: DataFrame, table: str) -> DataFrame:
-    """table, text, next_text, direction: each filled cell with the next filled one to the right and below. cells: row, col, text."""
-    filled = cells.where(F.trim("text") != "")
-    right = F.lead("text").over(Window.partitionBy(table, "row").orderBy("col"))
-    down = F.lead("text").over(Window.partitionBy(table, "col").orderBy("row"))
-    sides = filled.select(table, "text", right.alias("r"), down.alias("b"))
-    both = sides.select(table, "text", F.explode(F.array(F.struct(F.lit("right").alias("d"), F.col("r").alias("n")), F.struct(F.lit("down").alias("d"), F.col("b").alias("n")))).alias("x"))
-    return both.where("x.n is not null").select(table, "text", F.col("x.n").alias("next_text"), F.col("x.d").alias("direction"))
+    """table, text, next_text, direction: for each place of the grid that a filled cell takes, the next filled other cell to the right and below.
+
+    cells: at (their order), row, col, rowspan, colspan, text. Places of the same cell and of empty ones are passed over; a place of no cell ends the
+    way. Where cells overlap, the later has the place.
+    """
+    reach = lambda first, n: F.explode(F.sequence(F.col(first), F.col(first) + F.col(n) - 1))
+    places = cells.withColumn("_r", reach("row", "rowspan")).withColumn("_c", reach("col", "colspan"))
+    places = places.groupBy(table, "_r", "_c").agg(F.max(F.struct("at", "text")).alias("_x"))
+    ways = F.array(F.struct(F.lit("right").alias("d"), F.col("_r").alias("line"), F.col("_c").alias("pos")), F.struct(F.lit("down").alias("d"), F.col("_c").alias("line"), F.col("_r").alias("pos")))
+    rows = places.select(table, "_x.*", F.explode(ways).alias("_w")).select(table, "at", "text", "_w.*")
+    line = [table, "d", "line"]
+    rows = rows.withColumn("isle", F.col("pos") - F.row_number().over(Window.partitionBy(*line).orderBy("pos"))).where(F.trim("text") != "")
+    along = Window.partitionBy(*line, "isle").orderBy("pos")
+    rows = rows.withColumn("_new", F.coalesce((F.col("at") != F.lag("at").over(along)).cast("int"), F.lit(0)))
+    rows = rows.withColumn("run", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    after = F.first("text").over(Window.partitionBy(*line, "isle").orderBy("run").rangeBetween(1, 1))
+    return rows.withColumn("next_text", after).where("next_text is not null").select(table, "text", "next_text", F.col("d").alias("direction"))
 
 
 @F.pandas_udf(LongType())

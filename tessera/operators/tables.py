@@ -99,22 +99,6 @@ def best_overlaps(regions: DataFrame, tables: DataFrame, page: str, least: float
     return best.select(page, "id", "variant", "b.table", (-F.col("b.i")).alias("iou"))
 
 
-def html_cells(html: Column) -> Column:
-    """array<struct<row, at, rowspan, colspan, text>> of the td elements of an HTML table, in order."""
-    rows = F.slice(F.split(html, r"(?i)<tr[^>]*>"), 2, 1_000_000)
-
-    def span(cell: Column, name: str) -> Column:
-        n = F.regexp_extract(cell, rf'(?i)^[^>]*{name}="?(\d+)', 1)
-        return F.when(n == "", 1).otherwise(n.cast("int"))
-
-    def cells(row: Column, r: Column) -> Column:
-        parts = F.slice(F.split(row, r"(?i)<td"), 2, 1_000_000)
-        text = lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(x, "^[^>]*>", ""), "<[^>]*>", ""), r"^\s+|\s+$", "")
-        return F.transform(parts, lambda x, k: F.struct(r.alias("row"), k.alias("at"), span(x, "rowspan").alias("rowspan"), span(x, "colspan").alias("colspan"), text(x).alias("text")))
-
-    return F.flatten(F.transform(rows, cells))
-
-
 def resolved_overlaps(boxes: DataFrame, page: str) -> DataFrame:
     """page, l, t, r, b, n: boxes (l, t, r, b) of which one's centre lies in another become one, directly or along a chain."""
 
@@ -231,11 +215,16 @@ def merged_characters(chars: DataFrame, page: str) -> DataFrame:
     return chars.groupBy(page).applyInPandas(merge, f"{page} long, word long, text string, l double, t double, r double, b double")
 
 
+# How a list of cells is announced, and what a column is called.
+CELLS_SAID, COLUMN = "표 cell 목록 (행·병합 구조는 추정하지 않음):", "열 "
+# Fixed value: a "name, column = value" triplet, up to the next one or the end.
+TRIPLET = r"([^\n.]+?),\s*(\d+)\s*=\s*(.*?)(?=\.\s*[^\n.]+?,\s*\d+\s*=|$)"
+
+
 def readable_table(text: Column) -> Column:
-    """A text that is wholly "name, column = value" triplets, told as a list of cells; other texts as they are."""
-    triplet = r"([^\n.]+?),\s*(\d+)\s*=\s*(.*?)(?=\.\s*[^\n.]+?,\s*\d+\s*=|$)"
-    parts = [F.regexp_extract_all(text, F.lit(f"(?s){triplet}"), F.lit(k)) for k in (1, 2, 3)]
+    """A text that is wholly triplets, told as a list of cells under a line that says so; other texts as they are."""
+    parts = [F.regexp_extract_all(text, F.lit(f"(?s){TRIPLET}"), F.lit(k)) for k in (1, 2, 3)]
     # White space alone may stand before the first triplet.
-    starts = text.rlike(rf"(?s)^\s*{triplet}")
-    lines = F.transform(parts[0], lambda name, k: F.concat(F.lit("- "), F.trim(name), F.lit(" / "), F.get(parts[1], k), F.lit(": "), F.trim(F.get(parts[2], k))))
-    return F.when((F.size(parts[0]) >= 2) & starts, F.array_join(lines, "\n")).otherwise(text)
+    starts = text.rlike(rf"(?s)^\s*{TRIPLET}")
+    lines = F.transform(parts[0], lambda name, k: F.concat(F.lit("- "), F.trim(name), F.lit(" / "), F.lit(COLUMN), F.get(parts[1], k), F.lit(": "), F.trim(F.get(parts[2], k))))
+    return F.when((F.size(parts[0]) >= 2) & starts, F.concat(F.lit(f"{CELLS_SAID}\n"), F.array_join(lines, "\n"))).otherwise(text)

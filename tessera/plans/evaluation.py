@@ -125,11 +125,19 @@ def paths_and_leaks(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", base.alias("base"), d.extension(base).alias("kind"), t.leaks(F.col("url"), "page=2").alias("leaks"))
 
 
-@query("""WITH r AS (SELECT conv_id, list(text ORDER BY turn) AS blocks, list(turn ORDER BY turn) AS turns FROM conversations GROUP BY conv_id)
-SELECT conv_id, array_to_string([('[E' || i || '] ' || blocks[i]) FOR i IN range(1, len(blocks) + 1)], chr(10)) AS context, 'p.' || array_to_string(turns, ', ') AS location FROM r""")
+@query(f"""WITH r AS (SELECT conv_id, turn, text, CASE WHEN turn % 4 <> 1 THEN role ELSE '' END AS title, CASE WHEN conv_id % 3 = 0 THEN role || ' > ' || turn ELSE '-' END AS heading,
+  CASE WHEN turn % 2 = 0 THEN 'p.' || turn || ', ' || (turn + 1) WHEN conv_id % 2 = 0 THEN '{t.IN_SECTIONS}a' || CASE WHEN role = 'a' THEN '' ELSE ', ' || role END ELSE '{t.NOWHERE}' END AS place FROM conversations),
+b AS (SELECT conv_id, text, turn, concat_ws(chr(10), '[E' || row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) || ']', '{t.TITLE}' || CASE WHEN coalesce(title, '') = '' THEN '-' ELSE title END, '{t.PLACE}' || place, '{t.HEADING}' || heading, '{t.CONTENT}', text) AS block FROM r)
+SELECT conv_id, string_agg(block, chr(10) || chr(10) ORDER BY turn, text) AS context FROM b GROUP BY conv_id""")
 def numbered_context(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("all"))
-    return rows.select("conv_id", t.numbered_context(F.col("all.text")).alias("context"), t.location(F.col("all.turn"), F.array().cast("array<string>")).alias("location"))
+    """The turns of a conversation as numbered blocks of context, with places from pages or sections."""
+    turn, role = F.col("turn"), F.col("role")
+    none = F.array().cast("array<string>")
+    place = t.location(F.when(turn % 2 == 0, F.array(turn, turn + 1)).otherwise(F.array().cast("array<int>")), F.when(F.col("conv_id") % 2 == 0, F.array(role, F.lit("a"), F.lit(""), role)).otherwise(none))
+    headings = F.when(F.col("conv_id") % 3 == 0, F.array(role, turn.cast("string"))).otherwise(none)
+    row = F.struct("turn", "text", F.when(turn % 4 != 1, role).otherwise("").alias("title"), place.alias("place"), headings.alias("headings"))
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("all"))
+    return rows.select("conv_id", t.numbered_context(F.col("all")).alias("context"))
 
 
 @query("SELECT doc_id, nfc_normalize(text) = text AS composed, length(nfc_normalize(text)) AS n FROM documents")

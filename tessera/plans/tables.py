@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry as geo
+from tessera.functions import markup
 from tessera.functions import text as t
 from tessera.operators import layout as y
+from tessera.operators import parsing as p
 from tessera.operators import tables as o
 from tessera.plans.base import registrar
 from tessera.plans.layout import BOXES_SQL, RECURSIVE_SQL, boxes, greedy_sql, iou_sql
@@ -142,30 +144,49 @@ def gold_matches(spark, sf_dir):
     return variant.withColumn("false_positives", F.col("found") - F.col("matched")).withColumn("precision", F.round(F.try_divide("matched", "found"), 4))
 
 
-HTML_SQL = """WITH c AS (SELECT l_partkey AS tab, (l_orderkey % 4)::INT AS r, l_orderkey AS k, l_linenumber AS n FROM lineitem),
-o AS (SELECT *, dense_rank() OVER (PARTITION BY tab ORDER BY r) - 1 AS row, row_number() OVER (PARTITION BY tab, r ORDER BY k, n) - 1 AS place FROM c)
+HTML_SQL = """WITH RECURSIVE c AS (SELECT l_partkey AS tab, (l_orderkey % 4)::INT AS r, l_orderkey AS k, l_linenumber AS n FROM lineitem),
+o AS (SELECT *, dense_rank() OVER (PARTITION BY tab ORDER BY r) - 1 AS row, row_number() OVER (PARTITION BY tab ORDER BY r, k, n) AS i, CASE WHEN k % 7 <> 0 AND k % 11 = 0 THEN 3 ELSE 1 END AS rowspan, CASE WHEN k % 7 = 0 THEN 2 ELSE 1 END AS colspan FROM c),
+g AS (SELECT tab, 0::BIGINT AS i, -1::BIGINT AS col, []::BIGINT[] AS taken FROM o GROUP BY tab
+  UNION ALL SELECT tab, i, col, list_concat(taken, list_transform(range(rowspan * colspan), lambda x: (row + x // colspan) * 1000 + col + x % colspan))
+  FROM (SELECT o.*, g.taken, list_filter(range(200), lambda x: NOT list_contains(g.taken, o.row * 1000 + x))[1] AS col FROM g JOIN o ON o.tab = g.tab AND o.i = g.i + 1)),
+p AS (SELECT o.*, g.col FROM o JOIN g USING (tab, i))
 """
 
 
 def html_tables(spark, sf_dir) -> DataFrame:
-    """A table of HTML for each part: a row for each remainder of its orders, with spans and marks in the cells."""
+    """A table of HTML for each part: a row for each remainder of its orders, with spans in both quotes or none, and marks and references in the cells."""
     k = F.col("l_orderkey")
-    span = F.when(k % 7 == 0, ' colspan="2"').when(k % 11 == 0, " rowspan=3").otherwise("")
-    cell = F.concat(F.lit("<td"), span, F.lit("> <b>"), k.cast("string"), F.lit("</b> </td>"))
+    span = F.when(k % 14 == 0, ' colspan="2"').when(k % 7 == 0, " id=a>b colspan='2'").when(k % 22 == 0, " ROWSPAN = 3").when(k % 11 == 0, " rowspan='3'").otherwise("")
+    cell = F.concat(F.lit("<td"), F.replace(span, F.lit("a>b"), F.lit("'a>b'")), F.lit("> <b>"), k.cast("string"), F.when(k % 3 == 0, "&#38;").otherwise(""), F.when(k % 5 == 0, "</b>").otherwise("</b> </td>"))
     cells = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("tab"), (k % 4).alias("r"), k.alias("k"), F.col("l_linenumber").alias("n"), cell.alias("cell"))
     rows = cells.groupBy("tab", "r").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "n", "cell"))), lambda x: x["cell"]), "").alias("cells"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "cells"))), lambda x: F.concat(F.lit("<tr>"), x["cells"], F.lit("</tr>"))), "\n")
     return rows.groupBy("tab").agg(F.concat(F.lit("<table><tbody>"), body, F.lit("</tbody></table>")).alias("html"))
 
 
-@query(HTML_SQL + """SELECT tab, "row"::BIGINT AS "row", place::BIGINT AS place, CASE WHEN k % 7 <> 0 AND k % 11 = 0 THEN 3 ELSE 1 END::BIGINT AS rowspan, CASE WHEN k % 7 = 0 THEN 2 ELSE 1 END::BIGINT AS colspan, k::VARCHAR AS text FROM o""")
+@query(HTML_SQL + """SELECT tab, row::BIGINT AS row, col, rowspan::BIGINT AS rowspan, colspan::BIGINT AS colspan, k::VARCHAR || CASE WHEN k % 3 = 0 THEN '&' ELSE '' END AS text FROM p""")
 def html_cells(spark, sf_dir):
-    return html_tables(spark, sf_dir).select("tab", F.explode(o.html_cells(F.col("html"))).alias("x")).select("tab", "x.*").withColumnRenamed("at", "place")
+    """Cells with the columns of the grid that they take, which spans from above move."""
+    return html_tables(spark, sf_dir).select("tab", F.explode(markup.cells_of("html")).alias("x")).select("tab", "x.*")
 
 
-@query(HTML_SQL + ", p AS (SELECT tab, row, count(*) AS n FROM o GROUP BY ALL) SELECT tab, string_agg(n::VARCHAR, ',' ORDER BY row) AS counts FROM p GROUP BY tab")
+@query(HTML_SQL + """, s AS (SELECT tab, k::VARCHAR || CASE WHEN k % 3 = 0 THEN '&' ELSE '' END AS text, i, row + a AS gr, col + b AS gc FROM p, (VALUES (0), (1), (2)) AS x(a), (VALUES (0), (1)) AS y(b) WHERE a < rowspan AND b < colspan QUALIFY row_number() OVER (PARTITION BY tab, row + a, col + b ORDER BY i DESC) = 1),
+w AS (SELECT tab, text, i, 'right' AS d, gr AS line, gc AS pos FROM s UNION ALL SELECT tab, text, i, 'down', gc, gr FROM s),
+e AS (SELECT *, pos - row_number() OVER (PARTITION BY tab, d, line ORDER BY pos) AS isle FROM w),
+n AS (SELECT *, coalesce(i <> lag(i) OVER (PARTITION BY tab, d, line, isle ORDER BY pos), false)::INT AS new FROM e),
+u AS (SELECT *, sum(new) OVER (PARTITION BY tab, d, line, isle ORDER BY pos ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM n),
+t AS (SELECT tab, d, line, isle, run, any_value(text) AS text FROM u GROUP BY ALL)
+SELECT u.tab, u.d AS direction, u.text, t.text AS next_text, count(*) AS n FROM u JOIN t ON t.tab = u.tab AND t.d = u.d AND t.line = u.line AND t.isle = u.isle AND t.run = u.run + 1 GROUP BY ALL""")
+def html_neighbours(spark, sf_dir):
+    """Neighbours in the grid of cells with spans, place by place."""
+    cells = html_tables(spark, sf_dir).select("tab", F.posexplode(markup.cells_of("html")).alias("at", "x")).select("tab", "at", "x.*")
+    return p.neighbours(cells, "tab").groupBy("tab", "direction", "text", "next_text").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(HTML_SQL + ", q AS (SELECT tab, row, count(*) AS n FROM o GROUP BY ALL) SELECT tab, string_agg(n::VARCHAR, ',' ORDER BY row) AS counts FROM q GROUP BY tab")
 def html_row_counts(spark, sf_dir):
-    rows = html_tables(spark, sf_dir).select("tab", F.slice(F.split("html", "<tr>"), 2, 1_000_000).alias("rows"))
+    parts = F.split("html", "<tr>")
+    rows = html_tables(spark, sf_dir).select("tab", F.slice(parts, F.lit(2), F.size(parts)).alias("rows"))
     return rows.select("tab", F.array_join(F.transform("rows", lambda r: F.regexp_count(r, F.lit("<td")).cast("string")), ",").alias("counts"))
 
 
@@ -245,14 +266,14 @@ def page_items(spark, sf_dir):
     return items.join(gone.select("page", "item"), ["page", "item"], "left_anti").select("page", "item", "label").union(lines)
 
 
-TRIPLET_SQL = """WITH r AS (SELECT content, list(program ORDER BY program)[1:3] AS p, content % 4 AS k FROM relations GROUP BY content)
+TRIPLET_SQL = """WITH r AS (SELECT content, list(program ORDER BY program) AS p, content % 4 AS k FROM relations GROUP BY content)
 """
 
 
-@query(f"WITH {RELATIONS_SQL}, " + TRIPLET_SQL[5:] + """SELECT content, CASE WHEN k < 2 AND len(p) >= 2 THEN array_to_string(['- cell ' || x || ' / 1: value ' || x FOR x IN p], chr(10))
+@query(f"WITH {RELATIONS_SQL}, " + TRIPLET_SQL[5:] + f"""SELECT content, CASE WHEN k < 2 AND len(p) >= 2 THEN '{o.CELLS_SAID}' || chr(10) || array_to_string(['- cell ' || x || ' / {o.COLUMN}1: value ' || x FOR x IN p], chr(10))
   WHEN k < 2 THEN 'cell ' || p[1] || ', 1 = value ' || p[1] WHEN k = 2 THEN 'Note. free text' ELSE '' END AS readable FROM r""")
 def readable_tables(spark, sf_dir):
-    rows = relations(spark, sf_dir).groupBy("content").agg(F.slice(F.array_sort(F.collect_list("program")), 1, 3).alias("p"))
+    rows = relations(spark, sf_dir).groupBy("content").agg(F.array_sort(F.collect_list("program")).alias("p"))
     k = F.col("content") % 4
     told = F.array_join(F.transform("p", lambda x: F.concat(F.lit("cell "), x.cast("string"), F.lit(", 1 = value "), x.cast("string"))), ". ")
     text = F.when(k < 2, told).when(k == 2, "Note. free text").otherwise("")

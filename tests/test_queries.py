@@ -95,7 +95,7 @@ def test_repeated_criteria(spark, duck, sf_dir):
 
     want, seen = set(), defaultdict(list)
     for conv, turn, text in duck.sql("SELECT conv_id, turn, text FROM conversations WHERE role = 'user' ORDER BY conv_id, turn").fetchall():
-        if any(difflib.SequenceMatcher(None, s, text, autojunk=False).ratio() >= 0.3 for s in seen[conv]):
+        if any(difflib.SequenceMatcher(None, s, text, autojunk=False).ratio() >= 0.85 for s in seen[conv]):
             want.add((conv, turn))
         seen[conv].append(text)
     assert {tuple(r) for r in registry.QUERIES["repeated_criteria"](spark, sf_dir).collect()} == want
