@@ -2,9 +2,9 @@
 
 A token's postings are sorted by weight and cut into blocks of BLOCK, each with its highest weight, so a frequent token is spread over tasks. A query first
 reads its rarest tokens, up to FIRST postings, and scores the chunks it finds there whole: the limit-th best is a score that it need not go below. By
-MaxScore, tokens whose bounds (the query's count times the token's highest weight) stay below that score even in sum, least first, cannot bring a chunk in alone. Only the
-others' blocks are read; a chunk found there is dropped if what it has and what the skipped tokens could add stay below; for the rest the skipped
-tokens are looked up. All steps are equi-joins on tokens, blocks and chunks; no matrix of queries and tokens is made.
+MaxScore, tokens whose bounds (the query's count times the token's highest weight) stay below that score even in sum cannot bring a chunk in alone; those of the
+most postings for their bound are skipped first. Only the others' blocks are read; a chunk found there is dropped if what it has and what the skipped tokens
+could add stay below; for the rest the skipped tokens are looked up. All steps are equi-joins on tokens, blocks and chunks; no matrix of queries and tokens is made.
 """
 
 from __future__ import annotations
@@ -19,9 +19,11 @@ from pyspark.sql.window import Window
 from tessera.operators.segments import RANGE, in_ranges, running
 
 BLOCK = 1024
-FIRST = 256
+FIRST = 128
 #: Room for scores that were rounded.
 SLACK = 2e-9
+#: A query whose tokens have so many postings together, or fewer, reads them all: that is less work than finding what to skip.
+DIRECT = 100_000
 
 
 @dataclass(frozen=True)
@@ -59,23 +61,23 @@ def search(index: SparseIndex, queries: DataFrame, limit: int, keep: Callable[[D
     only filters postings, and may give them a scope; queries with a scope then meet those of theirs. Bounds are those of all chunks, so they hold.
     """
     scope = ["scope"] * ("scope" in queries.columns)
-    asked = keep(queries.join(index.tokens, "token").withColumn("bound", F.col("count") * F.col("most")))
+    each = Window.partitionBy("qid")
+    asked = queries.join(index.tokens, "token").withColumn("bound", F.col("count") * F.col("most")).withColumn("_all", F.sum("n").over(each))
     allowed = only(index.postings)
     level = best_programs if by_program else lambda rows: rows
     rounded = lambda rows: rows.withColumn("score", F.round("score", digits))
 
     # The rarest tokens, each read whole, as long as they have FIRST postings together; one at least.
     rarest = Window.partitionBy("qid").orderBy("n", "token")
-    early = asked.withColumn("_read", F.sum("n").over(rarest.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_k", F.row_number().over(rarest))
+    early = asked.where(F.col("_all") > DIRECT).withColumn("_read", F.sum("n").over(rarest.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_k", F.row_number().over(rarest))
     early = early.where((F.col("_read") <= FIRST) | (F.col("_k") == 1)).select("qid", "token", *scope)
     seen = allowed.join(early, ["token", *scope]).select("qid", "chunk_id", "program").distinct()
     whole = seen.join(index.postings.select("chunk_id", "token", "weight"), "chunk_id").join(asked.select("qid", "token", "count"), ["qid", "token"])
     sample = level(rounded(summed(whole.select("qid", "chunk_id", "program", (F.col("count") * F.col("weight")).alias("part")))))
     least = rank(sample).where(F.col("rank") == limit).select("qid", F.col("score").alias("least"))
 
-    # MaxScore: tokens of least bounds whose sum stays below. Of the others, blocks that stay below even with all else that the query could get.
-    each = Window.partitionBy("qid")
-    rising = each.orderBy("bound", "token").rowsBetween(Window.unboundedPreceding, 0)
+    # MaxScore: tokens whose bounds stay below in sum, those first that have the most postings for it. Of the others, blocks that stay below even with all else that the query could get.
+    rising = each.orderBy(F.col("bound") / F.col("n"), "token").rowsBetween(Window.unboundedPreceding, 0)
     split = asked.join(least, "qid", "left").withColumns({"least": F.coalesce("least", F.lit(0.0)), "upto": F.sum("bound").over(rising), "all": F.sum("bound").over(each)})
     split = keep(split.withColumn("needed", F.col("upto") + SLACK >= F.col("least")))
     rest = split.groupBy("qid").agg(F.max("least").alias("least"), F.coalesce(F.sum(F.when(~F.col("needed"), F.col("bound"))), F.lit(0.0)).alias("more"))
@@ -83,9 +85,9 @@ def search(index: SparseIndex, queries: DataFrame, limit: int, keep: Callable[[D
     pairs = allowed.join(needed.select("qid", "token", "count", "block", *scope), ["token", "block", *scope]).select("qid", "chunk_id", "program", (F.col("count") * F.col("weight")).alias("part"))
     # A chunk of a block that was left out stays below the score whatever else it has, so what it lacks there does not matter.
     alive = summed(pairs).join(rest, "qid").where(F.col("score") + F.col("more") + SLACK >= F.col("least"))
-    alive = keep(alive.select("qid", "chunk_id", "program", "score"))
+    alive = alive.select("qid", "chunk_id", "program", "score")
     skipped = split.where("not needed").select("qid", "token", "count")
-    later = alive.select("qid", "chunk_id", "program").join(index.postings.select("chunk_id", "token", "weight"), "chunk_id").join(skipped, ["qid", "token"])
+    later = alive.select("qid", "chunk_id", "program").join(skipped, "qid").join(index.postings.select("chunk_id", "token", "weight"), ["chunk_id", "token"])
     later = later.select("qid", "chunk_id", "program", (F.col("count") * F.col("weight")).alias("part"))
     total = summed(alive.withColumnRenamed("score", "part").unionByName(later))
     return rank(level(rounded(total)))

@@ -68,11 +68,11 @@ def indexed(chunks: DataFrame) -> Index:
     return Index(vector_index.build(held.drop("text"), held.count(), keep), postings.build(token_weights(terms(held)), keep))
 
 
-def best_rows(index: Index, queries: DataFrame, modes: Sequence[str], only: Callable[[DataFrame], DataFrame] = lambda rows: rows, limit: int = MODE_LIMIT, by_program: bool = False, exact: bool = True, probes: int = vector_index.PROBES) -> DataFrame:
+def best_rows(index: Index, queries: DataFrame, modes: Sequence[str], only: Callable[[DataFrame], DataFrame] = lambda rows: rows, limit: int = MODE_LIMIT, by_program: bool = False, exact: bool = True, probes: int | None = None) -> DataFrame:
     """qid, mode, program, chunk_id, score, rank: the best limit chunks, or programs by their best chunk, of each query by each mode.
 
     queries: qid, vector, text. only filters rows that have chunk_id and program before they are scored, and may give them a scope; a query with a scope
-    meets rows of its own. Not exact, the dense search stays within the probes cells of highest bound.
+    meets rows of its own. Not exact, the dense search stays within the probes nearest cells.
     """
     keep, rank = partial(stored, tag="search"), partial(ranked, tie="program" if by_program else "chunk_id", limit=limit)
     scope, found = ["scope"] * ("scope" in queries.columns), []

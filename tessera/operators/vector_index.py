@@ -2,8 +2,8 @@
 
 Cells are fitted on SAMPLE vectors of lowest hash. Every chunk is stored with its cell, the nearest centroid, and a cell with its radius, the largest
 distance of its vectors from the centroid; vectors of other lengths than most are in one cell to each length. For a query a cell can hold no
-cosine above what centroid and radius allow. A search takes the cells of highest bound first; an exact one then takes all other cells whose bound is not
-below the query's limit-th best score so far, so what it leaves out cannot be among the best.
+cosine above what centroid and radius allow. A search takes the nearest cells first; an exact one then takes all other cells whose bound is not below
+the query's limit-th best score so far, so what it leaves out cannot be among the best.
 
 Queries go to cells: a chunk is read once for each QUERY_TILE queries that ask its cell, and not at all if none does. A cell is dealt in parts of PART
 chunks, so a task holds a part and a tile of queries. Filters are put on the chunks before, and with a column scope queries meet chunks of theirs.
@@ -24,7 +24,10 @@ SAMPLE, ROUNDS = 8192, 6
 #: Cells at most; they and their radii are what is broadcast and held by the driver.
 MOST_CELLS = 4096
 PART, QUERY_TILE = 4096, 4096
-PROBES = 8
+#: Nearest cells: of the first round of an exact search, and of one that is not exact. A first round takes cells of FIRST_CHUNKS chunks
+#: at least, as one of fewer costs no less.
+FIRST_CELLS, PROBES = 8, 32
+FIRST_CHUNKS = 1 << 14
 SLACK = 1e-7
 
 
@@ -59,6 +62,7 @@ class VectorIndex:
     cells: DataFrame
     centroids: np.ndarray
     radii: np.ndarray
+    n: int
 
 
 def bounds(vectors: np.ndarray, centroids: np.ndarray, radii: np.ndarray) -> np.ndarray:
@@ -111,11 +115,11 @@ def build(chunks: DataFrame, n_chunks: int, keep: Callable[[DataFrame], DataFram
         if r.cell >= 0:
             radii[r.cell] = r.radius + SLACK
     known = placed.sparkSession.createDataFrame([(r.cell, r.n) for r in stats], "cell int, n long")
-    return VectorIndex(placed, known, centroids, radii)
+    return VectorIndex(placed, known, centroids, radii, sum(r.n for r in stats))
 
 
 def asked_cells(index: VectorIndex, first: int, rest: bool):
-    """A function of query vectors and least scores: their first cells by bound, or with rest the others whose bound is not below the score."""
+    """A function of query vectors and least scores: their nearest cells, or with rest the others whose bound is not below the score."""
     centroids, radii, dim = index.centroids, index.radii, index.centroids.shape[1]
 
     @F.pandas_udf(ArrayType(IntegerType()))
@@ -127,7 +131,7 @@ def asked_cells(index: VectorIndex, first: int, rest: bool):
                     out[i] = [] if rest else [-length]
                 continue
             allowed = bounds(v, centroids, radii)
-            order = np.argsort(-allowed, axis=1, kind="stable")
+            order = np.argsort(away(unit(v), centroids), axis=1, kind="stable")
             for i, row, places in zip(at, allowed, order, strict=True):
                 later = places[first:]
                 out[i] = (later[row[later] + SLACK >= least.iloc[i]] if rest else places[:first]).tolist()
@@ -150,18 +154,20 @@ def cosines(chunks: pd.DataFrame, queries: pd.DataFrame) -> np.ndarray:
 def best_of_tile(chunks: pd.DataFrame, queries: pd.DataFrame, limit: int, by_program: bool, digits: int) -> pd.DataFrame:
     """The best limit rows for each query: chunks, or the best chunk of each program. Ties go to the lower id."""
     chunks = chunks.sort_values("chunk_id")
-    ids, programs, parts = chunks.chunk_id.to_numpy(), chunks.program.to_numpy(), []
+    ids, programs, found = chunks.chunk_id.to_numpy(), chunks.program.to_numpy(), []
     strip = max(1, (1 << 22) // max(1, len(chunks)))
     for first in range(0, len(queries), strip):
-        some = queries.iloc[first : first + strip]
-        for qid, row in zip(some.qid, np.round(cosines(chunks, some), digits), strict=True):
-            order = np.argsort(-row, kind="stable")[: np.count_nonzero(~np.isnan(row))]
+        scores = np.round(cosines(chunks, queries.iloc[first : first + strip]), digits)
+        counts = np.count_nonzero(~np.isnan(scores), axis=1)
+        for k, order in enumerate(np.argsort(-scores, axis=1, kind="stable")):
+            order = order[: counts[k]]
             if by_program:
                 order = order[np.sort(np.unique(programs[order], return_index=True)[1])]
-                order = order[np.lexsort((programs[order], -row[order]))]
-            order = order[:limit]
-            parts.append(pd.DataFrame({"qid": qid, "program": programs[order], "chunk_id": ids[order], "score": row[order]}))
-    return pd.concat(parts)
+                order = order[np.lexsort((programs[order], -scores[k, order]))]
+            found.append((first + k, order[:limit], scores[k, order[:limit]]))
+    at = np.concatenate([order for _, order, _ in found])
+    asked = np.repeat([k for k, _, _ in found], [len(order) for _, order, _ in found])
+    return pd.DataFrame({"qid": queries.qid.to_numpy()[asked], "program": programs[at], "chunk_id": ids[at], "score": np.concatenate([x for _, _, x in found])})
 
 
 FOUND = "qid long, program long, chunk_id long, score double"
@@ -191,12 +197,12 @@ def met(index: VectorIndex, chunks: DataFrame, queries: DataFrame, limit: int, b
     return best
 
 
-def search(index: VectorIndex, queries: DataFrame, limit: int, keep: Callable[[DataFrame], DataFrame], rank: Callable[[DataFrame], DataFrame], only: Callable[[DataFrame], DataFrame] = lambda rows: rows, by_program: bool = False, exact: bool = True, probes: int = PROBES, digits: int = 9) -> DataFrame:
-    """The best limit rows of each query (qid, vector), ranked by rank. Exact, or within its probes cells of highest bound.
+def search(index: VectorIndex, queries: DataFrame, limit: int, keep: Callable[[DataFrame], DataFrame], rank: Callable[[DataFrame], DataFrame], only: Callable[[DataFrame], DataFrame] = lambda rows: rows, by_program: bool = False, exact: bool = True, probes: int | None = None, digits: int = 9) -> DataFrame:
+    """The best limit rows of each query (qid, vector), ranked by rank. Exact, or within its probes nearest cells.
 
     only filters chunks within their cells, and may give them a scope.
     """
-    chunks = only(index.chunks)
+    chunks, probes = only(index.chunks), probes or (max(FIRST_CELLS, -(-FIRST_CHUNKS * len(index.centroids) // max(1, index.n))) if exact else PROBES)
     least = F.lit(-2.0)
     first = met(index, chunks, queries.withColumn("cells", asked_cells(index, probes, False)("vector", least)), limit, by_program, digits)
     first = rank(first)
