@@ -157,3 +157,18 @@ def containing(needles: DataFrame, needle: str, texts: DataFrame, text_col: str)
     # A run that no text has rules the needle out.
     rarest = asked.join(often, "_gram", "left").groupBy(needle).agg(F.min_by("_gram", F.struct(F.coalesce("_often", F.lit(0)), "_gram")).alias("_gram"))
     return rarest.join(held, "_gram").where(F.col(text_col).contains(F.col(needle))).select(needle, text_col)
+
+
+def longest_prefix(rows: DataFrame, text: str, aliases: DataFrame, name: str) -> DataFrame:
+    """rows with name: the value of the longest alias that text begins with, spaces removed from both; null where none does.
+
+    aliases (alias, value). A text meets an alias by equality of a prefix of one of the aliases' lengths, which are few however many aliases there
+    are; of one alias with several values the least counts. A text is looked up once, however many rows have it.
+    """
+    plain = lambda c: F.regexp_replace(c, r"\s", "")
+    known = aliases.select(plain(F.col("alias")).alias("_p"), F.col("value").alias("_v")).where("_p <> ''").groupBy("_p").agg(F.min("_v").alias("_v"))
+    lengths = known.agg(F.array_sort(F.collect_set(F.length("_p"))).alias("_lengths"))  # one row
+    asked = rows.select(F.col(text).alias("_t")).distinct().withColumn("_s", plain(F.col("_t"))).join(F.broadcast(lengths))
+    prefixes = F.transform(F.filter("_lengths", lambda n: n <= F.length("_s")), lambda n: F.substring(F.col("_s"), F.lit(1), n))
+    found = asked.select("_t", F.explode(prefixes).alias("_p")).join(known, "_p").groupBy("_t").agg(F.max_by("_v", F.length("_p")).alias(name))
+    return rows.join(found, F.col(text) == F.col("_t"), "left").drop("_t")

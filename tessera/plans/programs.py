@@ -99,6 +99,20 @@ def region_rules(spark, sf_dir):
     return rows.select("id", F.array_join("regions", ",").alias("regions"), "basis", c.region_allowed(F.col("regions"), "ASIA").alias("allowed_in_asia"))
 
 
+@query("""WITH a AS (SELECT replace(n_name, '_', ' ') AS alias, r_name AS value FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 5 <> 4 UNION ALL SELECT 'NATION 1' || n_name, 'INNER' FROM nation WHERE n_nationkey = 2),
+c AS (SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN ' NATION ' || c_nationkey || ' city ' || c_custkey WHEN 1 THEN 'NATION' || c_nationkey || 'NATION_2' ELSE c_mktsegment END AS place FROM customer),
+m AS (SELECT DISTINCT place, replace(alias, ' ', '') AS p, value FROM c, a WHERE starts_with(replace(place, ' ', ''), replace(alias, ' ', '')))
+SELECT id, c.place, g.region FROM c LEFT JOIN (SELECT place, arg_max(value, length(p)) AS region FROM m GROUP BY place) g ON g.place = c.place""")
+def longest_regions(spark, sf_dir):
+    """The region of a place by the longest alias that it begins with; aliases nest, and some places have none."""
+    names = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    aliases = names.where("n_nationkey % 5 <> 4").select(F.replace("n_name", F.lit("_"), F.lit(" ")).alias("alias"), F.col("r_name").alias("value"))
+    aliases = aliases.union(names.where("n_nationkey = 2").select(F.concat(F.lit("NATION 1"), "n_name"), F.lit("INNER")))
+    key, nation = F.col("c_custkey"), F.col("c_nationkey").cast("string")
+    place = F.when(key % 3 == 0, F.concat(F.lit(" NATION "), nation, F.lit(" city "), key.cast("string"))).when(key % 3 == 1, F.concat(F.lit("NATION"), nation, F.lit("NATION_2"))).otherwise(F.col("c_mktsegment"))
+    return c.longest_prefix(table(spark, sf_dir, "customer").select(key.alias("id"), place.alias("place")), "place", aliases, "region")
+
+
 @query(P + """, a AS (SELECT 'NATION_' || n_nationkey AS alias, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey)
 SELECT coalesce(a.region, 'NONE') AS region, count(*) AS n FROM programs p LEFT JOIN a ON p.jurisdiction = a.alias WHERE active GROUP BY 1""")
 def region_histogram(spark, sf_dir):

@@ -102,11 +102,15 @@ def replaced_roles(spark, sf_dir):
     return after.select("chunk_id", "role").join(F.broadcast(same))
 
 
-@query("SELECT * FROM (VALUES ('missing s_name'), ('type s_suppkey: int, not bigint'), ('unexpected more')) v(difference)")
+@query("""WITH d AS (SELECT c_custkey AS k FROM customer),
+x AS (SELECT unnest(list_filter([CASE WHEN k % 13 = 0 THEN 'no object' END, CASE WHEN k % 13 > 0 AND k % 5 = 0 THEN 'type id: STRING, not BIGINT' END, CASE WHEN k % 13 > 0 AND k % 7 = 0 THEN 'missing name' END, CASE WHEN k % 13 > 0 AND k % 3 = 0 THEN 'unexpected more' END], lambda x: x IS NOT NULL)) AS difference FROM d)
+SELECT difference, count(*) AS n FROM x GROUP BY difference""")
 def schema_check(spark, sf_dir):
-    wanted = table(spark, sf_dir, "supplier")
-    found = wanted.select(F.col("s_suppkey").cast("int").alias("s_suppkey"), "s_nationkey", "s_acctbal", F.lit(1).alias("more"))
-    return spark.createDataFrame([(x,) for x in files.schema_differences(wanted, found)], "difference string")
+    """What the stored objects of a collection lack, have besides, or have as another type than its schema says."""
+    k = F.col("c_custkey")
+    typed = lambda value: F.to_json(F.struct(value.alias("id"), F.when(k % 7 != 0, F.col("c_name")).alias("name"), F.when(k % 3 == 0, F.lit(True)).alias("more")))
+    line = F.when(k % 13 == 0, "[1]").when(k % 5 == 0, typed(k.cast("string"))).otherwise(typed(k))
+    return files.row_differences(table(spark, sf_dir, "customer").select(line.alias("line")), "line", {"id": "BIGINT", "name": "STRING"})
 
 
 @F.pandas_udf(BinaryType())

@@ -122,6 +122,20 @@ def schema_differences(wanted: DataFrame, found: DataFrame) -> list[str]:
     return sorted([f"missing {c}" for c in a.keys() - b.keys()] + [f"unexpected {c}" for c in b.keys() - a.keys()] + [f"type {c}: {b[c]}, not {a[c]}" for c in a.keys() & b.keys() if a[c] != b[c]])
 
 
+def row_differences(lines: DataFrame, line: str, wanted: dict[str, str]) -> DataFrame:
+    """difference, n: what JSON objects lack, have besides, or have as another type than wanted (name to a type of schema_of_variant, its digits left out)."""
+    found = F.try_parse_json(F.col(line))
+    kind = lambda name: F.regexp_extract(F.schema_of_variant(F.try_variant_get(found, f"$.{name}", "variant")), "^[A-Z]+", 0)
+    keys = F.json_object_keys(line)
+    checks = [
+        F.when(~F.array_contains(keys, name), f"missing {name}").when(kind(name) != of, F.concat(F.lit(f"type {name}: "), kind(name), F.lit(f", not {of}")))
+        for name, of in wanted.items()
+    ]
+    extra = F.transform(F.array_except(keys, F.array(*map(F.lit, wanted))), lambda k: F.concat(F.lit("unexpected "), k))
+    told = F.when(keys.isNull(), F.array(F.lit("no object"))).otherwise(F.concat(F.array_compact(F.array(*checks)), extra))
+    return lines.select(F.explode(told).alias("difference")).groupBy("difference").agg(F.count(F.lit(1)).alias("n"))
+
+
 def written_lines(rows: DataFrame, path: str) -> None:
     """JSON lines with the columns in the order of their names."""
     rows.select(*sorted(rows.columns)).write.mode("errorifexists").json(path)
