@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
+from tessera.operators import hashtree
 from tessera.plans.base import registrar
 from tessera.plans.containers import archive_of
 from tessera.sources import files
@@ -65,6 +66,24 @@ def restored_snapshot(spark, sf_dir):
     return spark.read.schema(rows.schema).parquet(f"{path}/to/nation.parquet")
 
 
+def two_snapshots(spark, sf_dir) -> tuple[str, str]:
+    """A snapshot of parts, and one with a few rows changed, lost and added."""
+    old, new, k = place(spark, "old"), place(spark, "new"), F.col("p_partkey")
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    after = parts.where(k % 997 != 5).withColumn("p_size", F.when(k % 499 == 3, F.col("p_size") + 1).otherwise(F.col("p_size")))
+    added = parts.where(k % 991 == 7).withColumn("p_partkey", k + 10_000_000)
+    hashtree.stored(parts, ["p_partkey"], old)
+    hashtree.stored(after.union(added), ["p_partkey"], new)
+    return old, new
+
+
+@query("""SELECT p_partkey, 'lost' AS change FROM part WHERE p_partkey % 997 = 5 UNION ALL SELECT p_partkey, 'changed' FROM part WHERE p_partkey % 997 <> 5 AND p_partkey % 499 = 3
+UNION ALL SELECT p_partkey + 10000000, 'added' FROM part WHERE p_partkey % 991 = 7""")
+def snapshot_differences(spark, sf_dir):
+    """Rows in which two snapshots differ, found from the roots of their hash trees."""
+    return hashtree.differences(spark, *two_snapshots(spark, sf_dir), ["p_partkey"])
+
+
 @query("SELECT * FROM (VALUES ('changed', 1), ('missing', 1), ('new', 1)) v(problem, n)")
 def manifest_check(spark, sf_dir):
     """Files of a snapshot against a manifest that names one that is not there, lacks one, and has another content for one."""
