@@ -114,13 +114,15 @@ def best_matches(scored: DataFrame, group: str, order: Sequence[Column]) -> Data
 #: What of a title names an edition or a notice rather than the business.
 EDITION = r"(?<![0-9])20[0-9]{2}\s*년?|제?\s*[0-9]+\s*차(?=\s|$|[\]\)])"
 NOTICE = r"(?:변경|수정|재|추가)\s*(?:모집)?\s*공고|모집\s*공고|공고"
+#: What is no part of a plain name, and the length below which a name stands for its own row only.
+NO_NAME = "[^가-힣a-z0-9]"
 LEAST_NAME = 8
 
 
 def business_identity(title: Column, key: Column, *rest: Column) -> Column:
     """The same business under other years, rounds and notices: its plain name with rest; a short name stands for its own row only."""
     plain = F.lower(text.nfkc(F.coalesce(title, F.lit(""))))
-    for pattern in (f"(?U){EDITION}", f"(?U){NOTICE}", "[^가-힣a-z0-9]"):
+    for pattern in (f"(?U){EDITION}", f"(?U){NOTICE}", NO_NAME):
         plain = F.regexp_replace(plain, pattern, "")
     own = F.struct(key.cast("string").alias("name"), *[F.lit(None).cast("string").alias(f"r{k}") for k in range(len(rest))])
     return F.when(F.length(plain) < LEAST_NAME, own).otherwise(F.struct(plain.alias("name"), *[r.cast("string").alias(f"r{k}") for k, r in enumerate(rest)]))

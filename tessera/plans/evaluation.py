@@ -69,18 +69,11 @@ def fact_groups(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", t.groups_hit(F.col("text"), groups).alias("hit"))
 
 
-CRITICAL_KINDS = (
-    ("date", r"\d{4}\s*[.\-/년]\s*\d{1,2}\s*[.\-/월]\s*\d{1,2}\s*일?|\d{1,2}\s*[./]\s*\d{1,2}\s*\.?\s*\([월화수목금토일]\)"),
-    ("period", r"\d+(?:\.\d+)?\s*(?:개월|년간|주간|일간|시간|년|주)"),
-    ("amount", r"\d[\d,]*(?:\.\d+)?\s*(?:조|억|천만|백만|만|천)?\s*원"),
-    ("percent", r"\d+(?:\.\d+)?\s*(?:%|％|퍼센트)"),
-    ("number", r"\d[\d,]*(?:\.\d+)?"),
-)
 #: Each kind is masked before the next; this differs from skipping only where a match overlaps a mask in part.
 CRITICAL_SQL = "WITH s0 AS (SELECT doc_id, text || CASE doc_id % 5 WHEN 0 THEN ' 2026년 9월 3일' WHEN 1 THEN ' 5천만원 12개월' WHEN 2 THEN ' 3.5 %' ELSE '' END AS t FROM documents)"
-for k, (_, pattern) in enumerate(CRITICAL_KINDS):
+for k, (_, pattern) in enumerate(t.CRITICAL):
     CRITICAL_SQL += f", s{k + 1} AS (SELECT doc_id, regexp_replace(t, '{pattern}', chr(1), 'g') AS t, regexp_extract_all(t, '{pattern}') AS x FROM s{k})"
-CRITICAL_SQL += ", a AS (" + " UNION ALL ".join(f"SELECT '{kind}' AS kind, unnest(x) AS token FROM s{k + 1}" for k, (kind, _) in enumerate(CRITICAL_KINDS)) + ")"
+CRITICAL_SQL += ", a AS (" + " UNION ALL ".join(f"SELECT '{kind}' AS kind, unnest(x) AS token FROM s{k + 1}" for k, (kind, _) in enumerate(t.CRITICAL)) + ")"
 CRITICAL_SQL += " SELECT kind, regexp_replace(token, '\\s+', '', 'g') AS token, count(*) AS n FROM a GROUP BY ALL"
 
 
