@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import retrieval as r
 from tessera.operators.candidates import CandidateFilter, candidates
 from tessera.plans.base import registrar
-from tessera.sources.tables import AS_OF, CHUNKS_SQL, PROGRAMS_SQL, chunks, programs, table
+from tessera.sources.tables import AS_OF, CHUNKS_SQL, PROGRAMS_SQL, chunks, programs
 
 QUERIES, ORACLES = {}, {}
 query = registrar(QUERIES, ORACLES)

@@ -13,6 +13,7 @@ from tessera.operators import hashtree
 from tessera.plans.base import registrar
 from tessera.plans.containers import archive_of
 from tessera.sources import files
+from tessera.sources.paged import paged_source
 from tessera.sources.tables import table
 
 QUERIES, ORACLES = {}, {}
@@ -49,6 +50,23 @@ def scanned_items(spark, sf_dir):
     return items.select("number", F.col("at").alias("place"), F.try_variant_get("item", "$.id", "long").alias("id"), F.try_variant_get("item", "$.segment", "string").alias("segment"))
 
 
+@query("""WITH p AS (SELECT c_custkey // 50 + 1 AS number, c_custkey AS id FROM customer), n AS (SELECT count(*) AS total FROM customer), k AS (SELECT unnest(range(1, (total + 49) // 50 + 1)) AS number FROM n)
+SELECT k.number, CASE WHEN k.number % 5 = 3 THEN 'TRANSPORT_ERROR' WHEN k.number % 5 = 4 THEN 'CONTRACT_ERROR' ELSE 'SUCCESS' END AS outcome, CASE WHEN k.number % 5 NOT IN (3, 4) THEN count(p.id) END AS n_items FROM k LEFT JOIN p USING (number) GROUP BY k.number""")
+def paged_scan(spark, sf_dir):
+    """A crawl read through the paged source: some pages are gone, some cut short, and the first one's total says how many there are."""
+    path = place(spark, "crawl")
+    rows = table(spark, sf_dir, "customer").select((F.floor(F.col("c_custkey") / 50) + 1).cast("int").alias("number"), F.struct(F.col("c_custkey").alias("id")).alias("item"))
+    total = rows.agg(F.count(F.lit(1)).alias("total"))
+    held = rows.groupBy("number").agg(F.array_sort(F.collect_list("item")).alias("item")).join(F.broadcast(total))
+    told = F.struct(F.col("number").alias("pageNo"), F.when(F.col("number") == 1, F.col("total")).otherwise(F.lit(7)).alias("totalCount"), F.struct("item").alias("items"))
+    body = F.to_json(F.struct(F.struct(F.struct(F.lit("00").alias("resultCode")).alias("header"), told.alias("body")).alias("response")))
+    crawled = held.where("number % 5 <> 3").select("number", F.when(F.col("number") % 5 == 4, F.substring(body, 1, 30)).otherwise(body).alias("value"))
+    crawled.repartition("number").write.partitionBy("number").text(path)
+    spark.dataSource.register(paged_source())
+    scan = spark.read.format("paged").option("path", path).option("pageSize", 50).option("pagesPerTask", 4).load()
+    return files.paged_items(scan)[0].select("number", "outcome", "n_items")
+
+
 @query("SELECT s_suppkey, s_name, s_nationkey::BIGINT AS s_nationkey, s_acctbal FROM supplier")
 def lines_roundtrip(spark, sf_dir):
     """A table as JSON lines, and read again."""
