@@ -96,7 +96,7 @@ def test_merged_characters(spark):
 def test_readable_table(spark):
     texts = ["a, 1 = x. b, 2 = y", "  a, 1 = x. b, 2 = y", "Note. a, 1 = x. b, 2 = y", "a, 1 = x", "", None]
     got = [r.x for r in spark.createDataFrame([(t,) for t in texts], "t string").select(o.readable_table(o.F.col("t")).alias("x")).collect()]
-    assert got[0] == got[1] == "- a / 1: x\n- b / 2: y" and got[3:] == texts[3:]
+    assert got[0] == got[1] == "표 cell 목록 (행·병합 구조는 추정하지 않음):\n- a / 열 1: x\n- b / 열 2: y" and got[3:] == texts[3:]
 
 
 def test_gold_matches(spark, sf_dir):
