@@ -45,7 +45,7 @@ CELL_BYTES = 4
 LEAST_WIDTH, MOST_WIDTH = 1 << 16, 1 << 27
 #: Cells of a block.
 BLOCK = 1 << 13
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
 #: Parts of a language that are ranked each before the language is.
 RANK_PARTS = 64
 
