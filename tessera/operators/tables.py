@@ -18,8 +18,8 @@ from tessera.operators.layout import gap_clusters, on_grid
 
 
 def nearest(lines: Column, value: Column) -> Column:
-    """Place of the line nearest to value, the first of equally near ones."""
-    return F.array_min(F.transform(lines, lambda m, k: F.struct(F.abs(m - value).alias("d"), k.alias("k"))))["k"]
+    """Place of the line nearest to value, the first of equally near ones; distances that agree in nine digits are equal."""
+    return F.array_min(F.transform(lines, lambda m, k: F.struct(F.round(F.abs(m - value), 9).alias("d"), k.alias("k"))))["k"]
 
 
 def snapped(boxes: DataFrame, page: str, box: str, tolerance: float) -> DataFrame:

@@ -119,3 +119,20 @@ def test_gold_matches(spark, sf_dir):
     got = {r.variant: r for r in QUERIES["gold_matches"](spark, sf_dir).collect()}
     for k, t in totals.items():
         assert (got[k].gold, got[k].found, got[k].matched) == (t["gold"], t["found"], t["matched"]) and got[k].false_positives == t["found"] - t["matched"]
+
+
+def test_lines_equally_near(spark):
+    """Distances of 3.333333 differ in binary; the first line counts, as in the queries' SQL."""
+    from pyspark.sql import functions as F
+
+    lines = spark.createDataFrame([([-2.333333, 4.333333], 1.0), ([0.0, 1.0], 0.6)], "m array<double>, v double")
+    assert sorted(r.k for r in lines.select(o.nearest(F.col("m"), F.col("v")).alias("k")).collect()) == [0, 1]
+
+
+def test_equal_edges_are_one_cluster(spark):
+    """Equal values are in one cluster whichever comes first; a running count of rows over ties in another order would part them."""
+    from tessera.operators.layout import gap_clusters
+
+    values = [(1, float(v)) for v in [0] * 50 + [9] * 200 + [20] * 300]
+    rows = spark.createDataFrame(values, "page long, v double").repartition(4)
+    assert sorted((r["mean"], r.n) for r in gap_clusters(rows, "page", "v", 6.0).collect()) == [(0.0, 50), (9.0, 200), (20.0, 300)]
