@@ -135,3 +135,26 @@ def test_sparse_vector(spark):
     frame = spark.createDataFrame([([5, 2, 5, 0, 7, None, 9], [0.5, 1.0, 0.75, 9.0, -1.0, 3.0, None]), ([], []), (None, None), ([1], [float("nan")])], "ids array<int>, w array<double>")
     got = [x.v and [tuple(y) for y in x.v] for x in frame.select(r.sparse_vector(F.col("ids"), F.col("w"), (0, 1)).alias("v")).collect()]
     assert got == [[(2, 1.0), (5, 0.75)], [], None, []]
+
+
+@pytest.mark.parametrize(("by_program", "scoped", "limit", "most"), [(False, False, 5, 100), (True, False, 7, 4096), (False, True, 400, 300), (True, True, 3, 100)])
+def test_products_are_exact(spark, rows, index, monkeypatch, by_program, scoped, limit, most):
+    """Many queries meet parts of the chunks: the best of each part are shuffled, not a row for each posting read."""
+    for name, value in (("PART", most), ("TILE", 16), ("LEAST_PART", most), ("STRIP", 5), ("DENSE", 7), ("EXPANDED", 50)):
+        monkeypatch.setattr(postings, name, value)
+    queries = rows[::20] + rows[5:900:300]
+    names = "qid long, program long, vector array<double>, text string, scope long"
+    asked = spark.createDataFrame(queries, names).drop("program", *([] if scoped else ["scope"]))
+    scopes = spark.createDataFrame([(c[0], c[4]) for c in rows], "chunk_id long, scope long")
+    only = (lambda held: held.join(scopes, "chunk_id")) if scoped else (lambda held: held)
+    assert answers(r.best_rows(index, asked, ("sparse",), only, limit, by_program)) == brute(rows, queries, "sparse", limit, by_program, scoped)
+
+
+def test_shuffled_rows_are_bounded():
+    """A part gives a query its best rows only, of however many chunks that share its tokens."""
+    import pandas as pd
+
+    c = pd.DataFrame({"chunk_id": range(500), "program": [i // 3 for i in range(500)], "ids": [np.array([1, 2])] * 500, "values": [np.array([1.0, (i % 50) / 50]) for i in range(500)]})
+    q = pd.DataFrame({"qid": [7, 8], "ids": [np.array([1, 2]), np.array([9])], "values": [np.array([1, 1])] + [np.array([1])]})
+    got = postings.best_of_part(c, q, 4, False, 9)
+    assert got.qid.tolist() == [7] * 4 and got.chunk_id.tolist() == [49, 99, 149, 199]
