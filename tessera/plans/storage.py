@@ -167,5 +167,7 @@ SELECT k::VARCHAR AS container, i AS member_index, i || '/' || name || '.txt' AS
 UNION ALL SELECT k::VARCHAR, -1, NULL, 'REJECTED', reason, NULL FROM p WHERE reason IS NOT NULL""")
 def unpacked_archives(spark, sf_dir):
     """Members of archives; one that breaks a safety rule is one row, refused as a whole."""
-    archives = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), built_archives("p_partkey", "p_name").alias("content"))
+    # Rows are short and archives dear: dealt by number, as few bytes would make few tasks.
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    archives = parts.select(F.col("p_partkey").cast("string").alias("path"), built_archives("p_partkey", "p_name").alias("content"))
     return files.archive_members(archives, most_entries=5).select("container", "member_index", "path", "status", "reason", "sha256")

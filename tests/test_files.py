@@ -72,3 +72,17 @@ def test_tables(spark):
     assert files.digest_without(old, "role").first() == files.digest_without(new.select(old.columns), "role").first()
     assert sorted(map(tuple, files.upserted(old, spark.createDataFrame([(2, "z", "BODY"), (3, "w", "BODY")], old.schema), ["chunk_id"]).collect())) == [(1, "x", "BODY"), (2, "z", "BODY"), (3, "w", "BODY")]
     assert files.schema_differences(old, old.drop("v").withColumn("chunk_id", F.col("chunk_id").cast("int"))) == ["missing v", "type chunk_id: int, not bigint"]
+
+
+def test_archives_share_batches(spark, sf_dir):
+    """All members come from shared batches, and a small table's archives are dealt over tasks."""
+    from pyspark.sql import functions as F
+
+    from tessera.plans import registry
+    from tessera.plans.containers import archive_of
+
+    rows = [(str(k), archive_of({"a": f"{k}", "b": ""})) for k in range(300)]
+    held = files.archive_members(spark.createDataFrame(rows, "path string, content binary"))
+    assert held.count() == 600 and held.where("status = 'STORED'").groupBy("container").count().where("count = 2").count() == 300
+    spread = registry.QUERIES["unpacked_archives"](spark, sf_dir).groupBy(F.spark_partition_id()).count().count()
+    assert spread == int(spark.conf.get("spark.sql.shuffle.partitions"))
