@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +12,48 @@ from pyspark.sql.window import Window
 from tessera.functions import geometry as geo
 
 BUCKET = 100.0
+#: Rows that page_by_page() gives at once.
+AT_ONCE = 10_000
+
+
+def page_by_page(rows: DataFrame, page: str, f: Callable[[list[tuple]], list[tuple]], out: str) -> DataFrame:
+    """page and the columns out that f gives for the rows (their other columns, as tuples in any order) of each page.
+
+    Pages are small and many: a task goes through its pages as they stand in sorted batches, where a group of pandas for each page would cost more than its rows.
+    """
+    others = [c for c in rows.columns if c != page]
+    names = [page, *[c.split()[0] for c in out.split(", ")]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held, found = None, [], []
+
+        def told() -> pd.DataFrame:
+            frame = pd.DataFrame(found, columns=names)
+            return frame.assign(**{page: pd.array([x[0] for x in found], dtype="Int64")})
+
+        def done() -> None:
+            if held:
+                found.extend((None if at is None else int(at), *x) for x in f(held))
+
+        for batch in batches:
+            pages = batch[page].astype(object).where(batch[page].notna(), None).to_numpy()
+            columns = [batch[c].tolist() for c in others]
+            starts = [0, *((pages[1:] != pages[:-1]).nonzero()[0] + 1).tolist(), len(pages)]
+            for low, high in zip(starts, starts[1:], strict=False):
+                if low == high:
+                    continue
+                if pages[low] != at:
+                    done()
+                    at, held = pages[low], []
+                held.extend(zip(*[c[low:high] for c in columns], strict=True))
+                if len(found) >= AT_ONCE:
+                    yield told()
+                    found = []
+        done()
+        yield told()
+
+    # As text, since pandas rounds long numbers beside nulls; rows without a page are a page.
+    return rows.repartition(page).sortWithinPartitions(page).withColumn(page, F.col(page).cast("string")).mapInPandas(run, f"{page} long, {out}")
 
 
 def on_grid(rows: DataFrame, box: str, size: float = BUCKET) -> DataFrame:
@@ -64,33 +108,31 @@ def greedy_matches(pairs: DataFrame, page: str, threshold: float) -> DataFrame:
     The order decides, so a page is matched in one place; a page holds its tables only. pairs: page, a, b, iou.
     """
 
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
+    def match(pairs: list[tuple]) -> list[tuple]:
         taken_a, taken_b, held = set(), set(), []
-        for row in pdf.sort_values(["iou", "a", "b"], ascending=[False, True, True]).itertuples():
-            if row.a not in taken_a and row.b not in taken_b:
-                taken_a.add(row.a)
-                taken_b.add(row.b)
-                held.append(row.Index)
-        return pdf.loc[held]
+        for a, b, iou in sorted(pairs, key=lambda x: (-x[2], x[0], x[1])):
+            if a not in taken_a and b not in taken_b:
+                taken_a.add(a)
+                taken_b.add(b)
+                held.append((a, b, iou))
+        return held
 
-    rows = pairs.where(F.col("iou") >= threshold).select(page, "a", "b", "iou")
-    return rows.groupBy(page).applyInPandas(match, rows.schema)
+    return page_by_page(pairs.where(F.col("iou") >= threshold).select(page, "a", "b", "iou"), page, match, "a long, b long, iou double")
 
 
 def reading_lines(words: DataFrame, page: str, ratio: float = 0.5) -> DataFrame:
     """page, line, text: words by the height of their centre; a line ends when a centre is more than ratio heights below its first word."""
 
-    def lines(pdf: pd.DataFrame) -> pd.DataFrame:
+    def lines(words: list[tuple]) -> list[tuple]:
         rows, anchor = [], None
-        for w in pdf.sort_values(["cy", "cx", "word"]).itertuples():
-            if anchor is None or w.cy - anchor > ratio * w.height:
+        for cy, cx, word, height in sorted(words):
+            if anchor is None or cy - anchor > ratio * height:
                 rows.append([])
-                anchor = w.cy
-            rows[-1].append((w.cx, w.word))
-        text = [" ".join(str(word) for _, word in sorted(r)) for r in rows]
-        return pd.DataFrame({page: pdf[page].iloc[0], "line": range(len(text)), "text": text})
+                anchor = cy
+            rows[-1].append((cx, word))
+        return [(k, " ".join(str(word) for _, word in sorted(r))) for k, r in enumerate(rows)]
 
-    return words.select(page, "word", "cx", "cy", "height").groupBy(page).applyInPandas(lines, f"{page} long, line long, text string")
+    return page_by_page(words.select(page, "cy", "cx", "word", "height"), page, lines, "line long, text string")
 
 
 def anchors(items: DataFrame, cuts: DataFrame, page: str) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions import geometry as geo
 from tessera.functions.identity import content_key
+from tessera.operators.layout import page_by_page
 
 DENSE_DIM = 16
 
@@ -71,21 +72,21 @@ def without_nested(boxes: DataFrame, share: float = 0.9) -> DataFrame:
 def overlap_groups(boxes: DataFrame) -> DataFrame:
     """page, cell, group: connected components of overlapping boxes of a page, named by their smallest cell. A page holds its boxes only."""
 
-    def groups(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("cell").reset_index(drop=True)
-        left, top, right, bottom = (pdf[c].to_numpy() for c in "ltrb")
-        name = np.arange(len(pdf))
+    def groups(rows: list[tuple]) -> list[tuple]:
+        rows = sorted(rows)
+        left, top, right, bottom = np.array([x[1:] for x in rows]).T
+        name = np.arange(len(rows))
         hit = (np.minimum(right[:, None], right) > np.maximum(left[:, None], left)) & (np.minimum(bottom[:, None], bottom) > np.maximum(top[:, None], top))
         while True:
-            low = np.where(hit, name[None, :], len(pdf)).min(1)
+            low = np.where(hit, name[None, :], len(rows)).min(1)
             low = np.minimum(low, name)[np.minimum(low, name)]
             if np.array_equal(low, name):
                 break
             name = low
-        return pd.DataFrame({"page": pdf.page, "cell": pdf.cell, "group": pdf.cell.to_numpy()[name]})
+        return [(x[0], rows[k][0]) for x, k in zip(rows, name.tolist(), strict=True)]
 
     flat = boxes.select("page", "cell", *[F.col(f"cell_box.{c}").alias(c) for c in "ltrb"])
-    return flat.groupBy("page").applyInPandas(groups, "page long, cell long, group long")
+    return page_by_page(flat, "page", groups, "cell long, group long")
 
 
 def similar_to_earlier(rows: DataFrame, group: str, at: str, text: str, least: float) -> DataFrame:
@@ -94,22 +95,19 @@ def similar_to_earlier(rows: DataFrame, group: str, at: str, text: str, least: f
     Bounds of the similarity by lengths and by characters come first; the full comparison is left for pairs that both let pass.
     """
 
-    def repeated(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(at)
+    def repeated(rows: list[tuple]) -> list[tuple]:
         seen, held = [], []
-        for value in pdf[text]:
+        for number, value in sorted(rows):
             match = difflib.SequenceMatcher(None, "", value, autojunk=False)
-            found = False
             for earlier in seen:
                 match.set_seq1(earlier)
                 if match.real_quick_ratio() >= least and match.quick_ratio() >= least and match.ratio() >= least:
-                    found = True
+                    held.append((number,))
                     break
-            held.append(found)
             seen.append(value)
-        return pdf.loc[held, [group, at]]
+        return held
 
-    return rows.select(group, at, text).groupBy(group).applyInPandas(repeated, f"{group} long, {at} long")
+    return page_by_page(rows.select(group, at, text), group, repeated, f"{at} long")
 
 
 def differences(tables: DataFrame, key: str, a: str, b: str) -> DataFrame:

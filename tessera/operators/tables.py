@@ -9,12 +9,11 @@ from collections import Counter
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry as geo
-from tessera.operators.layout import gap_clusters, on_grid
+from tessera.operators.layout import gap_clusters, on_grid, page_by_page
 
 
 def nearest(lines: Column, value: Column) -> Column:
@@ -102,8 +101,8 @@ def best_overlaps(regions: DataFrame, tables: DataFrame, page: str, least: float
 def resolved_overlaps(boxes: DataFrame, page: str) -> DataFrame:
     """page, l, t, r, b, n: boxes (l, t, r, b) of which one's centre lies in another become one, directly or along a chain."""
 
-    def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[["l", "t", "r", "b"]].to_numpy()
+    def resolve(rows: list[tuple]) -> list[tuple]:
+        x = np.array(rows)
         cx, cy = (x[:, 0] + x[:, 2]) / 2, (x[:, 1] + x[:, 3]) / 2
         inside = (cx[:, None] >= x[None, :, 0]) & (cx[:, None] <= x[None, :, 2]) & (cy[:, None] >= x[None, :, 1]) & (cy[:, None] <= x[None, :, 3])
         near, name = inside | inside.T, np.arange(len(x))
@@ -112,11 +111,13 @@ def resolved_overlaps(boxes: DataFrame, page: str) -> DataFrame:
             if np.array_equal(low, name):
                 break
             name = low
-        groups = pd.DataFrame(x, columns=list("ltrb")).groupby(name)
-        out = groups.agg({"l": "min", "t": "min", "r": "max", "b": "max"})
-        return out.assign(n=groups.size(), **{page: pdf[page].iloc[0]})
+        groups: dict[int, list] = {}
+        for k, (left, top, right, bottom) in zip(name.tolist(), rows, strict=True):
+            g = groups.get(k)
+            groups[k] = [left, top, right, bottom, 1] if g is None else [min(g[0], left), min(g[1], top), max(g[2], right), max(g[3], bottom), g[4] + 1]
+        return [tuple(g) for g in groups.values()]
 
-    return boxes.select(page, "l", "t", "r", "b").groupBy(page).applyInPandas(resolve, f"{page} long, l double, t double, r double, b double, n long")
+    return page_by_page(boxes.select(page, "l", "t", "r", "b"), page, resolve, "l double, t double, r double, b double, n long")
 
 
 def merged_tile_lines(lines: DataFrame, page: str) -> DataFrame:
@@ -125,23 +126,26 @@ def merged_tile_lines(lines: DataFrame, page: str) -> DataFrame:
     A line repeats another if their texts agree without white space and they overlap by half of the smaller.
     """
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple] = []
-        for row in pdf.sort_values(["tile", "line"]).itertuples():
-            centre = (row.t + row.b) / 2
-            if not (row.own_from <= centre < row.own_to or row.last and centre == row.own_to):
+    def merge(rows: list[tuple]) -> list[tuple]:
+        kept: dict[str, list[tuple]] = {}
+        found = []
+        for tile, line, left, top, right, bottom, text, low, high, last in sorted(rows, key=lambda x: x[:2]):
+            centre = (top + bottom) / 2
+            if not (low <= centre < high or last and centre == high):
                 continue
-            text = "".join(row.text.split())
-            if not any(text == other and overlap(row, o) >= 0.5 for other, o in kept):
-                kept.append((text, row))
-        return pd.DataFrame([(o._asdict()[page], o.tile, o.line) for _, o in kept], columns=[page, "tile", "line"])
-
-    def overlap(x, y) -> float:
-        both = max(0.0, min(x.r, y.r) - max(x.l, y.l)) * max(0.0, min(x.b, y.b) - max(x.t, y.t))
-        least = min((x.r - x.l) * (x.b - x.t), (y.r - y.l) * (y.b - y.t))
+            same, box = kept.setdefault("".join(text.split()), []), (left, top, right, bottom)
+            if not any(overlap(box, o) >= 0.5 for o in same):
+                same.append(box)
+                found.append((tile, line))
+        return found
+
+    def overlap(x: tuple, y: tuple) -> float:
+        both = max(0.0, min(x[2], y[2]) - max(x[0], y[0])) * max(0.0, min(x[3], y[3]) - max(x[1], y[1]))
+        least = min((x[2] - x[0]) * (x[3] - x[1]), (y[2] - y[0]) * (y[3] - y[1]))
         return both / least if least else 0.0
 
-    return lines.groupBy(page).applyInPandas(merge, f"{page} long, tile long, line long")
+    names = ("tile", "line", "l", "t", "r", "b", "text", "own_from", "own_to", "last")
+    return page_by_page(lines.select(page, *names), page, merge, "tile long, line long")
 
 
 def consensus_regions(tables: DataFrame, page: str) -> DataFrame:
@@ -155,36 +159,35 @@ def consensus_regions(tables: DataFrame, page: str) -> DataFrame:
         total = (x[2] - x[0]) * (x[3] - x[1]) + (y[2] - y[0]) * (y[3] - y[1]) - both
         return both / total if total else 0.0
 
-    def agree(pdf: pd.DataFrame) -> pd.DataFrame:
+    def agree(rows: list[tuple]) -> list[tuple]:
         regions: list[tuple[tuple, set]] = []
-        for row in pdf.sort_values(["variant", "table"]).itertuples():
-            box = (row.l, row.t, row.r, row.b)
+        for _, _, family, *box in sorted(rows, key=lambda x: x[:2]):
             held = next((families for other, families in regions if iou(other, box) >= 0.5), None)
             if held is None:
-                regions.append((box, {row.family}))
+                regions.append((tuple(box), {family}))
             else:
-                held.add(row.family)
-        found = [(pdf[page].iloc[0], *box, len(f)) for box, f in regions if len(f) >= 2]
-        return pd.DataFrame(found, columns=[page, "l", "t", "r", "b", "families"])
+                held.add(family)
+        return [(*box, len(f)) for box, f in regions if len(f) >= 2]
 
-    return tables.groupBy(page).applyInPandas(agree, f"{page} long, l double, t double, r double, b double, families long")
+    return page_by_page(tables.select(page, "variant", "table", "family", "l", "t", "r", "b"), page, agree, "l double, t double, r double, b double, families long")
 
 
 def words_outside(words: DataFrame, cells: DataFrame, page: str) -> DataFrame:
     """Words (page, word, text) in order whose characters the texts of the page's cells (page, text) have no longer left."""
 
-    def left(c: pd.DataFrame, w: pd.DataFrame) -> pd.DataFrame:
-        pool = Counter("".join("".join(t.split()) for t in c.text))
+    def left(rows: list[tuple]) -> list[tuple]:
+        pool = Counter("".join("".join(t.split()) for of_cell, _, t in rows if of_cell))
         out = []
-        for row in w.sort_values("word").itertuples():
-            need = Counter("".join(row.text.split()))
+        for word, text in sorted((word, t) for of_cell, word, t in rows if not of_cell):
+            need = Counter("".join(text.split()))
             if all(pool[ch] >= n for ch, n in need.items()):
                 pool.subtract(need)
             else:
-                out.append(row.Index)
-        return w.loc[out, [page, "word"]]
+                out.append((word,))
+        return out
 
-    return cells.groupBy(page).cogroup(words.groupBy(page)).applyInPandas(left, f"{page} long, word long")
+    both = cells.select(page, F.lit(True).alias("of_cell"), F.lit(0).cast("long").alias("word"), "text").union(words.select(page, F.lit(False), F.col("word").cast("long"), "text"))
+    return page_by_page(both, page, left, "word long")
 
 
 def merged_characters(chars: DataFrame, page: str) -> DataFrame:
@@ -193,26 +196,25 @@ def merged_characters(chars: DataFrame, page: str) -> DataFrame:
     Close is from 0.6 heights before the word's right edge to 0.5 after it; a blank ends a word. The word's box grows with it.
     """
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+    def merge(rows: list[tuple]) -> list[tuple]:
         words: list[list] = []
         open_word = False
-        for row in pdf.sort_values("at").itertuples():
-            if not row.ch.strip():
+        for _, ch, left, top, right, bottom in sorted(rows):
+            if not ch.strip():
                 open_word = False
                 continue
             if open_word:
                 last = words[-1]
                 size = max(last[4] - last[2], 1)
-                on_line = row.t < last[4] + 0.3 * size and row.b > last[2] - 0.3 * size
-                if on_line and -0.6 * size <= row.l - last[3] <= 0.5 * size:
-                    words[-1] = [last[0] + row.ch, min(last[1], row.l), min(last[2], row.t), max(last[3], row.r), max(last[4], row.b)]
+                on_line = top < last[4] + 0.3 * size and bottom > last[2] - 0.3 * size
+                if on_line and -0.6 * size <= left - last[3] <= 0.5 * size:
+                    words[-1] = [last[0] + ch, min(last[1], left), min(last[2], top), max(last[3], right), max(last[4], bottom)]
                     continue
-            words.append([row.ch, row.l, row.t, row.r, row.b])
+            words.append([ch, left, top, right, bottom])
             open_word = True
-        out = pd.DataFrame(words, columns=["text", "l", "t", "r", "b"])
-        return out.assign(word=range(len(out)), **{page: pdf[page].iloc[0]})
+        return [(k, *w) for k, w in enumerate(words)]
 
-    return chars.groupBy(page).applyInPandas(merge, f"{page} long, word long, text string, l double, t double, r double, b double")
+    return page_by_page(chars.select(page, "at", "ch", "l", "t", "r", "b"), page, merge, "word long, text string, l double, t double, r double, b double")
 
 
 # How a list of cells is announced, and what a column is called.

@@ -136,3 +136,17 @@ def test_equal_edges_are_one_cluster(spark):
     values = [(1, float(v)) for v in [0] * 50 + [9] * 200 + [20] * 300]
     rows = spark.createDataFrame(values, "page long, v double").repartition(4)
     assert sorted((r["mean"], r.n) for r in gap_clusters(rows, "page", "v", 6.0).collect()) == [(0.0, 50), (9.0, 200), (20.0, 300)]
+
+
+def test_pages_share_batches(spark):
+    """A page may go over batches and many are in one; what stands between is one call of a task, not a group of pandas for each page."""
+    from tessera.operators.layout import page_by_page
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [(None if k % 10 == 9 else 2**60 + k % 10, k, k * 0.5) for k in range(200)]
+        got = page_by_page(spark.createDataFrame(rows, "page long, k long, v double"), "page", lambda held: [(sum(k for k, _ in held), len(held))], "total long, n long")
+        assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()
+        assert {tuple(r) for r in got.collect()} == {(None if k == 9 else 2**60 + k, sum(range(k, 200, 10)), 20) for k in range(10)}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
