@@ -228,5 +228,7 @@ def readable_table(text: Column) -> Column:
     parts = [F.regexp_extract_all(text, F.lit(f"(?s){TRIPLET}"), F.lit(k)) for k in (1, 2, 3)]
     # White space alone may stand before the first triplet.
     starts = text.rlike(rf"(?s)^\s*{TRIPLET}")
-    lines = F.transform(parts[0], lambda name, k: F.concat(F.lit("- "), F.trim(name), F.lit(" / "), F.lit(COLUMN), F.get(parts[1], k), F.lit(": "), F.trim(F.get(parts[2], k))))
+    # Zipped, as what a function of cells names from outside is made anew for each cell.
+    cells = F.arrays_zip(*[x.alias(n) for x, n in zip(parts, ("name", "column", "value"), strict=True)])
+    lines = F.transform(cells, lambda x: F.concat(F.lit("- "), F.trim(x["name"]), F.lit(" / "), F.lit(COLUMN), x["column"], F.lit(": "), F.trim(x["value"])))
     return F.when((F.size(parts[0]) >= 2) & starts, F.concat(F.lit(f"{CELLS_SAID}\n"), F.array_join(lines, "\n"))).otherwise(text)

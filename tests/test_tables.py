@@ -150,3 +150,21 @@ def test_pages_share_batches(spark):
         assert {tuple(r) for r in got.collect()} == {(None if k == 9 else 2**60 + k, sum(range(k, 200, 10)), 20) for k in range(10)}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_relations_are_grouped_in_tasks_of_one_size(spark, sf_dir):
+    """Dealt by a number of their own, which Spark does not join to a few large ones; a table's distinct counts do not treble its rows."""
+    from tessera.operators import documents
+    from tessera.sources import tables
+
+    assert tables.dealt(spark.range(10), tables.ROWS_AT_ONCE * 2 + 1, "id").rdd.getNumPartitions() == 3
+    assert "REPARTITION_BY_NUM" in tables.relations(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    rows = spark.createDataFrame([(1, 1, "A", None), (1, 2, "A", None), (2, 1, "A", None), (2, 1, "A", "O"), (3, 1, None, None)], "content long, program long, format string, status string")
+    found = documents.consistency(rows, "content", ["format", "status"])
+    assert "Expand" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.content: (r.relations, r.programs, r.consistent) for r in found.collect()} == {1: (2, 2, True), 2: (2, 1, False), 3: (1, 1, True)}
+
+
+def test_readable_table_reads_a_text_once_for_all_its_cells(spark):
+    plan = spark.createDataFrame([("a, 1 = x. b, 2 = y",)], "t string").select(o.readable_table(o.F.col("t")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "arrays_zip" in plan and "get(regexp_extract_all" not in plan
