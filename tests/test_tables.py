@@ -168,3 +168,13 @@ def test_relations_are_grouped_in_tasks_of_one_size(spark, sf_dir):
 def test_readable_table_reads_a_text_once_for_all_its_cells(spark):
     plan = spark.createDataFrame([("a, 1 = x. b, 2 = y",)], "t string").select(o.readable_table(o.F.col("t")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
     assert "arrays_zip" in plan and "get(regexp_extract_all" not in plan
+
+
+def test_html_tables_are_read_in_small_batches(spark):
+    """An Arrow batch would hold the cells of 10,000 tables at once."""
+    from tessera.functions import markup
+
+    rows = spark.createDataFrame([("<table><tr><td colspan=2>a<td>b</table>",), (None,)], "html string").select(o.F.posexplode(markup.cells_of("html")).alias("at", "x"))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and plan.count("BatchEvalPython") == 1
+    assert [(r.at, *r.x) for r in rows.collect()] == [(0, 0, 0, 1, 2, "a"), (1, 0, 2, 1, 1, "b")]
