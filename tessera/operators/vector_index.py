@@ -5,8 +5,10 @@ distance of its vectors from the centroid; vectors of other lengths than most ar
 cosine above what centroid and radius allow. A search takes the nearest cells first; an exact one then takes all other cells whose bound is not below
 the query's limit-th best score so far, so what it leaves out cannot be among the best.
 
-Queries go to cells: a chunk is read once for each QUERY_TILE queries that ask its cell, and not at all if none does. A cell is dealt in parts of PART
-chunks, so a task holds a part and a tile of queries. Filters are put on the chunks before, and with a column scope queries meet chunks of theirs.
+Neighbouring cells make groups, which grow with the chunks while there are tasks to spare, up to PART numbers of vectors. A query goes once to each group in which
+it asks a cell, with a bit for each cell, and gets the best rows of the group back: what is shuffled grows with queries times groups, not cells. A chunk goes
+out once for each QUERY_TILE numbers of queries that ask its group, and not at all if none does. A cell beyond a group is dealt in parts, so a task holds a part
+and a tile. Filters are put on the chunks before, and with a column scope queries meet chunks of theirs.
 """
 
 from __future__ import annotations
@@ -18,12 +20,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, StructField, StructType
 
 SAMPLE, ROUNDS = 8192, 6
 #: Cells at most; they and their radii are what is broadcast and held by the driver.
 MOST_CELLS = 4096
-PART, QUERY_TILE = 4096, 4096
+#: Numbers (vectors times their length) of the chunks of a group or part and of a tile of queries at most, and chunks of a group at least.
+PART, QUERY_TILE, LEAST_PART = 1 << 22, 1 << 21, 4096
+#: Scores held at a time.
+STRIP = 1 << 22
 #: Nearest cells: of the first round of an exact search, and of one that is not exact. A first round takes cells of FIRST_CHUNKS chunks
 #: at least, as one of fewer costs no less.
 FIRST_CELLS, PROBES = 8, 32
@@ -56,10 +61,11 @@ def fitted(sample: np.ndarray, cells: int, rounds: int = ROUNDS) -> np.ndarray:
 
 @dataclass(frozen=True)
 class VectorIndex:
-    """chunks: the rows given, with cell and away. cells: (cell, n), a row to a cell. radii: by cell number."""
+    """chunks: the rows given, with cell and away. cells: (cell, n), a row to a cell, and sizes the same. radii: by cell number."""
 
     chunks: DataFrame
     cells: DataFrame
+    sizes: dict[int, int]
     centroids: np.ndarray
     radii: np.ndarray
     n: int
@@ -115,86 +121,140 @@ def build(chunks: DataFrame, n_chunks: int, keep: Callable[[DataFrame], DataFram
         if r.cell >= 0:
             radii[r.cell] = r.radius + SLACK
     known = placed.sparkSession.createDataFrame([(r.cell, r.n) for r in stats], "cell int, n long")
-    return VectorIndex(placed, known, centroids, radii, sum(r.n for r in stats))
+    return VectorIndex(placed, known, {r.cell: r.n for r in stats}, centroids, radii, sum(r.n for r in stats))
+
+
+def groups(index: VectorIndex, tasks: int) -> list[tuple[list[int], int]]:
+    """(cells, parts): cells that are near each other along the widest direction, together of a group's size; or one cell in parts of that size."""
+    wide = index.centroids - index.centroids.mean(0)
+    along = wide @ np.linalg.svd(wide, full_matrices=False)[2][0]
+    most = max(1, PART // index.centroids.shape[1])
+    room = min(most, max(LEAST_PART, -(-index.n // tasks)))
+    out: list[tuple[list[int], int]] = []
+    held = room
+    for cell in sorted(index.sizes, key=lambda c: (c < 0, along[c] if c >= 0 else -c)):
+        n = index.sizes[cell]
+        if held + n > room:
+            out.append(([], max(1, -(-n // most))))
+            held = 0
+        out[-1][0].append(cell)
+        held += n
+    return out
 
 
-def asked_cells(index: VectorIndex, first: int, rest: bool):
-    """A function of query vectors and least scores: their nearest cells, or with rest the others whose bound is not below the score."""
+def asked_cells(index: VectorIndex, of_groups: Sequence[tuple[list[int], int]], first: int, rest: bool):
+    """A function of query vectors and least scores: their nearest cells, or with rest the others whose bound is not below the score; by group, as bits."""
     centroids, radii, dim = index.centroids, index.radii, index.centroids.shape[1]
-
-    @F.pandas_udf(ArrayType(IntegerType()))
+    members = [np.array(cells) for cells, _ in of_groups]
+    kind = ArrayType(StructType([StructField("group", IntegerType()), StructField("cells", BinaryType())]))
+
+    def told(cells: np.ndarray) -> list[dict]:
+        wanted = np.zeros(len(centroids), bool)
+        wanted[cells[cells >= 0]] = True
+        out = []
+        for g, own in enumerate(members):
+            bits = np.where(own >= 0, wanted[own], np.isin(own, cells))
+            if bits.any():
+                out.append({"group": g, "cells": np.packbits(bits).tobytes()})
+        return out
+
+    @F.pandas_udf(kind)
     def cells(vectors: pd.Series, least: pd.Series) -> pd.Series:
-        out: list[list[int] | None] = [None] * len(vectors)
+        out: list[list[dict] | None] = [None] * len(vectors)
         for length, at, v in by_length(vectors):
             if length != dim:
                 for i in at:
-                    out[i] = [] if rest else [-length]
+                    out[i] = [] if rest else told(np.array([-length]))
                 continue
             allowed = bounds(v, centroids, radii)
             order = np.argsort(away(unit(v), centroids), axis=1, kind="stable")
             for i, row, places in zip(at, allowed, order, strict=True):
                 later = places[first:]
-                out[i] = (later[row[later] + SLACK >= least.iloc[i]] if rest else places[:first]).tolist()
+                out[i] = told(later[row[later] + SLACK >= least.iloc[i]] if rest else places[:first])
         return pd.Series(out, dtype=object)
 
     return cells
 
 
-def cosines(chunks: pd.DataFrame, queries: pd.DataFrame) -> np.ndarray:
-    """Cosine of each query (row) and chunk (column); nan where lengths differ."""
-    out = np.full((len(queries), len(chunks)), np.nan)
-    ours = {length: (at, v) for length, at, v in by_length(chunks.vector)}
-    for length, at, q in by_length(queries.vector):
-        if length in ours:
-            to, c = ours[length]
-            out[np.ix_(at, to)] = (q @ c.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(c, axis=1))
-    return out
-
-
 def best_of_tile(chunks: pd.DataFrame, queries: pd.DataFrame, limit: int, by_program: bool, digits: int) -> pd.DataFrame:
-    """The best limit rows for each query: chunks, or the best chunk of each program. Ties go to the lower id."""
-    chunks = chunks.sort_values("chunk_id")
-    ids, programs, found = chunks.chunk_id.to_numpy(), chunks.program.to_numpy(), []
-    strip = max(1, (1 << 22) // max(1, len(chunks)))
-    for first in range(0, len(queries), strip):
-        scores = np.round(cosines(chunks, queries.iloc[first : first + strip]), digits)
-        counts = np.count_nonzero(~np.isnan(scores), axis=1)
-        for k, order in enumerate(np.argsort(-scores, axis=1, kind="stable")):
-            order = order[: counts[k]]
+    """The best limit rows for each query (qid, vector, cells, least): chunks (chunk_id, program, vector, place of the cell), or the best chunk of each program.
+
+    Only chunks of the cells that a query asks, and no scores below its least. Ties go to the lower id.
+    """
+    chunks = chunks.sort_values(["program", "chunk_id"] if by_program else "chunk_id")
+    ids, programs, places = (chunks[c].to_numpy() for c in ("chunk_id", "program", "place"))
+    n_cells = places.max() + 1
+    wants = np.stack([np.unpackbits(np.frombuffer(x, np.uint8))[:n_cells] for x in queries["cells"]]).astype(bool)
+    ours = {length: (at, v, np.linalg.norm(v, axis=1)) for length, at, v in by_length(chunks["vector"])}
+    theirs = by_length(queries["vector"])
+    asked, floor = queries["qid"].to_numpy(), queries["least"].to_numpy() - SLACK
+    out: list[tuple] = []
+    for length, at, q in theirs:
+        if length not in ours:
+            continue
+        to, c, norms = ours[length]
+        near = np.lexsort((asked[at], wants[at].argmax(1)))  # queries of a strip ask much the same cells
+        strip = max(1, STRIP // len(to))
+        for low in range(0, len(at), strip):
+            mine = near[low : low + strip]
+            wanted = wants[at[mine]]
+            some = np.flatnonzero(wanted.any(0)[places[to]])
+            if not len(some):
+                continue
+            cols, whole = to[some], len(some) == len(to)
+            scores = q[mine] @ (c if whole else c[some]).T
+            scores /= np.linalg.norm(q[mine], axis=1)[:, None] * (norms if whole else norms[some])
+            scores = np.round(scores, digits)
+            if not wanted[:, np.unique(places[cols])].all():
+                scores[~wanted[:, places[cols]]] = -np.inf
+            tops = np.maximum.reduceat(scores, np.flatnonzero(np.r_[True, programs[cols][1:] != programs[cols][:-1]]), axis=1) if by_program else scores
+            least = np.maximum(floor[at[mine]], np.partition(tops, -limit, axis=1)[:, -limit] if tops.shape[1] > limit else -np.inf)
+            row, k = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+            score, k = scores[row, k], cols[k]
+            order = np.lexsort((ids[k], -score, row))
+            row, k, score = row[order], k[order], score[order]
             if by_program:
-                order = order[np.sort(np.unique(programs[order], return_index=True)[1])]
-                order = order[np.lexsort((programs[order], -scores[k, order]))]
-            found.append((first + k, order[:limit], scores[k, order[:limit]]))
-    at = np.concatenate([order for _, order, _ in found])
-    asked = np.repeat([k for k, _, _ in found], [len(order) for _, order, _ in found])
-    return pd.DataFrame({"qid": queries.qid.to_numpy()[asked], "program": programs[at], "chunk_id": ids[at], "score": np.concatenate([x for _, _, x in found])})
+                one = np.lexsort((np.arange(len(row)), programs[k], row))
+                one = one[np.r_[True, (row[one][1:] != row[one][:-1]) | (programs[k[one]][1:] != programs[k[one]][:-1])][: len(one)]]
+                one = one[np.lexsort((programs[k[one]], -score[one], row[one]))]
+                row, k, score = row[one], k[one], score[one]
+            best = np.arange(len(row)) - np.searchsorted(row, row) < limit
+            out.append((asked[at[mine[row[best]]]], programs[k[best]], ids[k[best]], score[best]))
+    names = [x.split()[0] for x in FOUND.split(", ")]
+    return pd.DataFrame({n: np.concatenate(x) if out else [] for n, x in zip(names, zip(*out, strict=True) if out else [[]] * 4, strict=True)})
 
 
 FOUND = "qid long, program long, chunk_id long, score double"
 
 
-def met(index: VectorIndex, chunks: DataFrame, queries: DataFrame, limit: int, by_program: bool, digits: int) -> DataFrame:
-    """qid, program, chunk_id, score of queries (qid, vector, cells): the best rows of each part of each cell that they ask."""
+def met(index: VectorIndex, of_groups: Sequence[tuple[list[int], int]], chunks: DataFrame, queries: DataFrame, limit: int, by_program: bool, digits: int) -> DataFrame:
+    """qid, program, chunk_id, score of queries (qid, vector, asked, least): the best rows of each part of each group in which they ask cells."""
     scope = ["scope"] * ("scope" in queries.columns)
-    asked = queries.select("qid", "vector", *scope, F.explode("cells").alias("cell"))
-    sizes = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_TILE).alias("tiles")).join(index.cells, "cell")
-    sizes = F.broadcast(sizes.select("cell", "tiles", F.ceil(F.col("n") / PART).alias("parts")))  # a row to a cell, MOST_CELLS and some
-    key = [*scope, "cell", "i", "j"]
+    asked = queries.select("qid", "vector", "least", *scope, F.inline("asked"))
+    tile = max(1, QUERY_TILE // index.centroids.shape[1])
+    known = [(cell, g, place, parts) for g, (cells, parts) in enumerate(of_groups) for place, cell in enumerate(cells)]
+    known = chunks.sparkSession.createDataFrame(known, "cell int, group int, place int, parts long")
+    tiles = asked.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / tile).alias("tiles"))
+    sizes = F.broadcast(known.join(tiles, "group"))  # a row to a cell, MOST_CELLS and some
+    key = [*scope, "group", "i", "j"]
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    left = chunks.select("chunk_id", "program", "vector", "cell", *scope).join(sizes, "cell")
+    left = chunks.select("chunk_id", "program", "vector", "cell", *scope).join(sizes, "cell").drop("cell")
     left = left.withColumn("i", F.pmod(F.xxhash64("chunk_id"), "parts")).withColumn("j", every(F.col("tiles")))
-    right = asked.join(sizes, "cell").withColumn("j", F.pmod(F.xxhash64("qid"), "tiles")).withColumn("i", every(F.col("parts")))
+    right = asked.join(F.broadcast(known.select("group", "parts").distinct().join(tiles, "group")), "group")
+    right = right.withColumn("j", F.pmod(F.xxhash64("qid"), "tiles")).withColumn("i", every(F.col("parts")))
 
     def run(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if len(c) and len(q):
             return best_of_tile(c, q, limit, by_program, digits)
         return pd.DataFrame({"qid": [], "program": [], "chunk_id": [], "score": []})
 
-    best = left.drop("tiles", "parts").groupBy(*key).cogroup(right.drop("tiles", "parts").groupBy(*key)).applyInPandas(run, FOUND)
-    if by_program:
-        top = F.min(F.struct((-F.col("score")).alias("s"), "chunk_id")).alias("b")
-        best = best.groupBy("qid", "program").agg(top).select("qid", "program", "b.chunk_id", (-F.col("b.s")).alias("score"))
-    return best
+    return left.drop("tiles", "parts").groupBy(*key).cogroup(right.drop("tiles", "parts").groupBy(*key)).applyInPandas(run, FOUND)
+
+
+def best_programs(found: DataFrame) -> DataFrame:
+    """The best chunk of each program for each query; dealt by query, as they are ranked afterwards."""
+    top = F.min(F.struct((-F.col("score")).alias("s"), "chunk_id")).alias("b")
+    return found.repartition("qid").groupBy("qid", "program").agg(top).select("qid", "program", "b.chunk_id", (-F.col("b.s")).alias("score"))
 
 
 def search(index: VectorIndex, queries: DataFrame, limit: int, keep: Callable[[DataFrame], DataFrame], rank: Callable[[DataFrame], DataFrame], only: Callable[[DataFrame], DataFrame] = lambda rows: rows, by_program: bool = False, exact: bool = True, probes: int | None = None, digits: int = 9) -> DataFrame:
@@ -203,19 +263,18 @@ def search(index: VectorIndex, queries: DataFrame, limit: int, keep: Callable[[D
     only filters chunks within their cells, and may give them a scope.
     """
     chunks, probes = only(index.chunks), probes or (max(FIRST_CELLS, -(-FIRST_CHUNKS * len(index.centroids) // max(1, index.n))) if exact else PROBES)
-    least = F.lit(-2.0)
-    first = met(index, chunks, queries.withColumn("cells", asked_cells(index, probes, False)("vector", least)), limit, by_program, digits)
-    first = rank(first)
+    of_groups = groups(index, 2 * chunks.sparkSession.sparkContext.defaultParallelism)
+    level = best_programs if by_program else lambda rows: rows
+    none = F.lit(-2.0)
+    first = queries.withColumns({"asked": asked_cells(index, of_groups, probes, False)("vector", none), "least": none})
+    first = rank(level(met(index, of_groups, chunks, first, limit, by_program, digits)))
     if not exact or probes >= len(index.centroids):
         return first
     first = keep(first)
-    reached = first.where(F.col("rank") == limit).select("qid", F.col("score").alias("_least"))
-    left = queries.join(reached, "qid", "left").withColumn("cells", asked_cells(index, probes, True)("vector", F.coalesce("_least", least))).drop("_least")
-    both = met(index, chunks, left, limit, by_program, digits).unionByName(first.drop("rank"))
-    if by_program:
-        top = F.min(F.struct((-F.col("score")).alias("s"), "chunk_id")).alias("b")
-        both = both.groupBy("qid", "program").agg(top).select("qid", "program", "b.chunk_id", (-F.col("b.s")).alias("score"))
-    return rank(both)
+    reached = first.where(F.col("rank") == limit).select("qid", F.col("score").alias("least"))
+    left = queries.join(reached, "qid", "left").withColumn("least", F.coalesce("least", none))
+    left = left.withColumn("asked", asked_cells(index, of_groups, probes, True)("vector", "least"))
+    return rank(level(met(index, of_groups, chunks, left, limit, by_program, digits).unionByName(first.drop("rank"))))
 
 
 def recall(found: DataFrame, exact: DataFrame, on: Sequence[str] = ("qid", "chunk_id")) -> float:

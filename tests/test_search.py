@@ -158,3 +158,25 @@ def test_shuffled_rows_are_bounded():
     q = pd.DataFrame({"qid": [7, 8], "ids": [np.array([1, 2]), np.array([9])], "values": [np.array([1, 1])] + [np.array([1])]})
     got = postings.best_of_part(c, q, 4, False, 9)
     assert got.qid.tolist() == [7] * 4 and got.chunk_id.tolist() == [49, 99, 149, 199]
+
+
+def test_queries_go_to_groups_of_cells(spark, rows, index, monkeypatch):
+    """A query goes once to each group in which it asks cells, and a group of eight cells loses none of its bits; cells beyond a group are dealt in parts."""
+    dense = index.dense
+    monkeypatch.setattr(vector_index, "LEAST_PART", 300)
+    some = vector_index.groups(dense, 8)
+    assert sorted(c for cells, _ in some for c in cells) == sorted(dense.sizes) and len(some) <= 4 and {parts for _, parts in some} == {1}
+    held = dense.chunks.withColumn("least", F.lit(-2.0)).withColumnRenamed("chunk_id", "qid")
+    asked = held.where("size(vector) = 6").select(F.size(vector_index.asked_cells(dense, some, 30, False)("vector", "least")).alias("n"))
+    assert asked.agg(F.max("n")).first()[0] <= len(some)
+    monkeypatch.setattr(vector_index, "PART", 60)
+    assert {c for cells, _ in vector_index.groups(dense, 8) for c in cells} == set(dense.sizes) and max(parts for _, parts in vector_index.groups(dense, 8)) > 1
+    queries = rows[::45] + rows[7:900:300]
+    asked = spark.createDataFrame(queries, "qid long, program long, vector array<double>, text string, scope long").drop("program", "scope")
+    assert answers(r.best_rows(index, asked, ("dense",), limit=7, by_program=True, probes=3)) == brute(rows, queries, "dense", 7, True, False)
+    bits = np.packbits(np.r_[np.zeros(7, bool), True]).tobytes()
+    import pandas as pd
+
+    c = pd.DataFrame({"chunk_id": range(16), "program": range(16), "vector": [np.array([1.0, i]) for i in range(16)], "place": np.arange(16) % 8})
+    q = pd.DataFrame({"qid": [5], "vector": [np.array([1.0, 0.0])], "cells": [bits], "least": [-2.0]})
+    assert vector_index.best_of_tile(c, q, 5, False, 9).chunk_id.tolist() == [7, 15]
