@@ -6,14 +6,17 @@ MaxScore, tokens whose bounds (the query's count times the token's highest weigh
 most postings for their bound are skipped first. Only the others' blocks are read; a chunk found there is dropped if what it has and what the skipped tokens
 could add stay below; for the rest the skipped tokens are looked up. All steps are equi-joins on tokens, blocks and chunks; no matrix of queries and tokens is made.
 
-That shuffles a row for each posting that a query reads, which for MANY queries or more grows with queries times chunks. Then postings are gathered by chunk, and parts of the
-chunks meet tiles of the queries as products in the tasks; what is shuffled is each chunk once a tile, each query once a part, and the best rows of each part.
+That shuffles a row for each posting that a query reads, which for MANY queries or more grows with queries times chunks. Then parts of the chunks, each a row with its
+tokens, meet tiles of the queries as products in the tasks; what is shuffled is each chunk once a tile, each query once a part, and the best rows of each part.
+Blocks are made when a search of fewer queries first asks for them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -31,7 +34,7 @@ SLACK = 2e-9
 DIRECT = 100_000
 #: Queries from which a search goes by products of parts and tiles, the most chunks and queries of these, and the fewest chunks of a part while there are tasks to spare.
 MANY = 32
-PART, TILE, LEAST_PART = 8192, 8192, 512
+PART, TILE, LEAST_PART = 16384, 16384, 2048
 #: Queries of a product at a time, tokens of one, and rows of what is expanded for the others.
 STRIP, DENSE, EXPANDED = 256, 1024, 1 << 21
 FOUND = "qid long, program long, chunk_id long, score double"
@@ -39,27 +42,47 @@ FOUND = "qid long, program long, chunk_id long, score double"
 
 @dataclass(frozen=True)
 class SparseIndex:
-    """postings: chunk_id, program, token, weight, block. blocks: token, block, top, a row to a block. tokens: token, n, highest weight."""
+    """listed: chunk_id, program, tokens, weights, a row to a chunk. tokens: token, n, highest weight. seed: no two tokens have one hash by it."""
 
-    postings: DataFrame
-    blocks: DataFrame
+    listed: DataFrame
     tokens: DataFrame
+    seed: int
+    keep: Callable[[DataFrame], DataFrame]
+    block: int
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        """chunk_id, program, token, weight, block."""
+        rows = self.listed.select("chunk_id", "program", F.inline(F.arrays_zip(F.col("tokens").alias("token"), F.col("weights").alias("weight"))))
+        order = ["_falls", "chunk_id"]
+        placed = in_ranges(rows.withColumn("_falls", -F.col("weight")), ["token"], order)
+        rows = running(placed, ["token"], order, sums={"_place": F.lit(1)}).withColumn("block", F.floor((F.col("_place") - 1) / self.block)).drop("_place", "_falls", RANGE)
+        return self.keep(rows)
+
+    @cached_property
+    def blocks(self) -> DataFrame:
+        """token, block, top: a row to a block."""
+        return self.keep(self.postings.groupBy("token", "block").agg(F.max("weight").alias("top")))
 
 
 def build(weights: DataFrame, keep: Callable[[DataFrame], DataFrame], block: int = BLOCK) -> SparseIndex:
     """An index of (chunk_id, program, token, weight), weights positive."""
-    order = ["_falls", "chunk_id"]
-    placed = in_ranges(weights.withColumn("_falls", -F.col("weight")), ["token"], order)
-    rows = running(placed, ["token"], order, sums={"_place": F.lit(1)}).withColumn("block", F.floor((F.col("_place") - 1) / block)).drop("_place", "_falls", RANGE)
+    rows = weights.groupBy("chunk_id", "program").agg(F.collect_list(F.struct("token", "weight")).alias("x"))
+    return of_lists(rows.select("chunk_id", "program", F.col("x.token").alias("tokens"), F.col("x.weight").alias("weights")), keep, block)
+
+
+def of_lists(rows: DataFrame, keep: Callable[[DataFrame], DataFrame], block: int = BLOCK) -> SparseIndex:
+    """An index of (chunk_id, program, tokens, weights), a row to a chunk, weights positive."""
     rows = keep(rows)
-    blocks = keep(rows.groupBy("token", "block").agg(F.max("weight").alias("top"), F.count(F.lit(1)).alias("held")))
-    tokens = blocks.groupBy("token").agg(F.sum("held").alias("n"), F.max("top").alias("most"))
-    return SparseIndex(rows, blocks.select("token", "block", "top"), tokens)
+    each = rows.select(F.inline(F.arrays_zip(F.col("tokens").alias("token"), F.col("weights").alias("weight"))))
+    tokens = keep(each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.max("weight").alias("most")))
+    twice = lambda seed: tokens.groupBy(F.xxhash64("token", F.lit(seed))).count().where("count > 1").isEmpty()
+    return SparseIndex(rows, tokens, next(seed for seed in count() if twice(seed)), keep, block)
 
 
 def best_programs(scored: DataFrame) -> DataFrame:
     top = F.min(F.struct((-F.col("score")).alias("s"), "chunk_id")).alias("b")
-    return scored.groupBy("qid", "program").agg(top).select("qid", "program", "b.chunk_id", (-F.col("b.s")).alias("score"))
+    return scored.repartition("qid").groupBy("qid", "program").agg(top).select("qid", "program", "b.chunk_id", (-F.col("b.s")).alias("score"))
 
 
 def summed(pairs: DataFrame) -> DataFrame:
@@ -73,7 +96,7 @@ def search(index: SparseIndex, queries: DataFrame, limit: int, keep: Callable[[D
     """
     n_queries = queries.agg(F.count_distinct("qid")).first()[0]
     if n_queries >= MANY:
-        return rank(products(index, queries, n_queries, limit, keep, only, by_program, digits))
+        return rank(products(index, queries, n_queries, limit, only, by_program, digits))
     scope = ["scope"] * ("scope" in queries.columns)
     each = Window.partitionBy("qid")
     asked = queries.join(index.tokens, "token").withColumn("bound", F.col("count") * F.col("most")).withColumn("_all", F.sum("n").over(each))
@@ -107,18 +130,22 @@ def search(index: SparseIndex, queries: DataFrame, limit: int, keep: Callable[[D
     return rank(level(rounded(total)))
 
 
-def products(index: SparseIndex, queries: DataFrame, n_queries: int, limit: int, keep: Callable[[DataFrame], DataFrame], only: Callable[[DataFrame], DataFrame], by_program: bool, digits: int) -> DataFrame:
+def products(index: SparseIndex, queries: DataFrame, n_queries: int, limit: int, only: Callable[[DataFrame], DataFrame], by_program: bool, digits: int) -> DataFrame:
     """qid, program, chunk_id, score: the best rows of each part of the chunks, or of all parts by program."""
     scope = ["scope"] * ("scope" in queries.columns)
-    ids = keep(queries.select("token").distinct().withColumn("id", F.monotonically_increasing_id()))
-    listed = lambda rows, by, value: rows.join(ids, "token").groupBy(*by, *scope).agg(F.collect_list(F.struct("id", value)).alias("x")).select(*by, *scope, F.col("x.id").alias("ids"), F.col(f"x.{value}").alias("values"))
-    chunks = keep(listed(only(index.postings), ["chunk_id", "program"], "weight"))
-    n_chunks, tasks = chunks.count(), int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts, tiles = max(-(-n_chunks // PART), min(tasks, -(-n_chunks // LEAST_PART)), 1), -(-n_queries // TILE)
+    # Tokens are told by hashes, of which those of the index's tokens differ; queries keep no others.
+    hashed = lambda token: F.xxhash64(token, F.lit(index.seed))
+    chunks = only(index.listed).select("chunk_id", "program", *scope, F.transform("tokens", hashed).alias("ids"), F.col("weights").alias("values"))
+    known = queries.join(index.tokens.select("token"), "token").groupBy("qid", *scope).agg(F.collect_list(F.struct(hashed(F.col("token")).alias("id"), "count")).alias("x"))
+    asked = known.select("qid", *scope, F.col("x.id").alias("ids"), F.col("x.count").alias("values"))
+    # A part grows with the chunks while there are tasks to spare, so that queries go to as many parts.
+    n_chunks, tasks = chunks.select("chunk_id").count(), 2 * chunks.sparkSession.sparkContext.defaultParallelism
+    tiles = -(-n_queries // TILE)
+    parts = max(-(-n_chunks // PART), min(-(-tasks // tiles), -(-n_chunks // LEAST_PART)), 1)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     left = chunks.withColumn("i", dealt("chunk_id", parts)).withColumn("j", every(tiles))
-    right = listed(queries, ["qid"], "count").withColumn("j", dealt("qid", tiles)).withColumn("i", every(parts))
+    right = asked.withColumn("j", dealt("qid", tiles)).withColumn("i", every(parts))
     key = [*scope, "i", "j"]
 
     def run(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:

@@ -11,6 +11,7 @@ from tessera.operators import flows as w
 from tessera.operators import ingest as g
 from tessera.operators import parsing as p
 from tessera.operators import retrieval as r
+from tessera.operators import segments
 from tessera.operators.candidates import CandidateFilter, candidates
 from tessera.plans.base import registrar
 from tessera.plans.eligibility import BASE as CRITERIA_SQL
@@ -173,7 +174,8 @@ def searched(spark, sf_dir) -> DataFrame:
     conflict = F.when((F.col("qid") % 60 == 0) & (target != "MACHINERY"), "target")
     profiles = asked.join(table(spark, sf_dir, "customer"), F.col("qid") == F.col("c_custkey")).select("qid", target.alias("scope"), (F.col("c_acctbal") < -500).alias("closed"), conflict.alias("conflict"))
     able = profiles.where("not closed and conflict is null").select("qid", "scope")
-    allowed = candidates(programs(spark, sf_dir), CandidateFilter(not_closed_on=AS_OF)).select(F.col("id").alias("program"), F.col("target").alias("scope"), "jurisdiction")
+    # Stored, as each half of the search and what follows reads it, and to find it joins all orders with their customers.
+    allowed = segments.stored(candidates(programs(spark, sf_dir), CandidateFilter(not_closed_on=AS_OF)).select(F.col("id").alias("program"), F.col("target").alias("scope"), "jurisdiction"), "allowed")
     scoped = lambda rows: rows.join(allowed.select("program", "scope"), "program")
     wanted = asked_chunks(spark, sf_dir).join(able, "qid")
     ranks = r.best_rows(index(spark, sf_dir), wanted, BOTH, scoped, by_program=True)

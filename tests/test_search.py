@@ -180,3 +180,16 @@ def test_queries_go_to_groups_of_cells(spark, rows, index, monkeypatch):
     c = pd.DataFrame({"chunk_id": range(16), "program": range(16), "vector": [np.array([1.0, i]) for i in range(16)], "place": np.arange(16) % 8})
     q = pd.DataFrame({"qid": [5], "vector": [np.array([1.0, 0.0])], "cells": [bits], "least": [-2.0]})
     assert vector_index.best_of_tile(c, q, 5, False, 9).chunk_id.tolist() == [7, 15]
+
+
+def test_token_lists_take_no_shuffle(spark, rows):
+    """Tokens are counted in a chunk's row; a dense search alone builds no postings."""
+    held = spark.createDataFrame(rows, "chunk_id long, program long, vector array<double>, text string, scope long")
+    lists = r.token_lists(held)
+    assert "Exchange" not in lists._jdf.queryExecution().executedPlan().toString()
+    got = {x.chunk_id: dict(zip(x.tokens, x.weights, strict=True)) for x in lists.collect()}
+    want = {c[0]: {w: n / max(weights(c[3]).values()) for w, n in weights(c[3]).items()} for c in rows}
+    assert got == want
+    index = r.indexed(held.drop("scope"))
+    r.best_rows(index, held.where("chunk_id < 3").select(F.col("chunk_id").alias("qid"), "vector", "text"), ("dense",)).collect()
+    assert "dense" in index.__dict__ and "sparse" not in index.__dict__
