@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 from tessera.functions import geometry as geo
 from tessera.functions.identity import content_key
 from tessera.operators.layout import page_by_page
+from tessera.operators.segments import stored
 
 DENSE_DIM = 16
 
@@ -30,6 +31,29 @@ def chunked(docs: DataFrame, key: str, text: str, words_per_chunk: int) -> DataF
     return rows.select(key, "chunk_index", "chunk_count", F.size(part).alias("n_words"), content_key(F.array_join(part, " ")).alias("content_key"))
 
 
+def counted_contents(chunks: DataFrame, relations: DataFrame, key: str, program: str) -> DataFrame:
+    """program, chunks and contents (distinct content keys) of the documents that each program has; relations are distinct.
+
+    Documents with the same contents are a class. A content that only one class has is counted there, once; only contents that several classes have go
+    out to programs, as the number of a row. So what is shuffled grows with relations, not with the chunks that these repeat.
+    """
+    held = stored(chunks.groupBy(key).agg(F.count(F.lit(1)).alias("chunks"), F.sort_array(F.collect_set(F.unhex("content_key"))).alias("_keys")), "contents")
+    sets = F.sha2(F.to_binary(F.array_join(F.transform("_keys", F.hex), ""), F.lit("hex")), 256)
+    classes = stored(held.groupBy(sets.alias("_set")).agg(F.min(key).alias("_class"), F.min_by("_keys", key).alias("_keys")), "classes")
+    each = classes.select("_class", F.explode("_keys").alias("_content"))
+    number = each.groupBy("_content").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_content", F.monotonically_increasing_id().alias("_number"))
+    shared = stored(each.join(number, "_content").select("_number", "_class"), "shared")
+    several = shared.groupBy("_class").agg(F.count(F.lit(1)).alias("_shared"))
+    held_by = F.coalesce("_shared", F.lit(0))
+    own = classes.select("_set", "_class", F.size("_keys").alias("_all")).join(several, "_class", "left").select("_set", "_class", (F.col("_all") - held_by).alias("_own"), held_by.alias("_shared"))
+    of_documents = stored(held.select(key, "chunks", sets.alias("_set")).join(own, "_set").drop("_set"), "of_documents")
+    # Dealt by program once for both groupings.
+    rows = relations.join(of_documents, key).repartition(program).groupBy(program, "_class", "_own", "_shared").agg(F.sum("chunks").alias("chunks"))
+    once = rows.groupBy(program).agg(F.sum("chunks").alias("chunks"), F.sum("_own").alias("_own"))
+    met = rows.where("_shared > 0").select(program, "_class").join(shared, "_class").select(program, "_number").distinct().groupBy(program).agg(F.count(F.lit(1)).alias("_met"))
+    return once.join(met, program, "left").select(program, "chunks", (F.col("_own") + F.coalesce("_met", F.lit(0))).alias("contents"))
+
+
 @F.pandas_udf(ArrayType(DoubleType()))
 def hash_embedding(texts: pd.Series) -> pd.Series:
     """A deterministic stand-in for a dense embedding model: signed hashed words, length one."""

@@ -29,8 +29,7 @@ def chunked_documents(spark, sf_dir):
 @query(WORDS_SQL + ", r AS (SELECT DISTINCT l_orderkey AS program, l_partkey AS doc_id FROM lineitem) SELECT program, count(*) AS chunks, count(DISTINCT sha256(length(t) || ':' || t || ';')) AS contents FROM j JOIN r USING (doc_id) GROUP BY program")
 def chunk_relations(spark, sf_dir):
     relations = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("program"), F.col("l_partkey").alias("doc_id")).distinct()
-    parts = p.chunked(table(spark, sf_dir, "documents"), "doc_id", "text", 100)
-    return parts.join(relations, "doc_id").groupBy("program").agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct("content_key").alias("contents"))
+    return p.counted_contents(p.chunked(table(spark, sf_dir, "documents"), "doc_id", "text", 100), relations, "doc_id", "program")
 
 
 EMBEDDED_SQL = r"""WITH w AS (SELECT doc_id, unnest(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS t FROM documents),

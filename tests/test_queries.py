@@ -147,3 +147,17 @@ def test_stale_claims(spark, tmp_path):
         assert outcomes() >= {(1, "HELD"), (2, "RELEASED"), (1, "STALE")} and (2, "STALE") not in outcomes()
     finally:
         query.stop()
+
+
+def test_contents_shared_by_documents_count_once(spark):
+    """Copies, contents that several documents share, and ones told twice in a document: a program has each once; no pair of relation and chunk is made."""
+    from tessera.operators.parsing import counted_contents
+
+    texts = {1: "abc", 2: "abc", 3: "cba", 4: "aad", 5: "xx", 6: "d", 7: "efg" * 20}
+    keys = lambda text: [f"{ord(x):064x}" for x in text]
+    chunks = spark.createDataFrame([(d, k) for d, text in texts.items() for k in keys(text)], "doc_id long, content_key string")
+    pairs = [(1, 1), (1, 2), (2, 1), (2, 3), (2, 4), (3, 5), (4, 5), (4, 6), (4, 4), (5, 9), *((p, 7) for p in range(10, 60))]
+    found = counted_contents(chunks, spark.createDataFrame(pairs, "program long, doc_id long"), "doc_id", "program")
+    want = {p: (sum(len(texts[d]) for q, d in pairs if q == p), len({x for q, d in pairs if q == p for x in texts[d]})) for p, d in pairs if d in texts}
+    assert {x.program: (x.chunks, x.contents) for x in found.collect()} == want
+    assert "_content" not in found._jdf.queryExecution().optimizedPlan().toString()
