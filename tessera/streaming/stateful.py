@@ -47,19 +47,24 @@ def throttle(attempts: DataFrame, rule: Lock, ttl_minutes: int | None = None) ->
     )
 
 
-def quota(uses: DataFrame, limit: int) -> DataFrame:
-    """uses (key string, event_id long, at double, kind string) with the outcome of each; key names a user and a local day."""
+#: Buckets that quota() deals keys to by hash. A call of Python for each user and day costs more than its few events; what is kept of a bucket is read and written whole.
+BUCKETS = 1 << 14
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        used = state.get[0] if state.exists else 0
-        out = []
-        for row in ordered(parts).itertuples():
-            used, outcome = fold_quota(used, row.kind, limit)
-            out.append((key[0], row.event_id, outcome))
-        state.update((used,))
-        yield pd.DataFrame(out, columns=["key", "event_id", "outcome"])
 
-    return uses.groupBy("key").applyInPandasWithState(step, "key string, event_id long, outcome string", "used int", "append", GroupStateTimeout.NoTimeout)
+def quota(uses: DataFrame, limit: int) -> DataFrame:
+    """uses (key string, event_id long, at double, kind string) with the outcome of each; key names a user and a local day. State is kept by bucket of keys."""
+
+    def step(bucket: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        used = dict(zip(*state.get, strict=True)) if state.exists else {}
+        rows, out = ordered(parts), []
+        for key, kind in zip(rows["key"].tolist(), rows["kind"].tolist(), strict=True):
+            used[key], outcome = fold_quota(used.get(key, 0), kind, limit)
+            out.append(outcome)
+        state.update((list(used), list(used.values())))
+        yield rows[["key", "event_id"]].assign(outcome=out)
+
+    dealt = uses.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)))
+    return dealt.groupBy("bucket").applyInPandasWithState(step, "key string, event_id long, outcome string", "keys array<string>, used array<int>", "append", GroupStateTimeout.NoTimeout)
 
 
 WORKFLOW = {

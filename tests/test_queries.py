@@ -161,3 +161,23 @@ def test_contents_shared_by_documents_count_once(spark):
     want = {p: (sum(len(texts[d]) for q, d in pairs if q == p), len({x for q, d in pairs if q == p for x in texts[d]})) for p, d in pairs if d in texts}
     assert {x.program: (x.chunks, x.contents) for x in found.collect()} == want
     assert "_content" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_quota_state_is_kept_by_bucket(spark, tmp_path, monkeypatch):
+    """Keys of a bucket go on from one micro-batch to the next, each with its own count; there are no more groups than buckets."""
+    from tessera.streaming import stateful
+
+    monkeypatch.setattr(stateful, "BUCKETS", 3)
+    schema = "key string, event_id long, at double, kind string"
+    rows = [(f"{i * 7 % 20}/d", i, float(-i % 50), "refund" if i % 5 == 0 else "use") for i in range(200)]
+    want, used = {}, defaultdict(int)
+    for k, part in enumerate((rows[:100], rows[100:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        for key, event, _, kind in sorted(part, key=lambda x: (x[2], x[1])):
+            used[key], want[event] = activity.fold_quota(used[key], kind, 2)
+        stream = stateful.quota(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), 2)
+        job = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        job.awaitTermination()
+        assert 1 <= job.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3
+    found = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert {x.event_id: x.outcome for x in found} == want and len(found) == 200
