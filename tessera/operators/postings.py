@@ -126,7 +126,8 @@ def search(index: SparseIndex, queries: DataFrame, limit: int, keep: Callable[[D
     skipped = split.where("not needed").select("qid", "token", "count")
     later = alive.select("qid", "chunk_id", "program").join(skipped, "qid").join(index.postings.select("chunk_id", "token", "weight"), ["chunk_id", "token"])
     later = later.select("qid", "chunk_id", "program", (F.col("count") * F.col("weight")).alias("part"))
-    total = summed(alive.withColumnRenamed("score", "part").unionByName(later))
+    # Dealt anew, as Spark 4.1 does not always keep the order of parts that it takes a union for.
+    total = summed(alive.withColumnRenamed("score", "part").unionByName(later).repartition("qid", "chunk_id"))
     return rank(level(rounded(total)))
 
 

@@ -198,7 +198,8 @@ SELECT qid, rank, res.program, CASE WHEN bad.program IS NOT NULL THEN 'FAILED' E
 FROM res LEFT JOIN bad ON bad.program = res.program LEFT JOIN st ON st.program = res.program WHERE res.program IS NOT NULL""")
 def top_evaluations(spark, sf_dir):
     """The listed programs judged in order: one whose criteria cite evidence that is not there fails alone."""
-    listed = searched(spark, sf_dir).where("program is not null").select("qid", "rank", "program")
+    # Stored, as what follows reads it three times.
+    listed = segments.stored(searched(spark, sf_dir).where("program is not null").select("qid", "rank", "program"), "listed")
     judged = checked(spark, sf_dir).join(listed.select("program").distinct(), "program", "left_semi")
     bad = judged.where("problem = 'unknown_evidence'").select("program").distinct().withColumn("error", F.lit("evidence_invalid"))
     rows = listed.join(e.overall(judged.where("problem is null"), "program").select("program", "status"), "program", "left").join(bad, "program", "left")

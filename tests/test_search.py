@@ -90,6 +90,15 @@ def test_searches_are_exact(spark, rows, index, monkeypatch, by_program, scoped,
         assert answers(found.where(F.col("mode") == mode)) == brute(rows, queries, mode, limit, by_program, scoped)
 
 
+def test_modes_are_dealt_anew(spark, rows, index):
+    """Nothing relies on how the modes' parts were dealt: Spark loses that where a plan reads their exchanges again."""
+    asked = spark.createDataFrame(rows[::45], "qid long, program long, vector array<double>, text string, scope long").drop("program", "scope")
+    found = r.best_rows(index, asked, ("dense", "sparse"), limit=5, by_program=True)
+    plan = r.fuse(found, {"dense": 1.0, "sparse": 1.0}, "program", limit=5)._jdf.queryExecution().executedPlan().toString().split("\n")
+    union = next(k for k, line in enumerate(plan) if line.strip(" :+-*()0123456789") == "Union")
+    assert "Exchange hashpartitioning(qid" in plan[union - 1]
+
+
 def test_tokens_and_blocks_are_skipped(spark, rows, monkeypatch):
     """A rare token found early makes frequent ones needless; their blocks of low weights are left."""
     monkeypatch.setattr(postings, "DIRECT", 0)
