@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,12 +17,13 @@ BUCKET = 100.0
 AT_ONCE = 10_000
 
 
-def page_by_page(rows: DataFrame, page: str, f: Callable[[list[tuple]], list[tuple]], out: str) -> DataFrame:
-    """page and the columns out that f gives for the rows (their other columns, as tuples in any order) of each page.
+def page_by_page(rows: DataFrame, page: str, f: Callable[[list[tuple]], list[tuple]], out: str, within: Sequence[str] = (), tasks: int | None = None) -> DataFrame:
+    """page and the columns out that f gives for the rows (their other columns, as tuples in any order) of each page, or of each part of a page by the numbers within.
 
     Pages are small and many: a task goes through its pages as they stand in sorted batches, where a group of pandas for each page would cost more than its rows.
+    Without tasks, Spark joins small partitions by their bytes.
     """
-    others = [c for c in rows.columns if c != page]
+    others = [c for c in rows.columns if c != page and c not in within]
     names = [page, *[c.split()[0] for c in out.split(", ")]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -33,18 +35,23 @@ def page_by_page(rows: DataFrame, page: str, f: Callable[[list[tuple]], list[tup
 
         def done() -> None:
             if held:
-                found.extend((None if at is None else int(at), *x) for x in f(held))
+                found.extend((None if at[0] is None else int(at[0]), *x) for x in f(held))
 
         for batch in batches:
             pages = batch[page].astype(object).where(batch[page].notna(), None).to_numpy()
+            marks = [pages, *[batch[c].to_numpy() for c in within]]
             columns = [batch[c].tolist() for c in others]
-            starts = [0, *((pages[1:] != pages[:-1]).nonzero()[0] + 1).tolist(), len(pages)]
+            changed = np.zeros(max(0, len(pages) - 1), bool)
+            for x in marks:
+                changed |= x[1:] != x[:-1]
+            starts = [0, *(changed.nonzero()[0] + 1).tolist(), len(pages)]
             for low, high in zip(starts, starts[1:], strict=False):
                 if low == high:
                     continue
-                if pages[low] != at:
+                here = tuple(x[low] for x in marks)
+                if here != at:
                     done()
-                    at, held = pages[low], []
+                    at, held = here, []
                 held.extend(zip(*[c[low:high] for c in columns], strict=True))
                 if len(found) >= AT_ONCE:
                     yield told()
@@ -53,7 +60,8 @@ def page_by_page(rows: DataFrame, page: str, f: Callable[[list[tuple]], list[tup
         yield told()
 
     # As text, since pandas rounds long numbers beside nulls; rows without a page are a page.
-    return rows.repartition(page).sortWithinPartitions(page).withColumn(page, F.col(page).cast("string")).mapInPandas(run, f"{page} long, {out}")
+    dealt = rows.repartition(page, *within) if tasks is None else rows.repartition(tasks, page, *within)
+    return dealt.sortWithinPartitions(page, *within).withColumn(page, F.col(page).cast("string")).mapInPandas(run, f"{page} long, {out}")
 
 
 def on_grid(rows: DataFrame, box: str, size: float = BUCKET) -> DataFrame:

@@ -6,6 +6,7 @@ import difflib
 import hashlib
 import re
 from collections import Counter
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -113,25 +114,89 @@ def overlap_groups(boxes: DataFrame) -> DataFrame:
     return page_by_page(flat, "page", groups, "cell long, group long")
 
 
-def similar_to_earlier(rows: DataFrame, group: str, at: str, text: str, least: float) -> DataFrame:
-    """group, at: rows whose text is at least so similar to an earlier one of the group. A group is one evaluation's criteria, tens of rows.
+def common_length(places: dict[str, int], n: int, other: str) -> int:
+    """Length of the longest common subsequence of other and a text of n characters, of which places has a bit for each place of a character."""
+    whole = (1 << n) - 1
+    left = whole
+    for ch in other:
+        hit = left & places.get(ch, 0)
+        left = (left + hit) | (left - hit)
+    return n - (left & whole).bit_count()
 
-    Bounds of the similarity by lengths and by characters come first; the full comparison is left for pairs that both let pass.
+
+class Judged:
+    """A text, with what is known of it as later texts ask."""
+
+    def __init__(self, text: str):
+        self.text, self.n = text, len(text)
+
+    @cached_property
+    def counts(self) -> Counter:
+        return Counter(self.text)
+
+    @cached_property
+    def places(self) -> dict[str, int]:
+        bits: dict[str, int] = {}
+        for k, ch in enumerate(self.text):
+            bits[ch] = bits.get(ch, 0) | 1 << k
+        return bits
+
+    @cached_property
+    def match(self) -> difflib.SequenceMatcher:
+        return difflib.SequenceMatcher(None, "", self.text, autojunk=False)
+
+    def similar(self, earlier: Judged, least: float) -> bool:
+        """Whether difflib's ratio from earlier is least or more. It is twice the characters that its blocks match over those of both texts.
+
+        The first block is the longest, so a text within the other is matched whole. All blocks are a common subsequence, so its length bounds them, as do the
+        characters that both have.
+        """
+        both = self.n + earlier.n
+        ratio = lambda matched: 2.0 * matched / both if both else 1.0
+        short, long = (self, earlier) if self.n <= earlier.n else (earlier, self)
+        if ratio(short.n) < least:
+            return False
+        if short.text in long.text:
+            return True
+        mine = short.counts
+        if ratio(sum(min(n, mine.get(ch, 0)) for ch, n in long.counts.items())) < least or ratio(common_length(self.places, self.n, earlier.text)) < least:
+            return False
+        self.match.set_seq1(earlier.text)
+        return self.match.ratio() >= least
+
+
+#: Rows of a group that meet at a time, and rows of a task: pairs cost far more than bytes.
+MEETING, JUDGED_AT_ONCE = 64, 4096
+
+
+def similar_to_earlier(rows: DataFrame, group: str, at: str, text: str, least: float, meeting: int = MEETING) -> DataFrame:
+    """group, at: rows whose text is at least so similar to an earlier one of the group; rows without at or text are none.
+
+    A group is one evaluation's criteria, tens of rows; of a larger one runs of rows meet each other, so that its pairs are spread over tasks.
     """
+    rows = rows.select(group, at, text).dropna(subset=[at, text])
+    n_rows = F.count(F.lit(1))
+    copies = rows.groupBy(group).agg(n_rows.alias("n")).agg(F.sum(F.col("n") * F.ceil(F.col("n") / meeting))).first()[0] or 0
+    own = Window.partitionBy(group)
+    placed = rows.withColumn("_k", F.row_number().over(own.orderBy(at, text)).cast("long") - 1).withColumn("_runs", F.ceil(n_rows.over(own) / meeting))
+    placed = placed.withColumn("_run", F.floor(F.col("_k") / meeting)).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_runs") - 1)))
+    met = placed.select(group, F.least("_run", "_other").alias("_low"), F.greatest("_run", "_other").alias("_high"), "_k", "_run", F.col("_other").alias("_with"), F.col(at).alias("_at"), F.col(text).alias("_text"))
 
     def repeated(rows: list[tuple]) -> list[tuple]:
+        rows.sort(key=lambda x: x[0])
+        high = max(max(run, other) for _, run, other, _, _ in rows)
         seen, held = [], []
-        for number, value in sorted(rows):
-            match = difflib.SequenceMatcher(None, "", value, autojunk=False)
-            for earlier in seen:
-                match.set_seq1(earlier)
-                if match.real_quick_ratio() >= least and match.quick_ratio() >= least and match.ratio() >= least:
-                    held.append((number,))
-                    break
-            seen.append(value)
+        for k, run, other, number, value in rows:
+            mine = Judged(value)
+            if run == high and any(mine.similar(earlier, least) for earlier in reversed(seen)):
+                held.append((k, number))
+            # Runs that differ meet as earlier and later, a run with itself as both.
+            if run < high or run == other:
+                seen.append(mine)
         return held
 
-    return page_by_page(rows.select(group, at, text), group, repeated, f"{at} long")
+    found = page_by_page(met, group, repeated, "_k long, _at long", ["_low", "_high"], max(1, -(-copies // JUDGED_AT_ONCE)))
+    return found.dropDuplicates([group, "_k"]).select(group, F.col("_at").alias(at))
 
 
 def differences(tables: DataFrame, key: str, a: str, b: str) -> DataFrame:
